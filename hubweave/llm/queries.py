@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, ngram_join
 from .common import table
 
 
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.ngram_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {"op10_exact_dedup": op10_exact_dedup}
+    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql():
