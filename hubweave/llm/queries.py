@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, ngram_join
+from . import exact_dedup, mixing, ngram_join
 from .common import table
 
 
@@ -10,13 +10,24 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.ngram_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_source_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op10_exact_dedup": op10_exact_dedup}
+    return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_source_mixing": op2_source_mixing,
+        "op10_exact_dedup": op10_exact_dedup,
+    }
 
 
 def oracle_sql():
-    return {"op10_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {
+        "op2_source_mixing": mixing.ORACLE_SQL,
+        "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    }
