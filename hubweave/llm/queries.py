@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join
+from . import exact_dedup, mixing, ngram_join, topk_search
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_topk_search(spark, sf_dir):
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,7 @@ def queries():
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_source_mixing": op2_source_mixing,
+        "op5_topk_search": op5_topk_search,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
@@ -29,5 +34,6 @@ def queries():
 def oracle_sql():
     return {
         "op2_source_mixing": mixing.ORACLE_SQL,
+        "op5_topk_search": topk_search.ORACLE_SQL,
         "op10_exact_dedup": exact_dedup.ORACLE_SQL,
     }
