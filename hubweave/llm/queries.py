@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join, topk_search
+from . import exact_dedup, language_id, mixing, ngram_join, quality, topk_search
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op2_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark, sf_dir):
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_topk_search(spark, sf_dir):
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -26,6 +34,8 @@ def queries():
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_source_mixing": op2_source_mixing,
+        "op3_quality_classifier": op3_quality_classifier,
+        "op4_language_id": op4_language_id,
         "op5_topk_search": op5_topk_search,
         "op10_exact_dedup": op10_exact_dedup,
     }
