@@ -1,9 +1,9 @@
 """Exact connected groups from shared keys, without listing every pair of a key's members.
 
 ``keyed`` (key, node) says which nodes may be linked: two nodes can be linked only if they share a key. First each
-key's members are compared with its smallest member only. Members that this already connects need no comparison with
-each other; what is left are pairs of a key's members in different groups, and all of these are compared. DataFrame
-operations only.
+key's members are compared with one of them only. Members that this already connects need no comparison with each
+other; what is left in the end are pairs of a key's members in different groups, and all of these are compared.
+DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -34,24 +34,47 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def linked_groups(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(node, group) of all linked nodes, and the links found. ``verify`` keeps the true links of pairs (a, b), a < b."""
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("a"))
-    stars = materialize(keyed.join(hubs, "key").where("node > a").select("a", F.col("node").alias("b")).distinct())
-    links = materialize(verify(stars))
-    groups = components(links)
+def linked_groups(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(node, group) of all linked nodes, and the links found. ``verify`` keeps the true links of pairs (a, b), a < b.
 
-    known = keyed.join(groups, "node", "left").select("key", "node", F.coalesce("group", "node").alias("group"))
-    mixed = known.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
-    known = materialize(known.join(mixed, "key").distinct())
-    if known.isEmpty():
-        return groups, links
+    Each of the first rounds compares, for every key, one member of its largest group with the members of its other
+    groups, a number of pairs in proportion to ``keyed``. Once the pairs of different groups are as few, or a round
+    finds links for less than 1 in 100 of its pairs, all of them are compared, so no link between groups is missed.
+    """
+    groups = links = tried = None
+    for turn in range(rounds + 1):
+        known = keyed if groups is None else keyed.join(groups, "node", "left")
+        known = known.select("key", "node", F.coalesce("group", "node").alias("group") if groups is not None else F.col("node").alias("group"))
+        parts = known.groupBy("key", "group").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("one"))
+        per_key = parts.groupBy("key").agg(F.max(F.struct("size", "group", "one")).alias("top"), F.sum("size").alias("all"), F.sum(F.col("size").cast("double") * F.col("size")).alias("squares"), F.count(F.lit(1)).alias("n"))
+        mixed = materialize(per_key.where("n > 1").select("key", F.col("top.group").alias("hub_group"), F.col("top.one").alias("hub"), "all", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs")))
+        load = mixed.agg(F.sum("all").alias("rows"), F.sum("pairs").alias("pairs")).first()
+        if not load["rows"]:
+            break
+        last = turn == rounds or load["pairs"] <= 2 * load["rows"] or (turn > 1 and not progress)
+        known = known.join(mixed.select("key", "hub_group", "hub"), "key")
+        pairs = _all_pairs(materialize(known.select("key", "node", "group").distinct())) if last else known.where("group != hub_group").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        more = materialize(verify(pairs))
+        found = more.count()
+        progress = 100 * found > pairs.count()
+        if found or groups is None:
+            links = more if links is None else links.unionByName(more)
+            groups = components(links)
+        if last:
+            break
+    if groups is None:
+        links = keyed.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        groups = links.toDF("node", "group")
+    return groups, links
+
+
+def _all_pairs(known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different groups that share a key of ``known`` (key, node, group)."""
     parts = known.select("key", "group").distinct()
     pairs = parts.toDF("key", "g1").join(parts.toDF("key", "g2"), "key").where("g1 < g2")
     pairs = pairs.join(known.toDF("key", "x", "g1"), ["key", "g1"]).join(known.toDF("key", "y", "g2"), ["key", "g2"])
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialize(verify(pairs))
-    if more.isEmpty():
-        return groups, links
-    links = materialize(links.unionByName(more))
-    return components(links), links
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -8,7 +8,8 @@ Why no pair is missed. Let t = 3/4, |A| = n. A pair with Jaccard >= t shares at
 shows its first n - ceil(t n) + l(n) n-grams in the order, with l(n) = 1 + floor(n * SLACK), then the two heads have at
 least min(l(|A|), l(|B|)) n-grams in common, and so at least g = l(ceil(t n)) for either size. N-grams that only one
 set shows can be forgotten; sets left with fewer than g drop out, and of q n-grams left, the q - g + 1 rarest must
-hold a common one. Most documents drop out here, those that only share a common passage included.
+hold a common one. Of the sets left, all n-grams are then asked: 3/4 of them must be another set's too. Most documents
+drop out by then, those that only share a common passage included.
 
 Hashes: 64 bits of n-grams and of whole sets. A clash of two n-grams would have to fall in both sets of a pair on the
 very edge of the threshold to matter.
@@ -111,7 +112,7 @@ def _repeated(batches):
 
 
 def _segments(batches):
-    """(set_id, n, fragment, grams) for every fragment of every set."""
+    """(set_id, n, fragment, grams) for every fragment of every set; as fragment -1 the leading 16 bits of all n-grams."""
     count = 1 << FRAGMENT_BITS
     edges = (np.arange(1, count, dtype=np.uint64) << np.uint64(64 - FRAGMENT_BITS)).tolist()
     for batch in batches:
@@ -120,6 +121,7 @@ def _segments(batches):
             if len(hashes):
                 name = _set_id(hashes)
                 cuts = [0, *np.searchsorted(hashes, np.array(edges, np.uint64)).tolist(), len(hashes)]
+                out.append((name, len(hashes), -1, (hashes >> np.uint64(48)).astype(np.uint16).tobytes()))
                 out += [(name, len(hashes), f, hashes[cuts[f] : cuts[f + 1]].tobytes()) for f in range(count)]
             if len(out) > 5000:
                 yield _segment_batch(out)
@@ -133,20 +135,54 @@ def _segment_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(n, pa.int64()), pa.array(fragments, pa.int32()), pa.array(grams, pa.binary())], ["set_id", "n", "fragment", "grams"])
 
 
+def _grams_of(batches):
+    """(gram, set_id, least) of all n-grams of segments; least: how many of a set's n-grams any partner has."""
+    for batch in batches:
+        grams = [np.frombuffer(g, np.int64) for g in batch["grams"].to_pylist()]
+        lengths = [len(g) for g in grams]
+        least = (-(-NUMERATOR * batch["n"].to_numpy() // DENOMINATOR)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.repeat(batch["set_id"].to_numpy(), lengths)), pa.array(np.repeat(least, lengths))], ["gram", "set_id", "least"])
+
+
 @F.pandas_udf(T.LongType())
 def _partial_overlap(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(x, y, strict=True)], dtype="int64")
 
 
+@F.pandas_udf(T.LongType())
+def _overlap_bound(x: pd.Series, y: pd.Series) -> pd.Series:
+    """At least the overlap of two sets, from the leading 16 bits of their n-grams: clashes only add to it."""
+
+    def bound(a: bytes, b: bytes) -> int:
+        a, b = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
+        there = np.zeros(1 << 16, bool)
+        there[b] = True
+        back = np.zeros(1 << 16, bool)
+        back[a] = True
+        return int(min(there[a].sum(), back[b].sum()))
+
+    return pd.Series([bound(a, b) for a, b in zip(x, y, strict=True)], dtype="int64")
+
+
 def similar_sets(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set ids whose summed partial overlaps reach the threshold."""
-    spread = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit((1 << FRAGMENT_BITS) - 1))))
+    """The pairs (a, b) of set ids whose summed partial overlaps reach the threshold.
+
+    Pairs that their sizes rule out go first, then those that a bound from shortened n-grams rules out; only what is
+    left moves the fragments.
+    """
     left = segments.select(F.col("set_id").alias("a"), F.col("n").alias("na"), "fragment", F.col("grams").alias("ga"))
     right = segments.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), "fragment", F.col("grams").alias("gb"))
-    # equal sizes rule out all but sizes within the threshold before any n-gram moves on
-    both = spread.join(left, ["a", "fragment"]).join(right, ["b", "fragment"]).where(f"{DENOMINATOR} * least(na, nb) >= {NUMERATOR} * greatest(na, nb)")
-    summed = both.select("a", "b", "na", "nb", _partial_overlap("ga", "gb").alias("partial")).groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("overlap"))
-    return summed.where(f"{DENOMINATOR} * overlap >= {NUMERATOR} * (na + nb - overlap)").select("a", "b")
+    reached = f"{DENOMINATOR} * overlap >= {NUMERATOR} * (na + nb - overlap)"
+
+    short_a, short_b = left.where("fragment = -1").drop("fragment"), right.where("fragment = -1").drop("fragment")
+    fitting = pairs.join(short_a.drop("ga"), "a").join(short_b.drop("gb"), "b").where(f"{DENOMINATOR} * least(na, nb) >= {NUMERATOR} * greatest(na, nb)")
+    bounded = fitting.join(short_a.select("a", "ga"), "a").join(short_b.select("b", "gb"), "b").select("a", "b", "na", "nb", _overlap_bound("ga", "gb").alias("overlap"))
+    hopeful = materialize(bounded.where(reached).drop("overlap"))
+
+    spread = hopeful.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit((1 << FRAGMENT_BITS) - 1))))
+    both = spread.join(left.drop("na"), ["a", "fragment"]).join(right.drop("nb"), ["b", "fragment"])
+    partial = both.select("a", "b", "na", "nb", _partial_overlap("ga", "gb").alias("partial"))
+    return partial.groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("overlap")).where(reached).select("a", "b")
 
 
 def _survivors(heads: DataFrame) -> DataFrame:
@@ -170,20 +206,30 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = materialize(texts.mapInArrow(_sizes, "doc_id long, n_shingles long, set_id long"))
     sets = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("copies"))
 
-    heads = texts.select("text").mapInArrow(_heads, "gram long, set_id long, least int")
-    heads = heads.repartition("gram").sortWithinPartitions("gram", "set_id").mapInArrow(_repeated, "gram long, set_id long, least int")
-    heads = materialize(heads)
-    enough = heads.groupBy("set_id").agg(F.count(F.lit(1)).alias("q"), F.first("least").alias("l")).where("q >= l").select("set_id")
-    heads = materialize(_survivors(heads.join(enough, "set_id")))
-    heads = materialize(_survivors(heads))
+    rows = "gram long, set_id long, least int"
+
+    def several(grams: DataFrame) -> DataFrame:
+        return grams.repartition("gram").sortWithinPartitions("gram", "set_id").mapInArrow(_repeated, rows)
+
+    def enough(grams: DataFrame) -> DataFrame:
+        return grams.groupBy("set_id").agg(F.count(F.lit(1)).alias("q"), F.first("least").alias("l")).where("q >= l").select("set_id")
+
+    heads = materialize(several(texts.select("text").mapInArrow(_heads, rows)))
+    heads = materialize(_survivors(heads.join(enough(heads), "set_id")))
+
+    # the same with all n-grams of the sets left: at least 3/4 of them must be another set's too
+    wanted = heads.select("set_id").distinct().join(sets, "set_id").select(F.col("smallest").alias("doc_id"))
+    segments = texts.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_segments, "set_id long, n long, fragment int, grams binary")
+    segments = materialize(segments.dropDuplicates(["set_id", "fragment"]))
+    shared = materialize(enough(several(segments.where("fragment >= 0").select("n", "set_id", "grams").mapInArrow(_grams_of, rows))))
+    segments = segments.join(shared, "set_id", "left_semi")
+    heads = materialize(_survivors(heads.join(shared, "set_id")))
 
     counts = heads.groupBy("gram").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
     by_set = Window.partitionBy("set_id")
     ranked = heads.join(counts, "gram").select("gram", "set_id", "least", F.row_number().over(by_set.orderBy("sets", "gram")).alias("place"), F.count(F.lit(1)).over(by_set).alias("q"))
     keyed = materialize(ranked.where("place <= q - least + 1").select(F.col("gram").alias("key"), F.col("set_id").alias("node")))
 
-    wanted = keyed.select(F.col("node").alias("set_id")).distinct().join(sets, "set_id").select(F.col("smallest").alias("doc_id"))
-    segments = materialize(texts.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_segments, "set_id long, n long, fragment int, grams binary").dropDuplicates(["set_id", "fragment"]))
     groups, _ = linked_groups(keyed, lambda pairs: similar_sets(pairs, segments))
 
     named = groups.select(F.col("node").alias("set_id"), "group").join(sets, "set_id")
