@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, ngram_join, quality, topk_search
+from . import chat_format, exact_dedup, language_id, mixing, ngram_join, quality, sentencepiece_codec, topk_search
 from .common import table
 
 
@@ -26,6 +26,14 @@ def op5_topk_search(spark, sf_dir):
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_chat_formatting(spark, sf_dir):
+    return chat_format.formatted_query(table(spark, sf_dir, "conversations"))
+
+
+def op9_sentencepiece(spark, sf_dir):
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -37,6 +45,8 @@ def queries():
         "op3_quality_classifier": op3_quality_classifier,
         "op4_language_id": op4_language_id,
         "op5_topk_search": op5_topk_search,
+        "op8_chat_formatting": op8_chat_formatting,
+        "op9_sentencepiece": op9_sentencepiece,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
@@ -45,5 +55,6 @@ def oracle_sql():
     return {
         "op2_source_mixing": mixing.ORACLE_SQL,
         "op5_topk_search": topk_search.ORACLE_SQL,
+        "op8_chat_formatting": chat_format.ORACLE_SQL,
         "op10_exact_dedup": exact_dedup.ORACLE_SQL,
     }
