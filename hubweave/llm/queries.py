@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, language_id, mixing, ngram_join, quality, sentencepiece_codec, topk_search
+from . import chat_format, exact_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_join, quality, sentencepiece_codec, topk_search
 from .common import table
 
 
@@ -26,6 +26,14 @@ def op5_topk_search(spark, sf_dir):
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op6_lm_scoring(spark, sf_dir):
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_line_dedup(spark, sf_dir):
+    return line_dedup.line_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_formatting(spark, sf_dir):
     return chat_format.formatted_query(table(spark, sf_dir, "conversations"))
 
@@ -45,6 +53,8 @@ def queries():
         "op3_quality_classifier": op3_quality_classifier,
         "op4_language_id": op4_language_id,
         "op5_topk_search": op5_topk_search,
+        "op6_lm_scoring": op6_lm_scoring,
+        "op7_line_dedup": op7_line_dedup,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_exact_dedup": op10_exact_dedup,
