@@ -1,4 +1,8 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input."""
+"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+Low-quality documents go, then all but one of equal texts, then all but one of each group of near copies; the rest is
+mixed to the sources' target weights and encoded.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +10,57 @@ from pyspark.sql import functions as F
 
 from hubweave.llm.common import materialize, table
 from hubweave.llm.exact_dedup import exact_dedup
+from hubweave.llm.mixing import mix
+from hubweave.llm.ngram_join import ngram_groups
+from hubweave.llm.quality import keep_good
+from hubweave.llm.sentencepiece_codec import encode
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality_stage(spark, docs, sf_dir):
+    """Documents that the quality classifier rejects go."""
+    return keep_good(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
+
+
 def exact_dedup_stage(spark, docs, sf_dir):
     """Of equal texts, the row with the largest doc_id stays."""
     dropped = exact_dedup(docs).where(~F.col("kept")).select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti").select(COLUMNS)
 
 
-STAGES = [("exact_dedup", exact_dedup_stage)]
+def near_dedup_stage(spark, docs, sf_dir):
+    """Of documents linked by Jaccard similarity of 5-word shingles of 0.75 or more, the smallest doc_id stays."""
+    dropped = ngram_groups(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(COLUMNS)
+
+
+def mixing_stage(spark, docs, sf_dir):
+    """Each document as often as the mix takes it: words taken / size, rounded; documents never taken go."""
+    copies = mix(docs).where("size > 0").select("doc_id", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies")).where("copies > 0")
+    repeated = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(COLUMNS)
+
+
+def encoding_stage(spark, docs, sf_dir):
+    """doc_id, n_tokens, token_ids, round_trip of every row."""
+    return encode(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("exact_dedup", exact_dedup_stage),
+    ("ngram_jaccard_join", near_dedup_stage),
+    ("source_mixing", mixing_stage),
+    ("sentencepiece", encoding_stage),
+]
 
+#: SQL can't express the classifier or the encoder; tests compare the stages with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The rows of the last stage over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))

@@ -119,16 +119,32 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     counts with its smaller label. Only the text is scored. Null and empty texts get the sample's mean label, as do
     texts similar to no labelled one. A null doc_id is returned with held_out null. Other columns play no part.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(docs, labels))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def scores(batches):
-        m = model.value
         for batch in batches:
-            for row, counts in term_counts(batch["text"]):
-                found = vote(latent(counts, m["idf"], m["axes"]), m)
-                part = batch.slice(row, len(counts))
+            for row, found in batch_scores(batch["text"], model.value):
+                part = batch.slice(row, len(found))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(scores, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def batch_scores(column: pa.Array, model: dict):
+    """Yield (first row, scores) of the texts of a column."""
+    for row, counts in term_counts(column):
+        yield row, vote(latent(counts, model["idf"], model["axes"]), model)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that score_documents() would predict 1; no row moves."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def kept(batches):
+        for batch in batches:
+            scores = [found for _, found in batch_scores(batch["text"], model.value)]
+            if scores:
+                yield batch.filter(pa.array(np.concatenate(scores) >= THRESHOLD))
+
+    return docs.mapInArrow(kept, docs.schema)
