@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from hubweave.plans import core
+
+MODULES = (core,)
+
 
 def queries():
-    return {}
+    return {name: build for m in MODULES for name, build in m.Q.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.S.items()}
