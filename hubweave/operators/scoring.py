@@ -1,0 +1,111 @@
+"""Consensus scoring of nodes over methods and approaches.
+
+Input of most functions: ``scores`` (approach, method, node, value) of one group, one row per node of every network.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from hubweave.functions.stats import min_rank, z_score
+
+APPROACHES = ("weighted", "percolation", "persistence")
+GROUP = "grp"
+CASES = 15  # denominator of the sensitivity analysis: five methods by three approaches, whatever there is
+
+
+def rank_consensus(scores: DataFrame, *key: str) -> DataFrame:
+    """(key, node, avg_rank, consensus, n_methods): mean of falling min-ranks over all columns, missing nodes counting
+    as 0, rescaled so that the best node is 1 (all 1 where all are equal)."""
+    columns = scores.select(*key, "approach", "method").distinct()
+    nodes = scores.select(*key, "node").distinct()
+    full = columns.join(nodes, list(key)).join(scores, [*key, "approach", "method", "node"], "left").withColumn("value", F.coalesce(F.when(F.isnan("value") | (F.abs("value") == float("inf")), F.lit(0.0)).otherwise(F.col("value")), F.lit(0.0)))
+    ranks = full.withColumn("rank", min_rank("value", *key, "approach", "method")).groupBy(*key, "node").agg(F.avg("rank").alias("avg_rank"), F.count(F.lit(1)).alias("n_methods"))
+    w = Window.partitionBy(*key)
+    scaled = F.try_divide(F.max("avg_rank").over(w) - F.col("avg_rank"), F.max("avg_rank").over(w) - F.min("avg_rank").over(w))
+    return ranks.withColumn("consensus", F.coalesce(scaled, F.lit(1.0)))
+
+
+def standardised_hubs(scores: DataFrame, z_threshold: float = 1.5, *key: str) -> DataFrame:
+    """(key, approach, method, node, value, z, is_hub): z with the sample deviation within a network."""
+    z = z_score("value", *key, "approach", "method")
+    return scores.withColumn("z", z).withColumn("is_hub", F.coalesce(F.col("z") >= z_threshold, F.lit(False)))
+
+
+def weighted_consensus(hubs: DataFrame, *key: str) -> DataFrame:
+    """Confidence-weighted hub probability per node over the three approaches.
+
+    Per approach: probability = share of methods that call the node a hub, mean z, CV = |sd / mean| (infinite for a
+    mean within 0.01 of 0), weight 1 / (1 + CV). A single method has no sd, so no weight. Weights are normalised over
+    the approaches that have one (a third each where none has), the score is the weighted sum of probabilities, and
+    the interval spans one deviation of the weighted terms, within [0, 1].
+    """
+    s = hubs.groupBy(*key, "node", "approach").agg(F.avg(F.col("is_hub").cast("double")).alias("prob"), F.avg("z").alias("mean_z"), F.stddev_samp("z").alias("sd_z"))
+    cv = F.when(F.abs("mean_z") > 0.01, F.abs(F.col("sd_z") / F.col("mean_z"))).otherwise(F.when(F.col("sd_z").isNotNull(), F.lit(float("inf"))))
+    s = s.withColumn("weight", 1 / (1 + cv))
+    wide = s.groupBy(*key, "node").agg(*[f for a in APPROACHES for f in (F.coalesce(F.max(F.when(F.col("approach") == a, F.col("prob"))), F.lit(0.0)).alias(f"{a}_prob"), F.max(F.when(F.col("approach") == a, F.col("weight"))).alias(f"{a}_raw"), F.count_if(F.col("approach") == a).alias(f"{a}_n"))])
+    for a in APPROACHES:  # an absent approach weighs 0, one without a deviation has no weight
+        wide = wide.withColumn(f"{a}_raw", F.when(F.col(f"{a}_n") == 0, F.lit(0.0)).otherwise(F.col(f"{a}_raw")))
+    total = sum((F.coalesce(F.col(f"{a}_raw"), F.lit(0.0)) for a in APPROACHES), F.lit(0.0))
+    wide = wide.withColumn("total", total)
+    for a in APPROACHES:
+        wide = wide.withColumn(f"{a}_weight", F.when(F.col("total") > 0, F.coalesce(F.col(f"{a}_raw"), F.lit(0.0)) / F.col("total")).otherwise(F.lit(1.0) / 3))
+    terms = [F.col(f"{a}_prob") * F.col(f"{a}_weight") for a in APPROACHES]
+    mean = (terms[0] + terms[1] + terms[2]) / 3
+    sd = F.sqrt(sum(((t - mean) * (t - mean) for t in terms), F.lit(0.0)) / 2)
+    wide = wide.withColumn("score", terms[0] + terms[1] + terms[2]).withColumn("sd", sd)
+    wide = wide.withColumn("low", F.greatest(F.lit(0.0), F.col("score") - F.col("sd"))).withColumn("high", F.least(F.lit(1.0), F.col("score") + F.col("sd")))
+    width = F.col("high") - F.col("low")
+    wide = wide.withColumn("confidence", F.when(width < 0.2, "High").when(width < 0.4, "Medium").otherwise("Low"))
+    return wide.select(*key, "node", *[f"{a}_prob" for a in APPROACHES], *[f"{a}_weight" for a in APPROACHES], "score", "low", "high", "confidence")
+
+
+def uncertainty(consensus: DataFrame) -> DataFrame:
+    """Adds sd and CV over the three probabilities, their class, and how many approaches agree (at 0.6)."""
+    p = [F.col(f"{a}_prob") for a in APPROACHES]
+    mean = (p[0] + p[1] + p[2]) / 3
+    out = consensus.withColumn("prob_sd", F.sqrt(sum(((x - mean) * (x - mean) for x in p), F.lit(0.0)) / 2))
+    out = out.withColumn("prob_cv", F.when(mean > 0.01, F.col("prob_sd") / mean).otherwise(F.lit(float("inf"))))
+    agree = sum(((x >= 0.6).cast("int") for x in p), F.lit(0))
+    kind = F.when(F.col("prob_cv") <= 0.2, "consistent").when(F.col("prob_cv") <= 0.4, "moderate").otherwise("variable")
+    return out.withColumn("uncertainty", kind).withColumn("all_three_agree", agree == 3).withColumn("two_agree", agree >= 2)
+
+
+def calibrate_threshold(hubs: DataFrame, taus: list[float], *key: str) -> DataFrame:
+    """(key, tau, n_hubs, stability, score, best): how stable the hub set is over thresholds ``taus``.
+
+    Per tau: hubs of each network, mean share of nodes, and 1 - CV of the hub counts over networks; the score favours
+    shares of 5 to 15 percent. The first tau of the highest score is marked.
+    """
+    points = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(float(t)).alias("tau")) for i, t in enumerate(taus)])
+    per = hubs.select(*key, "approach", "method", "node", "z", F.explode(points).alias("p")).select(*key, "approach", "method", "z", "p.at", "p.tau").groupBy(*key, "at", "tau", "approach", "method").agg(F.count_if(F.col("z") >= F.col("tau")).alias("n"), F.count(F.lit(1)).alias("all"))
+    s = per.groupBy(*key, "at", "tau").agg(F.sum("n").alias("n_hubs"), F.avg(F.col("n") / F.col("all")).alias("share"), F.avg("n").alias("mean"), F.stddev_samp("n").alias("sd"))
+    stability = F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide("sd", "mean"), F.lit(1.0)))
+    s = s.withColumn("stability", stability).withColumn("score", F.col("stability") + F.when((F.col("share") >= 0.05) & (F.col("share") <= 0.15), F.lit(1.0)).otherwise(F.lit(0.0)))
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("score").desc(), "at")) == 1
+    return s.withColumn("best", first).select(*key, "tau", "n_hubs", "share", "stability", "score", "best")
+
+
+def threshold_sensitivity(hubs: DataFrame, taus: list[float], *key: str) -> DataFrame:
+    """(key, node, mean_share, n_taus_hub, n_taus_three_way, stable): share of networks (of CASES) that call a node a hub at each tau;
+    a hub from 0.5, three-way from 0.6 in every approach, stable in 80 percent of the taus."""
+    points = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(float(t)).alias("tau")) for i, t in enumerate(taus)])
+    long = hubs.select(*key, "approach", "node", "z", F.explode(points).alias("p")).select(*key, "approach", "node", F.col("p.at").alias("at"), (F.col("z") >= F.col("p.tau")).cast("int").alias("hit"))
+    per = long.groupBy(*key, "at", "node", "approach").agg(F.sum("hit").alias("hits"), F.avg("hit").alias("prob"))
+    at = per.groupBy(*key, "at", "node").agg((F.sum("hits") / F.lit(float(CASES))).alias("share"), F.count_if(F.col("prob") >= 0.6).alias("agreeing"))
+    s = at.groupBy(*key, "node").agg(F.avg("share").alias("mean_share"), F.count_if(F.col("share") >= 0.5).alias("n_taus_hub"), F.count_if(F.col("agreeing") == 3).alias("n_taus_three_way"))
+    import math
+
+    return s.withColumn("stable", F.col("n_taus_hub") >= math.ceil(0.8 * len(taus)))
+
+
+def comprehensive(scores: DataFrame, z_threshold: float | str | None = 1.5, *key: str) -> DataFrame:
+    """Standardise, combine, and label each node's robustness. "auto" or None calibrates the threshold first."""
+    if z_threshold in ("auto", None):
+        taus = [round(1 + 0.1 * k, 1) for k in range(16)]
+        best = calibrate_threshold(standardised_hubs(scores, 1.5, *key), taus, *key).where("best").agg(F.min("tau")).first()[0]
+        z_threshold = best if best is not None else 1.5
+    out = uncertainty(weighted_consensus(standardised_hubs(scores, float(z_threshold), *key), *key))
+    label = F.when(F.col("all_three_agree"), "all three").when(F.col("two_agree"), "two").when(F.col("score") >= 0.4, "consensus").otherwise("none")
+    return out.withColumn("robustness", label)

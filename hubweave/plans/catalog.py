@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hubweave.plans import core
+from hubweave.plans import comparisons, core
 
-MODULES = (core,)
+MODULES = (core, comparisons)
 
 
 def queries():

@@ -83,8 +83,8 @@ PERC = f"WITH RECURSIVE {REACH}, {COMP}, top AS (SELECT grp, max(giant) AS best,
 add("d1_percolation_threshold", on_pearson(lambda c, n: network.percolation_thresholds(c)), f"{PERC} SELECT method, grp, {r6('threshold')} FROM thr")
 add("d2_threshold_network", on_pearson(lambda c, n: network.threshold_network(c, network.percolation_thresholds(c))), f"{PERC} SELECT corr.method, corr.grp, {r6('threshold')}, i AS src, j AS dst, {r6('abs(r) AS w')} FROM corr JOIN thr USING (grp) WHERE abs(r) >= threshold AND abs(r) > 0")
 add("d3_full_network", on_corr2(lambda c, n: network.full_network(c)), f"WITH {B.CORR2} SELECT method, grp, i AS src, j AS dst, {r6('abs(r) AS w')} FROM corr")
-GRID3 = (0.1, 0.2, 0.3)
-NETS = f"nets AS (SELECT method || '_weighted' AS matrix_key, method, 'weighted' AS approach, CAST(NULL AS DOUBLE) AS threshold, grp, i, j, abs(r) AS w FROM corr UNION ALL SELECT method || '_percolation', method, 'percolation', {B.CUT}, grp, i, j, CASE WHEN abs(r) >= {B.CUT} THEN abs(r) ELSE 0 END FROM corr UNION ALL SELECT method || '_persistence_' || format('{{:.3f}}', t), method, 'persistence', t, grp, i, j, CASE WHEN abs(r) >= t THEN abs(r) ELSE 0 END FROM corr, (SELECT unnest([0.1, 0.2, 0.3]::DOUBLE[]) AS t))"
+GRID3 = (0.11, 0.21, 0.31)
+NETS = f"nets AS (SELECT method || '_weighted' AS matrix_key, method, 'weighted' AS approach, CAST(NULL AS DOUBLE) AS threshold, grp, i, j, abs(r) AS w FROM corr UNION ALL SELECT method || '_percolation', method, 'percolation', {B.CUT}, grp, i, j, CASE WHEN abs(r) >= {B.CUT} THEN abs(r) ELSE 0 END FROM corr UNION ALL SELECT method || '_persistence_' || format('{{:.3f}}', t), method, 'persistence', t, grp, i, j, CASE WHEN abs(r) >= t THEN abs(r) ELSE 0 END FROM corr, (SELECT unnest([0.11, 0.21, 0.31]::DOUBLE[]) AS t))"
 
 
 def fixed_thresholds(corr):
@@ -98,7 +98,7 @@ def networks(s, d):
 
 add("d4_all_networks", lambda s, d: networks(s, d)[0], f"WITH {B.CORR2}, {NETS} SELECT matrix_key, method, approach, {r6('threshold')}, grp, i, j, {r6('w')} FROM nets")
 add("d6_matched_persistence", lambda s, d: network.matched_persistence(networks(s, d)[0], "g0", "g1"), f"WITH {B.CORR2}, {NETS} SELECT a.method, {r6('a.threshold AS threshold')}, a.i, a.j, {r6('a.w AS w1', 'b.w AS w2')} FROM nets a JOIN nets b ON a.matrix_key = b.matrix_key AND a.i = b.i AND a.j = b.j AND a.grp = 'g0' AND b.grp = 'g1' WHERE a.approach = 'persistence'")
-add("d7_binary_edges", on_corr2(lambda c, n: network.binary_edges(c, 0.2)), f"WITH {B.CORR2} SELECT method, grp, i, j FROM corr WHERE abs(r) > 0.2")
+add("d7_binary_edges", on_corr2(lambda c, n: network.binary_edges(c, 0.21)), f"WITH {B.CORR2} SELECT method, grp, i, j FROM corr WHERE abs(r) > 0.21")
 ODD = "odd AS (SELECT * FROM areas UNION ALL SELECT 'z', 9, 'D01' UNION ALL SELECT 'y', 8, 'd02')"
 
 
