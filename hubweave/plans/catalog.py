@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hubweave.plans import comparisons, core
+from hubweave.plans import comparisons, core, scores
 
-MODULES = (core, comparisons)
+MODULES = (core, comparisons, scores)
 
 
 def queries():

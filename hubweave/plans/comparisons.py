@@ -46,7 +46,7 @@ add("g9_cross_method_correlation", lambda s, d: threshold_free.cross_method_corr
 
 # H: similarity and conservation
 PAIR = f"{B.CORR2}, pr AS (SELECT a.method, a.grp AS g1, b.grp AS g2, a.i, a.j, abs(a.r) AS w1, abs(b.r) AS w2 FROM corr a JOIN corr b ON a.method = b.method AND a.i = b.i AND a.j = b.j AND a.grp < b.grp)"
-H1 = f"WITH {PAIR}, x AS (SELECT method, g1, g2, CAST(sum(CASE WHEN w1 > 0.21 AND w2 > 0.211 THEN 1 ELSE 0 END) AS BIGINT) AS shared, CAST(sum(CASE WHEN w1 > 0.21 OR w2 > 0.211 THEN 1 ELSE 0 END) AS BIGINT) AS either, CAST(sum(CASE WHEN w1 > 0.21 THEN 1 ELSE 0 END) AS BIGINT) AS edges1, CAST(sum(CASE WHEN w2 > 0.21 THEN 1 ELSE 0 END) AS BIGINT) AS edges2 FROM pr GROUP BY ALL) SELECT *, {r6('coalesce(shared / nullif(either, 0), 0) AS jaccard', 'coalesce(shared / nullif(least(edges1, edges2), 0), 0) AS overlap', 'coalesce(shared / nullif(edges1, 0), 0) AS preserved_1_2', 'coalesce(shared / nullif(edges2, 0), 0) AS preserved_2_1')} FROM x"
+H1 = f"WITH {PAIR}, x AS (SELECT method, g1, g2, CAST(sum(CASE WHEN w1 > 0.21 AND w2 > 0.21 THEN 1 ELSE 0 END) AS BIGINT) AS shared, CAST(sum(CASE WHEN w1 > 0.21 OR w2 > 0.21 THEN 1 ELSE 0 END) AS BIGINT) AS either, CAST(sum(CASE WHEN w1 > 0.21 THEN 1 ELSE 0 END) AS BIGINT) AS edges1, CAST(sum(CASE WHEN w2 > 0.21 THEN 1 ELSE 0 END) AS BIGINT) AS edges2 FROM pr GROUP BY ALL) SELECT *, {r6('coalesce(shared / nullif(either, 0), 0) AS jaccard', 'coalesce(shared / nullif(least(edges1, edges2), 0), 0) AS overlap', 'coalesce(shared / nullif(edges1, 0), 0) AS preserved_1_2', 'coalesce(shared / nullif(edges2, 0), 0) AS preserved_2_1')} FROM x"
 add("h1_binary_similarity", on_corr2(lambda c, n: similarity.binary_similarity(c, 0.21)), H1)
 DEG2 = f"{B.CORR2}, dd AS (SELECT method, grp, i AS node, (abs(r) >= {B.CUT})::INT AS e, abs(r) AS w FROM corr UNION ALL SELECT method, grp, j, (abs(r) >= {B.CUT})::INT, abs(r) FROM corr), deg AS (SELECT method, grp, node, CAST(sum(e) AS BIGINT) AS degree, sum(CASE WHEN e = 1 THEN w ELSE 0 END) AS strength FROM dd GROUP BY ALL)"
 

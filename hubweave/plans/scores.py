@@ -1,0 +1,181 @@
+"""Queries over consensus scores, statistical tests, contributions and discovery, with their SQL twins."""
+
+from __future__ import annotations
+
+from itertools import combinations
+
+from pyspark.sql import functions as F
+
+from hubweave.operators import discover, graph_metrics, network, permute, persistence, scoring, threshold_free
+from hubweave.plans import binding as B
+from hubweave.plans import comparisons as C
+from hubweave.plans import core
+from hubweave.plans.binding import q, r6
+
+Q, S = {}, {}
+GRP = ("grp",)
+PERMS = 40
+
+
+def add(name, build, sql=None):
+    Q[name] = q(build)
+    if sql:
+        S[name] = sql
+
+
+def scores(s, d):
+    """(grp, approach, method, node, value): strengths of full and thresholded networks, and strength AUCs."""
+    corr, _ = B.corr2(s, d)
+    grid = persistence.threshold_grid(s, 0.052, 0.05, 8)
+    nodes = graph_metrics.nodes_of(corr)
+    full = threshold_free.node_strength(corr).select("grp", F.lit("weighted").alias("approach"), "method", "node", F.col("node_strength").alias("value"))
+    cut = graph_metrics.node_degrees(network.threshold_network(corr, B.CUT), nodes).select("grp", F.lit("percolation").alias("approach"), "method", "node", F.col("strength").alias("value"))
+    auc = persistence.zero_filled_auc(persistence.swept_degrees(corr, grid), "strength", nodes, grid).select("grp", F.lit("persistence").alias("approach"), "method", "node", F.col("auc").alias("value"))
+    return full.unionByName(cut).unionByName(auc)
+
+
+SWEEP_TAIL = C.SWEEP[len(B.CORR2) :]
+SCORES = f"{C.PERC_ST}{SWEEP_TAIL}, zf AS (SELECT k.method, k.grp, k.node, g.step, g.threshold, coalesce(strength, 0) AS v FROM (SELECT DISTINCT method, grp, node FROM fd) k CROSS JOIN grid g LEFT JOIN sw ON sw.method = k.method AND sw.grp = k.grp AND sw.node = k.node AND sw.step = g.step), zl AS (SELECT *, lead(threshold) OVER w AS nt, lead(v) OVER w AS nv FROM zf WINDOW w AS (PARTITION BY method, grp, node ORDER BY threshold)), sc AS (SELECT grp, 'weighted' AS approach, method, node, node_strength AS value FROM st UNION ALL SELECT grp, 'percolation', method, node, p FROM ps UNION ALL SELECT grp, 'persistence', method, node, coalesce(sum((nt - threshold) * (v + nv) / 2), 0) FROM zl GROUP BY grp, method, node)"
+HUB = f"{SCORES}, hb AS (SELECT *, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS z FROM sc WINDOW w AS (PARTITION BY grp, approach, method)), hz AS (SELECT *, coalesce(z >= 1.0, false) AS is_hub FROM hb)"
+RANKED = f"{SCORES}, rk2 AS (SELECT *, rank() OVER (PARTITION BY grp, approach, method ORDER BY value DESC) AS rank FROM sc), ra AS (SELECT grp, node, avg(rank) AS avg_rank, count(*) AS n_methods FROM rk2 GROUP BY grp, node)"
+add("j2_rank_consensus", lambda s, d: scoring.rank_consensus(scores(s, d), *GRP), f"WITH {RANKED} SELECT grp, node, {r6('avg_rank')}, n_methods, {r6('coalesce((max(avg_rank) OVER w - avg_rank) / nullif(max(avg_rank) OVER w - min(avg_rank) OVER w, 0), 1) AS consensus')} FROM ra WINDOW w AS (PARTITION BY grp)")
+add("j1_three_way_rank_consensus", lambda s, d: scoring.rank_consensus(scores(s, d).where("method = 'pearson'"), *GRP), f"WITH {SCORES}, rk2 AS (SELECT *, rank() OVER (PARTITION BY grp, approach ORDER BY value DESC) AS rank FROM sc WHERE method = 'pearson'), ra AS (SELECT grp, node, avg(rank) AS avg_rank, count(*) AS n_methods FROM rk2 GROUP BY grp, node) SELECT grp, node, {r6('avg_rank')}, n_methods, {r6('coalesce((max(avg_rank) OVER w - avg_rank) / nullif(max(avg_rank) OVER w - min(avg_rank) OVER w, 0), 1) AS consensus')} FROM ra WINDOW w AS (PARTITION BY grp)")
+add("j3_standardised_hubs", lambda s, d: scoring.standardised_hubs(scores(s, d), 1.0, *GRP), f"WITH {HUB} SELECT grp, approach, method, node, {r6('value', 'z')}, is_hub FROM hz")
+A3 = ("weighted", "percolation", "persistence")
+J4 = f"""{HUB}, ap AS (SELECT grp, node, approach, avg(is_hub::INT) AS prob, avg(z) AS mz, stddev_samp(z) AS sz FROM hz GROUP BY ALL),
+aw AS (SELECT *, 1 / (1 + CASE WHEN abs(mz) > 0.01 THEN abs(sz / mz) WHEN sz IS NOT NULL THEN 'Infinity'::DOUBLE END) AS wt FROM ap),
+wd AS (SELECT grp, node, {", ".join(f"coalesce(max(prob) FILTER (approach = '{a}'), 0) AS {a}_prob, coalesce(max(wt) FILTER (approach = '{a}'), 0) AS {a}_raw" for a in A3)} FROM aw GROUP BY grp, node),
+wn AS (SELECT grp, node, {", ".join(f"{a}_prob" for a in A3)}, {", ".join(f"CASE WHEN weighted_raw + percolation_raw + persistence_raw > 0 THEN {a}_raw / (weighted_raw + percolation_raw + persistence_raw) ELSE 1 / 3.0 END AS {a}_weight" for a in A3)} FROM wd),
+wt AS (SELECT *, {", ".join(f"{a}_prob * {a}_weight AS t{k}" for k, a in enumerate(A3))} FROM wn),
+ws AS (SELECT *, t0 + t1 + t2 AS score, sqrt(((t0 - (t0 + t1 + t2) / 3) * (t0 - (t0 + t1 + t2) / 3) + (t1 - (t0 + t1 + t2) / 3) * (t1 - (t0 + t1 + t2) / 3) + (t2 - (t0 + t1 + t2) / 3) * (t2 - (t0 + t1 + t2) / 3)) / 2) AS sd FROM wt),
+wc AS (SELECT *, greatest(0, score - sd) AS low, least(1, score + sd) AS high FROM ws),
+cn AS (SELECT *, CASE WHEN high - low < 0.2 THEN 'High' WHEN high - low < 0.4 THEN 'Medium' ELSE 'Low' END AS confidence, (weighted_prob + percolation_prob + persistence_prob) / 3 AS pm FROM wc),
+un AS (SELECT *, sqrt(((weighted_prob - pm) * (weighted_prob - pm) + (percolation_prob - pm) * (percolation_prob - pm) + (persistence_prob - pm) * (persistence_prob - pm)) / 2) AS prob_sd, (weighted_prob >= 0.6)::INT + (percolation_prob >= 0.6)::INT + (persistence_prob >= 0.6)::INT AS agree FROM cn),
+uc AS (SELECT *, CASE WHEN pm > 0.01 THEN prob_sd / pm ELSE 'Infinity'::DOUBLE END AS prob_cv FROM un)"""
+PROBS = ", ".join(f"round({a}_prob, 6) + 0.0 AS {a}_prob, round({a}_weight, 6) + 0.0 AS {a}_weight" for a in A3)
+add("j4_weighted_consensus", lambda s, d: scoring.weighted_consensus(scoring.standardised_hubs(scores(s, d), 1.0, *GRP), *GRP), f"WITH {J4} SELECT grp, node, {PROBS}, {r6('score', 'low', 'high')}, confidence FROM cn")
+UNC = f"{PROBS}, {r6('score', 'low', 'high', 'prob_sd', 'prob_cv')}, confidence, CASE WHEN prob_cv <= 0.2 THEN 'consistent' WHEN prob_cv <= 0.4 THEN 'moderate' ELSE 'variable' END AS uncertainty, agree = 3 AS all_three_agree, agree >= 2 AS two_agree"
+add("j5_uncertainty", lambda s, d: scoring.uncertainty(scoring.weighted_consensus(scoring.standardised_hubs(scores(s, d), 1.0, *GRP), *GRP)), f"WITH {J4} SELECT grp, node, {UNC} FROM uc")
+TAUS = [round(1 + 0.1 * k, 1) for k in range(16)]
+TAU = f"tau AS (SELECT CAST(k AS INTEGER) AS pos, round(1 + 0.1 * k, 1)::DOUBLE AS tau FROM (SELECT unnest(range(0, 16)) AS k))"
+J6 = f"WITH {HUB}, {TAU}, pt AS (SELECT grp, pos, tau, approach, method, count(*) FILTER (z >= tau) AS n, count(*) AS al FROM hz, tau GROUP BY ALL), ts AS (SELECT grp, pos, tau, sum(n) AS n_hubs, avg(n / al) AS share, greatest(0, 1 - coalesce(stddev_samp(n) / nullif(avg(n), 0), 1)) AS stability FROM pt GROUP BY ALL), tz AS (SELECT *, stability + CASE WHEN share BETWEEN 0.05 AND 0.15 THEN 1.0 ELSE 0.0 END AS score FROM ts) SELECT grp, {r6('tau')}, CAST(n_hubs AS BIGINT) AS n_hubs, {r6('share', 'stability', 'score')}, row_number() OVER (PARTITION BY grp ORDER BY score DESC, pos) = 1 AS best FROM tz"
+add("j6_threshold_calibration", lambda s, d: scoring.calibrate_threshold(scoring.standardised_hubs(scores(s, d), 1.0, *GRP), TAUS, *GRP), J6)
+J7 = f"WITH {HUB}, {TAU}, pt AS (SELECT grp, pos, node, approach, sum((z >= tau)::INT) AS hits, avg((z >= tau)::INT) AS prob FROM hz, tau GROUP BY ALL), ta AS (SELECT grp, pos, node, sum(hits) / 15.0 AS share, count(*) FILTER (prob >= 0.6) AS agreeing FROM pt GROUP BY ALL) SELECT grp, node, {r6('avg(share) AS mean_share')}, count(*) FILTER (share >= 0.5) AS n_taus_hub, count(*) FILTER (agreeing = 3) AS n_taus_three_way, count(*) FILTER (share >= 0.5) >= 13 AS stable FROM ta GROUP BY grp, node"
+add("j7_threshold_sensitivity", lambda s, d: scoring.threshold_sensitivity(scoring.standardised_hubs(scores(s, d), 1.0, *GRP), TAUS, *GRP), J7)
+add("j8_comprehensive_consensus", lambda s, d: scoring.comprehensive(scores(s, d), 1.0, *GRP), f"WITH {J4} SELECT grp, node, {UNC}, CASE WHEN agree = 3 THEN 'all three' WHEN agree >= 2 THEN 'two' WHEN score >= 0.4 THEN 'consensus' ELSE 'none' END AS robustness FROM uc")
+
+# K: tests
+def two_sides(s, d):
+    """Subjects of g0 and g1: (subject, side, node, value)."""
+    from hubweave.sources.observations import to_long
+
+    rows, nodes = B.obs(s, d)
+    return to_long(rows.where("grp in ('g0', 'g1')"), nodes).select("subject", F.when(F.col("grp") == "g0", 1).otherwise(2).alias("side"), "node", "value")
+
+
+SIDES = f"{B.OBS}, vals AS (SELECT subject, CASE WHEN grp = 'g0' THEN 1 ELSE 2 END AS side, node, value FROM obs WHERE grp IN ('g0', 'g1')), sub AS (SELECT DISTINCT subject, side FROM vals)"
+
+
+def perm_sql(source: str, count: int) -> str:
+    return f"prm AS (SELECT 0 AS perm, subject, CAST(side AS INTEGER) AS side FROM {source} UNION ALL SELECT perm, subject, CASE WHEN row_number() OVER (PARTITION BY perm ORDER BY md5('42|' || perm || '|' || subject), subject) <= (SELECT count(*) FROM {source} WHERE side = 1) THEN 1 ELSE 2 END FROM {source}, (SELECT unnest(range(1, {count + 1})) AS perm))"
+
+
+add("k2_permutations", lambda s, d: permute.permutations(two_sides(s, d).select("subject", "side").distinct(), PERMS), f"WITH {SIDES}, {perm_sql('sub', PERMS)} SELECT CAST(perm AS INTEGER) AS perm, subject, CAST(side AS INTEGER) AS side FROM prm")
+K2 = f"{SIDES}, {perm_sql('sub', PERMS)}, sm AS (SELECT perm, node, avg(value) FILTER (p.side = 1) AS m1, var_samp(value) FILTER (p.side = 1) AS v1, count(value) FILTER (p.side = 1) AS n1, avg(value) FILTER (p.side = 2) AS m2, var_samp(value) FILTER (p.side = 2) AS v2, count(value) FILTER (p.side = 2) AS n2 FROM prm p JOIN vals v USING (subject) GROUP BY perm, node), kt AS (SELECT o.node, o.m1 AS mean1, o.m2 AS mean2, o.m1 - o.m2 AS difference, (o.m1 - o.m2) / sqrt(((o.n1 - 1) * o.v1 + (o.n2 - 1) * o.v2) / (o.n1 + o.n2 - 2)) AS cohens_d, avg((abs(n.m1 - n.m2) >= abs(o.m1 - o.m2))::INT) AS p, quantile_cont(n.m1 - n.m2, 0.025) AS null_low, quantile_cont(n.m1 - n.m2, 0.975) AS null_high FROM sm o JOIN sm n ON o.node = n.node AND o.perm = 0 AND n.perm > 0 GROUP BY ALL)"
+add("k2_two_sample_test", lambda s, d: permute.two_sample_test(two_sides(s, d), PERMS), f"WITH {K2} SELECT node, {r6('mean1', 'mean2', 'difference', 'cohens_d', 'p', 'null_low', 'null_high')} FROM kt")
+BH = "(SELECT min(least(1, u.p * 12 / u.rk)) FROM rr u WHERE u.p >= rr.p)"
+add("k7_region_tests", lambda s, d: permute.adjust(permute.two_sample_test(two_sides(s, d), PERMS)).withColumn("stars", permute.stars("p_adjusted")).select("node", "p", "p_adjusted", "stars"), f"WITH {K2}, rr AS (SELECT node, p, row_number() OVER (ORDER BY p) AS rk FROM kt), ad AS (SELECT node, p, {BH} AS pa FROM rr) SELECT node, {r6('p', 'pa AS p_adjusted')}, CASE WHEN pa < 0.001 THEN '***' WHEN pa < 0.01 THEN '**' WHEN pa < 0.05 THEN '*' ELSE '' END AS stars FROM ad")
+add("k5_bonferroni", lambda s, d: permute.adjust(permute.two_sample_test(two_sides(s, d), PERMS), "p", "bonferroni").select("node", "p", "p_adjusted"), f"WITH {K2} SELECT node, {r6('p', 'least(1, p * 12) AS p_adjusted')} FROM kt")
+add("k6_effect_sizes", lambda s, d: permute.effect_sizes(threshold_free.node_strength(B.pearson(s, d)[0]).select("grp", F.col("node_strength").alias("value"))), f"WITH {C.STRENGTH}, e AS (SELECT grp, avg(node_strength) AS m, var_samp(node_strength) AS v, count(*) AS n FROM st WHERE method = 'pearson' GROUP BY grp) SELECT a.grp AS g1, b.grp AS g2, {r6('(a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) AS cohens_d')} FROM e a JOIN e b ON a.grp <> b.grp")
+
+
+def stacks(s, d):
+    """Pearson networks of even groups against odd ones."""
+    corr, _ = B.pearson(s, d)
+    odd = F.substring("grp", 2, 3).cast("int") % 2
+    return corr.select(F.col("grp").alias("matrix"), (odd + 1).alias("side"), "i", "j", F.col("r").alias("w"))
+
+
+STACK = f"{B.PEARSON}, sk AS (SELECT grp AS matrix, CAST(substr(grp, 2) AS INTEGER) % 2 + 1 AS side, i, j, r AS w FROM corr)"
+WELCH = "wl AS (SELECT i, j, avg(w) FILTER (side = 1) AS m1, var_samp(w) FILTER (side = 1) / count(w) FILTER (side = 1) AS a, count(w) FILTER (side = 1) AS n1, avg(w) FILTER (side = 2) AS m2, var_samp(w) FILTER (side = 2) / count(w) FILTER (side = 2) AS b, count(w) FILTER (side = 2) AS n2 FROM sk GROUP BY i, j)"
+add("k3_welch_t", lambda s, d: permute.welch_t(stacks(s, d)), f"WITH {STACK}, {WELCH} SELECT i, j, {r6('(m1 - m2) / sqrt(a + b) AS t', '(a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1)) AS df')} FROM wl")
+add("k3_welch_p", lambda s, d: permute.with_p_values(permute.welch_t(stacks(s, d))))
+add("k3_network_based_statistic", lambda s, d: permute.network_based_statistic(stacks(s, d), 1.5, 20))
+add("k3_family_wise_p", lambda s, d: permute.family_wise_p(permute.network_based_statistic(stacks(s, d), 1.5, 20), "largest"))
+add("k4_group_strength_test", lambda s, d: permute.two_sample_test(threshold_free.node_strength(B.pearson(s, d)[0]).where("grp in ('g0', 'g1')").select(F.abs(F.xxhash64("grp", "node")).alias("subject"), F.when(F.col("grp") == "g0", 1).otherwise(2).alias("side"), F.lit("strength").alias("node"), F.col("node_strength").alias("value")), 20))
+
+
+def global_rows(s, d):
+    rows, nodes = B.obs(s, d)
+    return rows.where("grp in ('g0', 'g1')").select("subject", F.when(F.col("grp") == "g0", 1).otherwise(2).alias("side"), "values"), nodes
+
+
+K8 = f"WITH {SIDES}, {perm_sql('sub', 20)}, kv AS (SELECT perm, p.side, subject, node, value FROM prm p JOIN vals USING (subject)), kr AS (SELECT a.perm, a.side, a.node AS i, b.node AS j, abs(covar_pop(a.value, b.value) / (stddev_pop(a.value) * stddev_pop(b.value))) > 0.1 AS hit FROM kv a JOIN kv b ON a.perm = b.perm AND a.subject = b.subject AND a.node < b.node GROUP BY a.perm, a.side, a.node, b.node), kd AS (SELECT perm, avg(hit::INT) FILTER (side = 1) AS d1, avg(hit::INT) FILTER (side = 2) AS d2 FROM kr GROUP BY perm) SELECT CAST(perm AS INTEGER) AS perm, {r6('d1 AS density1', 'd2 AS density2', 'abs(d1 - d2) AS difference')} FROM kd"
+add("k8_global_density_test", lambda s, d: permute.global_density_test(*global_rows(s, d), 0.1, 20), K8)
+
+# L: contribution and discovery
+NP = f"{B.CORR2}, {core.NETS}, np AS (SELECT a.matrix_key, a.approach, a.i, a.j, a.w AS w1, b.w AS w2, least(a.w, b.w) AS lo, greatest(a.w, b.w) AS hi FROM nets a JOIN nets b ON a.matrix_key = b.matrix_key AND a.i = b.i AND a.j = b.j AND a.grp = 'g0' AND b.grp = 'g1')"
+SETS2 = "nd AS (SELECT DISTINCT i AS node FROM np UNION SELECT DISTINCT j FROM np), sets AS (SELECT node AS combo_id, 1 AS size, [node] AS nodes FROM nd UNION ALL SELECT a.node || ',' || b.node, 2, [a.node, b.node] FROM nd a JOIN nd b ON a.node < b.node)"
+
+
+def contrib_sql(averaging: str, source: str = "np", sets: str = "sets", key: str = "", name: str = "cb") -> str:
+    k = f"{key}, " if key else ""
+    direct = f"{name}_m AS (SELECT {k}matrix_key, approach, combo_id, size, sum(lo) / nullif(sum(hi), 0) AS ja, coalesce(sum(lo) FILTER (NOT list_contains(nodes, i) AND NOT list_contains(nodes, j)) / nullif(sum(hi) FILTER (NOT list_contains(nodes, i) AND NOT list_contains(nodes, j)), 0), 0) AS jw FROM {source}, {sets} GROUP BY ALL)"
+    inner = f"{name}_a AS (SELECT {k}combo_id, size, approach, avg(coalesce(ja, 0)) AS ja, avg(jw) AS jw FROM {name}_m GROUP BY ALL)" if averaging == "balanced" else f"{name}_a AS (SELECT {k}combo_id, size, coalesce(ja, 0) AS ja, jw FROM {name}_m)"
+    return f"{direct}, {inner}, {name} AS (SELECT {k}combo_id, CAST(any_value(size) AS INTEGER) AS size, avg(ja) AS j_all, avg(jw) AS j_without, avg(jw) - avg(ja) AS contribution FROM {name}_a GROUP BY {k}combo_id)"
+
+
+def pairs01(s, d):
+    nets, nodes = core.networks(s, d)
+    pairs = discover.network_pairs(nets.where("grp in ('g0', 'g1')"), "g0", "g1")
+    return pairs.cache(), nodes  # a few rows per pair of nodes, read many times
+
+
+def area_sets(s):
+    return discover.sets_from(s, B.AREAS)
+
+
+add("l1_leave_one_out", lambda s, d: discover.leave_one_out(pairs01(s, d)[0], discover.candidates(s, pairs01(s, d)[1], 1).unionByName(area_sets(s))), f"WITH {NP}, {SETS2}, {B.AREA_SQL}, s1 AS (SELECT * FROM sets WHERE size = 1 UNION ALL SELECT area, count(*), list(node) FROM areas GROUP BY area), {contrib_sql('balanced', sets='s1')} SELECT combo_id, size, {r6('j_all', 'j_without', 'contribution', '100 * contribution / nullif(j_all, 0) AS pct_change')} FROM cb")
+add("l13_candidates", lambda s, d: discover.candidates(s, B.obs(s, d)[1], 2).join(core.some_nodes(s, d).agg(F.count(F.lit(1)).alias("n")), F.lit(True)).select("combo_id", "size"), f"WITH {NP}, {SETS2} SELECT combo_id, CAST(size AS INTEGER) AS size FROM sets")
+add("l15_batch_contributions", lambda s, d: discover.contributions(pairs01(s, d)[0], discover.candidates(s, pairs01(s, d)[1], 2), "flat"), f"WITH {NP}, {SETS2}, {contrib_sql('flat')} SELECT combo_id, size, {r6('j_all', 'j_without', 'contribution')} FROM cb")
+add("l16_complement_contributions", lambda s, d: discover.contributions(pairs01(s, d)[0], discover.complement_sets(area_sets(s), pairs01(s, d)[1]), "flat").where("size = 8"), f"WITH {NP}, {SETS2}, {B.AREA_SQL}, cs AS (SELECT string_agg(node, ',' ORDER BY node) AS combo_id, 8 AS size, list(node) AS nodes FROM nd, (SELECT unnest(['a0', 'a1', 'a2']) AS ar) WHERE node NOT IN (SELECT node FROM areas WHERE area = ar) GROUP BY ar), {contrib_sql('flat', sets='cs')} SELECT combo_id, size, {r6('j_all', 'j_without', 'contribution')} FROM cb")
+SYN = f"{contrib_sql('balanced')}, spx AS (SELECT c.combo_id, sum(o.contribution) AS expected_additive FROM cb c JOIN cb o ON o.size = 1 AND list_contains(string_split(c.combo_id, ','), o.combo_id) GROUP BY c.combo_id), sy AS (SELECT cb.*, expected_additive, CASE WHEN size = 1 THEN 0 ELSE contribution - expected_additive END AS synergy, CASE WHEN contribution > 0 THEN 'dissimilarity' ELSE 'similarity' END AS direction FROM cb JOIN spx USING (combo_id)), sr AS (SELECT *, CASE WHEN size > 1 AND abs(expected_additive) > 1e-10 THEN synergy / abs(expected_additive) END AS synergy_ratio FROM sy), sx AS (SELECT *, CASE WHEN size = 1 THEN abs(contribution) ELSE coalesce(abs(synergy_ratio), 0.01 * abs(contribution)) END AS rank_score FROM sr)"
+
+
+def syn(s, d):
+    pairs, nodes = pairs01(s, d)
+    return discover.synergy(discover.contributions(pairs, discover.candidates(s, nodes, 2)))
+
+
+add("l13_synergy", syn, f"WITH {NP}, {SETS2}, {SYN} SELECT combo_id, size, direction, {r6('j_all', 'j_without', 'contribution', 'expected_additive', 'synergy', 'synergy_ratio', 'rank_score')} FROM sx")
+add("l13_filter_pct", lambda s, d: discover.filter_candidates(syn(s, d), "pct_20").select("combo_id", "direction"), f"WITH {NP}, {SETS2}, {SYN}, f AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY rank_score DESC, combo_id) AS pl, count(*) OVER (PARTITION BY direction) AS al FROM sx) SELECT combo_id, direction FROM f WHERE pl <= greatest(1, ceil(al * 20.0 / 100))")
+add("l13_filter_sd", lambda s, d: discover.filter_candidates(syn(s, d), "sd_1").select("combo_id", "direction"), f"WITH {NP}, {SETS2}, {SYN}, f AS (SELECT *, (contribution - avg(contribution) OVER w) / stddev_samp(contribution) OVER w AS z FROM sx WINDOW w AS (PARTITION BY direction)) SELECT combo_id, direction FROM f WHERE abs(z) > 1")
+add("l19_node_summary", lambda s, d: discover.node_summary(syn(s, d)), f"WITH {NP}, {SETS2}, {SYN}, e AS (SELECT unnest(string_split(combo_id, ',')) AS node, direction = 'dissimilarity' AS dis, abs(contribution) AS c FROM sx) SELECT node, count(*) FILTER (NOT dis) AS sim_count, count(*) FILTER (dis) AS dissim_count, {r6('coalesce(sum(c) FILTER (NOT dis), 0) AS sim_contribution', 'coalesce(sum(c) FILTER (dis), 0) AS dissim_contribution')}, count(*) FILTER (dis) - count(*) FILTER (NOT dis) AS net_count, count(*) AS total_count, {r6('(count(*) FILTER (dis) - count(*) FILTER (NOT dis)) / count(*) AS direction_ratio')} FROM e GROUP BY node")
+add("l10_connectivity_difference", lambda s, d: discover.connectivity_difference(pairs01(s, d)[0]), f"WITH {NP} SELECT i, j, {r6('avg(abs(w1 - w2)) AS difference')} FROM np GROUP BY i, j")
+LP = 10
+PP = f"pl AS (SELECT perm, side, node, row_number() OVER (PARTITION BY perm, side ORDER BY md5('42|' || perm || '|' || side || '|' || node), node) AS seat_no FROM nd, (SELECT unnest(range(1, {LP + 1})) AS perm), (SELECT unnest([1, 2]) AS side)), nm AS (SELECT node AS seat, row_number() OVER (ORDER BY node) AS seat_no FROM nd), ps2 AS (SELECT perm, side, node, seat FROM pl JOIN nm USING (seat_no)), pw AS (SELECT a.perm, a.side, matrix_key, approach, least(a.seat, b.seat) AS i, greatest(a.seat, b.seat) AS j, CASE WHEN a.side = 1 THEN w1 ELSE w2 END AS w FROM np JOIN ps2 a ON a.node = np.i JOIN ps2 b ON b.node = np.j AND a.perm = b.perm AND a.side = b.side), pp AS (SELECT x.perm, x.matrix_key, x.approach, x.i, x.j, least(x.w, y.w) AS lo, greatest(x.w, y.w) AS hi FROM pw x JOIN pw y ON x.side = 1 AND y.side = 2 AND x.perm = y.perm AND x.matrix_key = y.matrix_key AND x.i = y.i AND x.j = y.j)"
+L18 = f"WITH {NP}, {SETS2}, {B.AREA_SQL}, {PP}, s1 AS (SELECT * FROM sets WHERE size = 1 UNION ALL SELECT area, count(*), list(node) FROM areas GROUP BY area), {contrib_sql('flat', sets='s1')}, {contrib_sql('flat', 'pp', 's1', 'perm', 'nl')} SELECT combo_id, cb.size, {r6('cb.contribution AS observed', '(count(*) FILTER (abs(nl.contribution) >= abs(cb.contribution) - 1e-12) + 1) / 11.0 AS p', 'list_sort(list(nl.contribution))[1] AS ci_low', 'list_sort(list(nl.contribution))[10] AS ci_high')} FROM cb JOIN nl USING (combo_id) GROUP BY combo_id, cb.size, cb.contribution"
+add("l18_permutation_p", lambda s, d: discover.permutation_p(pairs01(s, d)[0], discover.candidates(s, pairs01(s, d)[1], 1).unionByName(area_sets(s)), LP), L18)
+add("l5_hypothesis_tests", lambda s, d: permute.adjust(discover.permutation_p(pairs01(s, d)[0], area_sets(s), 20, "balanced"), "p", "fdr").withColumn("stars", permute.stars("p_adjusted")))
+add("l13_brute_force", lambda s, d: discover.brute_force(*(lambda p, n: (p, discover.candidates(s, n, 2)))(*pairs01(s, d)), "pct_10", 20))
+
+
+def greedy_table(s, d):
+    pairs, nodes = pairs01(s, d)
+    steps = discover.greedy(pairs, nodes, 3)
+    return s.createDataFrame([(k + 1, n, float(c)) for k, (n, c) in enumerate(steps)], "step int, node string, contribution double")
+
+
+add("l6_greedy_selection", greedy_table)
+add("l12_cluster_discovery", lambda s, d: discover.cluster_discovery(*pairs01(s, d), count=20))
+
+
+def lasso01(s, d):
+    rows, nodes = global_rows(s, d)
+    return discover.lasso(rows.select("side", "values"), nodes, folds=3)
+
+
+add("l20_lasso", lasso01)
+add("l21_lasso_agreement", lambda s, d: discover.lasso_agreement(lasso01(s, d), discover.node_summary(syn(s, d))))
+L2COMBOS = [",".join(c) for c in combinations(["d00", "d01", "d02"], 2)]
+add("l3_set_test", lambda s, d: discover.permutation_p(pairs01(s, d)[0], discover.sets_from(s, {c: c.split(",") for c in L2COMBOS}), LP, "balanced"), f"WITH {NP}, {SETS2}, {PP}, s1 AS (SELECT * FROM sets WHERE combo_id IN ({', '.join(repr(c) for c in L2COMBOS)})), {contrib_sql('balanced', sets='s1')}, {contrib_sql('balanced', 'pp', 's1', 'perm', 'nl')} SELECT combo_id, cb.size, {r6('cb.contribution AS observed', '(count(*) FILTER (abs(nl.contribution) >= abs(cb.contribution) - 1e-12) + 1) / 11.0 AS p', 'list_sort(list(nl.contribution))[1] AS ci_low', 'list_sort(list(nl.contribution))[10] AS ci_high')} FROM cb JOIN nl USING (combo_id) GROUP BY combo_id, cb.size, cb.contribution")
