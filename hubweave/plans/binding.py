@@ -35,14 +35,14 @@ def long_gappy(spark, sf_dir):
 
 
 def corr2(spark, sf_dir):
-    """Pearson and Spearman networks, the correlation table of most queries."""
+    """Pearson and Spearman networks, the correlation table of most queries; every later stage reads it, so it is cached."""
     rows, nodes = obs(spark, sf_dir)
-    return correlate.correlations(rows, nodes, ("pearson", "spearman")), nodes
+    return correlate.correlations(rows, nodes, ("pearson", "spearman")).cache(), nodes
 
 
 def pearson(spark, sf_dir):
     rows, nodes = obs(spark, sf_dir)
-    return correlate.pearson(rows, nodes), nodes
+    return correlate.pearson(rows, nodes).cache(), nodes
 
 
 def cut_edges(spark, sf_dir):
