@@ -7,13 +7,14 @@ values, N - sum n_i + sum n_ij over S, so a candidate costs its own few lookups
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hubweave.functions.stats import safe_corr
-from hubweave.operators.permute import shuffle_key
 
 TINY = 1e-12
 
@@ -74,35 +75,79 @@ def leave_one_out(pairs: DataFrame, regions: DataFrame) -> DataFrame:
     return c.withColumn("pct_change", F.try_divide(100 * F.col("contribution"), "j_all"))
 
 
-def permuted_pairs(pairs: DataFrame, nodes: DataFrame, count: int, seed: int = 42) -> DataFrame:
-    """``pairs`` with a leading ``perm``: in each, both groups' nodes are shuffled independently, alike for all matrices.
+MOST_CELLS = 1 << 24  # weights of all matrices of two groups that a test broadcasts
 
-    The place of a node is its rank by md5(seed|perm|side|node).
-    """
-    named = nodes.select("node", F.row_number().over(Window.orderBy("node")).alias("at"))
-    drawn = named.select("node", "at", F.explode(F.sequence(F.lit(1), F.lit(count))).alias("perm"), F.lit(1).alias("side"))
-    drawn = drawn.unionByName(drawn.withColumn("side", F.lit(2)))
-    w = Window.partitionBy("perm", "side")
-    places = drawn.select("perm", "side", "node", F.row_number().over(w.orderBy(shuffle_key(F.lit(seed), F.col("perm"), F.col("side"), F.col("node")), "node")).alias("at"))
-    onto = F.broadcast(places.join(F.broadcast(named.withColumnRenamed("node", "seat")), "at").select("perm", "side", "node", "seat"))
 
-    def seated(side: int, w: str) -> DataFrame:
-        o = onto.where(F.col("side") == side)
-        x = pairs.select("matrix_key", "approach", "i", "j", w).join(o.select("perm", F.col("node").alias("i"), F.col("seat").alias("si")), "i").join(o.select(F.col("perm"), F.col("node").alias("j"), F.col("seat").alias("sj")), ["perm", "j"])
-        return x.select("perm", "matrix_key", "approach", F.least("si", "sj").alias("i"), F.greatest("si", "sj").alias("j"), w)
+def _stacks(pairs: DataFrame) -> dict:
+    """{nodes, approaches, w1, w2}: the two groups' symmetric matrices, read on the driver; ValueError beyond MOST_CELLS."""
+    matrices = pairs.select("matrix_key", "approach").distinct().count()
+    nodes = sorted(r[0] for r in pairs.select(F.explode(F.array("i", "j")).alias("n")).distinct().collect())
+    if matrices * len(nodes) ** 2 > MOST_CELLS:
+        raise ValueError("networks are too large to be broadcast")
+    pdf = pairs.select("matrix_key", "approach", "i", "j", "w1", "w2").toPandas()
+    keys = sorted(set(zip(pdf["matrix_key"], pdf["approach"], strict=True)))
+    at, place = {k: m for m, k in enumerate(keys)}, {n: i for i, n in enumerate(nodes)}
+    m = [at[k] for k in zip(pdf["matrix_key"], pdf["approach"], strict=True)]
+    i, j = pdf["i"].map(place).to_numpy(), pdf["j"].map(place).to_numpy()
+    w1, w2 = np.zeros((2, len(keys), len(nodes), len(nodes)))
+    w1[m, i, j] = w1[m, j, i] = pdf["w1"]
+    w2[m, i, j] = w2[m, j, i] = pdf["w2"]
+    return {"nodes": nodes, "approaches": [a for _, a in keys], "w1": w1, "w2": w2}
+
+
+def shuffled(nodes: list[str], perm: int, side: int, seed: int) -> np.ndarray:
+    """Seats of ``nodes`` (sorted) in a permutation: ranks by md5(seed|perm|side|node)."""
+    keys = [(hashlib.md5(f"{seed}|{perm}|{side}|{n}".encode()).hexdigest(), n) for n in nodes]
+    seats = np.empty(len(nodes), int)
+    seats[[nodes.index(n) for _, n in sorted(keys)]] = np.arange(len(nodes))
+    return seats
+
 
-    both = seated(1, "w1").join(seated(2, "w2"), ["perm", "matrix_key", "approach", "i", "j"])
-    return both.select("perm", "matrix_key", "approach", "i", "j", F.least("w1", "w2").alias("lo"), F.greatest("w1", "w2").alias("hi")).cache()
+def _null_contributions(member: np.ndarray, w1: np.ndarray, w2: np.ndarray, approaches: list[str], averaging: str) -> np.ndarray:
+    """Contribution of every set (rows of ``member``, sets x nodes) from two stacks of matrices."""
+    lo, hi = np.minimum(w1, w2), np.maximum(w1, w2)
+
+    def left(x):  # sum over pairs without the set, for each matrix and set
+        total, node = x.sum((1, 2)) / 2, x.sum(2)
+        inside = np.einsum("sp,mpq,sq->ms", member, x, member, optimize=True) / 2
+        return total[:, None] - node @ member.T + inside, total
+
+    (n, n0), (d, d0) = left(lo), left(hi)
+    all_ = np.where(d0 > 0, n0 / np.where(d0 > 0, d0, 1), 0)[:, None]
+    change = np.where(np.abs(d) < TINY, 0, n / np.where(np.abs(d) < TINY, 1, d)) - all_
+    if averaging == "flat":
+        return change.mean(0)
+    kinds = np.array(approaches)
+    return np.mean([change[kinds == a].mean(0) for a in sorted(set(approaches))], axis=0)
 
 
 def permutation_p(pairs: DataFrame, sets: DataFrame, count: int = 100, averaging: str = "flat", seed: int = 42) -> DataFrame:
     """(combo_id, size, observed, p, ci_low, ci_high): p = (1 + #{|null| >= |observed|}) / (count + 1); the bounds are
-    the order statistics at 2.5 and 97.5 percent of the null. All candidates share the permutations."""
-    nodes = pairs.select(F.col("i").alias("node")).union(pairs.select(F.col("j").alias("node"))).distinct()
+    the order statistics at 2.5 and 97.5 percent of the null.
+
+    In each permutation both groups' nodes are shuffled independently, alike for all matrices and candidates. The
+    candidates are spread over the executors, with the matrices broadcast (MOST_CELLS at most).
+    """
+    spark = pairs.sparkSession
     seen = contributions(pairs, sets, averaging).select("combo_id", "size", F.col("contribution").alias("observed"))
-    null = contributions(permuted_pairs(pairs, nodes, count, seed), sets, averaging, "perm").select("combo_id", F.col("contribution").alias("null"))
-    s = seen.join(null, "combo_id").groupBy("combo_id", "size", "observed").agg(F.count_if(F.abs("null") >= F.abs("observed") - TINY).alias("far"), F.sort_array(F.collect_list("null")).alias("sorted"))
-    return s.select("combo_id", "size", "observed", ((F.col("far") + 1) / F.lit(count + 1.0)).alias("p"), F.get("sorted", F.lit(int(0.025 * count))).alias("ci_low"), F.get("sorted", F.lit(min(count - 1, int(0.975 * count)))).alias("ci_high"))
+    data = spark.sparkContext.broadcast(_stacks(pairs))
+
+    def test(frames):
+        m = data.value
+        place = {n: i for i, n in enumerate(m["nodes"])}
+        for pdf in frames:
+            member = np.zeros((len(pdf), len(place)))
+            for row, nodes in enumerate(pdf["nodes"]):
+                member[row, [place[n] for n in nodes]] = 1
+            null = np.empty((count, len(pdf)))
+            for perm in range(1, count + 1):
+                a, b = (np.argsort(shuffled(m["nodes"], perm, side, seed)) for side in (1, 2))
+                null[perm - 1] = _null_contributions(member, m["w1"][:, a][:, :, a], m["w2"][:, b][:, :, b], m["approaches"], averaging)
+            far = (np.abs(null) >= np.abs(pdf["observed"].to_numpy())[None, :] - TINY).sum(0)
+            null.sort(axis=0)
+            yield pd.DataFrame({"combo_id": pdf["combo_id"], "size": pdf["size"], "observed": pdf["observed"], "p": (far + 1) / (count + 1.0), "ci_low": null[int(0.025 * count)], "ci_high": null[min(count - 1, int(0.975 * count))]})
+
+    return sets.select("combo_id", "nodes").join(seen, "combo_id").mapInPandas(test, "combo_id string, size int, observed double, p double, ci_low double, ci_high double")
 
 
 def synergy(found: DataFrame) -> DataFrame:
