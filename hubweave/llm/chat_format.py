@@ -24,14 +24,14 @@ def rotate_perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str =
     Participants are the distinct roles of a conversation but ``system``, whose turns stay system turns for all; a
     conversation of system turns only is rendered once, with participant null. ``spans`` lists the (start, end) offsets
     in ``text`` to train on: the assistant's words and end marker. Turns stand in order of turn, role, text, null turns
-    first; repeated rows are rendered as often. A null role is the speaker ``unknown``, a null text is empty, rows with
+    first on the page of turn 0; repeated rows are rendered as often. A null role is the speaker ``unknown``, a null text is empty, rows with
     a null conv_id form one conversation. An empty table gives an empty result; other columns play no part.
 
     Pages hold PAGE turns at most, so no conversation is gathered whole; their number grows with its length.
     """
     speaker = F.coalesce(F.col(role).cast("string"), F.lit("unknown"))
     rows = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), speaker.alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("stretch", F.coalesce(F.floor(F.col("turn") / PAGE), F.lit(-(1 << 62))))
+    rows = rows.withColumn("stretch", F.coalesce(F.floor(F.col("turn") / PAGE), F.lit(0)))
     order = Window.partitionBy("conv_id", "stretch").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     rows = rows.withColumn("place", F.row_number().over(order)).withColumn("part", F.expr(f"(place - 1) div {PAGE}"))
     pages = rows.groupBy("conv_id", "stretch", "part").agg(F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
@@ -74,7 +74,7 @@ def formatted_query(turns: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = f"""
-WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CAST(floor(turn / {PAGE}.0) AS BIGINT) AS stretch FROM conversations),
+WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CAST(coalesce(floor(turn / {PAGE}.0), 0) AS BIGINT) AS stretch FROM conversations),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, stretch ORDER BY turn NULLS FIRST, role, text) AS place FROM r),
 p AS (SELECT *, (place - 1) // {PAGE} AS part FROM o),
 q AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY stretch, part) AS page FROM p),
