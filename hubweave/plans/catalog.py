@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hubweave.plans import comparisons, core, scores
+from hubweave.plans import comparisons, core, plots, scores
 
-MODULES = (core, comparisons, scores)
+MODULES = (core, comparisons, scores, plots)
 
 
 def queries():
