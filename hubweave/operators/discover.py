@@ -183,7 +183,7 @@ def brute_force(pairs: DataFrame, sets: DataFrame, rule: str = "pct_10", count:
     false discovery rate."""
     from hubweave.operators.permute import adjust
 
-    kept = filter_candidates(synergy(contributions(pairs, sets)), rule)
+    kept = filter_candidates(synergy(contributions(pairs, sets)), rule).cache()
     p = permutation_p(pairs, sets.join(F.broadcast(kept.select("combo_id")), "combo_id"), count, "flat", seed).select("combo_id", "p")
     return adjust(kept.join(p, "combo_id"), "p", "fdr").withColumn("significant", F.col("p_adjusted") < 0.05)
 
