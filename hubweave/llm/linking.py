@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -34,33 +34,39 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def linked_groups(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+def linked_groups(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], merge: Callable[[Column], Column], fits: Callable[[Column, Column], Column], rounds: int = 8) -> tuple[DataFrame, DataFrame]:
     """(node, group) of all linked nodes, and the links found. ``verify`` keeps the true links of pairs (a, b), a < b.
 
+    ``keyed`` has key, node and a struct ``info``. ``fits`` of two infos is false only where the two nodes need not be
+    compared under that key; ``merge`` aggregates infos to one that fits whatever one of them fits.
+
     Each of the first rounds compares, for every key, one member of its largest group with the members of its other
     groups, a number of pairs in proportion to ``keyed``. Once the pairs of different groups are as few, or a round
-    finds links for less than 1 in 100 of its pairs, all of them are compared, so no link between groups is missed.
+    finds a link for less than 1 in 100 of the rows, all of them are compared, so no link between groups is missed.
     """
     groups = links = tried = None
     for turn in range(rounds + 1):
         known = keyed if groups is None else keyed.join(groups, "node", "left")
-        known = known.select("key", "node", F.coalesce("group", "node").alias("group") if groups is not None else F.col("node").alias("group"))
-        parts = known.groupBy("key", "group").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("one"))
-        per_key = parts.groupBy("key").agg(F.max(F.struct("size", "group", "one")).alias("top"), F.sum("size").alias("all"), F.sum(F.col("size").cast("double") * F.col("size")).alias("squares"), F.count(F.lit(1)).alias("n"))
+        known = known.select("key", "node", "info", F.coalesce("group", "node").alias("group") if groups is not None else F.col("node").alias("group"))
+        parts = known.groupBy("key", "group").agg(F.count(F.lit(1)).alias("size"), merge(F.col("info")).alias("info"), F.min_by(F.struct("node", "info"), F.xxhash64("node", "key", F.lit(turn))).alias("one"))
+        per_key = parts.groupBy("key").agg(F.max_by(F.struct("group", "one"), F.struct("size", "group")).alias("top"), F.sum("size").alias("all"), F.sum(F.col("size").cast("double") * F.col("size")).alias("squares"), F.count(F.lit(1)).alias("n"))
         mixed = materialize(per_key.where("n > 1").select("key", F.col("top.group").alias("hub_group"), F.col("top.one").alias("hub"), "all", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs")))
         load = mixed.agg(F.sum("all").alias("rows"), F.sum("pairs").alias("pairs")).first()
         if not load["rows"]:
             break
         last = turn == rounds or load["pairs"] <= 2 * load["rows"] or (turn > 1 and not progress)
-        known = known.join(mixed.select("key", "hub_group", "hub"), "key")
-        pairs = _all_pairs(materialize(known.select("key", "node", "group").distinct())) if last else known.where("group != hub_group").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        if last:
+            pairs = _all_pairs(materialize(known.join(mixed.select("key"), "key", "left_semi")), merge, fits)
+        else:
+            beside = known.join(mixed.select("key", "hub_group", "hub"), "key").where("group != hub_group")
+            pairs = beside.where(fits(F.col("info"), F.col("hub.info"))).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
         tried = pairs if tried is None else tried.unionByName(pairs)
         more = materialize(verify(pairs))
         found = more.count()
-        progress = 100 * found > pairs.count()
+        progress = 100 * found > load["rows"]
         if found or groups is None:
             links = more if links is None else links.unionByName(more)
             groups = components(links)
@@ -72,9 +78,16 @@ def linked_groups(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], ro
     return groups, links
 
 
-def _all_pairs(known: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of different groups that share a key of ``known`` (key, node, group)."""
-    parts = known.select("key", "group").distinct()
-    pairs = parts.toDF("key", "g1").join(parts.toDF("key", "g2"), "key").where("g1 < g2")
-    pairs = pairs.join(known.toDF("key", "x", "g1"), ["key", "g1"]).join(known.toDF("key", "y", "g2"), ["key", "g2"])
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _all_pairs(known: DataFrame, merge: Callable[[Column], Column], fits: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs (a, b) of nodes of different groups that share a key of ``known`` and fit."""
+    parts = known.groupBy("key", "group").agg(merge(F.col("info")).alias("info"), F.count(F.lit(1)).alias("size"), F.min("node").alias("one"))
+    x = parts.toDF("key", "g1", "i1", "s1", "x")
+    y = parts.toDF("key", "g2", "i2", "s2", "y")
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("g1") < F.col("g2")) & fits(F.col("i1"), F.col("i2")))
+    met = met.select(x["key"].alias("key"), "g1", "g2", "i1", "i2", "s1", "s2", "x", "y")
+    single = met.where("s1 = 1 and s2 = 1").select("x", "y")
+    several = met.where("s1 > 1 or s2 > 1").select("key", "g1", "g2")
+    left = several.join(known.select("key", F.col("node").alias("x"), F.col("group").alias("g1"), F.col("info").alias("i1")), ["key", "g1"])
+    right = known.select(F.col("key").alias("k2"), F.col("node").alias("y"), F.col("group").alias("h2"), F.col("info").alias("i2"))
+    both = left.join(right, (left["key"] == right["k2"]) & (left["g2"] == right["h2"]) & fits(left["i1"], right["i2"])).select("x", "y")
+    return single.unionByName(both).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -7,9 +7,14 @@ the others, and the partial counts are summed per pair.
 Why no pair is missed. Let t = 3/4, |A| = n. A pair with Jaccard >= t shares at least t * max(|A|, |B|) n-grams. If A
 shows its first n - ceil(t n) + l(n) n-grams in the order, with l(n) = 1 + floor(n * SLACK), then the two heads have at
 least min(l(|A|), l(|B|)) n-grams in common, and so at least g = l(ceil(t n)) for either size. N-grams that only one
-set shows can be forgotten; sets left with fewer than g drop out, and of q n-grams left, the q - g + 1 rarest must
-hold a common one. Of the sets left, all n-grams are then asked: 3/4 of them must be another set's too. Most documents
-drop out by then, those that only share a common passage included.
+set shows can be forgotten; sets left with fewer than g drop out. Most documents do, those that only share a common
+passage included.
+
+Of the sets left, all n-grams are then asked, and again those of only one set are forgotten. Of the q n-grams that A
+keeps, from rare to frequent, the first that it has in common with a partner has ceil(t n) - 1 common ones after it, so
+it is among the first q - ceil(t n) + 1: these are A's keys. If a pair's first common n-gram has r and s kept n-grams
+after it in the two sets, then the overlap is at most 1 + min(r, s): keys where that is too little for the two sizes
+don't bring the pair together.
 
 Hashes: 64 bits of n-grams and of whole sets. A clash of two n-grams would have to fall in both sets of a pair on the
 very edge of the threshold to matter.
@@ -186,11 +191,20 @@ def similar_sets(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def _survivors(heads: DataFrame) -> DataFrame:
-    """Heads without n-grams of only one set, then without sets of fewer n-grams than any partner shares."""
+    """(set_id) of the sets that keep enough n-grams for a partner once n-grams of only one set are forgotten."""
     grams = heads.groupBy("gram").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("gram")
     held = heads.join(grams, "gram")
-    enough = held.groupBy("set_id").agg(F.count(F.lit(1)).alias("q"), F.first("least").alias("l")).where("q >= l").select("set_id")
-    return held.join(enough, "set_id").select("gram", "set_id", "least")
+    return held.groupBy("set_id").agg(F.count(F.lit(1)).alias("q"), F.first("least").alias("l")).where("q >= l").select("set_id")
+
+
+def _merged(info):
+    return F.struct(F.min(info["n"]).alias("n"), F.max(info["after"]).alias("after"))
+
+
+def _fits(x, y):
+    """Whether sets of these sizes can link if they have no n-gram in common before the key, and ``after`` ones after it."""
+    most = 1 + F.least(x["after"], y["after"])
+    return DENOMINATOR * most >= NUMERATOR * (x["n"] + y["n"] - most)
 
 
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,22 +229,24 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return grams.groupBy("set_id").agg(F.count(F.lit(1)).alias("q"), F.first("least").alias("l")).where("q >= l").select("set_id")
 
     heads = materialize(several(texts.select("text").mapInArrow(_heads, rows)))
-    heads = materialize(_survivors(heads.join(enough(heads), "set_id")))
+    left = _survivors(heads.join(enough(heads), "set_id"))
 
-    # the same with all n-grams of the sets left: at least 3/4 of them must be another set's too
-    wanted = heads.select("set_id").distinct().join(sets, "set_id").select(F.col("smallest").alias("doc_id"))
+    # all n-grams of the sets left: at least 3/4 of them must be another set's too
+    wanted = left.join(sets, "set_id").select(F.col("smallest").alias("doc_id"))
     segments = texts.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_segments, "set_id long, n long, fragment int, grams binary")
     segments = materialize(segments.dropDuplicates(["set_id", "fragment"]))
-    shared = materialize(enough(several(segments.where("fragment >= 0").select("n", "set_id", "grams").mapInArrow(_grams_of, rows))))
-    segments = segments.join(shared, "set_id", "left_semi")
-    heads = materialize(_survivors(heads.join(shared, "set_id")))
-
-    counts = heads.groupBy("gram").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    grams = materialize(several(segments.where("fragment >= 0").select("n", "set_id", "grams").mapInArrow(_grams_of, rows)))
+    shared = materialize(enough(grams))
+    grams = grams.join(shared, "set_id", "left_semi")
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
     by_set = Window.partitionBy("set_id")
-    ranked = heads.join(counts, "gram").select("gram", "set_id", "least", F.row_number().over(by_set.orderBy("sets", "gram")).alias("place"), F.count(F.lit(1)).over(by_set).alias("q"))
-    keyed = materialize(ranked.where("place <= q - least + 1").select(F.col("gram").alias("key"), F.col("set_id").alias("node")))
+    ranked = grams.join(counts, "gram").select("gram", "set_id", "least", F.row_number().over(by_set.orderBy("sets", "gram")).alias("place"), F.count(F.lit(1)).over(by_set).alias("q"))
+    sizes = segments.where("fragment = -1").select("set_id", "n").join(shared, "set_id", "left_semi")
+    prefixes = ranked.where("place <= q - least + 1").join(sizes, "set_id")
+    keyed = materialize(prefixes.select(F.col("gram").alias("key"), F.col("set_id").alias("node"), F.struct("n", (F.col("q") - F.col("place")).alias("after")).alias("info")))
+    segments = segments.join(shared, "set_id", "left_semi")
 
-    groups, _ = linked_groups(keyed, lambda pairs: similar_sets(pairs, segments))
+    groups, _ = linked_groups(keyed, lambda pairs: similar_sets(pairs, segments), _merged, _fits)
 
     named = groups.select(F.col("node").alias("set_id"), "group").join(sets, "set_id")
     smallest = named.groupBy("group").agg(F.min("smallest").alias("component_id"))
