@@ -38,6 +38,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 WIDTH = 5
 SLACK = 0.08
 FRAGMENT_BITS = 2
+ROWS = 200_000
 
 
 def _needed(n: int) -> int:
@@ -52,43 +53,42 @@ def _set_id(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sizes(batches):
-    """(doc_id, n_shingles, set_id) of every row."""
+def _members(batches):
+    """(doc_id, n_shingles, set_id, head) of every row; head: the first n-grams of the set, packed."""
     for batch in batches:
-        n, ids = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        n, ids, heads = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [b""] * batch.num_rows
         for row, hashes in shingle_sets(batch["text"], WIDTH):
             n[row], ids[row] = len(hashes), _set_id(hashes)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(ids)], ["doc_id", "n_shingles", "set_id"])
+            heads[row] = hashes[: len(hashes) - _needed(len(hashes)) + _margin(len(hashes))].tobytes()
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(ids), pa.array(heads, pa.binary())], ["doc_id", "n_shingles", "set_id", "head"])
+
+
+def _unpacked(batch, least):
+    """(gram, set_id, least) of all n-grams of (set_id, n, grams), about ROWS at a time, one row's at least."""
+    grams = [np.frombuffer(g, np.int64) for g in batch["grams"].to_pylist()]
+    lengths = np.array([len(g) for g in grams])
+    ends, ids, begin = np.cumsum(lengths), batch["set_id"].to_numpy(), 0
+    while begin < len(grams):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - lengths[begin] + ROWS, "right")))
+        cut = slice(begin, end)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams[cut])), pa.array(np.repeat(ids[cut], lengths[cut])), pa.array(np.repeat(least[cut], lengths[cut]))], ["gram", "set_id", "least"])
+        begin = end
 
 
 def _heads(batches):
-    """(gram, set_id, least) of the head of each set, once for the sets that a partition repeats."""
+    """(gram, set_id, least) of the packed heads, once for the sets that a partition repeats."""
     seen: set[int] = set()
     for batch in batches:
-        grams, ids, least, held = [], [], [], 0
-        for _, hashes in shingle_sets(batch["text"], WIDTH):
-            n = len(hashes)
-            if not n or (name := _set_id(hashes)) in seen:
-                continue
+        new = []
+        for name in batch["set_id"].to_pylist():
+            new.append(name not in seen)
             seen.add(name)
-            head = hashes[: n - _needed(n) + _margin(n)]
-            grams.append(head)
-            ids.append(np.full(len(head), name, np.int64))
-            least.append(np.full(len(head), _margin(_needed(n)), np.int32))
-            held += len(head)
-            if held > 200_000:
-                yield _head_batch(grams, ids, least)
-                grams, ids, least, held = [], [], [], 0
-        if grams:
-            yield _head_batch(grams, ids, least)
-
-
-def _head_batch(grams, ids, least):
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(least))], ["gram", "set_id", "least"])
+        batch = batch.filter(pa.array(new, pa.bool_()))
+        yield from _unpacked(batch, np.array([_margin(_needed(n)) for n in batch["n"].to_pylist()], np.int32))
 
 
 def _repeated(batches):
-    """Of rows (gram, set_id, least) in order of both, those whose gram several sets have; repeated rows once.
+    """Of rows (gram, set_id, least) in order of gram, those whose gram several sets have; a row equal to the one before is left out.
 
     One pass; all it holds back is the last row of a batch.
     """
@@ -143,10 +143,7 @@ def _segment_batch(rows):
 def _grams_of(batches):
     """(gram, set_id, least) of all n-grams of segments; least: how many of a set's n-grams any partner has."""
     for batch in batches:
-        grams = [np.frombuffer(g, np.int64) for g in batch["grams"].to_pylist()]
-        lengths = [len(g) for g in grams]
-        least = (-(-NUMERATOR * batch["n"].to_numpy() // DENOMINATOR)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.repeat(batch["set_id"].to_numpy(), lengths)), pa.array(np.repeat(least, lengths))], ["gram", "set_id", "least"])
+        yield from _unpacked(batch, np.array([_needed(n) for n in batch["n"].to_pylist()], np.int32))
 
 
 @F.pandas_udf(T.LongType())
@@ -217,25 +214,26 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     in the links but not in the choice of the smallest id. Other columns play no part.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    members = materialize(texts.mapInArrow(_sizes, "doc_id long, n_shingles long, set_id long"))
+    members = materialize(texts.mapInArrow(_members, "doc_id long, n_shingles long, set_id long, head binary"))
     sets = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("copies"))
 
     rows = "gram long, set_id long, least int"
 
-    def several(grams: DataFrame) -> DataFrame:
-        return grams.repartition("gram").sortWithinPartitions("gram", "set_id").mapInArrow(_repeated, rows)
+    def several(grams: DataFrame, *order: str) -> DataFrame:
+        return grams.repartition("gram").sortWithinPartitions(*order).mapInArrow(_repeated, rows)
 
     def enough(grams: DataFrame) -> DataFrame:
         return grams.groupBy("set_id").agg(F.count(F.lit(1)).alias("q"), F.first("least").alias("l")).where("q >= l").select("set_id")
 
-    heads = materialize(several(texts.select("text").mapInArrow(_heads, rows)))
+    heads = members.where("n_shingles > 0").select("set_id", F.col("n_shingles").alias("n"), F.col("head").alias("grams")).mapInArrow(_heads, rows)
+    heads = materialize(several(heads, "gram", "set_id"))
     left = _survivors(heads.join(enough(heads), "set_id"))
 
     # all n-grams of the sets left: at least 3/4 of them must be another set's too
     wanted = left.join(sets, "set_id").select(F.col("smallest").alias("doc_id"))
     segments = texts.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_segments, "set_id long, n long, fragment int, grams binary")
     segments = materialize(segments.dropDuplicates(["set_id", "fragment"]))
-    grams = materialize(several(segments.where("fragment >= 0").select("n", "set_id", "grams").mapInArrow(_grams_of, rows)))
+    grams = materialize(several(segments.where("fragment >= 0").select("n", "set_id", "grams").mapInArrow(_grams_of, rows), "gram"))
     shared = materialize(enough(grams))
     grams = grams.join(shared, "set_id", "left_semi")
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
