@@ -12,7 +12,7 @@ from conftest import DATA
 
 import __spark_entry__ as entry
 from hubweave.functions.stats import incomplete_beta, t_two_sided
-from hubweave.operators import discover, graph_metrics, impute, kernels, network, permute, similarity
+from hubweave.operators import discover, graph_metrics, impute, kernels, network, permute, plotdata, similarity
 from hubweave.plans import catalog
 from hubweave.sources.observations import region_columns
 
@@ -31,7 +31,7 @@ def norm(v):
     return v
 
 
-@pytest.mark.parametrize("name", ["b1_mean_fill", "c1_pearson", "c2_spearman", "c3_kendall", "c5_shrinkage", "e1_consensus", "d1_percolation_threshold", "f4_local_clustering", "f18_area_metrics", "hub_query", "h3_conserved_edges", "h5_weighted_similarity", "i1_persistence_sweep", "k2_two_sample_test", "l15_batch_contributions"])
+@pytest.mark.parametrize("name", ["b1_mean_fill", "c1_pearson", "c2_spearman", "c3_kendall", "c5_shrinkage", "e1_consensus", "d1_percolation_threshold", "f4_local_clustering", "f18_area_metrics", "hub_query", "h3_conserved_edges", "h5_weighted_similarity", "i1_persistence_sweep", "k2_two_sample_test", "l15_batch_contributions", "r_similarity_matrix", "r_strength_stability", "r_dual_network", "r_area_edges", "r_rank_agreement", "r_conservation_summary", "r_test_log_p"])
 def test_query_equals_sql(spark, duck, name):
     got = catalog.queries()[name](spark, DATA)
     cols = sorted(got.columns)
@@ -168,3 +168,24 @@ def test_hub_overlap_of_empty_sets(spark):
     assert rows == {("g1", "g2"): 0.0, ("g1", "g3"): 0.0, ("g2", "g3"): 0.0}
     with pytest.raises(ValueError):
         similarity.hub_overlap(hubs, groups.limit(1))
+
+
+def test_minus_log_p_of_zero(spark):
+    tests = spark.createDataFrame([("a", 0.0), ("b", 0.01), ("c", 1.0)], "node string, p double")
+    got = {r["node"]: r["minus_log10"] for r in plotdata.minus_log_p(tests, "p").collect()}
+    assert got["a"] == pytest.approx(2.4) and got["b"] == pytest.approx(2.0) and got["c"] == 0
+
+
+def test_dual_network_sides(spark):
+    rows = [("m", g, i, j, r) for g, rs in (("x", (0.9, -0.8, 0.1, 0.2)), ("y", (0.9, 0.1, 0.8, 0.2))) for (i, j), r in zip((("a", "b"), ("a", "c"), ("b", "c"), ("b", "d")), rs, strict=True)]
+    corr = spark.createDataFrame(rows, "method string, grp string, i string, j string, r double")
+    got = {(r["i"], r["j"]): r["found"] for r in plotdata.dual_network(corr, "x", "y").collect()}
+    assert got == {("a", "b"): "both", ("a", "c"): "first", ("b", "c"): "second"}
+
+
+def test_area_edges_and_scaling(spark):
+    edges = spark.createDataFrame([("k", "a", "b"), ("k", "b", "c")], "net string, src string, dst string")
+    areas = spark.createDataFrame([("a", "p"), ("b", "p"), ("c", "q")], "node string, area string")
+    assert {(r["area"], r["internal"], r["external"]) for r in plotdata.area_edges(edges, areas, "net").collect()} == {("p", 1, 1), ("q", 0, 1)}
+    values = spark.createDataFrame([("k", "a", 1.0, 5.0), ("k", "b", 3.0, 5.0)], "net string, node string, v double, w double")
+    assert {(r["node"], r["v"], r["w"]) for r in plotdata.scaled(values, ["v", "w"], "net").collect()} == {("a", 0.0, 0.0), ("b", 1.0, 0.0)}
