@@ -1,170 +1,299 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models share one vocabulary (the most frequent words of all documents) and one smoothing: the background
-model counts every document, the target model the documents labelled good. Each token's loss under either model is
-subtracted, and a document's score is the mean difference: below 0, it reads more like the target.
+Two bigram models over all words of all documents share one smoothing: the background model counts every document, the
+target model the documents labelled good. Each token's loss under either model is subtracted, and a document's score is
+the mean difference: below 0, it reads more like the target.
 
-    p(w | h) = (min(n(h, w), n(h)) + STRENGTH p(w)) / (n(h) + STRENGTH),  p(w) = (n(w) + 1) / (N + V + 1)
+    p(w | h) = (n(h, w) + STRENGTH p(w)) / (n(h) + STRENGTH),  p(w) = (n(w) + 1) / (N + V + 1)
 
-Bigrams are counted in 2^SLOT_BITS hashed places, so the models are of one size whatever they were counted from; a place
-shared by several bigrams counts them together, hence the minimum. Words are counted over all whole texts.
+Words and bigrams are known by 64-bit hashes and counted without a limit. Tokens move once, to the task of their word,
+where its count and those of its bigrams are complete; the loss is a sum of logarithms, so each task adds up its share
+of every document. Words so frequent that one task would feel them are counted before, and so are the bigrams of two
+such words: those tokens don't move. A bigram of one such word moves by its other word.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, mix64, string_parts, word_hashes, word_spans
 
-VOCABULARY = 1 << 16
-SLOT_BITS = 22
-RANGE_BITS = 16  # hashed places that travel together
+HOT = 4  # words with more than 1 in HOT of a task's tokens are counted before
+PARTS = 32
+PER_TASK = 4_000_000  # tokens
+AT_ONCE = 2_000_000  # tokens that are dealt out together
+SLICES = 8  # of a task's words, one after the other
 STRENGTH = 20.0
+OTHER, BEGIN, AFTER = 0, 1, 2  # the word and the one before it; the first word of a text; the word and a frequent one after it
+KIND, TARGET, FOLLOWED = 3, 4, 8
 
 
-def _word_counts(batches):
-    """(word, n) of a partition's words, given out whenever many have come together."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-    for batch in batches:
-        for _, offsets, data in string_parts(batch["text"]):
-            starts, ends, _ = word_spans(offsets, data)
-            held.append(np.unique(word_hashes(data, starts, ends), return_counts=True))
-            size += len(held[-1][0])
-            if size > 2_000_000:
-                yield _summed(held)
-                held, size = [], 0
-    if held:
-        yield _summed(held)
-
-
-def _summed(held):
-    words, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-    n = np.bincount(at, np.concatenate([n for _, n in held]), len(words)).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+def _read(batch):
+    """(first row, words, whether a word begins its text, its row in the part, each row's first word) of a batch's parts."""
+    for row, offsets, data in string_parts(batch["text"]):
+        starts, ends, first = word_spans(offsets, data)
+        words = word_hashes(data, starts, ends)
+        begins = np.zeros(len(words), bool)
+        begins[first[:-1][first[:-1] < first[1:]]] = True
+        yield row, words, begins, np.repeat(np.arange(len(first) - 1), np.diff(first)), first
 
 
-def _tokens(offsets, data, vocabulary: np.ndarray):
-    """Vocabulary ids of all words (len(vocabulary): any other word), and each text's first word."""
-    starts, ends, first = word_spans(offsets, data)
-    words = word_hashes(data, starts, ends)
-    ids = np.minimum(np.searchsorted(vocabulary, words), max(0, len(vocabulary) - 1))
-    return np.where(vocabulary[ids] == words, ids, len(vocabulary)) if len(vocabulary) else np.zeros(len(words), np.int64), first
+def _flags(batch, row: int, count: int) -> np.ndarray:
+    return batch["target"].slice(row, count).to_numpy(zero_copy_only=False)
 
 
-def _slots(ids: np.ndarray, first: np.ndarray, size: int, bits: int):
-    """For each word: whether it begins a text, and the place of the bigram with the word before it."""
-    begins = np.zeros(len(ids), bool)
-    begins[first[:-1][first[:-1] < first[1:]]] = True
-    before = np.zeros_like(ids)
-    before[1:] = ids[:-1]
-    slots = mix64(before.astype(np.uint64) * np.uint64(size + 1) + ids.astype(np.uint64)) >> np.uint64(64 - bits)
-    return begins, before, slots.astype(np.int64)
+def _summed(held):
+    keys, at = np.unique(np.concatenate([k for k, _, _ in held]), return_inverse=True)
+    n, m = (np.bincount(at, np.concatenate([h[i] for h in held]), len(keys)).astype(np.int64) for i in (1, 2))
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(m)], ["key", "n", "m"])
 
 
-def _bigram_counts(vocabulary, bits):
-    """(range, counts): a partition's counts of the hashed places, a range of places in a row."""
+def _counts(keys_of):
+    """(key, n, m) of a partition: occurrences in all texts and in the target's, given out whenever many have come together."""
 
     def count(batches):
-        total = np.zeros(1 << bits, np.int32)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
-            for _, offsets, data in string_parts(batch["text"]):
-                ids, first = _tokens(offsets, data, vocabulary.value)
-                begins, _, slots = _slots(ids, first, len(vocabulary.value), bits)
-                total += np.bincount(slots[~begins], minlength=1 << bits).astype(np.int32)
-        width = 1 << min(bits, RANGE_BITS)
-        for i in range(0, 1 << bits, width):
-            yield pa.RecordBatch.from_arrays([pa.array([i // width]), pa.array([total[i : i + width].tobytes()], pa.binary())], ["range", "counts"])
+            for row, words, begins, rows, first in _read(batch):
+                keys, at = keys_of(words, begins)
+                distinct, inverse = np.unique(keys, return_inverse=True)
+                good = _flags(batch, row, len(first) - 1)[rows[at]]
+                held.append((distinct, np.bincount(inverse, minlength=len(distinct)), np.bincount(inverse, good, len(distinct))))
+                size += len(distinct)
+                if size > 2_000_000:
+                    yield _summed(held)
+                    held, size = [], 0
+        if held:
+            yield _summed(held)
 
     return count
 
 
-def _add_ranges(batches):
-    """Sums per range of all rows of a partition; holds one row of sums per range that it meets."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for r, counts in zip(batch["range"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-            counts = np.frombuffer(counts, np.int32).astype(np.int64)
-            sums[r] = sums[r] + counts if r in sums else counts
-    for r, counts in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([counts.tobytes()], pa.binary())], ["range", "counts"])
+def _every_word(words, begins):
+    return words, np.arange(len(words))
+
+
+def _pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix64(h * np.uint64(0x9E3779B97F4A7C15) + w)
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted value stands in the sorted keys, -1 for one that isn't there."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    return docs.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _before(words: np.ndarray) -> np.ndarray:
+    return np.append(words[:1], words[:-1])
 
 
-def count_bigrams(docs: DataFrame, vocabulary, bits: int) -> np.ndarray:
-    ranges = 1 << max(0, bits - RANGE_BITS)
-    rows = docs.mapInArrow(_bigram_counts(vocabulary, bits), "range long, counts binary").repartition(ranges, "range").mapInArrow(_add_ranges, "range long, counts binary")
-    found = sorted(rows.collect())
-    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in found]) if found else np.zeros(1 << bits, np.int64)
+def _hot_pairs(hot):
+    def keys_of(words, begins):
+        known = _find(hot.value[0], words) >= 0
+        at = np.flatnonzero(known & np.append(False, known[:-1]) & ~begins) if len(words) else np.zeros(0, np.int64)
+        return _pair(words[at - 1], words[at]), at
 
+    return keys_of
 
-def _model(words: np.ndarray, n: np.ndarray, vocabulary: np.ndarray, total: int) -> np.ndarray:
-    """Counts by vocabulary id, the last for all other words."""
-    counts = np.zeros(len(vocabulary) + 1)
-    at = np.searchsorted(vocabulary, words)
-    counts[at] = n
-    counts[-1] = total - n.sum()
-    return counts
 
+def _sorted_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and, for background and target, their counts."""
+    kept = counts.toPandas()
+    keys = kept["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], kept[["n", "m"]].to_numpy(np.float64)[order].T
 
-def loss_bits(ids, first, slots_of, unigrams: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
-    begins, before, slots = slots_of
-    p = (unigrams + 1) / (unigrams.sum() + len(unigrams))
-    held = np.where(begins, 0, unigrams[before])
-    both = np.where(begins, 0, np.minimum(bigrams[slots], held))
-    return -np.log2((both + STRENGTH * p[ids]) / (held + STRENGTH))
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
-def score_documents(docs: DataFrame, labels: DataFrame, vocabulary_size: int = VOCABULARY, slot_bits: int = SLOT_BITS) -> DataFrame:
+
+def _moves(hot, pairs, sums: tuple, labels: list[int]):
+    """(part, load): tokens by the word that counts them, and for each run of rows their ids, sizes and the losses known here."""
+
+    parts = len(labels)
+
+    def deal(rows: list, tokens: list, base: int):
+        ids = pa.chunked_array([r[0] for r in rows]).combine_chunks()
+        yield labels[(base + (base >> 20)) % parts], pickle.dumps((base, None, ids.to_numpy(zero_copy_only=False) if not ids.null_count else ids.to_pylist(), np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows], axis=1)), 5)
+        word, other, at, what = (np.concatenate([t[i] for t in tokens]) for i in range(4))
+        part = mix64(word) % np.uint64(parts)
+        order = np.lexsort((word, part))
+        word, other, at, what, part = word[order], other[order], at[order], what[order], part[order]
+        cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+        for p in range(parts):
+            cut = slice(cuts[p], cuts[p + 1])
+            if cuts[p] < cuts[p + 1]:
+                distinct, runs = np.unique(word[cut], return_counts=True)
+                others, places = np.unique(other[cut], return_inverse=True)
+                yield labels[p], pickle.dumps((base, distinct, _narrow(runs), others, _narrow(places), _narrow(at[cut]), what[cut]), 5)
+
+    def moves(batches):
+        task, turn = TaskContext.get().partitionId(), 0
+        rows: list = []
+        tokens: list = []
+        size = done = 0
+        for batch in batches:
+            for row, words, begins, owner, first in _read(batch):
+                count = len(first) - 1
+                losses = np.zeros((2, count))
+                if len(words):
+                    good = _flags(batch, row, count)[owner]
+                    before = _before(words)
+                    now = _find(hot.value[0], words)
+                    then = np.where(begins, -1, np.append(-1, now[:-1]))
+                    both = np.flatnonzero((now >= 0) & (then >= 0))
+                    opening = np.flatnonzero((now >= 0) & begins)
+                    half = np.flatnonzero((now < 0) & (then >= 0))
+                    seen = _find(pairs.value[0], _pair(before[both], words[both]))
+                    for k in range(2):
+                        n = hot.value[1][k]
+                        p = (n + 1) / sums[k]
+                        bits = np.log2(n + STRENGTH)
+                        losses[k] += np.bincount(owner[both], bits[then[both]] - np.log2(pairs.value[1][k][seen] + STRENGTH * p[now[both]]), count)
+                        losses[k] -= np.bincount(owner[opening], np.log2(p[now[opening]]), count)
+                        losses[k] += np.bincount(owner[half], bits[then[half]], count)
+                    followed = np.append(~begins[1:], False)
+                    flags = (TARGET * good + FOLLOWED * followed).astype(np.uint8)
+                    own = np.flatnonzero(now < 0)
+                    late = np.flatnonzero((now >= 0) & (then < 0) & ~begins)
+                    tokens.append((words[own], np.where(begins[own], np.uint64(0), before[own]), done + owner[own], flags[own] + np.where(begins[own], BEGIN, OTHER).astype(np.uint8)))
+                    tokens.append((before[late], words[late], done + owner[late], flags[late] + np.uint8(AFTER)))
+                    size += len(own) + len(late)
+                rows.append((batch["doc_id"].slice(row, count), np.diff(first), losses))
+                done += count
+                if size > AT_ONCE:
+                    yield from _loads(deal(rows, tokens, (task << 20) + turn), "part")
+                    rows, tokens, size, done, turn = [], [], 0, 0, turn + 1
+        if rows:
+            tokens.append((np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)))
+            yield from _loads(deal(rows, tokens, (task << 20) + turn), "part")
+
+    return moves
+
+
+def _loads(found, name: str):
+    for key, load in found:
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([load], pa.binary())], [name, "load"])
+
+
+def _token_losses(word, other, what, hot, sums: tuple) -> list[np.ndarray]:
+    """Of each token of whole words, its part of the loss under background and target.
+
+    A word's own tokens (OTHER, BEGIN) tell its count, and give what the word adds as a history if one follows.
+    """
+    kind, target = what & KIND, (what & TARGET) > 0
+    distinct, at = np.unique(word, return_inverse=True)
+    bigrams, pair = np.unique(mix64(_pair(other, word) + kind.astype(np.uint64)), return_inverse=True)
+    own = kind != AFTER
+    # a token that AFTER gives the place of its word is one of a frequent word, counted before
+    known = _find(hot[0], np.where(own, np.uint64(0), other))
+    out = []
+    for k in range(2):
+        weight = target.astype(float) if k else np.ones(len(word))
+        n = np.bincount(at, weight * own, len(distinct))
+        count = n[at] if not len(hot[0]) else np.where(own, n[at], hot[1][k][known])
+        p = (count + 1) / sums[k]
+        both = np.bincount(pair, weight, len(bigrams))[pair]
+        loss = -np.log2(np.where(kind == BEGIN, p, both + STRENGTH * p))
+        out.append(loss + np.where(own & ((what & FOLLOWED) > 0), np.log2(n[at] + STRENGTH), 0))
+    return out
+
+
+def _part_losses(hot, sums: tuple):
+    """(base, load) of a partition: for each run of rows, what its tokens add to each row's losses."""
+
+    def add(batches):
+        loads, rows = [], []
+        for batch in batches:
+            for load in batch["load"]:
+                found = pickle.loads(load.as_buffer())
+                (rows if found[1] is None else loads).append(found)
+        yield from _loads(((r[0], pickle.dumps(r, 5)) for r in rows), "base")
+        added: dict[int, np.ndarray] = {}
+        for base, *_, owner, _ in loads:
+            have, most = added.get(base), int(owner.max()) + 1
+            if have is None or have.shape[1] < most:
+                added[base] = np.zeros((2, most))
+        edges = np.arange(1, SLICES, dtype=np.uint64) << np.uint64(64 - SLICES.bit_length() + 1)
+        places = []  # where the words and the tokens of each slice begin in each load
+        for load in loads:
+            words = np.concatenate([[0], np.searchsorted(load[1], edges), [len(load[1])]])
+            places.append((words, np.append(0, np.cumsum(load[2], dtype=np.int64))[words]))
+        for k in range(SLICES if loads else 0):
+            cuts = [(slice(w[k], w[k + 1]), slice(t[k], t[k + 1])) for w, t in places]
+            word = np.concatenate([np.repeat(x[1][w], x[2][w]) for x, (w, _) in zip(loads, cuts, strict=True)])
+            other = np.concatenate([x[3][x[4][t]] for x, (_, t) in zip(loads, cuts, strict=True)])
+            what = np.concatenate([x[6][t] for x, (_, t) in zip(loads, cuts, strict=True)])
+            losses = _token_losses(word, other, what, hot.value, sums)
+            at = 0
+            for load, (_, t) in zip(loads, cuts, strict=True):
+                sums_of, owner = added[load[0]], load[5][t]
+                for m in range(2):
+                    sums_of[m] += np.bincount(owner, losses[m][at : at + len(owner)], sums_of.shape[1])
+                at += len(owner)
+        yield from _loads(((base, pickle.dumps((base, "part", found), 5)) for base, found in added.items()), "base")
+
+    return add
+
+
+def _scores(batches):
+    """The rows of each run, with all parts of their losses added."""
+    rows: dict[int, tuple] = {}
+    parts: dict[int, list] = {}
+    for batch in batches:
+        for load in batch["load"]:
+            base, kind, *found = pickle.loads(load.as_buffer())
+            if kind is None:
+                rows[base] = found
+            else:
+                parts.setdefault(base, []).append(found[0])
+    for base, (ids, n, losses) in rows.items():
+        for added in sorted(parts.pop(base, []), key=lambda x: x.tobytes()):
+            losses[:, : added.shape[1]] += added
+        background, target = losses / np.maximum(n, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(target), pa.array(background), pa.array(target - background)], ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, hot: int = HOT, parts: int = PARTS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, loss_target, loss_background, score (mean bits a token).
 
     The target is every row of ``docs`` whose doc_id some row of ``labels`` gives quality 1. Words are runs of
     characters other than space and \\t..\\r, A-Z lower-cased. Texts without words (null and empty ones too) have losses
-    and score 0. Without a target, its model is the smoothing alone. Words of equal frequency enter the vocabulary in
-    order of their hash. A null doc_id can't be a target. Other columns play no part.
+    and score 0. Without a target, its model is the smoothing alone. A null doc_id can't be a target. Other columns play
+    no part.
+
+    The tokens are dealt to ``parts`` tasks, more for large tables. ``hot`` (0: none) says which words are counted
+    before; neither changes the result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    target = materialize(rows.join(good.hint("merge"), "doc_id", "left_semi").select("text"))
-    every = rows.select("text")
-
-    all_words = materialize(count_words(every))
-    top = all_words.orderBy(F.col("n").desc(), "word").limit(vocabulary_size)
-    kept = top.toPandas()
-    words = kept["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(words)
-    vocabulary = words[order]
-    shared = spark.sparkContext.broadcast(vocabulary)
-
-    background_total = all_words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    background = _model(vocabulary, kept["n"].to_numpy()[order], vocabulary, background_total)
-    target_words = materialize(count_words(target))
-    target_total = target_words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    own = target_words.join(F.broadcast(materialize(top.select("word"))), "word").toPandas()
-    goal = _model(own["word"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(), vocabulary, target_total)
-    models = spark.sparkContext.broadcast([(goal, count_bigrams(target, shared, slot_bits).astype(np.float32)), (background, count_bigrams(every, shared, slot_bits).astype(np.float32))])
-
-    def score(batches):
-        for batch in batches:
-            for row, offsets, data in string_parts(batch["text"]):
-                ids, first = _tokens(offsets, data, shared.value)
-                slots = _slots(ids, first, len(shared.value), slot_bits)
-                n = np.diff(first)
-                full = np.flatnonzero(n)
-                losses = []
-                for unigrams, bigrams in models.value:
-                    loss = np.zeros(len(n))
-                    if len(full):
-                        loss[full] = np.add.reduceat(loss_bits(ids, first, slots, unigrams, bigrams), first[:-1][full]) / n[full]
-                    losses.append(loss)
-                part = batch.slice(row, len(n))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n), pa.array(losses[0]), pa.array(losses[1]), pa.array(losses[0] - losses[1])], ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return rows.mapInArrow(score, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
+    named = rows.where("doc_id is not null").join(good.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    flagged = materialize(named.unionByName(rows.where("doc_id is null").withColumn("target", F.lit(False))))
+
+    def count(keys_of) -> DataFrame:
+        return flagged.select("text", "target").mapInArrow(_counts(keys_of), "key long, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+    words = materialize(count(_every_word))
+    total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+    sums = (total[1] + total[0] + 1, total[2] + total[0] + 1)
+    parts = max(parts, total[1] // PER_TASK)
+    # labels that are dealt to different partitions
+    places = spark.range(64 * parts).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("place")).agg(F.min("id").alias("id"))
+    dealt = [r["id"] for r in places.collect()]
+    shared = spark.sparkContext.broadcast(_sorted_counts(words.where(F.col("n") * (hot * parts) > total[1])))
+    pairs = spark.sparkContext.broadcast(_sorted_counts(count(_hot_pairs(shared))))
+
+    moved = flagged.mapInArrow(_moves(shared, pairs, sums, dealt), "part long, load binary").repartition(parts, "part")
+    added = moved.mapInArrow(_part_losses(shared, sums), "base long, load binary").repartition(parts, "base")
+    return added.mapInArrow(_scores, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")

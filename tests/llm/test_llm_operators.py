@@ -251,6 +251,39 @@ def test_lm_scoring(spark, empty):
     assert lm_scoring.score_documents(empty, labels, 64, 16).count() == 0
 
 
+def test_lm_scoring_counts_all_words_and_bigrams(spark):
+    """More words than a vocabulary of 65,536 and repeated and null ids, against plain counts; frequent words counted before or not."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.35)) % 200000}" for _ in range(400)) for _ in range(290)]
+    texts += [" ".join(f"x{i}" for i in range(70000)), None, "", "one"]
+    rows = [(i % 250 if i != 17 else None, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)] + [(None, 1)], "doc_id long, quality int")
+    split = [(t or "").split() for t in texts]
+    every = {w for words in split for w in words}
+    assert len(every) > 1 << 16
+    models = []
+    for some in ([i for i, (d, _) in enumerate(rows) if d is not None and d < 200 and d % 3 == 0], range(len(rows))):
+        uni, bi = collections.Counter(), collections.Counter()
+        for i in some:
+            uni.update(split[i])
+            bi.update(itertools.pairwise(split[i]))
+        models.append((uni, bi, sum(uni.values()) + len(every) + 1))
+
+    def loss(words, uni, bi, total):
+        bits = 0.0
+        for h, w in zip([None, *words], words, strict=False):
+            p = (uni[w] + 1) / total
+            bits -= np.log2((bi[h, w] + lm_scoring.STRENGTH * p) / ((uni[h] if h else 0) + lm_scoring.STRENGTH))
+        return bits / max(1, len(words))
+
+    expect = sorted((-1 if d is None else d, len(w), *(loss(w, *m) for m in models)) for (d, _), w in zip(rows, split, strict=True))
+    for args in ((), (0, 5), (64, 3)):
+        found = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["loss_target"], r["loss_background"]) for r in lm_scoring.score_documents(frame, labels, *args).collect())
+        assert [f[:2] for f in found] == [e[:2] for e in expect]
+        assert np.allclose([f[2:] for f in found], [e[2:] for e in expect], rtol=1e-9)
+
+
 def test_line_dedup(spark, empty):
     line = "the quick brown fox jumps over the lazy dog near the river bank while many people watch it happen every single day of the year"
     rows = [(0, f"{line}\nunique words here"), (1, f"Other!\n{line.upper()} \n\n"), (2, None), (3, f"{line} 12\n{line} 345"), (4, "")]
