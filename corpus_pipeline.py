@@ -18,27 +18,44 @@ from hubweave.llm.sentencepiece_codec import encode
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _numbered(docs):
+    """``docs`` with a unique ``row``, written once: doc_id may be null or repeated, and every reading has to agree."""
+    return materialize(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+
+
+def _without_others(rows, grouped, order):
+    """``rows`` without those of ``grouped`` (row, group) that aren't the first of their group by ``order``."""
+    named = rows.select("row", "doc_id").join(grouped, "row")
+    first = named.groupBy("group").agg(F.min_by("row", order).alias("stays"))
+    dropped = grouped.join(first, "group").where("row <> stays").select("row")
+    return rows.join(dropped, "row", "left_anti").select(COLUMNS)
+
+
 def quality_stage(spark, docs, sf_dir):
     """Documents that the quality classifier rejects go."""
     return keep_good(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def exact_dedup_stage(spark, docs, sf_dir):
-    """Of equal texts, the row with the largest doc_id stays."""
-    dropped = exact_dedup(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(COLUMNS)
+    """Of equal texts, one row with the largest doc_id stays; null is the smallest."""
+    rows = _numbered(docs)
+    copies = materialize(exact_dedup(rows, "row").where("group_size > 1").select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group")))
+    return _without_others(rows, copies, F.struct(F.col("doc_id").isNull(), -F.col("doc_id").cast("decimal(20,0)"), "row"))
 
 
 def near_dedup_stage(spark, docs, sf_dir):
-    """Of documents linked by Jaccard similarity of 5-word shingles of 0.75 or more, the smallest doc_id stays."""
-    dropped = ngram_groups(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(COLUMNS)
+    """Of documents linked by Jaccard similarity of 5-word shingles of 0.75 or more, one row with the smallest doc_id stays; null is the largest."""
+    rows = _numbered(docs)
+    named = materialize(ngram_groups(rows, "row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")))
+    several = named.where("row <> group").select("group").distinct()
+    return _without_others(rows, materialize(named.join(several, "group", "left_semi")), F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
 
 
 def mixing_stage(spark, docs, sf_dir):
     """Each document as often as the mix takes it: words taken / size, rounded; documents never taken go."""
-    copies = mix(docs).where("size > 0").select("doc_id", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies")).where("copies > 0")
-    repeated = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    rows = _numbered(docs)
+    copies = mix(rows, row_col="row").where("size > 0").select("row", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies")).where("copies > 0")
+    repeated = rows.join(copies, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return repeated.select(COLUMNS)
 
 

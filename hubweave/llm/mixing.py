@@ -23,11 +23,11 @@ BUCKETS = 1024
 RUN = 1 << 16
 
 
-def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source and size (words) of every row; the shuffle key is a digest of the id."""
+def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """doc_id, source and size (words) of every row, and its row_col as ``given`` (null without one); the shuffle key is a digest of the id."""
     words = F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD_PATTERN))
     key = F.md5(F.concat(F.lit("mix|"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(words, F.lit(0)).cast("long").alias("size"), key.alias("key"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(words, F.lit(0)).cast("long").alias("size"), key.alias("key"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("given"))
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -57,18 +57,19 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "src", "source_size", target.alias("target"), "total")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken.
 
     Size: words of the text, 0 for null. ``taken``: words that the mix takes of the row, repeats counted; at most 3
     times its size. A null source is one source, ordered last. Reruns and any partitioning agree: the shuffled order is
-    that of a digest of the doc_id, rows of one id in order of size. Without words every target and ``taken`` is 0; an
+    that of a digest of the doc_id, rows of one id in order of size (then of ``row_col``, a unique number of each row, returned too if it
+    is named). Without words every target and ``taken`` is 0; an
     empty table gives an empty result. Other columns play no part.
 
     Running offsets and ranks are two-level (within a bucket, then over the buckets' sums), so a source with a third of
     all rows is not one task.
     """
-    sized = document_sizes(docs, id_col, text_col, source_col)
+    sized = document_sizes(docs, id_col, text_col, source_col, row_col)
     sized = materialize(sized)
     sources = materialize(source_targets(sized))
     named = sized.join(sources.select("source", "src", "source_size", "target"), sized["source"].eqNullSafe(sources["source"])).drop("source")
@@ -78,16 +79,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sums = named.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("src", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("src", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("src", "bucket").orderBy("key", "doc_id", "size", "given").rowsBetween(Window.unboundedPreceding, -1)
     placed = named.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["src", "bucket"])
-    placed = placed.select("doc_id", "size", "source_size", "target", "src", (F.col("base") + F.col("within")).alias("start"), F.monotonically_increasing_id().alias("row"))
+    placed = placed.select("doc_id", "given", "size", "source_size", "target", "src", (F.col("base") + F.col("within")).alias("start"), F.monotonically_increasing_id().alias("row"))
     placed = materialize(placed)
 
     taken = block_uses(sources)
     pieces = placed.where("size > 0").select("row", "src", "start", "size", F.explode(F.expr(f"sequence(start div {BLOCK}, (start + size - 1) div {BLOCK})")).alias("block"))
     overlap = F.expr(f"least(start + size, (block + 1) * {BLOCK}) - greatest(start, block * {BLOCK})")
     used = pieces.join(taken, ["src", "block"]).groupBy("row").agg(F.sum(overlap * F.col("uses")).alias("taken"))
-    return placed.join(used, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    named = [F.col("given").alias(row_col)] if row_col else []
+    return placed.join(used, "row", "left").select("doc_id", *named, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def block_uses(sources: DataFrame) -> DataFrame:

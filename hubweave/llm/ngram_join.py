@@ -230,8 +230,12 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     left = _survivors(heads.join(enough(heads), "set_id"))
 
     # all n-grams of the sets left: at least 3/4 of them must be another set's too
-    wanted = left.join(sets, "set_id").select(F.col("smallest").alias("doc_id"))
-    segments = texts.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_segments, "set_id long, n long, fragment int, grams binary")
+    wanted = materialize(left.join(sets, "set_id").select("set_id", F.col("smallest").alias("doc_id")))
+    cut = "set_id long, n long, fragment int, grams binary"
+    segments = texts.join(wanted.select("doc_id"), "doc_id", "left_semi").select("text").mapInArrow(_segments, cut)
+    # sets of rows without an id are told by the set alone
+    nameless = texts.where("doc_id is null").select("text").mapInArrow(_segments, cut)
+    segments = segments.unionByName(nameless.join(wanted.where("doc_id is null").select("set_id"), "set_id", "left_semi"))
     segments = materialize(segments.dropDuplicates(["set_id", "fragment"]))
     grams = materialize(several(segments.where("fragment >= 0").select("n", "set_id", "grams").mapInArrow(_grams_of, rows), "gram"))
     shared = materialize(enough(grams))

@@ -340,6 +340,42 @@ def test_viterbi_is_best():
             assert sum(score[i] for i in codec.encode([word])[0]) == pytest.approx(best("▁" + word))
 
 
+def test_pipeline_stages_with_null_and_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    def frame(rows):
+        return spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+    def left(stage, rows):
+        return collections.Counter((r["doc_id"], r["text"]) for r in p.__dict__[stage](spark, frame(rows), None).collect())
+
+    rows = [(None, "a"), (None, "a"), (1, "b"), (None, "b"), (2, "b"), (2, "clean"), (3, "c"), (3, "c"), (3, "c"), (2, "d"), (4, "d"), (None, None), (5, "")]
+    assert left("exact_dedup_stage", rows) == collections.Counter([(None, "a"), (2, "b"), (2, "clean"), (3, "c"), (4, "d"), (5, "")])
+
+    words = [[f"{name}{k}" for k in range(60)] for name in "pqrst"]
+    texts = [" ".join(w) for w in words]
+    near = [" ".join([*w[:-1], "changed"]) for w in words]
+    rows = [(None, texts[0]), (None, near[0]), (7, texts[1]), (None, near[1]), (8, texts[2]), (7, near[2]), (9, texts[3]), (9, texts[3]), (9, near[3]), (7, texts[4]), (None, "short"), (None, None)]
+    found = left("near_dedup_stage", rows)
+    assert sum(found.values()) == 7
+    assert [sum(n for (_, t), n in found.items() if t in pair) for pair in zip(texts, near, strict=True)] == [1] * 5
+    assert {found[k] for k in [(7, texts[1]), (7, near[2]), (7, texts[4]), (None, "short"), (None, None)]} == {1}
+
+    rows = [(None, "one two"), (None, "three"), (6, "four five six"), (6, "seven"), (6, "seven"), (10, "eight " * 70)]
+    docs = frame(rows)
+    mixed = collections.Counter((r["doc_id"], r["text"]) for r in p.mixing_stage(spark, docs, None).collect())
+    # one source takes each of its words once
+    assert mixed == collections.Counter(rows)
+
+
+def test_ngram_groups_of_rows_without_ids(spark):
+    text = [f"w{k}" for k in range(60)]
+    far = [f"v{k}" for k in range(60)]
+    rows = [(None, " ".join(text)), (None, " ".join(far)), (4, " ".join([*far[:-1], "x"])), (3, " ".join([*far[:-2], "y", "z"])), (9, " ".join(text[:-1])), (None, " ".join([*text[:-1], "x"]))]
+    found = ngram_join.ngram_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted(r["component_id"] for r in found) == [3, 3, 3, 9, 9, 9]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
