@@ -12,6 +12,8 @@ So both give what the library gives for the same model.
 from __future__ import annotations
 
 import re
+import uuid
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -19,9 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import string_parts
+
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CACHE_WORDS = 400_000
+TEXT_BYTES = 4 << 20  # of texts whose words are sorted together
 
 
 def load_pieces(path: str = DEFAULT_MODEL, kind: str = "bpe") -> dict:
@@ -45,18 +50,26 @@ def load_pieces(path: str = DEFAULT_MODEL, kind: str = "bpe") -> dict:
 
 
 class Codec:
-    """Encoder and decoder of one task."""
+    """Encoder and decoder of one Python worker."""
 
     def __init__(self, model: dict):
         self.pieces, self.bpe = model["pieces"], model["kind"] == "bpe"
         self.byte_ids, self.unknown, self.raw = model["bytes"], model["unknown"], model["raw"]
-        self.longest = max(map(len, self.pieces), default=1)
         self.apart: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
         self.lowest = min((s for _, s in self.pieces.values()), default=0.0) - 10
         breaks = "".join(c for c in "\n\r\t" if not any(c in p for p in self.pieces))
         self.split = re.compile(f"{MARK}*[^{MARK}{breaks}]+|{MARK}+" + (f"|[{breaks}]" if breaks else "")).findall
+        # what a string is to a segmentation: a piece that can end one (True), or only the beginning of one (False)
+        self.begins: dict[str, bool] = {}
+        for piece in self.pieces:
+            for end in range(1, len(piece)):
+                self.begins.setdefault(piece[:end], False)
+            self.begins[piece] = not self.bpe or len(piece) == 1 or self.merged(piece) == [piece]
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[str, int] = {}  # of each word learned; the ids of word k are flat[ends[k] : ends[k + 1]]
+        self.flat, self.ends, self.lossless = array("i"), array("q", [0]), bytearray()
 
     def merged(self, text: str) -> list[str]:
         """Merges of neighbours by highest score, leftmost first; for short strings."""
@@ -71,38 +84,12 @@ class Codec:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def stays(self, piece: str) -> bool:
-        known = self.whole.get(piece)
-        if known is None:
-            known = self.whole[piece] = self.merged(piece) == [piece]
-        return known
-
     def stay_apart(self, left: str, right: str) -> bool:
-        known = self.apart.get((left, right))
-        if known is None:
-            if len(self.apart) > 1_000_000:
-                self.apart.clear()
-            known = self.apart[left, right] = self.merged(left + right) == [left, right]
+        if len(self.apart) > 1_000_000:
+            self.apart.clear()
+        known = self.apart[left, right] = self.merged(left + right) == [left, right]
         return known
 
-    def last_piece(self, word: str, end: int, lasts: list[str]) -> str:
-        """The last piece of the segmentation of word[:end]; lasts: those of the shorter prefixes."""
-        pieces = self.pieces
-        for start in range(max(0, end - self.longest), end - 1):
-            piece = word[start:end]
-            if piece in pieces and self.stays(piece) and (start == 0 or self.stay_apart(lasts[start], piece)):
-                return piece
-        return word[end - 1]
-
-    def best_piece(self, word: str, end: int, scores: list[float]) -> tuple[float, str]:
-        """(score, last piece) of the best segmentation of word[:end]; scores: those of the shorter prefixes."""
-        best, last = scores[end - 1] + self.lowest, word[end - 1]
-        for start in range(max(0, end - self.longest), end):
-            found = self.pieces.get(word[start:end])
-            if found and scores[start] + found[1] > best:
-                best, last = scores[start] + found[1], word[start:end]
-        return best, last
-
     def ids_of(self, piece: str) -> tuple[int, ...]:
         found = self.pieces.get(piece)
         if found:
@@ -110,40 +97,89 @@ class Codec:
         return tuple(self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")) if self.byte_ids else (self.unknown,)
 
     def learn(self, words: set[str]) -> None:
-        """Segment ``words`` in sorted order, each from where it leaves the word before."""
-        lasts, scores, before = [""], [0.0], ""
+        """Segment ``words`` in sorted order, each from where it leaves the word before.
+
+        For every prefix: its last piece, its score, and where pieces that may go on with the next character begin.
+        """
+        begins, apart = self.begins, self.apart
+        lasts, scores, opened, before = [""], [0.0], [[]], ""
         for word in sorted(words):
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del lasts[shared + 1 :], scores[shared + 1 :]
+            del lasts[shared + 1 :], scores[shared + 1 :], opened[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                if self.bpe:
-                    lasts.append(self.last_piece(word, end, lasts))
-                else:
-                    score, last = self.best_piece(word, end, scores)
-                    scores.append(score)
-                    lasts.append(last)
+                going, last, best = [], None, None
+                for start in (*opened[-1], end - 1):
+                    piece = word[start:end]
+                    ends = begins.get(piece)
+                    if ends is None:
+                        continue
+                    going.append(start)
+                    if not ends:
+                        continue
+                    if not self.bpe:
+                        score = scores[start] + self.pieces[piece][1]
+                        if best is None or score > best:
+                            best, last = score, piece
+                    elif last is None:
+                        left = lasts[start]
+                        if start == 0 or (known if (known := apart.get((left, piece))) is not None else self.stay_apart(left, piece)):
+                            last = piece
+                unknown = scores[-1] + self.lowest
+                if not self.bpe and (best is None or unknown > best):
+                    best, last = unknown, None
+                lasts.append(last or word[end - 1])
+                scores.append(best or 0.0)
+                opened.append(going)
             ids, end = [], len(word)
             while end:
                 ids.append(self.ids_of(lasts[end]))
                 end -= len(lasts[end])
-            self.words[word] = tuple(chain.from_iterable(reversed(ids)))
+            self.numbers[word] = len(self.ends) - 1
+            known = list(chain.from_iterable(reversed(ids)))
+            self.flat.extend(known)
+            self.ends.append(len(self.flat))
+            self.lossless.append(b"".join([self.raw[i] for i in known]) == word.replace(MARK, " ").encode("utf-8", "surrogatepass"))
             before = word
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids, whether they decode to each text): a text's words decode one by one."""
         split = [self.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        self.learn(set(chain.from_iterable(split)).difference(self.words))
-        words = self.words
-        return [list(chain.from_iterable([words[w] for w in parts])) for parts in split]
+        if len(self.numbers) > CACHE_WORDS:
+            self.forget()
+        self.learn(set(chain.from_iterable(split)).difference(self.numbers))
+        sizes = np.array([len(parts) for parts in split], np.int64)
+        word = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        ends = np.array(self.ends)
+        lengths = np.append(0, np.cumsum(ends[word + 1] - ends[word]))
+        at = np.repeat(ends[word] - lengths[:-1], np.diff(lengths)) + np.arange(lengths[-1])
+        lost = np.append(0, np.cumsum(1 - np.frombuffer(bytes(self.lossless), np.uint8)[word].astype(np.int64)))
+        upto = np.append(0, np.cumsum(sizes))
+        plain = np.array([MARK not in t if t else True for t in texts], bool)
+        return np.diff(lengths[upto]), np.array(self.flat, np.int32)[at], (np.diff(lost[upto]) == 0) & plain
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
+_CODECS: dict[int, Codec] = {}
+
+
+def _codec(tables) -> Codec:
+    """The codec of this Python worker: later tasks of a query find the words that earlier ones learned."""
+    if tables.id not in _CODECS:
+        _CODECS.clear()
+        _CODECS[tables.id] = Codec(tables.model.value)
+    return _CODECS[tables.id]
+
+
+class _Tables:
+    def __init__(self, spark: SparkSession, model_path: str, kind: str):
+        self.model, self.id = spark.sparkContext.broadcast(load_pieces(model_path, kind)), uuid.uuid4().int
+
+
 def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, token_ids, round_trip (the ids decode to the text again).
 
@@ -151,21 +187,16 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, kind: str = "bpe",
     their UTF-8 bytes, or the unknown id in a model without byte pieces (round_trip then says false). Texts are encoded
     whole. Other columns play no part.
     """
-    spark: SparkSession = docs.sparkSession
-    tables = spark.sparkContext.broadcast(load_pieces(model_path, kind))
+    tables = _Tables(docs.sparkSession, model_path, kind)
 
     def run(batches):
-        codec = Codec(tables.value)
+        codec = _codec(tables)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part["text"].to_pylist()
-                ids = codec.encode(texts)
-                lengths = np.array([len(x) for x in ids], np.int64)
-                flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), flat)
-                same = [codec.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(lengths), lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "token_ids", "round_trip"])
+            for row, offsets, _ in string_parts(batch["text"], TEXT_BYTES):
+                part = batch.slice(row, len(offsets) - 1)
+                lengths, flat, same = codec.encode(part["text"].to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(lengths), lists, pa.array(same)], ["doc_id", "n_tokens", "token_ids", "round_trip"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
@@ -173,10 +204,10 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, kind: str = "bpe",
 
 def decode(tokens: DataFrame, model_path: str = DEFAULT_MODEL, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
     """doc_id and the text of each list of ids; a null list gives a null text. Invalid byte sequences give U+FFFD."""
-    tables = tokens.sparkSession.sparkContext.broadcast(load_pieces(model_path))
+    tables = _Tables(tokens.sparkSession, model_path, "bpe")
 
     def run(batches):
-        codec = Codec(tables.value)
+        codec = _codec(tables)
         for batch in batches:
             texts = [None if x is None else codec.decode(x) for x in batch["token_ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])

@@ -162,6 +162,19 @@ def test_top_k(spark):
     assert topk_search.top_k(frame.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components_and_repeated_ids(spark):
+    rows = [(0, [1.0, 1.0]), (1, [300000.0, 1.0]), (2, [2.0, 2.0]), (50, [3e38, -2e38]), (50, [-1e9, 1e9]), (7, [2.0, 2.0]), (100, []), (3, [])]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    got = sorted(((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got))
+    ints = [(i, [int(np.floor(256.0 * float(np.float32(x)))) for x in v]) for i, v in rows]
+    expect = []
+    for i, q in ints:
+        if i % 50 == 0:
+            found = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(q, v, strict=True)))), c) for c, v in ints if c != i and len(v) == len(q))[:5]
+            expect += [(i, n + 1, c, -s) for n, (s, c) in enumerate(found)]
+    assert got == sorted(expect)
+
+
 def test_quality(spark, docs, rows, empty):
     rng = random.Random(4)
     texts = [(i, " ".join(rng.choice(["good", "words", "here", "and", "there"]) for _ in range(30)) if i % 2 else "$$$ %%% " * 15) for i in range(120)]
@@ -313,6 +326,46 @@ def test_chat_format(spark):
     assert chat_format.rotate_perspectives(frame.limit(0)).count() == 0
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_line_dedup_recall_on_edited_lines(spark):
+    """Lines of 5 to 60 words, some with words changed, added or lost: groups against edit similarity of all pairs."""
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdefghiklmnoprstuwzéñ") for _ in range(rng.choice([2, 3, 4, 5, 6, 7, 8, 9]))) for _ in range(500)]
+    lines = []
+    for _ in range(24):
+        words = [rng.choice(vocab) for _ in range(rng.choice([5, 7, 9, 14, 27, 40, 60]))]
+        for k in range(4):
+            copy = list(words)
+            for _ in range(k and rng.randint(1, max(1, len(words) // 9))):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randint(0, 1)] = rng.choice([[rng.choice(vocab)], [], [rng.choice(vocab)]])
+            lines.append(" ".join(copy))
+    lines += lines[:3] + ["", "!!", "a" * 30000, "a" * 30000 + " b", "shared passage of some length " * 4 + "one", "other words before the shared passage of some length"]
+    frame = spark.createDataFrame([(i // 3, "\n".join(lines[i : i + 3]), "s", 1) for i in range(0, len(lines), 3)], "doc_id long, text string, line string, key int").repartition(3)
+    got = line_dedup.line_groups(frame).collect()
+    group = {lines[3 * r["doc_id"] + r["line_no"] - 1]: r["group_id"] for r in got}
+    assert len(got) == len(lines)
+    similar = same = 0
+    for a, b in itertools.combinations(sorted(x for x in set(lines) if len(x) < 1000 and x[:1].isalpha()), 2):
+        longest = max(len(a), len(b))
+        if abs(len(a) - len(b)) <= 0.2 * longest and edit_distance(a, b) <= 0.2 * longest + 1e-9:
+            similar += 1
+            same += group[a] == group[b]
+    assert similar > 80 and same >= 0.9 * similar
+    by_group = collections.Counter(r["group_id"] for r in got if r["group_id"] is not None)
+    kept = collections.Counter(r["group_id"] for r in got if r["kept"] and r["group_id"] is not None)
+    assert set(kept) == set(by_group) and set(kept.values()) == {1}
+    assert all(r["group_size"] == by_group.get(r["group_id"], 1) for r in got)
+
+
 def test_sentencepiece_equals_the_library(spark, docs, rows, empty):
     import sentencepiece
 
@@ -328,7 +381,7 @@ def test_sentencepiece_equals_the_library(spark, docs, rows, empty):
 def test_viterbi_is_best():
     """Unigram scores: the best of all segmentations."""
     pieces = {"▁": (0, -2.0), "a": (1, -3.0), "b": (2, -3.0), "ab": (3, -4.0), "▁a": (4, -4.5), "ba": (5, -3.5), "▁ab": (6, -8.0)}
-    codec = sentencepiece_codec.Codec({"kind": "unigram", "pieces": pieces, "bytes": None, "unknown": 99, "raw": []})
+    codec = sentencepiece_codec.Codec({"kind": "unigram", "pieces": pieces, "bytes": None, "unknown": 99, "raw": [x.replace("▁", " ").encode() for x in pieces]})
 
     def best(word):
         return 0.0 if not word else max((pieces[word[:k]][1] + best(word[k:]) for k in range(1, len(word) + 1) if word[:k] in pieces), default=-1e9)
@@ -337,7 +390,7 @@ def test_viterbi_is_best():
     for n in range(1, 6):
         for letters in itertools.product("ab", repeat=n):
             word = "".join(letters)
-            assert sum(score[i] for i in codec.encode([word])[0]) == pytest.approx(best("▁" + word))
+            assert sum(score[i] for i in codec.encode([word])[1].tolist()) == pytest.approx(best("▁" + word))
 
 
 def test_pipeline_stages_with_null_and_repeated_ids(spark):
