@@ -3,49 +3,82 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_LOCAL_SCRATCH: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where that is unset (tests) one of our own."""
+    """The shared folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a local session (as in tests) gets a folder of its own; on a cluster that is an error, as a
+    folder of the driver's would be another one on every executor.
+    """
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
     app = spark.sparkContext.applicationId
-    if app not in _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="hubweave-")
-        atexit.register(shutil.rmtree, _LOCAL_SCRATCH[app], True)
-    return f"file://{_LOCAL_SCRATCH[app]}"
+    if not re.fullmatch(r"local(\[[^,]*(,.*)?\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="hubweave-")
+        atexit.register(shutil.rmtree, _OWN[app], True)
+    return f"file://{_OWN[app]}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared scratch folder and read it back.
 
-    The table outlives lost executors. Like checkpoint files, it stays until the scratch folder is cleaned.
+    The table outlives lost executors. It stays until it is released or the scratch folder is cleaned. The shuffle files
+    behind it have served; they go when the driver collects its garbage, which Spark itself asks for only every 30 minutes.
+    Python workers get a few megabytes at a time, as rows may be long.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/hubweave/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    batch = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, "4m")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_BYTES, batch)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.hubweave_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote; everything made from them has to be written by then."""
+    for table in tables:
+        jvm, path = table.sparkSession.sparkContext._jvm, table.hubweave_path
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def first_rows(rows: DataFrame, by: str, order: list[str], n: int, buckets: int = 256) -> DataFrame:
+    """The first ``n`` rows of each value of ``by``, in two steps: no task meets all rows of a value."""
+    bucket = F.pmod(F.xxhash64(*order), F.lit(buckets))
+    some = rows.withColumn("bucket", bucket).withColumn("place", F.row_number().over(Window.partitionBy(by, "bucket").orderBy(*order))).where(F.col("place") <= n)
+    return some.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("place") <= n).drop("bucket", "place")
+
+
 # --- words ---------------------------------------------------------------------------------------
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -127,6 +160,27 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix64(np.add.reduceat(keyed, starts - begin) + (ends - starts).astype(np.uint64) * _GOLDEN)
 
 
+def runs(batches, name: str):
+    """Batches of rows sorted by ``name``, cut anew so that no value's rows are in two of them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch[name].to_numpy()
+        last = int(np.searchsorted(values, values[-1], "left"))
+        if last == 0 and (not held or held[-1][name][0].as_py() == values[0]):
+            held.append(batch)
+            continue
+        if last == 0 or (held and held[-1][name][0].as_py() != values[0]):
+            yield pa.concat_batches(held)
+            held = []
+        if last:
+            yield pa.concat_batches([*held, batch.slice(0, last)])
+        held = [batch.slice(last)]
+    if held:
+        yield pa.concat_batches(held)
+
+
 _SHINGLE_KEYS = mix64(np.arange(11, 11 + 64, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
 
 

@@ -1,11 +1,11 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
-N-grams stand in one global order, that of their 64-bit hashes, and the order is cut into fragments. Candidate pairs
-come from the head of the order; then each fragment counts the overlap of a pair's n-grams that fall in it, apart from
-the others, and the partial counts are summed per pair.
+N-grams stand in one global order, that of their 64-bit hashes, and the order is cut into fragments. The first fragment
+of every set, its head, says which sets can have a partner at all. Of the sets left, each fragment counts the overlap
+of a pair's n-grams that fall in it, apart from the others, and the partial counts are summed per pair.
 
 Why no pair is missed. Let t = 3/4, |A| = n. A pair with Jaccard >= t shares at least t * max(|A|, |B|) n-grams. If A
-shows its first n - ceil(t n) + l(n) n-grams in the order, with l(n) = 1 + floor(n * SLACK), then the two heads have at
+shows its first n - ceil(t n) + l(n) n-grams in the order, with l(n) = 1 + 8 n div 100, then the two heads have at
 least min(l(|A|), l(|B|)) n-grams in common, and so at least g = l(ceil(t n)) for either size. N-grams that only one
 set shows can be forgotten; sets left with fewer than g drop out. Most documents do, those that only share a common
 passage included.
@@ -14,7 +14,9 @@ Of the sets left, all n-grams are then asked, and again those of only one set ar
 keeps, from rare to frequent, the first that it has in common with a partner has ceil(t n) - 1 common ones after it, so
 it is among the first q - ceil(t n) + 1: these are A's keys. If a pair's first common n-gram has r and s kept n-grams
 after it in the two sets, then the overlap is at most 1 + min(r, s): keys where that is too little for the two sizes
-don't bring the pair together.
+don't bring the pair together. N-grams that one set forgot are in no overlap, so only kept ones are counted.
+
+N-grams move packed, many to a row: a task sorts those it has by the task that counts them.
 
 Hashes: 64 bits of n-grams and of whole sets. A clash of two n-grams would have to fall in both sets of a pair on the
 very edge of the threshold to matter.
@@ -25,185 +27,236 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import materialize, shingle_sets
+from .common import materialize, mix64, release, runs, shingle_sets
 from .linking import linked_groups
 
 NUMERATOR, DENOMINATOR = 75, 100
 WIDTH = 5
-SLACK = 0.08
 FRAGMENT_BITS = 2
-ROWS = 200_000
+AT_ONCE = 500_000  # n-grams that a task deals out together
+PER_TASK = 2_000_000  # n-grams that a task counts
+WORD_BYTES = 6  # of text, for a guess at the number of n-grams
+
+_LOAD = [("sets", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())]
+_LOAD_SQL = "sets binary, sizes binary, counts binary, grams binary"
 
 
-def _needed(n: int) -> int:
-    return -(-NUMERATOR * n // DENOMINATOR)
+def _needed(n):
+    return (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR
 
 
-def _margin(n: int) -> int:
-    return 1 + int(n * SLACK)
+def _margin(n):
+    return 1 + n * 8 // 100
 
 
 def _set_id(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _members(batches):
-    """(doc_id, n_shingles, set_id, head) of every row; head: the first n-grams of the set, packed."""
-    for batch in batches:
-        n, ids, heads = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [b""] * batch.num_rows
-        for row, hashes in shingle_sets(batch["text"], WIDTH):
-            n[row], ids[row] = len(hashes), _set_id(hashes)
-            heads[row] = hashes[: len(hashes) - _needed(len(hashes)) + _margin(len(hashes))].tobytes()
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(ids), pa.array(heads, pa.binary())], ["doc_id", "n_shingles", "set_id", "head"])
-
-
-def _unpacked(batch, least):
-    """(gram, set_id, least) of all n-grams of (set_id, n, grams), about ROWS at a time, one row's at least."""
-    grams = [np.frombuffer(g, np.int64) for g in batch["grams"].to_pylist()]
-    lengths = np.array([len(g) for g in grams])
-    ends, ids, begin = np.cumsum(lengths), batch["set_id"].to_numpy(), 0
-    while begin < len(grams):
-        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - lengths[begin] + ROWS, "right")))
-        cut = slice(begin, end)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams[cut])), pa.array(np.repeat(ids[cut], lengths[cut])), pa.array(np.repeat(least[cut], lengths[cut]))], ["gram", "set_id", "least"])
-        begin = end
-
-
-def _heads(batches):
-    """(gram, set_id, least) of the packed heads, once for the sets that a partition repeats."""
-    seen: set[int] = set()
-    for batch in batches:
-        new = []
-        for name in batch["set_id"].to_pylist():
-            new.append(name not in seen)
-            seen.add(name)
-        batch = batch.filter(pa.array(new, pa.bool_()))
-        yield from _unpacked(batch, np.array([_margin(_needed(n)) for n in batch["n"].to_pylist()], np.int32))
-
-
-def _repeated(batches):
-    """Of rows (gram, set_id, least) in order of gram, those whose gram several sets have; a row equal to the one before is left out.
-
-    One pass; all it holds back is the last row of a batch.
-    """
-    last = (None, None)  # gram and set of the last row seen
-    pending = None  # a last row whose gram no other row had yet
+class _Dealer:
+    """Gathers n-grams of sets and deals them out by the task that counts them."""
+
+    def __init__(self, parts: int):
+        self.parts, self.sets, self.sizes, self.held, self.size = parts, [], [], [], 0
+
+    def add(self, name: int, n: int, grams: np.ndarray) -> bool:
+        """Whether it is time to deal."""
+        self.sets.append(name)
+        self.sizes.append(n)
+        self.held.append(grams)
+        self.size += len(grams)
+        return self.size >= AT_ONCE
+
+    def deal(self):
+        """(place, sets, sizes, counts, grams): grams in runs by set, as many as counts says."""
+        if not self.held:
+            return
+        sets, sizes = np.array(self.sets, np.int64), np.array(self.sizes, np.int32)
+        grams, owner = np.concatenate(self.held), np.repeat(np.arange(len(sets)), [len(x) for x in self.held])
+        place = (mix64(grams) % np.uint64(self.parts)).astype(np.int32)
+        order = np.argsort(place, kind="stable")
+        grams, owner, place = grams[order], owner[order], place[order]
+        cuts = np.searchsorted(place, np.arange(self.parts + 1))
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
+            at = slice(cuts[p], cuts[p + 1])
+            own = owner[at]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            counts = np.diff(np.append(first, len(own))).astype(np.int32)
+            yield p, sets[own[first]].tobytes(), sizes[own[first]].tobytes(), counts.tobytes(), grams[at].tobytes()
+        self.sets, self.sizes, self.held, self.size = [], [], [], 0
+
+
+def _members(parts: int):
+    """Every row's doc_id, row_key, set_id and n, and the heads of the sets, each once in a task, dealt out by n-gram."""
+    schema = pa.schema([("place", pa.int32()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), *_LOAD])
+
+    def loads(dealer: _Dealer):
+        found = [(p, None, None, None, None, *load) for p, *load in dealer.deal()]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches):
+        dealer, seen = _Dealer(parts), set()
+        for batch in batches:
+            n, ids = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for row, hashes in shingle_sets(batch["text"], WIDTH):
+                n[row], ids[row] = len(hashes), _set_id(hashes)
+                if len(hashes) and ids[row] not in seen:
+                    seen.add(int(ids[row]))
+                    if dealer.add(int(ids[row]), len(hashes), hashes[: len(hashes) - _needed(len(hashes)) + _margin(len(hashes))]):
+                        yield from loads(dealer)
+            places = (batch["row_key"].to_numpy().view(np.uint64) % np.uint64(parts)).astype(np.int32)
+            empty = pa.nulls(batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(places), batch["doc_id"], batch["row_key"], pa.array(ids), pa.array(n), empty, empty, empty, empty], schema=schema)
+        yield from loads(dealer)
+
+    return run
+
+
+def _gathered(loads: list[dict]):
+    """(grams in order, their sets' places, sets, sizes) of all loads."""
+    named = np.concatenate([np.frombuffer(x["sets"], np.int64) for x in loads])
+    sizes = np.concatenate([np.frombuffer(x["sizes"], np.int32) for x in loads])
+    counts = np.concatenate([np.frombuffer(x["counts"], np.int32) for x in loads])
+    grams = np.concatenate([np.frombuffer(x["grams"], np.uint64) for x in loads])
+    sets, first, place = np.unique(named, return_index=True, return_inverse=True)
+    owner = np.repeat(place.astype(np.int32), counts)
+    order = np.argsort(grams)
+    return grams[order], owner[order], sets, sizes[first]
+
+
+def _shared(loads: list[dict]):
+    """(gram, number of its sets, set's place), in order of gram, of the n-grams that several sets have; sets; sizes."""
+    grams, owner, sets, sizes = _gathered(loads)
+    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+    several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
+    length = np.diff(np.append(first, len(grams)))
+    kept = np.repeat(several, length)
+    pairs = np.stack([np.repeat(np.cumsum(several) - 1, length)[kept], owner[kept]])
+    # a set that several tasks dealt out counts once
+    order = np.lexsort(pairs[::-1])
+    pairs, values = pairs[:, order], grams[kept][order]
+    new = np.ones(pairs.shape[1], bool)
+    new[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(0)
+    pairs, values = pairs[:, new], values[new]
+    return values, np.bincount(pairs[0], minlength=1)[pairs[0]], pairs[1], sets, sizes
+
+
+def _head_counts(batches):
+    """The rows of members as they are; of each set, how many n-grams of its head in this task several sets have."""
+    loads = []
     for batch in batches:
-        gram, ids = batch["gram"].to_numpy(), batch["set_id"].to_numpy()
-        if not len(gram):
+        rows = batch.filter(batch["grams"].is_null())
+        if rows.num_rows:
+            yield rows.select(["doc_id", "row_key", "set_id", "n"]).append_column("q", pa.nulls(rows.num_rows, pa.int64()))
+        loads += batch.filter(batch["grams"].is_valid()).select(["sets", "sizes", "counts", "grams"]).to_pylist()
+    if loads:
+        _, _, owner, sets, sizes = _shared(loads)
+        q = np.bincount(owner, minlength=len(sets))
+        some = np.flatnonzero(q)
+        empty = pa.nulls(len(some), pa.int64())
+        yield pa.RecordBatch.from_arrays([empty, empty, pa.array(sets[some]), pa.array(sizes[some].astype(np.int64)), pa.array(q[some])], ["doc_id", "row_key", "set_id", "n", "q"])
+
+
+def _deal_all(parts: int):
+    """All n-grams of texts, dealt out by n-gram."""
+    schema = pa.schema([("place", pa.int32()), *_LOAD])
+
+    def loads(dealer: _Dealer):
+        found = list(dealer.deal())
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches):
+        dealer = _Dealer(parts)
+        for batch in batches:
+            for _, hashes in shingle_sets(batch["text"], WIDTH):
+                if len(hashes) and dealer.add(_set_id(hashes), len(hashes), hashes):
+                    yield from loads(dealer)
+        yield from loads(dealer)
+
+    return run
+
+
+def _kept_grams(batches):
+    """(set_id, n, grams, often): the n-grams of a set in this task that several sets have, and how many have them."""
+    loads = [row for batch in batches for row in batch.select(["sets", "sizes", "counts", "grams"]).to_pylist()]
+    if not loads:
+        return
+    grams, often, owner, sets, sizes = _shared(loads)
+    order = np.argsort(owner, kind="stable")
+    grams, often, owner = grams[order], often[order].astype(np.int32), owner[order]
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+    for at in range(0, len(first), 5000):
+        begin = first[at : at + 5000]
+        end = np.append(first[at + 1 : at + 5000], first[at + 5000] if at + 5000 < len(first) else len(owner))
+        own = owner[begin]
+        packed = [[v[i:j].tobytes() for i, j in zip(begin.tolist(), end.tolist(), strict=True)] for v in (grams, often)]
+        yield pa.RecordBatch.from_arrays([pa.array(sets[own]), pa.array(sizes[own].astype(np.int64)), *[pa.array(x, pa.binary()) for x in packed]], ["set_id", "n", "grams", "often"])
+
+
+_KEYED = pa.schema([("set_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("after", pa.int64()), ("q", pa.int64()), ("fragment", pa.int32()), ("grams", pa.binary())])
+
+
+def _prefixes(batches):
+    """From the parts of each set, in order of set_id: its keys, and its kept n-grams by fragment."""
+    edges = np.arange(1, 1 << FRAGMENT_BITS, dtype=np.uint64) << np.uint64(64 - FRAGMENT_BITS)
+    for batch in runs(batches, "set_id"):
+        ids, n = batch["set_id"].to_numpy(), batch["n"].to_numpy()
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        parts = [[np.frombuffer(x, kind) for x in batch[c].to_pylist()] for c, kind in (("grams", np.uint64), ("often", np.int32))]
+        keys, segments = [], []
+        for begin, end in zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True):
+            grams, often = (np.concatenate(p[begin:end]) for p in parts)
+            size, q = int(n[begin]), len(grams)
+            if q < _needed(size):
+                continue
+            order = np.lexsort((grams, often))[: q - _needed(size) + 1]
+            keys.append((ids[begin], size, grams[order].view(np.int64), q - 1 - np.arange(len(order)), q))
+            grams = np.sort(grams)
+            cuts = [0, *np.searchsorted(grams, edges).tolist(), q]
+            segments += [(ids[begin], size, None, None, None, f, grams[cuts[f] : cuts[f + 1]].tobytes()) for f in range(1 << FRAGMENT_BITS)]
+        if not keys:
             continue
-        new = np.ones(len(gram), bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (ids[1:] != ids[:-1])
-        new[0] = (gram[0], ids[0]) != last
-        batch = batch.filter(pa.array(new))
-        gram, ids = gram[new], ids[new]
-        if not len(gram):
-            continue
-        as_before = np.zeros(len(gram), bool)
-        as_before[1:] = gram[1:] == gram[:-1]
-        as_before[0] = last[0] is not None and gram[0] == last[0]
-        as_next = np.append(as_before[1:], False)
-        if pending is not None and as_before[0]:
-            yield pending
-        pending = None if as_before[-1] else batch.slice(len(gram) - 1)
-        last = (gram[-1], ids[-1])
-        yield batch.filter(pa.array(as_before | as_next))
-
-
-def _segments(batches):
-    """(set_id, n, fragment, grams) for every fragment of every set; as fragment -1 the leading 16 bits of all n-grams."""
-    count = 1 << FRAGMENT_BITS
-    edges = (np.arange(1, count, dtype=np.uint64) << np.uint64(64 - FRAGMENT_BITS)).tolist()
-    for batch in batches:
-        out = []
-        for _, hashes in shingle_sets(batch["text"], WIDTH):
-            if len(hashes):
-                name = _set_id(hashes)
-                cuts = [0, *np.searchsorted(hashes, np.array(edges, np.uint64)).tolist(), len(hashes)]
-                out.append((name, len(hashes), -1, (hashes >> np.uint64(48)).astype(np.uint16).tobytes()))
-                out += [(name, len(hashes), f, hashes[cuts[f] : cuts[f + 1]].tobytes()) for f in range(count)]
-            if len(out) > 5000:
-                yield _segment_batch(out)
-                out = []
-        if out:
-            yield _segment_batch(out)
-
-
-def _segment_batch(rows):
-    names, n, fragments, grams = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(n, pa.int64()), pa.array(fragments, pa.int32()), pa.array(grams, pa.binary())], ["set_id", "n", "fragment", "grams"])
-
-
-def _grams_of(batches):
-    """(gram, set_id, least) of all n-grams of segments; least: how many of a set's n-grams any partner has."""
-    for batch in batches:
-        yield from _unpacked(batch, np.array([_needed(n) for n in batch["n"].to_pylist()], np.int32))
-
-
-@F.pandas_udf(T.LongType())
-def _partial_overlap(x: pd.Series, y: pd.Series) -> pd.Series:
-    return pd.Series([len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(x, y, strict=True)], dtype="int64")
-
-
-@F.pandas_udf(T.LongType())
-def _overlap_bound(x: pd.Series, y: pd.Series) -> pd.Series:
-    """At least the overlap of two sets, from the leading 16 bits of their n-grams: clashes only add to it."""
+        lengths = [len(k[2]) for k in keys]
+        columns = [np.repeat([k[i] for k in keys], lengths) if i in (0, 1, 4) else np.concatenate([k[i] for k in keys]) for i in range(5)]
+        empty = sum(lengths)
+        yield pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int64)) for c in columns], pa.nulls(empty, pa.int32()), pa.nulls(empty, pa.binary())], schema=_KEYED)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*segments, strict=True), _KEYED, strict=True)], schema=_KEYED)
 
-    def bound(a: bytes, b: bytes) -> int:
-        a, b = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
-        there = np.zeros(1 << 16, bool)
-        there[b] = True
-        back = np.zeros(1 << 16, bool)
-        back[a] = True
-        return int(min(there[a].sum(), back[b].sum()))
 
-    return pd.Series([bound(a, b) for a, b in zip(x, y, strict=True)], dtype="int64")
+def _partial_overlaps(batches):
+    """(a, b, na, nb, partial) of rows that hold one fragment of two sets."""
+    for batch in batches:
+        pairs = zip(batch["ga"].to_pylist(), batch["gb"].to_pylist(), strict=True)
+        partial = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in pairs]
+        yield batch.select(["a", "b", "na", "nb"]).append_column("partial", pa.array(partial, pa.int64()))
 
 
 def similar_sets(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set ids whose summed partial overlaps reach the threshold.
-
-    Pairs that their sizes rule out go first, then those that a bound from shortened n-grams rules out; only what is
-    left moves the fragments.
-    """
+    """The pairs (a, b) of set ids whose partial overlaps, counted per fragment and summed, reach the threshold."""
     left = segments.select(F.col("set_id").alias("a"), F.col("n").alias("na"), "fragment", F.col("grams").alias("ga"))
-    right = segments.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), "fragment", F.col("grams").alias("gb"))
+    right = segments.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("fragment").alias("f2"), F.col("grams").alias("gb"))
+    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").where("fragment = f2")
+    partial = both.select("a", "b", "na", "nb", "ga", "gb").mapInArrow(_partial_overlaps, "a long, b long, na long, nb long, partial long")
     reached = f"{DENOMINATOR} * overlap >= {NUMERATOR} * (na + nb - overlap)"
-
-    short_a, short_b = left.where("fragment = -1").drop("fragment"), right.where("fragment = -1").drop("fragment")
-    fitting = pairs.join(short_a.drop("ga"), "a").join(short_b.drop("gb"), "b").where(f"{DENOMINATOR} * least(na, nb) >= {NUMERATOR} * greatest(na, nb)")
-    bounded = fitting.join(short_a.select("a", "ga"), "a").join(short_b.select("b", "gb"), "b").select("a", "b", "na", "nb", _overlap_bound("ga", "gb").alias("overlap"))
-    hopeful = materialize(bounded.where(reached).drop("overlap"))
-
-    spread = hopeful.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit((1 << FRAGMENT_BITS) - 1))))
-    both = spread.join(left.drop("na"), ["a", "fragment"]).join(right.drop("nb"), ["b", "fragment"])
-    partial = both.select("a", "b", "na", "nb", _partial_overlap("ga", "gb").alias("partial"))
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("overlap")).where(reached).select("a", "b")
 
 
-def _survivors(heads: DataFrame) -> DataFrame:
-    """(set_id) of the sets that keep enough n-grams for a partner once n-grams of only one set are forgotten."""
-    grams = heads.groupBy("gram").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("gram")
-    held = heads.join(grams, "gram")
-    return held.groupBy("set_id").agg(F.count(F.lit(1)).alias("q"), F.first("least").alias("l")).where("q >= l").select("set_id")
-
-
-def _merged(info):
-    return F.struct(F.min(info["n"]).alias("n"), F.max(info["after"]).alias("after"))
-
-
 def _fits(x, y):
     """Whether sets of these sizes can link if they have no n-gram in common before the key, and ``after`` ones after it."""
     most = 1 + F.least(x["after"], y["after"])
     return DENOMINATOR * most >= NUMERATOR * (x["n"] + y["n"] - most)
 
 
+def _tasks(spark, grams: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-grams // PER_TASK))
+
+
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -211,49 +264,36 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     5-word shingles, the whole sequence if it has fewer words, nothing if it has none (or is null); empty sets are
     linked with nothing. Two rows link at Jaccard >= 0.75; component_id is the smallest doc_id reachable by links, the
     row's own included. Rows of equal sets are one node, so copies are never paired. Rows with a null doc_id take part
-    in the links but not in the choice of the smallest id. Other columns play no part.
+    in the links but not in the choice of the smallest id; repeated doc_ids are separate rows. Other columns play no part.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    members = materialize(texts.mapInArrow(_members, "doc_id long, n_shingles long, set_id long, head binary"))
-    sets = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("copies"))
-
-    rows = "gram long, set_id long, least int"
-
-    def several(grams: DataFrame, *order: str) -> DataFrame:
-        return grams.repartition("gram").sortWithinPartitions(*order).mapInArrow(_repeated, rows)
-
-    def enough(grams: DataFrame) -> DataFrame:
-        return grams.groupBy("set_id").agg(F.count(F.lit(1)).alias("q"), F.first("least").alias("l")).where("q >= l").select("set_id")
-
-    heads = members.where("n_shingles > 0").select("set_id", F.col("n_shingles").alias("n"), F.col("head").alias("grams")).mapInArrow(_heads, rows)
-    heads = materialize(several(heads, "gram", "set_id"))
-    left = _survivors(heads.join(enough(heads), "set_id"))
+    texts = texts.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = _tasks(spark, size // WORD_BYTES // 3)
+    dealt = texts.mapInArrow(_members(parts), f"place int, doc_id long, row_key long, set_id long, n long, {_LOAD_SQL}").repartitionById(parts, "place")
+    first = materialize(dealt.mapInArrow(_head_counts, "doc_id long, row_key long, set_id long, n long, q long"))
+
+    members = first.where("q is null")
+    sets = members.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("copies"), F.min("row_key").alias("row_key"))
+    heads = first.where("q is not null").groupBy("set_id", "n").agg(F.sum("q").alias("q"))
+    needed = f"({NUMERATOR} * n + {DENOMINATOR - 1}) div {DENOMINATOR}"
+    left = materialize(heads.where(f"q >= 1 + ({needed}) * 8 div 100").join(sets, "set_id").select("row_key", "n"))
 
     # all n-grams of the sets left: at least 3/4 of them must be another set's too
-    wanted = materialize(left.join(sets, "set_id").select("set_id", F.col("smallest").alias("doc_id")))
-    cut = "set_id long, n long, fragment int, grams binary"
-    segments = texts.join(wanted.select("doc_id"), "doc_id", "left_semi").select("text").mapInArrow(_segments, cut)
-    # sets of rows without an id are told by the set alone
-    nameless = texts.where("doc_id is null").select("text").mapInArrow(_segments, cut)
-    segments = segments.unionByName(nameless.join(wanted.where("doc_id is null").select("set_id"), "set_id", "left_semi"))
-    segments = materialize(segments.dropDuplicates(["set_id", "fragment"]))
-    grams = materialize(several(segments.where("fragment >= 0").select("n", "set_id", "grams").mapInArrow(_grams_of, rows), "gram"))
-    shared = materialize(enough(grams))
-    grams = grams.join(shared, "set_id", "left_semi")
-    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    by_set = Window.partitionBy("set_id")
-    ranked = grams.join(counts, "gram").select("gram", "set_id", "least", F.row_number().over(by_set.orderBy("sets", "gram")).alias("place"), F.count(F.lit(1)).over(by_set).alias("q"))
-    sizes = segments.where("fragment = -1").select("set_id", "n").join(shared, "set_id", "left_semi")
-    prefixes = ranked.where("place <= q - least + 1").join(sizes, "set_id")
-    keyed = materialize(prefixes.select(F.col("gram").alias("key"), F.col("set_id").alias("node"), F.struct("n", (F.col("q") - F.col("place")).alias("after")).alias("info")))
-    segments = segments.join(shared, "set_id", "left_semi")
-
-    groups, _ = linked_groups(keyed, lambda pairs: similar_sets(pairs, segments), _merged, _fits)
+    parts = _tasks(spark, left.agg(F.sum("n")).first()[0] or 0)
+    asked = texts.join(left.select("row_key").hint("merge"), "row_key", "left_semi").dropDuplicates(["row_key"]).select("text")
+    counted = asked.mapInArrow(_deal_all(parts), f"place int, {_LOAD_SQL}").repartitionById(parts, "place").mapInArrow(_kept_grams, "set_id long, n long, grams binary, often binary")
+    kept = materialize(counted.repartition("set_id").sortWithinPartitions("set_id").mapInArrow(_prefixes, "set_id long, n long, key long, after long, q long, fragment int, grams binary"))
+    segments = kept.where("key is null").select("set_id", "n", "fragment", "grams")
+    keyed = kept.where("key is not null").select("key", F.col("set_id").alias("node"), F.struct("n", "after", "q").alias("info"))
+    groups = linked_groups(keyed, lambda pairs: similar_sets(pairs, segments), _fits, lambda x: x["q"] / x["n"])
 
     named = groups.select(F.col("node").alias("set_id"), "group").join(sets, "set_id")
     smallest = named.groupBy("group").agg(F.min("smallest").alias("component_id"))
     linked = named.join(smallest, "group").select("set_id", "component_id")
     copied = sets.where("copies > 1").join(linked, "set_id", "left_anti").select("set_id", F.col("smallest").alias("component_id"))
     known = materialize(linked.unionByName(copied))
+    release(kept, left)
     out = members.join(known, "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
