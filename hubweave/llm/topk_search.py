@@ -1,10 +1,11 @@
 """Exact top-k inner-product search with an impact-ordered, score-at-a-time index.
 
-Components are integers, floor(256 x). The index holds blocks of vectors; in a block the postings (dimension, vector,
-impact) are cut into segments by quantised impact, the magnitude's leading bits, largest first. A block of queries is
-scored one segment level at a time. After each level, what the levels left over can still add to a score is bounded by
-Cauchy-Schwarz; vectors whose bound stays below the k-th best proven score drop out, and once few enough possible
-members are left, these are rescored exactly. A level is skipped only on that proof.
+Components are integers, floor(256 x). The index holds blocks of vectors; in a block the postings (vector, component) of
+each dimension are cut into segments by quantised impact, the octave of their magnitude below the block's largest. For
+a block of queries the segments are processed in descending impact, each adding to the scores of its own vectors only.
+After each impact, what the segments left over can still add to a score is bounded by Cauchy-Schwarz; vectors whose
+bound stays below the k-th best proven score of every query take no further part, and once few enough possible members
+are left, these are rescored exactly. A segment is skipped only on that proof.
 """
 
 from __future__ import annotations
@@ -18,15 +19,16 @@ from .common import materialize
 
 SCALE = 256
 BLOCK_ROWS = 4096
-QUERY_ROWS = 2048
-SLOTS = 32
-LARGEST = 1 << 18  # of a component's magnitude: scores then fit 64 bits
-LEVELS = 8  # segments by magnitude: [top/2, top], [top/4, top/2) ... and the rest
+QUERY_ROWS = 1024
+PER_SLOT = 8  # blocks of rows that meet the queries in one task
+IMPACTS = 8  # segments of a dimension by magnitude: [top/2, top], [top/4, top/2) ... and the rest
+EXACT = 2.0**62  # scores below it are sums of 64-bit products
 
 
-def _blocks(rows: int):
+def _packed(rows: int):
+    """Packs (vec_id, values) into blocks (dims, ids, block) of ``rows`` rows of one dimension."""
+
     def pack(batches):
-        """Packs (vec_id, values) into blocks (ids, values, dims) of ``rows`` rows of one dimension."""
         held: dict[int, tuple[list, list]] = {}
         for batch in batches:
             ids, lists = batch["vec_id"].to_numpy(), batch["values"]
@@ -34,66 +36,91 @@ def _blocks(rows: int):
             ends = np.cumsum(lengths)
             for dims in np.unique(lengths).tolist():
                 own = np.flatnonzero(lengths == dims)
-                values = np.stack([flat[ends[i] - dims : ends[i]] for i in own.tolist()])
                 a, b = held.setdefault(dims, ([], []))
                 a.append(ids[own])
-                b.append(values)
+                b.append(np.floor(np.stack([flat[ends[i] - dims : ends[i]] for i in own.tolist()])))
                 if sum(map(len, a)) >= rows:
-                    yield from _emit(*held.pop(dims), dims, rows)
+                    yield from _blocks(*held.pop(dims), dims, rows)
         for dims, (a, b) in held.items():
-            yield from _emit(a, b, dims, rows)
+            yield from _blocks(a, b, dims, rows)
 
     return pack
 
 
-def _emit(ids, values, dims, rows):
+def _blocks(ids, values, dims, rows):
     ids, values = np.concatenate(ids), np.concatenate(values)
     for i in range(0, len(ids), rows):
         yield pa.RecordBatch.from_pylist([{"dims": dims, "ids": ids[i : i + rows].tobytes(), "block": values[i : i + rows].tobytes()}], pa.schema([("dims", pa.int32()), ("ids", pa.binary()), ("block", pa.binary())]))
 
 
-def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vec_id, score) of each query's k best in one block, by (score desc, vec_id); its own row left out."""
-    order = np.argsort(ids, kind="stable")
-    ids, v = ids[order], v[order]
-    own = q_ids[:, None] == ids[None, :]
-    qf = q.astype(np.float64)
-    q_norm = np.sqrt((qf * qf).sum(1))[:, None]
-    magnitude = np.abs(v)
-    top = max(1, int(magnitude.max(initial=0)))
-    score = np.zeros((len(q), len(ids)))
-    seen = np.zeros(v.shape, bool)
-    k = min(k, len(ids))
-    member = ~own
-    for level in range(1, LEVELS + 1):
-        segment = ~seen & (magnitude >= (top >> level if level < LEVELS else 0))
-        score += qf @ np.where(segment, v, 0).T.astype(np.float64)
-        seen |= segment
-        left = np.where(seen, 0, v).astype(np.float64)
-        slack = q_norm * np.sqrt((left * left).sum(1))[None, :]
-        proven = np.where(own, -np.inf, score - slack)
-        kth = np.partition(proven, len(ids) - k, axis=1)[:, len(ids) - k][:, None]
-        member = ~own & (score + slack >= kth - 1e-6 - 1e-9 * np.abs(kth))
-        if member.sum() <= 4 * k * len(q) or not left.any():
+def _index(batches):
+    """Adds a block's postings: rows in order of (impact, dimension, row), and where each of these segments ends."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            values = np.abs(np.frombuffer(row["block"], np.float64).reshape(len(row["ids"]) // 8, row["dims"]))
+            top = max(1.0, values.max(initial=0.0))
+            with np.errstate(divide="ignore"):
+                impact = np.clip(np.floor(np.log2(top) - np.log2(values)), 0, IMPACTS - 1).astype(np.int64)
+            there = values.T > 0
+            dim, at = np.nonzero(there)
+            segment = impact.T[there] * row["dims"] + dim
+            order = np.argsort(segment, kind="stable")
+            ends = np.searchsorted(segment[order], np.arange(IMPACTS * row["dims"]), "right")
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((row["dims"], pa.int32()), (row["ids"], pa.binary()), (row["block"], pa.binary()), (at[order].astype(np.uint16).tobytes(), pa.binary()), (ends.astype(np.int32).tobytes(), pa.binary()))], ["dims", "ids", "block", "postings", "ends"])
+
+
+def _exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products of pairs of rows of integers: with 64 bits, or where that is too little with Python's integers."""
+    if not len(q) or np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * max(1, q.shape[1]) < EXACT:
+        return np.einsum("ij,ij->i", q.astype(np.int64), v.astype(np.int64))
+    exact = (sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for x, y in zip(q.tolist(), v.tolist(), strict=True))
+    return np.array([max(-(2**63), min(2**63 - 1, x)) for x in exact], np.int64)
+
+
+def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, postings: np.ndarray, ends: np.ndarray, k: int):
+    """(query row, vec_id, score) of each query's k best in one block, by (score desc, vec_id); its own id's rows left out."""
+    dims = q.shape[1]
+    own = ids[:, None] == q_ids[None, :]
+    member, k = ~own, min(k, len(ids))
+    with np.errstate(over="ignore", invalid="ignore"):
+        q_norm, v_norm = np.sqrt((q * q).sum(1)), np.sqrt((v * v).sum(1))
+        left = (v * v).sum(1)  # squared norm of what a vector's unseen segments hold
+        bounded = np.isfinite(q_norm).all() and np.isfinite(v_norm).all()
+    score = np.zeros((len(ids), len(q)))
+    active = np.ones(len(ids), bool)
+    begin = 0
+    for impact in range(IMPACTS if bounded else 0):
+        for dim in range(dims):
+            end = int(ends[impact * dims + dim])
+            rows = postings[begin:end]
+            rows, begin = rows[active[rows]], end
+            score[rows] += v[rows, dim, None] * q[None, :, dim]
+            left[rows] -= v[rows, dim] ** 2
+        slack = (np.sqrt(np.maximum(left, 0)) + 1e-9 * v_norm)[:, None] * q_norm[None, :] + 1e-6
+        proven = np.where(own | ~active[:, None], -np.inf, score - slack)
+        kth = np.partition(proven, len(ids) - k, axis=0)[len(ids) - k]
+        member &= score + slack >= kth[None, :]
+        active = member.any(1)
+        if member.sum() <= 4 * k * len(q):
             break
-    rows, cols = np.nonzero(member)
-    exact = np.einsum("ij,ij->i", q[rows].astype(np.int64), v[cols].astype(np.int64))
-    order = np.lexsort((ids[cols], -exact, rows))
-    rows, cols, exact = rows[order], cols[order], exact[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    kept = place < k
-    return rows[kept], ids[cols[kept]], exact[kept]
+    cols, rows = np.nonzero(member.T)
+    exact = _exact_scores(q[cols], v[rows])
+    order = np.lexsort((ids[rows], ~exact, cols))
+    cols, rows, exact = cols[order], rows[order], exact[order]
+    kept = np.arange(len(cols)) - np.searchsorted(cols, cols) < k
+    return cols[kept], ids[rows[kept]], exact[kept]
 
 
 def _search(k: int):
     def search(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 dims = row["dims"]
                 q_ids, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                q, v = (np.frombuffer(row[x], np.int64).reshape(-1, dims) for x in ("q_block", "block"))
-                rows, found, scores = _best(q_ids, q, ids, v, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(found), pa.array(scores)], ["query_id", "vec_id", "score"])
+                q, v = (np.frombuffer(row[x], np.float64).reshape(n, dims) for x, n in (("queries", len(q_ids)), ("block", len(ids))))
+                at, found, scores = _best(q_ids, q, ids, v, np.frombuffer(row["postings"], np.uint16), np.frombuffer(row["ends"], np.int32), k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["query_block"])), pa.array(at), pa.array(q_ids[at]), pa.array(found), pa.array(scores)], ["query_block", "at", "query_id", "vec_id", "score"])
 
     return search
 
@@ -102,27 +129,29 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     """For each row whose id is divisible by ``every``: its k rows of highest integer inner product.
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id; with fewer candidates, all of them.
-    Candidates are all rows but those of the query's own id. Vectors that are null or hold a null or non-finite
-    component take no part, nor do rows without an id; only vectors of equal length are compared; an empty vector scores
-    0 against other empty ones; vectors with a component of 2^18 or more in magnitude take no part. Repeated ids are expected not to occur: a repeated id counts as one query per row.
-    Other columns play no part.
+    Candidates are all rows but those of the query's own id; of rows that repeat an id each is a query and a candidate
+    of its own. Vectors that are null or hold a null or non-finite component take no part, nor do rows without an id;
+    only vectors of equal length are compared; an empty vector scores 0 against other empty ones. Components and scores
+    are exact at any magnitude; a score that 64 bits can't hold is their nearest bound. An empty table
+    gives an empty result. Other columns play no part.
 
     Both the rows and the queries are packed into blocks of bounded size, and each block of rows meets each block of
-    queries; per pair of blocks only k rows a query leave.
+    queries; per pair of blocks only k rows a query leave. The queries are copied once for every PER_SLOT blocks of rows.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
-    finite = F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < LARGEST))
-    whole = rows.where(F.col("vec_id").isNotNull() & finite).select("vec_id", F.transform("x", lambda c: F.floor(c * SCALE)).cast("array<bigint>").alias("values"))
+    finite = F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    whole = rows.where(F.col("vec_id").isNotNull() & finite).select("vec_id", F.transform("x", lambda c: c * SCALE).alias("values"))
     shape = "dims int, ids binary, block binary"
-    index = whole.mapInArrow(_blocks(BLOCK_ROWS), shape)
+    index = materialize(whole.mapInArrow(_packed(BLOCK_ROWS), shape).mapInArrow(_index, f"{shape}, postings binary, ends binary"))
+    slots = -(-index.count() // PER_SLOT) or 1
     queries = whole.where(F.col("vec_id") % every == 0)
     parts = -(-queries.count() // QUERY_ROWS) or 1
-    asked = materialize(queries.repartition(parts, "vec_id").mapInArrow(_blocks(QUERY_ROWS), shape)).toDF("dims", "q_ids", "q_block")
-    # each block of rows has one of SLOTS places, and every place has all blocks of queries
-    placed = index.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(SLOTS)).cast("int"))
-    asked = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
-    found = placed.join(asked, ["slot", "dims"]).mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    by_query = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    asked = queries.repartition(parts, "vec_id").mapInArrow(_packed(QUERY_ROWS), shape).toDF("dims", "q_ids", "queries")
+    asked = materialize(asked.withColumn("query_block", F.monotonically_increasing_id()))
+    placed = index.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
+    copied = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    found = placed.join(copied.hint("merge"), ["slot", "dims"]).mapInArrow(_search(k), "query_block long, at long, query_id long, vec_id long, score long")
+    by_query = Window.partitionBy("query_block", "at").orderBy(F.col("score").desc(), "vec_id")
     return found.select("query_id", F.row_number().over(by_query).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
