@@ -2,8 +2,9 @@
 
 Each language has a context tree of bytes with up to ORDER bytes of context and escape probabilities of method C
 (symbols seen: count / (n + d), escape: d / (n + d), then the next shorter context; at last 1/256). The statistics are
-frozen after training, so the cost of every symbol in every context is fixed: the trees are compiled into one table of
-code lengths, and the exact code length of a text under a language is a sum of looked-up values.
+frozen after training, so the cost of every symbol in every context is fixed: the trees are compiled into tables of code
+lengths, one per length of context, with a value per language for each symbol that some language has seen in a context.
+The exact code length of a text under a language is a sum of looked-up values. Nothing that the sample holds is left out.
 """
 
 from __future__ import annotations
@@ -11,15 +12,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, string_parts
+from .common import _LOWER, first_rows, string_parts
 
 ORDER = 3
 SAMPLE_PER_LANGUAGE = 400  # bound of the fit: training documents per language
-MOST_GRAMS = 400_000  # distinct (language, context and symbol) kept, the most frequent
-MOST_CELLS = 1 << 24  # code lengths in the compiled table, all languages together
+DENSE_CELLS = 1 << 24  # a larger table of contexts and symbols is searched, not looked up
 UNKNOWN = "und"
 
 
@@ -61,12 +61,11 @@ def train(docs: DataFrame) -> dict:
     """The compiled model from at most SAMPLE_PER_LANGUAGE documents of each language, first by a digest of the id."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", key.alias("key"))
-    order = Window.partitionBy("lang").orderBy("key", "doc_id")
-    chosen = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_PER_LANGUAGE).select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang")).distinct()
+    chosen = first_rows(ids, "lang", ["key", "doc_id"], SAMPLE_PER_LANGUAGE).select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang")).distinct()
     texts = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     sample = texts.join(F.broadcast(chosen), (texts["doc_id"] == chosen["chosen_id"]) & (texts["lang"] == chosen["chosen_lang"]))
     grams = sample.select("lang", F.col("text").cast("string").alias("text")).mapInArrow(_grams, "lang string, gram long, n long")
-    grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "lang", "gram").limit(MOST_GRAMS)
+    grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return compile_trees(grams.toPandas())
 
 
@@ -84,60 +83,87 @@ def compile_trees(grams: pd.DataFrame) -> dict:
     a, b, c, s = (symbol[p] for p in parts)
     n = grams["n"].to_numpy(np.float64)
     of_lang = grams["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
+    contexts = [np.zeros_like(c), c, b * width + c, (a * width + b) * width + c]
 
-    # nodes: the empty context, then contexts by length and frequency while there is room
-    most = max(1, MOST_CELLS // (width * len(langs)))
-    keys = [np.zeros_like(c), c, b * width + c, (a * width + b) * width + c]
-    nodes: list[dict[int, int]] = []
-    count = 0
+    orders: list[dict] = []
     for k in range(ORDER + 1):
-        total = pd.Series(n).groupby(keys[k]).sum().reset_index().sort_values([0, "index"], ascending=[False, True])["index"].to_numpy()
-        nodes.append({int(x): count + i for i, x in enumerate(total[: max(0, most - count)])})
-        count += len(nodes[k])
-
-    # deepest node for the last three symbols
-    deepest = np.zeros(width**3, np.int32)
-    index = np.arange(width**3)
-    for k, modulus in ((1, width), (2, width**2), (3, width**3)):
-        table = np.full(modulus, -1, np.int64)
-        for key, node in nodes[k].items():
-            table[key] = node
-        found = table[index % modulus]
-        deepest = np.where(found >= 0, found, deepest).astype(np.int32)
-
-    costs = np.empty((len(langs), count, width), np.float32)
-    for i in range(len(langs)):
-        own = of_lang == i
-        for k in range(ORDER + 1):
-            sums = pd.DataFrame({"key": keys[k][own], "s": s[own], "n": n[own]}).groupby(["key", "s"])["n"].sum().reset_index()
-            known = {key: part for key, part in sums.groupby("key")}
-            for key, node in nodes[k].items():
-                if k == 0:
-                    shorter = np.full(width, 8.0, np.float32)
-                else:
-                    parent = key % width ** (k - 1)
-                    shorter = costs[i, nodes[k - 1].get(int(parent), 0)]
-                part = known.get(key)
-                if part is None:
-                    costs[i, node] = shorter
-                    continue
-                seen, total = part["n"].to_numpy(), part["n"].sum()
-                costs[i, node] = shorter + np.float32(np.log2((total + len(seen)) / len(seen)))
-                costs[i, node, part["s"].to_numpy()] = np.log2((total + len(seen)) / seen)
-    return {"languages": langs, "symbol": symbol, "width": width, "deepest": deepest, "costs": costs.reshape(len(langs), -1)}
-
-
-def code_lengths(column: pa.Array, model: dict):
+        cells, cell = np.unique(contexts[k] * width + s, return_inverse=True)
+        nodes, node = np.unique(cells // width, return_inverse=True)
+        costs, escapes = np.empty((len(langs), len(cells)), np.float32), np.zeros((len(langs), len(nodes)), np.float32)
+        shorter = _find(orders[k - 1]["cells"], (cells // width) % width ** (k - 1) * width + cells % width) if k else None
+        for i in range(len(langs)):
+            own = of_lang == i
+            count = np.bincount(cell[own], n[own], len(cells))
+            total, seen = np.bincount(node, count, len(nodes)), np.bincount(node, count > 0, len(nodes))
+            known = seen > 0
+            escapes[i, known] = np.log2((total[known] + seen[known]) / seen[known])
+            with np.errstate(divide="ignore"):
+                coded = np.log2((total[node] + seen[node]) / np.maximum(count, 1e-300))
+            costs[i] = np.where(count > 0, coded, escapes[i, node] + (orders[k - 1]["costs"][i, shorter] if k else 8.0))
+        orders.append({"cells": cells, "nodes": nodes, "costs": costs, "escapes": escapes})
+    return {"languages": langs, "symbol": symbol, "width": width, "orders": orders}
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted value stands in the sorted keys, -1 for one that isn't there."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+class Lookup:
+    """Where contexts and symbols stand in the tables of a model: by a dense table where that is small, else by search."""
+
+    def __init__(self, model: dict):
+        self.width, self.tables = model["width"], []
+        for k, order in enumerate(model["orders"]):
+            dense = None
+            if self.width ** min(k, 3) <= DENSE_CELLS and len(order["nodes"]) * self.width <= DENSE_CELLS:
+                place = np.full(self.width**k, len(order["nodes"]), np.int32)
+                place[order["nodes"]] = np.arange(len(order["nodes"]))
+                rows = np.full((len(order["nodes"]) + 1) * self.width, -1, np.int32)
+                rows[place[order["cells"] // self.width].astype(np.int64) * self.width + order["cells"] % self.width] = np.arange(len(order["cells"]))
+                dense = place, rows
+            self.tables.append((dense, order))
+
+    def cell(self, k: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        dense, order = self.tables[k]
+        if dense is None:
+            return _find(order["cells"], context * self.width + symbol)
+        return dense[1][dense[0][context].astype(np.int64) * self.width + symbol]
+
+    def node(self, k: int, context: np.ndarray) -> np.ndarray:
+        return _find(self.tables[k][1]["nodes"], context)
+
+
+def code_lengths(column: pa.Array, model: dict, lookup: Lookup | None = None):
     """Yield (first row, bits) with a row of bits per text, one per language."""
-    width = model["width"]
+    lookup, width = lookup or Lookup(model), model["width"]
     for row, offsets, data in string_parts(column, 1 << 19):
         bits = np.zeros((len(offsets) - 1, len(model["languages"])))
         if len(data):
             now, (b1, b2, b3) = _codes(offsets, data, model["symbol"])
-            cell = model["deepest"][(b3 * width + b2) * width + b1].astype(np.int64) * width + now
+            context = (b3 * width + b2) * width + b1
+            at = lookup.cell(ORDER, context, now)
             full = np.flatnonzero(np.diff(offsets))
+            new = np.flatnonzero(at < 0)
             for i in range(bits.shape[1]):
-                bits[full, i] = np.add.reduceat(model["costs"][i][cell].astype(np.float64), offsets[full])
+                costs = model["orders"][ORDER]["costs"][i]
+                found = costs[at].astype(np.float64)
+                found[new] = 0
+                bits[full, i] = np.add.reduceat(found, offsets[full])
+            # what no language has seen after three bytes: escape to ever shorter contexts
+            owner, context, now = np.searchsorted(offsets, new, "right") - 1, context[new], now[new]
+            for k in range(ORDER, -1, -1):
+                if not len(now):
+                    break
+                order, node = model["orders"][k], lookup.node(k, context)
+                at = lookup.cell(k - 1, context % width ** (k - 1), now) if k else np.full(len(now), -1)
+                for i in range(bits.shape[1]):
+                    cost = np.where(node >= 0, order["escapes"][i, node], 0).astype(np.float64)
+                    cost += np.where(at >= 0, model["orders"][k - 1]["costs"][i][at], 0) if k else 8.0
+                    bits[:, i] += np.bincount(owner, cost, len(bits))
+                left = at < 0
+                owner, context, now = owner[left], context[left] % (width ** (k - 1) if k else 1), now[left]
         yield row, bits
 
 
@@ -157,11 +183,12 @@ def identify(docs: DataFrame) -> DataFrame:
 
     def predict(batches):
         m = model.value
+        lookup = Lookup(m) if m["languages"] else None
         for batch in batches:
             if not m["languages"]:
                 yield _predictions(batch, [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows))
                 continue
-            for row, bits in code_lengths(batch["text"], m):
+            for row, bits in code_lengths(batch["text"], m, lookup):
                 part = batch.slice(row, len(bits))
                 best = bits.argmin(1)
                 score = 1 / np.exp2(np.minimum(bits.min(1, keepdims=True) - bits, 0)).sum(1)

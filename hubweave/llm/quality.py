@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, mix64, string_parts, word_hashes, word_spans
+from .common import _LOWER, first_rows, mix64, string_parts, word_hashes, word_spans
 
 SAMPLE_PER_LABEL = 1500  # bound of the fit: labelled rows taken per label
 AXES = 48
+ITERATIONS = 12
 NEIGHBOURS = 15
 THRESHOLD = 0.3
 WORDS, SHAPES, PAIRS = 768, 256, 1023  # hashed places; one more for repeats
@@ -61,8 +62,8 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, quality, text of at most SAMPLE_PER_LABEL rows per label, first in order of a digest of the id."""
     per_doc = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     per_doc = per_doc.groupBy("doc_id").agg(F.min("quality").alias("quality")).where(~held_out(F.col("doc_id")))
-    order = Window.partitionBy("quality").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    chosen = per_doc.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_PER_LABEL).drop("place")
+    digested = per_doc.withColumn("digest", F.md5(F.col("doc_id").cast("string").cast("binary")))
+    chosen = first_rows(digested, "quality", ["digest", "doc_id"], SAMPLE_PER_LABEL).drop("digest")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.join(F.broadcast(chosen), "doc_id").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "text").limit(2 * SAMPLE_PER_LABEL)
 
@@ -77,12 +78,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     if rows.empty:
         return {"idf": np.ones(PLACES, np.float32), "axes": np.zeros((PLACES, 1), np.float32), "vectors": np.zeros((0, 1), np.float32), "labels": np.zeros(0), "prior": 0.5}
     rows = rows.sort_values(["doc_id", "quality", "counts"])
-    counts = np.stack([np.frombuffer(x, np.float32) for x in rows["counts"]])
+    labels = rows["quality"].to_numpy(np.float64)
+    counts = np.stack([np.frombuffer(x, np.float32) for x in rows.pop("counts")])
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
-    terms = weigh(counts, idf).astype(np.float64)
-    _, vectors = np.linalg.eigh(terms.T @ terms)
-    axes = vectors[:, ::-1][:, :AXES].astype(np.float32)
-    return {"idf": idf, "axes": axes, "vectors": latent(counts, idf, axes), "labels": rows["quality"].to_numpy(np.float64), "prior": float(rows["quality"].mean())}
+    axes = latent_axes(weigh(counts, idf))
+    return {"idf": idf, "axes": axes, "vectors": latent(counts, idf, axes), "labels": labels, "prior": float(labels.mean())}
+
+
+def latent_axes(terms: np.ndarray) -> np.ndarray:
+    """The leading right singular directions of ``terms``, by iterating on a subspace that is a third wider."""
+    basis = np.linalg.qr(np.random.default_rng(0).normal(size=(terms.shape[1], min(AXES + AXES // 3, *terms.shape))))[0]
+    for _ in range(ITERATIONS):
+        basis = np.linalg.qr(terms.T @ (terms @ basis.astype(np.float32)))[0]
+    small = (terms @ basis.astype(np.float32)).astype(np.float64)
+    _, turned = np.linalg.eigh(small.T @ small)
+    return (basis @ turned[:, ::-1][:, :AXES]).astype(np.float32)
 
 
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
