@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PAGE = 256  # turns of one rendering at most; longer conversations continue on the next page
+PAGE = 256  # turns of one row at most; a longer conversation goes on in the next row
 SYSTEM = "system"
 
 
@@ -18,6 +18,11 @@ def _cell(text):
     return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
 
 
+def _name(role):
+    """A role in a header, which ends with its line."""
+    return F.regexp_replace(_cell(role), r"[\r\n]", " ")
+
+
 def rotate_perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per conversation, participant and page: conv_id, participant, page, n_turns, text, spans.
 
@@ -27,16 +32,21 @@ def rotate_perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str =
     first on the page of turn 0; repeated rows are rendered as often. A null role is the speaker ``unknown``, a null text is empty, rows with
     a null conv_id form one conversation. An empty table gives an empty result; other columns play no part.
 
-    Pages hold PAGE turns at most, so no conversation is gathered whole; their number grows with its length.
+    A conversation of up to PAGE turns is one row for each participant, whatever its turn numbers. A row can't hold a
+    conversation of any length, so longer ones are cut after every PAGE turns; the texts of their pages, put together in
+    order, are the whole rendering.
     """
     speaker = F.coalesce(F.col(role).cast("string"), F.lit("unknown"))
     rows = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), speaker.alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("stretch", F.coalesce(F.floor(F.col("turn") / PAGE), F.lit(0)))
+    # places in a conversation in two steps, as it may be long: within a stretch of turn numbers, then over stretches
+    rows = rows.withColumn("stretch", F.coalesce(F.floor(F.col("turn") / PAGE), F.lit(-(2**62))))
     order = Window.partitionBy("conv_id", "stretch").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("part", F.expr(f"(place - 1) div {PAGE}"))
-    pages = rows.groupBy("conv_id", "stretch", "part").agg(F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
-    numbers = pages.select("conv_id", "stretch", "part", F.row_number().over(Window.partitionBy("conv_id").orderBy("stretch", "part")).alias("page"))
-    pages = pages.join(numbers.withColumnsRenamed({"conv_id": "c", "stretch": "s", "part": "p"}), F.expr("conv_id <=> c and stretch = s and part = p")).select("conv_id", "page", "turns")
+    sizes = rows.groupBy("conv_id", "stretch").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col("conv_id").alias("c"), F.col("stretch").alias("s"), F.coalesce(before, F.lit(0)).alias("before"))
+    placed = rows.withColumn("place", F.row_number().over(order)).join(sizes, F.expr("conv_id <=> c and stretch = s"))
+    placed = placed.select("conv_id", (F.col("before") + F.col("place")).alias("place"), "role", "text").withColumn("page", F.expr(f"cast((place - 1) div {PAGE} + 1 as int)"))
+    pages = placed.groupBy("conv_id", "page").agg(F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
 
     speakers = rows.groupBy("conv_id", "role").count().withColumn("participant", F.when(F.col("role") != SYSTEM, F.col("role")))
     alone = speakers.groupBy("conv_id").agg(F.count("participant").alias("n"))
@@ -44,7 +54,7 @@ def rotate_perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str =
     seen = pages.join(speakers, F.expr("conv_id <=> c")).drop("c")
 
     def head(t):
-        name = F.when(t["role"].eqNullSafe(F.col("participant")), F.lit("assistant")).when(t["role"] == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user name="), _cell(t["role"])))
+        name = F.when(t["role"].eqNullSafe(F.col("participant")), F.lit("assistant")).when(t["role"] == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user name="), _name(t["role"])))
         return F.concat(F.lit("<|im_start|>"), name, F.lit("\n"))
 
     parts = F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(_cell(t["text"]), F.lit("<|im_end|>\n")).alias("body"), t["role"].eqNullSafe(F.col("participant")).alias("own")))
@@ -74,14 +84,13 @@ def formatted_query(turns: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = f"""
-WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CAST(coalesce(floor(turn / {PAGE}.0), 0) AS BIGINT) AS stretch FROM conversations),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, stretch ORDER BY turn NULLS FIRST, role, text) AS place FROM r),
-p AS (SELECT *, (place - 1) // {PAGE} AS part FROM o),
-q AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY stretch, part) AS page FROM p),
+WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM r),
+q AS (SELECT *, (place - 1) // {PAGE} + 1 AS page FROM o),
 s AS (SELECT DISTINCT conv_id, CASE WHEN role <> 'system' THEN role END AS participant FROM r),
 k AS (SELECT * FROM s WHERE participant IS NOT NULL UNION ALL SELECT conv_id, NULL FROM s GROUP BY conv_id HAVING count(participant) = 0),
 t AS (SELECT q.conv_id, k.participant, q.page, q.place, q.role IS NOT DISTINCT FROM k.participant AS own,
-             '<|im_start|>' || CASE WHEN q.role IS NOT DISTINCT FROM k.participant THEN 'assistant' WHEN q.role = 'system' THEN 'system' ELSE 'user name=' || replace(q.role, '<|', '< |') END || chr(10) AS head,
+             '<|im_start|>' || CASE WHEN q.role IS NOT DISTINCT FROM k.participant THEN 'assistant' WHEN q.role = 'system' THEN 'system' ELSE 'user name=' || replace(replace(replace(q.role, '<|', '< |'), chr(10), ' '), chr(13), ' ') END || chr(10) AS head,
              replace(q.text, '<|', '< |') || '<|im_end|>' || chr(10) AS body
       FROM q JOIN k ON q.conv_id IS NOT DISTINCT FROM k.conv_id),
 u AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant, page ORDER BY place) AS upto FROM t)
