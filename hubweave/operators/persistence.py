@@ -71,14 +71,24 @@ def metrics_evolution(globals_: DataFrame) -> DataFrame:
     return globals_.select(*KEY, "threshold", "density", "clustering", F.col("path_length").alias("avg_path_length"), "modularity", F.col("n_components").alias("components"))
 
 
-def aggregated_metrics(swept: DataFrame, globals_: DataFrame) -> DataFrame:
-    """(method, grp, node, weighted_strength, mean_weight, appearance_rate): strengths weighed by clustering * density
-    of each threshold, 0.01 at least."""
-    weight = globals_.select(*SWEPT, F.greatest(F.col("clustering") * F.col("density"), F.lit(0.01)).alias("weight"))
+def aggregated_metrics(swept: DataFrame, globals_: DataFrame, values: tuple[str, ...] = ("strength",)) -> DataFrame:
+    """(method, grp, node, mean_<value>..., stability, appearance_rate): node values over the thresholds at which the
+    node has a row, weighed by clustering * density of the threshold's network.
+
+    A weight that is not above 0 (or not finite) counts as 0.01; others, however small, count as they are. stability is
+    the mean weight. Rows in which a value is not finite count for the appearance only. A node isolated at a threshold
+    has a row there, so its rate is the share of the thresholds that have a network.
+    """
+    product = F.col("clustering") * F.col("density")
+    weight = globals_.select(*SWEPT, F.when((product > 0) & (product < float("inf")), product).otherwise(F.lit(0.01)).alias("weight"))
     n = globals_.groupBy(*KEY).agg(F.count(F.lit(1)).alias("steps"))
-    j = swept.join(F.broadcast(weight), list(SWEPT))
-    s = j.groupBy(*KEY, "node").agg((F.sum(F.col("strength") * F.col("weight")) / F.sum("weight")).alias("weighted_strength"), F.avg("weight").alias("mean_weight"), F.count_if(F.col("strength") > 0).alias("seen"))
-    return s.join(F.broadcast(n), KEY).select(*KEY, "node", "weighted_strength", "mean_weight", (F.col("seen") / F.col("steps")).alias("appearance_rate"))
+    finite = F.lit(True)
+    for v in values:
+        finite &= F.col(v).isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    j = swept.join(F.broadcast(weight), list(SWEPT)).withColumn("used", F.when(finite, F.col("weight")))
+    means = [F.coalesce(F.sum(F.col(v) * F.col("used")) / F.sum("used"), F.lit(0.0)).alias(f"mean_{v}") for v in values]
+    s = j.groupBy(*KEY, "node").agg(*means, F.coalesce(F.avg("used"), F.lit(0.0)).alias("stability"), F.count(F.lit(1)).alias("seen"))
+    return s.join(F.broadcast(n), KEY).select(*KEY, "node", *[f"mean_{v}" for v in values], "stability", (F.col("seen") / F.col("steps")).alias("appearance_rate"))
 
 
 def trapezoid(table: DataFrame, value: str, *key: str) -> DataFrame:

@@ -21,8 +21,9 @@ def hub_regions(consensus: DataFrame, *by: str, at: float = 0.6) -> DataFrame:
 
 
 def histogram(table: DataFrame, value: str, low: float, high: float, bins: int, *by: str) -> DataFrame:
-    """(by, bin, n): counts of equal bins, the first 1; values outside the range fall in the end bins."""
-    at = F.least(F.greatest(F.floor((F.col(value) - low) / (high - low) * bins) + 1, F.lit(1)), F.lit(bins)).cast("int")
+    """(by, bin, n): counts of equal bins, the first 1; values outside the range fall in the end bins. A value within
+    9 decimals of an edge is on it."""
+    at = F.least(F.greatest(F.floor(F.round((F.col(value) - low) / (high - low) * bins, 9)) + 1, F.lit(1)), F.lit(bins)).cast("int")
     return table.where(F.col(value).isNotNull()).groupBy(*by, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -5,6 +5,8 @@ Input of most functions: ``scores`` (approach, method, node, value) of one group
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +19,11 @@ CASES = 15  # denominator of the sensitivity analysis: five methods by three app
 
 def rank_consensus(scores: DataFrame, *key: str) -> DataFrame:
     """(key, node, avg_rank, consensus, n_methods): mean of falling min-ranks over all columns, missing nodes counting
-    as 0, rescaled so that the best node is 1 (all 1 where all are equal)."""
+    as 0, rescaled so that the best node is 1 (all 1 where all are equal). Values that agree to 9 decimals tie."""
     columns = scores.select(*key, "approach", "method").distinct()
     nodes = scores.select(*key, "node").distinct()
     full = columns.join(nodes, list(key)).join(scores, [*key, "approach", "method", "node"], "left").withColumn("value", F.coalesce(F.when(F.isnan("value") | (F.abs("value") == float("inf")), F.lit(0.0)).otherwise(F.col("value")), F.lit(0.0)))
-    ranks = full.withColumn("rank", min_rank("value", *key, "approach", "method")).groupBy(*key, "node").agg(F.avg("rank").alias("avg_rank"), F.count(F.lit(1)).alias("n_methods"))
+    ranks = full.withColumn("value", F.round("value", 9)).withColumn("rank", min_rank("value", *key, "approach", "method")).groupBy(*key, "node").agg(F.avg("rank").alias("avg_rank"), F.count(F.lit(1)).alias("n_methods"))
     w = Window.partitionBy(*key)
     scaled = F.try_divide(F.max("avg_rank").over(w) - F.col("avg_rank"), F.max("avg_rank").over(w) - F.min("avg_rank").over(w))
     return ranks.withColumn("consensus", F.coalesce(scaled, F.lit(1.0)))
@@ -72,40 +74,84 @@ def uncertainty(consensus: DataFrame) -> DataFrame:
     return out.withColumn("uncertainty", kind).withColumn("all_three_agree", agree == 3).withColumn("two_agree", agree >= 2)
 
 
+def _at_taus(hubs: DataFrame, taus: list[float], *key: str) -> DataFrame:
+    points = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(float(t)).alias("tau")) for i, t in enumerate(taus)])
+    return hubs.select(*key, "node", "z", F.explode(points).alias("p")).select(*key, "node", "z", "p.at", "p.tau")
+
+
 def calibrate_threshold(hubs: DataFrame, taus: list[float], *key: str) -> DataFrame:
-    """(key, tau, n_hubs, stability, score, best): how stable the hub set is over thresholds ``taus``.
+    """(key, tau, share, hub_modularity, hub_clustering, hub_density, score, best): quality of each threshold.
+
+    The z of all networks of a key are pooled. A third of the distinct z (to 9 decimals) stands for the number of
+    nodes, a third of the distinct ones from tau on for that of hubs. Fewer than 2 hubs score 0. Else the score adds
+
+    * 1 for a share of hubs from 5 to 15 percent, otherwise exp(-10 |share - 0.1|);
+    * modularity: 1 - sd / mean of the hubs' z, within 0 and 1 (0 for 3 z or fewer);
+    * clustering: 1 / (1 + range of the hubs' z) (0 for 3 z or fewer);
+    * 0.5 if density, twice the share but 0.6 at most, is 0.1 at least.
 
-    Per tau: hubs of each network, mean share of nodes, and 1 - CV of the hub counts over networks; the score favours
-    shares of 5 to 15 percent. The first tau of the highest score is marked.
+    The first tau of the highest score is marked.
     """
-    points = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(float(t)).alias("tau")) for i, t in enumerate(taus)])
-    per = hubs.select(*key, "approach", "method", "node", "z", F.explode(points).alias("p")).select(*key, "approach", "method", "z", "p.at", "p.tau").groupBy(*key, "at", "tau", "approach", "method").agg(F.count_if(F.col("z") >= F.col("tau")).alias("n"), F.count(F.lit(1)).alias("all"))
-    s = per.groupBy(*key, "at", "tau").agg(F.sum("n").alias("n_hubs"), F.avg(F.col("n") / F.col("all")).alias("share"), F.avg("n").alias("mean"), F.stddev_samp("n").alias("sd"))
-    stability = F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide("sd", "mean"), F.lit(1.0)))
-    s = s.withColumn("stability", stability).withColumn("score", F.col("stability") + F.when((F.col("share") >= 0.05) & (F.col("share") <= 0.15), F.lit(1.0)).otherwise(F.lit(0.0)))
-    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("score").desc(), "at")) == 1
-    return s.withColumn("best", first).select(*key, "tau", "n_hubs", "share", "stability", "score", "best")
+    exact = F.round("z", 9)
+    nodes = hubs.groupBy(*key).agg((F.count_distinct(exact) / 3).alias("nodes"))
+    z = F.when(F.col("z") >= F.col("tau"), F.col("z"))
+    s = _at_taus(hubs, taus, *key).groupBy(*key, "at", "tau").agg(
+        (F.count_distinct(F.when(F.col("z") >= F.col("tau"), exact)) / 3).alias("hubs"),
+        F.count(z).alias("n"), F.avg(z).alias("mean"), F.stddev_samp(z).alias("sd"), (F.max(z) - F.min(z)).alias("range"),
+    )
+    s = s.join(nodes, list(key)).withColumn("share", F.col("hubs") / F.col("nodes"))
+    several = F.col("n") > 3
+    s = s.withColumn("hub_modularity", F.when(several, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("sd") / F.col("mean")))).otherwise(F.lit(0.0)))
+    s = s.withColumn("hub_clustering", F.when(several, 1 / (1 + F.col("range"))).otherwise(F.lit(0.0)))
+    s = s.withColumn("hub_density", F.least(2 * F.col("share"), F.lit(0.6)))
+    fair = F.when((F.col("share") >= 0.05) & (F.col("share") <= 0.15), F.lit(1.0)).otherwise(F.exp(-10 * F.abs(F.col("share") - 0.1)))
+    dense = F.when(F.col("hub_density") >= 0.1, F.lit(0.5)).otherwise(F.lit(0.0))
+    s = s.withColumn("score", fair + F.col("hub_modularity") + F.col("hub_clustering") + dense)
+    measures = ["share", "hub_modularity", "hub_clustering", "hub_density", "score"]
+    s = s.select(*key, "at", "tau", *[F.when(F.col("hubs") >= 2, F.col(m)).otherwise(F.lit(0.0)).alias(m) for m in measures])
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.round("score", 9).desc(), "at")) == 1
+    return s.withColumn("best", first).select(*key, "tau", *measures, "best")
+
+
+def _shares(hubs: DataFrame, taus: list[float], *key: str) -> DataFrame:
+    """(key, at, tau, node, share): share of networks, of CASES, that call a node a hub at each tau."""
+    hit = F.when(F.col("z") >= F.col("tau"), F.lit(1)).otherwise(F.lit(0))
+    return _at_taus(hubs, taus, *key).groupBy(*key, "at", "tau", "node").agg((F.sum(hit) / F.lit(float(CASES))).alias("share"))
+
+
+def stable_hubs(hubs: DataFrame, taus: list[float], *key: str) -> DataFrame:
+    """(key, node, mean_share, n_taus_hub, stable): a consensus hub from a share of 0.5, stable in 80 percent of the taus."""
+    s = _shares(hubs, taus, *key).groupBy(*key, "node").agg(F.avg("share").alias("mean_share"), F.count_if(F.col("share") >= 0.5).alias("n_taus_hub"))
+    return s.withColumn("stable", F.col("n_taus_hub") >= math.ceil(0.8 * len(taus)))
 
 
 def threshold_sensitivity(hubs: DataFrame, taus: list[float], *key: str) -> DataFrame:
-    """(key, node, mean_share, n_taus_hub, n_taus_three_way, stable): share of networks (of CASES) that call a node a hub at each tau;
-    a hub from 0.5, three-way from 0.6 in every approach, stable in 80 percent of the taus."""
-    points = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(float(t)).alias("tau")) for i, t in enumerate(taus)])
-    long = hubs.select(*key, "approach", "node", "z", F.explode(points).alias("p")).select(*key, "approach", "node", F.col("p.at").alias("at"), (F.col("z") >= F.col("p.tau")).cast("int").alias("hit"))
-    per = long.groupBy(*key, "at", "node", "approach").agg(F.sum("hit").alias("hits"), F.avg("hit").alias("prob"))
-    at = per.groupBy(*key, "at", "node").agg((F.sum("hits") / F.lit(float(CASES))).alias("share"), F.count_if(F.col("prob") >= 0.6).alias("agreeing"))
-    s = at.groupBy(*key, "node").agg(F.avg("share").alias("mean_share"), F.count_if(F.col("share") >= 0.5).alias("n_taus_hub"), F.count_if(F.col("agreeing") == 3).alias("n_taus_three_way"))
-    import math
+    """(key, tau, n_consensus_hubs, n_three_way, avg_score, stable_hubs): nodes whose share is 0.5 and 0.6 at least,
+    the mean share of nodes that any network calls a hub (null without one), and how many of the hubs are stable."""
+    shares = _shares(hubs, taus, *key).join(stable_hubs(hubs, taus, *key).select(*key, "node", "stable"), [*key, "node"])
+    hub, share = F.col("share") >= 0.5, F.col("share")
+    return shares.groupBy(*key, "tau").agg(
+        F.count_if(hub).alias("n_consensus_hubs"), F.count_if(share >= 0.6).alias("n_three_way"),
+        F.avg(F.when(share > 0, share)).alias("avg_score"), F.count_if(hub & F.col("stable")).alias("stable_hubs"),
+    )
 
-    return s.withColumn("stable", F.col("n_taus_hub") >= math.ceil(0.8 * len(taus)))
+
+def agreement_sensitivity(hubs: DataFrame, agreements: list[float], tau: float = 1.5, *key: str) -> DataFrame:
+    """(key, agreement, n_hubs, avg_confidence): nodes whose share at ``tau`` reaches each agreement, and their mean share."""
+    points = F.explode(F.array(*[F.lit(float(a)) for a in agreements])).alias("agreement")
+    s = _shares(hubs, [tau], *key).select(*key, "share", points)
+    reached = F.round(F.col("share") - F.col("agreement"), 9) >= 0
+    return s.groupBy(*key, "agreement").agg(F.count_if(reached).alias("n_hubs"), F.coalesce(F.avg(F.when(reached, F.col("share"))), F.lit(0.0)).alias("avg_confidence"))
 
 
 def comprehensive(scores: DataFrame, z_threshold: float | str | None = 1.5, *key: str) -> DataFrame:
-    """Standardise, combine, and label each node's robustness. "auto" or None calibrates the threshold first."""
+    """Standardise, combine, and label each node's robustness. "auto" or None takes each key's calibrated threshold."""
     if z_threshold in ("auto", None):
-        taus = [round(1 + 0.1 * k, 1) for k in range(16)]
-        best = calibrate_threshold(standardised_hubs(scores, 1.5, *key), taus, *key).where("best").agg(F.min("tau")).first()[0]
-        z_threshold = best if best is not None else 1.5
-    out = uncertainty(weighted_consensus(standardised_hubs(scores, float(z_threshold), *key), *key))
+        hubs = standardised_hubs(scores, 1.5, *key)
+        best = calibrate_threshold(hubs, [round(1 + 0.1 * k, 1) for k in range(16)], *key).where("best").select(*key, "tau")
+        hubs = (hubs.join(best, list(key), "left") if key else hubs.crossJoin(best)).withColumn("is_hub", F.coalesce(F.col("z") >= F.coalesce("tau", F.lit(1.5)), F.lit(False))).drop("tau")
+    else:
+        hubs = standardised_hubs(scores, float(z_threshold), *key)
+    out = uncertainty(weighted_consensus(hubs, *key))
     label = F.when(F.col("all_three_agree"), "all three").when(F.col("two_agree"), "two").when(F.col("score") >= 0.4, "consensus").otherwise("none")
     return out.withColumn("robustness", label)

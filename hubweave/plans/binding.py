@@ -1,4 +1,4 @@
-"""How the queries bind the driver's tables: embeddings as observations, ten labels as groups, 12 dimensions as nodes."""
+"""How the queries bind the driver's tables: embeddings as observations, ten labels as groups, all 64 components as nodes."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ from hubweave.functions.stats import rounded
 from hubweave.operators import correlate, graph_metrics, network
 from hubweave.sources.observations import areas_of, embedding_vectors, to_long
 
-DIMS = 12
+DIMS = 64
 CUT = 0.15
-AREAS = {f"a{k}": [f"d{i:02d}" for i in range(4 * k, 4 * k + 4)] for k in range(3)}
+PAIRS = DIMS * (DIMS - 1) // 2
+AREAS = {f"a{k}": [f"d{i:02d}" for i in range(4 * k, 4 * k + 4)] for k in range(DIMS // 4)}
 
 
 def obs(spark, sf_dir):
@@ -78,7 +79,7 @@ def rank_sql(name: str, source: str) -> str:
 PEARSON = f"{OBS}, {corr_sql('corr', 'obs', 'pearson')}"
 CORR2 = f"{OBS}, {corr_sql('pe', 'obs', 'pearson')}, {rank_sql('rk', 'obs')}, {corr_sql('sp', 'rk', 'spearman')}, corr AS (SELECT * FROM pe UNION ALL SELECT * FROM sp)"
 EDGES = f"{PEARSON}, edges AS (SELECT method, grp, i AS src, j AS dst, abs(r) AS w FROM corr WHERE abs(r) >= {CUT} AND abs(r) > 0), nodes AS (SELECT DISTINCT 'pearson' AS method, grp, node FROM obs), dbl AS (SELECT method, grp, src AS node, dst AS other, w FROM edges UNION ALL SELECT method, grp, dst, src, w FROM edges)"
-AREA_SQL = "areas AS (SELECT 'a' || k AS area, k AS area_ord, 'd' || lpad(CAST(4 * k + m AS VARCHAR), 2, '0') AS node FROM (SELECT unnest(range(0, 3)) AS k), (SELECT unnest(range(0, 4)) AS m))"
+AREA_SQL = f"areas AS (SELECT 'a' || k AS area, k AS area_ord, 'd' || lpad(CAST(4 * k + m AS VARCHAR), 2, '0') AS node FROM (SELECT unnest(range(0, {DIMS // 4})) AS k), (SELECT unnest(range(0, 4)) AS m))"
 
 
 def r6(*cols: str) -> str:

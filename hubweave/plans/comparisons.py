@@ -19,7 +19,7 @@ def add(name, build, sql=None):
 
 
 on_corr2 = core.on_corr2
-STRENGTH = f"{B.CORR2}, fd AS (SELECT method, grp, i AS node, abs(r) AS w FROM corr UNION ALL SELECT method, grp, j, abs(r) FROM corr), st AS (SELECT method, grp, node, sum(w) AS node_strength, avg(w) AS avg_edge_weight, sum(w) / 11 AS normalized_strength FROM fd GROUP BY ALL)"
+STRENGTH = f"{B.CORR2}, fd AS (SELECT method, grp, i AS node, abs(r) AS w FROM corr UNION ALL SELECT method, grp, j, abs(r) FROM corr), st AS (SELECT method, grp, node, sum(w) AS node_strength, avg(w) AS avg_edge_weight, sum(w) / {B.DIMS - 1} AS normalized_strength FROM fd GROUP BY ALL)"
 
 # G: threshold-free
 add("g1_weighted_eigenvector", on_corr2(lambda c, n: threshold_free.weighted_eigenvector(c, n)))
@@ -69,7 +69,7 @@ H9 = f"""WITH {DEG2}, ee AS (SELECT method, grp, i, j, (abs(r) >= {B.CUT})::INT
 drk AS (SELECT method, grp, node, rank() OVER (PARTITION BY method, grp ORDER BY degree) + (count(*) OVER (PARTITION BY method, grp, degree) - 1) / 2.0 AS rk FROM deg),
 dc AS (SELECT a.method, a.grp AS g1, b.grp AS g2, covar_pop(a.rk, b.rk) / nullif(stddev_pop(a.rk) * stddev_pop(b.rk), 0) AS dc FROM drk a JOIN drk b ON a.method = b.method AND a.node = b.node AND a.grp < b.grp GROUP BY ALL),
 tr AS (SELECT a.method, a.grp, count(*) AS t FROM ee a JOIN ee b ON a.method = b.method AND a.grp = b.grp AND a.j = b.i AND a.e = 1 AND b.e = 1 JOIN ee c ON c.method = a.method AND c.grp = a.grp AND c.i = a.i AND c.j = b.j AND c.e = 1 GROUP BY ALL),
-gl AS (SELECT d.method, d.grp, sum(degree) / 132.0 AS dens, CASE WHEN sum(degree * (degree - 1)) = 0 THEN 0 ELSE 3.0 * coalesce(max(t), 0) / (sum(degree * (degree - 1)) / 2.0) END AS clu FROM deg d LEFT JOIN tr ON d.method = tr.method AND d.grp = tr.grp GROUP BY d.method, d.grp),
+gl AS (SELECT d.method, d.grp, sum(degree) / {2.0 * B.PAIRS} AS dens, CASE WHEN sum(degree * (degree - 1)) = 0 THEN 0 ELSE 3.0 * coalesce(max(t), 0) / (sum(degree * (degree - 1)) / 2.0) END AS clu FROM deg d LEFT JOIN tr ON d.method = tr.method AND d.grp = tr.grp GROUP BY d.method, d.grp),
 sim AS (SELECT x.method, x.g1, x.g2, coalesce(s / nullif(n1 + n2 - s, 0), 0) AS jaccard, coalesce(2.0 * s / nullif(n1 + n2, 0), 0) AS dice, dc AS degree_correlation, abs(u.dens - v.dens) AS density_difference, abs(u.clu - v.clu) AS clustering_difference FROM x JOIN dc USING (method, g1, g2) JOIN gl u ON u.method = x.method AND u.grp = g1 JOIN gl v ON v.method = x.method AND v.grp = g2)"""
 
 
@@ -93,7 +93,7 @@ def agg10(s, d):
     return similarity.metric_aggregation(g, ["density", "clustering", "n_edges"])
 
 
-H10 = f"{H9}, lg AS (SELECT method, grp, unnest(['density', 'clustering', 'n_edges']) AS metric, unnest([dens, clu, dens * 66.0]) AS value FROM gl), ag AS (SELECT grp, metric, avg(value) AS mean, stddev_samp(value) AS sd, min(value) AS mn, max(value) AS mx, count(*) AS n_methods, abs(stddev_samp(value) / nullif(avg(value), 0)) AS cv FROM lg GROUP BY grp, metric) SELECT grp, metric, {r6('mean', 'sd', 'cv', 'mn AS min', 'mx AS max', 'mx - mn AS range')}, n_methods, CASE WHEN cv <= 0.15 THEN 'very high' WHEN cv <= 0.30 THEN 'high' WHEN cv <= 0.50 THEN 'moderate' WHEN cv IS NOT NULL THEN 'low' END AS robustness FROM ag"
+H10 = f"{H9}, lg AS (SELECT method, grp, unnest(['density', 'clustering', 'n_edges']) AS metric, unnest([dens, clu, dens * {B.PAIRS}.0]) AS value FROM gl), ag AS (SELECT grp, metric, avg(value) AS mean, stddev_samp(value) AS sd, min(value) AS mn, max(value) AS mx, count(*) AS n_methods, abs(stddev_samp(value) / nullif(avg(value), 0)) AS cv FROM lg GROUP BY grp, metric) SELECT grp, metric, {r6('mean', 'sd', 'cv', 'mn AS min', 'mx AS max', 'mx - mn AS range')}, n_methods, CASE WHEN cv <= 0.15 THEN 'very high' WHEN cv <= 0.30 THEN 'high' WHEN cv <= 0.50 THEN 'moderate' WHEN cv IS NOT NULL THEN 'low' END AS robustness FROM ag"
 add("h10_metric_aggregation", agg10, H10)
 NETS = f"{B.CORR2}, {core.NETS}, jx AS (SELECT a.matrix_key, a.method, a.approach, a.threshold, a.grp AS g1, b.grp AS g2, coalesce(sum(least(a.w, b.w)) / nullif(sum(greatest(a.w, b.w)), 0), 0) AS jaccard FROM nets a JOIN nets b ON a.matrix_key = b.matrix_key AND a.i = b.i AND a.j = b.j AND a.grp < b.grp GROUP BY ALL)"
 
@@ -137,7 +137,7 @@ def sweep(s, d):
 add("i1_persistence_sweep", lambda s, d: sweep(s, d)[3], f"WITH {SWEEP} SELECT method, grp, step, {r6('threshold')}, node, degree, {r6('strength')} FROM sw")
 add("i1_swept_node_metrics", lambda s, d: persistence.swept_node_metrics(*(lambda c, n, g, w: (c, g, n))(*sweep(s, d))))
 add("i2_hub_persistence", lambda s, d: persistence.hub_persistence(sweep(s, d)[3], "strength", 4), f"WITH {SWEEP}, p AS (SELECT *, row_number() OVER (PARTITION BY method, grp, step ORDER BY strength DESC, node) AS place FROM sw), n AS (SELECT method, grp, count(DISTINCT step) AS steps FROM sw GROUP BY ALL) SELECT method, grp, node, {r6('count(*) / max(steps) AS score', 'min(threshold) AS min_threshold', 'max(threshold) AS max_threshold', 'max(threshold) - min(threshold) AS threshold_range')} FROM p JOIN n USING (method, grp) WHERE place <= 4 GROUP BY method, grp, node")
-I3 = f"WITH {SWEEP}, r AS (SELECT *, rank() OVER (PARTITION BY method, grp, step ORDER BY degree DESC) + (count(*) OVER (PARTITION BY method, grp, step, degree) - 1) / 2.0 AS rk FROM sw), t AS (SELECT *, 1 - (rk - 1) / 11.0 AS sc FROM r) SELECT method, grp, node, {r6('avg(rk) AS mean_rank', 'median(rk) AS median_rank', 'min(rk) AS best_rank', 'max(rk) AS worst_rank', 'avg(sc) AS mean_score', 'median(sc) AS median_score', '1 - stddev_samp(sc) AS stability', 'min(threshold) AS first', 'max(threshold) AS last', 'count(*) / 8.0 AS persistence_rate')} FROM t GROUP BY method, grp, node"
+I3 = f"WITH {SWEEP}, r AS (SELECT *, rank() OVER (PARTITION BY method, grp, step ORDER BY degree DESC) + (count(*) OVER (PARTITION BY method, grp, step, degree) - 1) / 2.0 AS rk FROM sw), t AS (SELECT *, 1 - (rk - 1) / {B.DIMS - 1.0} AS sc FROM r) SELECT method, grp, node, {r6('avg(rk) AS mean_rank', 'median(rk) AS median_rank', 'min(rk) AS best_rank', 'max(rk) AS worst_rank', 'avg(sc) AS mean_score', 'median(sc) AS median_score', '1 - stddev_samp(sc) AS stability', 'min(threshold) AS first', 'max(threshold) AS last', 'count(*) / 8.0 AS persistence_rate')} FROM t GROUP BY method, grp, node"
 add("i3_importance_evolution", lambda s, d: persistence.importance_evolution(sweep(s, d)[3], "degree", sweep(s, d)[2]), I3)
 add("i4_metrics_evolution", lambda s, d: persistence.metrics_evolution(persistence.swept_global_metrics(*(lambda c, n, g, w: (c, g, n))(*sweep(s, d)))))
 
@@ -149,8 +149,11 @@ def swept_globals(s, d):
     return graph_metrics.density(edges, k, persistence.SWEPT).join(graph_metrics.transitivity(edges, k, persistence.SWEPT).withColumnRenamed("transitivity", "clustering"), list(persistence.SWEPT))
 
 
-GLOB = f"{SWEEP}, tr AS (SELECT a.method, a.grp, a.step, count(*) AS t FROM se a JOIN se b ON a.method = b.method AND a.grp = b.grp AND a.step = b.step AND a.j = b.i JOIN se c ON c.method = a.method AND c.grp = a.grp AND c.step = a.step AND c.i = a.i AND c.j = b.j GROUP BY ALL), gl AS (SELECT s.method, s.grp, s.step, s.threshold, sum(degree) / 132.0 AS density, CASE WHEN sum(degree * (degree - 1)) = 0 THEN 0 ELSE 3.0 * coalesce(max(t), 0) / (sum(degree * (degree - 1)) / 2.0) END AS clustering FROM sw s LEFT JOIN tr USING (method, grp, step) GROUP BY ALL)"
-add("i5_aggregated_metrics", lambda s, d: persistence.aggregated_metrics(sweep(s, d)[3], swept_globals(s, d)), f"WITH {GLOB}, g AS (SELECT *, greatest(clustering * density, 0.01) AS wt FROM gl) SELECT method, grp, node, {r6('sum(strength * wt) / sum(wt) AS weighted_strength', 'avg(wt) AS mean_weight', 'count(*) FILTER (strength > 0) / count(*) AS appearance_rate')} FROM sw JOIN g USING (method, grp, step) GROUP BY method, grp, node")
+GLOB = f"{SWEEP}, tr AS (SELECT a.method, a.grp, a.step, count(*) AS t FROM se a JOIN se b ON a.method = b.method AND a.grp = b.grp AND a.step = b.step AND a.j = b.i JOIN se c ON c.method = a.method AND c.grp = a.grp AND c.step = a.step AND c.i = a.i AND c.j = b.j GROUP BY ALL), gl AS (SELECT s.method, s.grp, s.step, s.threshold, sum(degree) / {2.0 * B.PAIRS} AS density, CASE WHEN sum(degree * (degree - 1)) = 0 THEN 0 ELSE 3.0 * coalesce(max(t), 0) / (sum(degree * (degree - 1)) / 2.0) END AS clustering FROM sw s LEFT JOIN tr USING (method, grp, step) GROUP BY ALL)"
+add("i5_aggregated_metrics", lambda s, d: persistence.aggregated_metrics(sweep(s, d)[3], swept_globals(s, d)), f"""WITH {GLOB},
+g AS (SELECT *, CASE WHEN clustering * density > 0 THEN clustering * density ELSE 0.01 END AS wt, count(*) OVER (PARTITION BY method, grp) AS steps FROM gl)
+SELECT method, grp, node, {r6('sum(strength * wt) / sum(wt) AS mean_strength', 'avg(wt) AS stability', 'count(*) / any_value(steps) AS appearance_rate')}
+FROM sw JOIN g USING (method, grp, step) GROUP BY method, grp, node""")
 TRAP = "lead(threshold) OVER w AS nt, lead(v) OVER w AS nv"
 add("i6_global_auc", lambda s, d: persistence.trapezoid(swept_globals(s, d), "density", "method", "grp"), f"WITH {GLOB}, l AS (SELECT *, density AS v, lead(threshold) OVER w AS nt, lead(density) OVER w AS nv FROM gl WINDOW w AS (PARTITION BY method, grp ORDER BY threshold)) SELECT method, grp, {r6('coalesce(sum((nt - threshold) * (v + nv) / 2), 0) AS auc', 'avg(v) AS mean', 'stddev_samp(v) AS sd')} FROM l GROUP BY method, grp")
 add("i6_node_auc", lambda s, d: persistence.node_auc(sweep(s, d)[3], "degree"), f"WITH {SWEEP}, l AS (SELECT *, degree AS v, lead(threshold) OVER w AS nt, lead(degree) OVER w AS nv FROM sw WINDOW w AS (PARTITION BY method, grp, node ORDER BY threshold)) SELECT method, grp, node, {r6('coalesce(sum((nt - threshold) * (v + nv) / 2), 0) AS auc', 'avg(v) AS mean', 'stddev_samp(v) AS sd')} FROM l GROUP BY method, grp, node")

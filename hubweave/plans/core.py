@@ -77,7 +77,7 @@ CURVE = f"""{B.PEARSON}, grid AS (SELECT unnest(range(1, 96)) AS step), e AS (SE
 d2 AS (SELECT grp, step, i AS a, j AS b FROM e UNION ALL SELECT grp, step, j, i FROM e),
 reach AS (SELECT DISTINCT grp, step, node, node AS other FROM obs, grid)"""
 REACH = CURVE.replace("reach AS (SELECT DISTINCT grp, step, node, node AS other FROM obs, grid)", "reach AS (SELECT DISTINCT grp, step, node, node AS other FROM obs, grid UNION SELECT r.grp, r.step, r.node, d2.b FROM reach r JOIN d2 ON r.grp = d2.grp AND r.step = d2.step AND r.other = d2.a)")
-COMP = "lab AS (SELECT grp, step, node, min(other) AS comp FROM reach GROUP BY ALL), sz AS (SELECT grp, step, comp, count(*) AS n FROM lab GROUP BY ALL), crv AS (SELECT sz.grp, sz.step, max(n) / 12.0 AS giant, count(*) AS n_components FROM sz GROUP BY sz.grp, sz.step), crv2 AS (SELECT crv.*, coalesce(m, 0) / 66.0 AS density FROM crv LEFT JOIN (SELECT grp, step, count(*) AS m FROM e GROUP BY ALL) USING (grp, step))"
+COMP = f"lab AS (SELECT grp, step, node, min(other) AS comp FROM reach GROUP BY ALL), sz AS (SELECT grp, step, comp, count(*) AS n FROM lab GROUP BY ALL), crv AS (SELECT sz.grp, sz.step, max(n) / {B.DIMS}.0 AS giant, count(*) AS n_components FROM sz GROUP BY sz.grp, sz.step), crv2 AS (SELECT crv.*, coalesce(m, 0) / {B.PAIRS}.0 AS density FROM crv LEFT JOIN (SELECT grp, step, count(*) AS m FROM e GROUP BY ALL) USING (grp, step))"
 add("d1_percolation_curve", on_pearson(lambda c, n: network.percolation_curve(c)), f"WITH RECURSIVE {REACH}, {COMP} SELECT 'pearson' AS method, grp, CAST(step AS INTEGER) AS step, {r6('step / 100.0 AS threshold', 'giant', 'density')}, CAST(n_components AS INTEGER) AS n_components FROM crv2")
 PERC = f"WITH RECURSIVE {REACH}, {COMP}, top AS (SELECT grp, max(giant) AS best, max(density) AS dense FROM crv2 GROUP BY grp), thr AS (SELECT 'pearson' AS method, grp, max(step) / 100.0 AS threshold FROM crv2 JOIN top USING (grp) WHERE giant >= CASE WHEN best = 1 THEN 1 ELSE 0.98 * best END OR dense = 0 GROUP BY grp)"
 add("d1_percolation_threshold", on_pearson(lambda c, n: network.percolation_thresholds(c)), f"{PERC} SELECT method, grp, {r6('threshold')} FROM thr")
@@ -118,7 +118,7 @@ add("d8_areas_first", lambda s, d: network.assign_areas(some_nodes(s, d), odd_ar
 DEG = "deg AS (SELECT n.method, n.grp, n.node, count(d.node) AS degree, coalesce(sum(w), 0) AS strength FROM nodes n LEFT JOIN dbl d ON n.grp = d.grp AND n.node = d.node GROUP BY ALL)"
 TRI = "tri AS (SELECT x.grp, x.src AS a, x.dst AS b, y.dst AS c FROM edges x JOIN edges y ON x.grp = y.grp AND x.dst = y.src JOIN edges z ON z.grp = x.grp AND z.src = x.src AND z.dst = y.dst), tn AS (SELECT grp, node, count(*) AS t FROM (SELECT grp, unnest([a, b, c]) AS node FROM tri) GROUP BY ALL)"
 CLU = f"{B.EDGES}, {DEG}, {TRI}, clu AS (SELECT deg.*, coalesce(t, 0) AS triangles, CASE WHEN degree < 2 THEN 0 ELSE 2.0 * coalesce(t, 0) / (degree * (degree - 1)) END AS clustering FROM deg LEFT JOIN tn USING (grp, node))"
-add("f1_density", on_edges(lambda e, n, _: graph_metrics.density(e, n)), f"WITH {B.EDGES} SELECT method, grp, CAST(12 AS BIGINT) AS n_nodes, coalesce(m, 0) AS n_edges, {r6('2.0 * coalesce(m, 0) / 132 AS density')} FROM (SELECT DISTINCT method, grp FROM nodes) LEFT JOIN (SELECT grp, count(*) AS m FROM edges GROUP BY grp) USING (grp)")
+add("f1_density", on_edges(lambda e, n, _: graph_metrics.density(e, n)), f"WITH {B.EDGES} SELECT method, grp, CAST({B.DIMS} AS BIGINT) AS n_nodes, coalesce(m, 0) AS n_edges, {r6('2.0 * coalesce(m, 0) / 4032 AS density')} FROM (SELECT DISTINCT method, grp FROM nodes) LEFT JOIN (SELECT grp, count(*) AS m FROM edges GROUP BY grp) USING (grp)")
 add("f2_components", on_edges(lambda e, n, names: kernels.components(e, names)), f"WITH RECURSIVE {B.EDGES}, reach AS (SELECT grp, node, node AS other FROM nodes UNION SELECT r.grp, r.node, d.other FROM reach r JOIN dbl d ON r.grp = d.grp AND r.other = d.node) SELECT 'pearson' AS method, grp, node, min(other) AS component FROM reach GROUP BY grp, node")
 add("f3_transitivity", on_edges(lambda e, n, _: graph_metrics.transitivity(e, n)), f"WITH {CLU} SELECT method, grp, {r6('CASE WHEN sum(degree * (degree - 1)) = 0 THEN 0 ELSE sum(triangles) / (sum(degree * (degree - 1)) / 2.0) END AS transitivity')} FROM clu GROUP BY method, grp")
 add("f4_local_clustering", on_edges(lambda e, n, _: graph_metrics.local_clustering(e, n)), f"WITH {CLU} SELECT method, grp, node, degree, triangles, {r6('clustering')} FROM clu")

@@ -41,11 +41,11 @@ def combined(s, d):
 
 
 add("r_top_strength", lambda s, d: plotdata.top(strength(s, d), "node_strength", 5, *KEY), f"WITH {C.STRENGTH}, p AS (SELECT method, grp, node, node_strength, row_number() OVER (PARTITION BY method, grp ORDER BY node_strength DESC, node) AS place FROM st) SELECT method, grp, node, {r6('node_strength')}, CAST(place AS INTEGER) AS place FROM p WHERE place <= 5")
-add("r_weight_histogram", lambda s, d: plotdata.histogram(absolute(s, d), "w", 0.0, 1.0, 20, *KEY), f"WITH {B.CORR2} SELECT method, grp, CAST(least(greatest(floor(abs(r) * 20) + 1, 1), 20) AS INTEGER) AS bin, count(*) AS n FROM corr WHERE r IS NOT NULL GROUP BY ALL")
+add("r_weight_histogram", lambda s, d: plotdata.histogram(absolute(s, d), "w", 0.0, 1.0, 20, *KEY), f"WITH {B.CORR2} SELECT method, grp, CAST(least(greatest(floor(round(abs(r) * 20, 9)) + 1, 1), 20) AS INTEGER) AS bin, count(*) AS n FROM corr WHERE r IS NOT NULL GROUP BY ALL")
 add("r_weight_quartiles", lambda s, d: plotdata.quartiles(absolute(s, d), "w", *KEY), f"WITH {B.CORR2}, w AS (SELECT method, grp, abs(r) AS w FROM corr) SELECT method, grp, {r6('quantile_cont(w, 0.25) AS q1', 'median(w) AS median', 'quantile_cont(w, 0.75) AS q3', 'avg(w) AS mean', 'stddev_samp(w) AS sd')} FROM w GROUP BY method, grp")
 add("r_area_strength", lambda s, d: plotdata.area_means(strength(s, d), "node_strength", B.areas(s).select("node", "area"), *KEY), f"WITH {C.STRENGTH}, {B.AREA_SQL} SELECT method, grp, area, {r6('avg(node_strength) AS mean', 'stddev_samp(node_strength) / sqrt(count(*)) AS se')}, count(*) AS n FROM st JOIN areas USING (node) GROUP BY method, grp, area")
 add("r_strength_regression", lambda s, d: plotdata.regression(both(s, d), "weighted", "percolation", *KEY), f"WITH {C.PERC_ST} SELECT method, grp, {r6('regr_slope(p, node_strength) AS slope', 'regr_intercept(p, node_strength) AS intercept', 'corr(p, node_strength) AS r')} FROM st JOIN ps USING (method, grp, node) GROUP BY method, grp")
-add("r_inverted_ranks", lambda s, d: plotdata.inverted_ranks(strength(s, d), "node_strength", *KEY), f"WITH {C.STRENGTH} SELECT method, grp, node, {r6('node_strength')}, round((12 - (rank() OVER (PARTITION BY method, grp ORDER BY node_strength DESC) + (count(*) OVER (PARTITION BY method, grp, node_strength) - 1) / 2.0) + 1) / 12, 6) + 0.0 AS inverted_rank FROM st")
+add("r_inverted_ranks", lambda s, d: plotdata.inverted_ranks(strength(s, d), "node_strength", *KEY), f"WITH {C.STRENGTH} SELECT method, grp, node, {r6('node_strength')}, round(({B.DIMS} - (rank() OVER (PARTITION BY method, grp ORDER BY node_strength DESC) + (count(*) OVER (PARTITION BY method, grp, node_strength) - 1) / 2.0) + 1) / 12, 6) + 0.0 AS inverted_rank FROM st")
 add("r_hub_regions", lambda s, d: plotdata.hub_regions(combined(s, d), "grp"), f"WITH {K.J4}, rg AS (SELECT grp, CASE WHEN weighted_prob >= 0.6 THEN 'W' ELSE '' END || CASE WHEN percolation_prob >= 0.6 THEN 'P' ELSE '' END || CASE WHEN persistence_prob >= 0.6 THEN 'S' ELSE '' END AS region FROM cn) SELECT grp, region, count(*) AS n FROM rg WHERE region <> '' GROUP BY grp, region")
 add("r_agreement_bins", lambda s, d: plotdata.agreement_bins(combined(s, d), "grp"), f"WITH {K.J4} SELECT grp, CASE WHEN score <= 0.33 THEN 'low' WHEN score <= 0.66 THEN 'middle' ELSE 'high' END AS bin, count(*) AS n FROM cn GROUP BY ALL")
 add("a3_dense_correlations", lambda s, d: sinks.dense_correlations(*B.corr2(s, d)))

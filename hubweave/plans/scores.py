@@ -37,9 +37,9 @@ def scores(s, d):
 SWEEP_TAIL = C.SWEEP[len(B.CORR2) :]
 SCORES = f"{C.PERC_ST}{SWEEP_TAIL}, zf AS (SELECT k.method, k.grp, k.node, g.step, g.threshold, coalesce(strength, 0) AS v FROM (SELECT DISTINCT method, grp, node FROM fd) k CROSS JOIN grid g LEFT JOIN sw ON sw.method = k.method AND sw.grp = k.grp AND sw.node = k.node AND sw.step = g.step), zl AS (SELECT *, lead(threshold) OVER w AS nt, lead(v) OVER w AS nv FROM zf WINDOW w AS (PARTITION BY method, grp, node ORDER BY threshold)), sc AS (SELECT grp, 'weighted' AS approach, method, node, node_strength AS value FROM st UNION ALL SELECT grp, 'percolation', method, node, p FROM ps UNION ALL SELECT grp, 'persistence', method, node, coalesce(sum((nt - threshold) * (v + nv) / 2), 0) FROM zl GROUP BY grp, method, node)"
 HUB = f"{SCORES}, hb AS (SELECT *, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS z FROM sc WINDOW w AS (PARTITION BY grp, approach, method)), hz AS (SELECT *, coalesce(z >= 1.0, false) AS is_hub FROM hb)"
-RANKED = f"{SCORES}, rk2 AS (SELECT *, rank() OVER (PARTITION BY grp, approach, method ORDER BY value DESC) AS rank FROM sc), ra AS (SELECT grp, node, avg(rank) AS avg_rank, count(*) AS n_methods FROM rk2 GROUP BY grp, node)"
+RANKED = f"{SCORES}, rk2 AS (SELECT *, rank() OVER (PARTITION BY grp, approach, method ORDER BY round(value, 9) DESC) AS rank FROM sc), ra AS (SELECT grp, node, avg(rank) AS avg_rank, count(*) AS n_methods FROM rk2 GROUP BY grp, node)"
 add("j2_rank_consensus", lambda s, d: scoring.rank_consensus(scores(s, d), *GRP), f"WITH {RANKED} SELECT grp, node, {r6('avg_rank')}, n_methods, {r6('coalesce((max(avg_rank) OVER w - avg_rank) / nullif(max(avg_rank) OVER w - min(avg_rank) OVER w, 0), 1) AS consensus')} FROM ra WINDOW w AS (PARTITION BY grp)")
-add("j1_three_way_rank_consensus", lambda s, d: scoring.rank_consensus(scores(s, d).where("method = 'pearson'"), *GRP), f"WITH {SCORES}, rk2 AS (SELECT *, rank() OVER (PARTITION BY grp, approach ORDER BY value DESC) AS rank FROM sc WHERE method = 'pearson'), ra AS (SELECT grp, node, avg(rank) AS avg_rank, count(*) AS n_methods FROM rk2 GROUP BY grp, node) SELECT grp, node, {r6('avg_rank')}, n_methods, {r6('coalesce((max(avg_rank) OVER w - avg_rank) / nullif(max(avg_rank) OVER w - min(avg_rank) OVER w, 0), 1) AS consensus')} FROM ra WINDOW w AS (PARTITION BY grp)")
+add("j1_three_way_rank_consensus", lambda s, d: scoring.rank_consensus(scores(s, d).where("method = 'pearson'"), *GRP), f"WITH {SCORES}, rk2 AS (SELECT *, rank() OVER (PARTITION BY grp, approach ORDER BY round(value, 9) DESC) AS rank FROM sc WHERE method = 'pearson'), ra AS (SELECT grp, node, avg(rank) AS avg_rank, count(*) AS n_methods FROM rk2 GROUP BY grp, node) SELECT grp, node, {r6('avg_rank')}, n_methods, {r6('coalesce((max(avg_rank) OVER w - avg_rank) / nullif(max(avg_rank) OVER w - min(avg_rank) OVER w, 0), 1) AS consensus')} FROM ra WINDOW w AS (PARTITION BY grp)")
 add("j3_standardised_hubs", lambda s, d: scoring.standardised_hubs(scores(s, d), 1.0, *GRP), f"WITH {HUB} SELECT grp, approach, method, node, {r6('value', 'z')}, is_hub FROM hz")
 A3 = ("weighted", "percolation", "persistence")
 J4 = f"""{HUB}, ap AS (SELECT grp, node, approach, avg(is_hub::INT) AS prob, avg(z) AS mz, stddev_samp(z) AS sz FROM hz GROUP BY ALL),
@@ -58,11 +58,28 @@ UNC = f"{PROBS}, {r6('score', 'low', 'high', 'prob_sd', 'prob_cv')}, confidence,
 add("j5_uncertainty", lambda s, d: scoring.uncertainty(scoring.weighted_consensus(scoring.standardised_hubs(scores(s, d), 1.0, *GRP), *GRP)), f"WITH {J4} SELECT grp, node, {UNC} FROM uc")
 TAUS = [round(1 + 0.1 * k, 1) for k in range(16)]
 TAU = f"tau AS (SELECT CAST(k AS INTEGER) AS pos, round(1 + 0.1 * k, 1)::DOUBLE AS tau FROM (SELECT unnest(range(0, 16)) AS k))"
-J6 = f"WITH {HUB}, {TAU}, pt AS (SELECT grp, pos, tau, approach, method, count(*) FILTER (z >= tau) AS n, count(*) AS al FROM hz, tau GROUP BY ALL), ts AS (SELECT grp, pos, tau, sum(n) AS n_hubs, avg(n / al) AS share, greatest(0, 1 - coalesce(stddev_samp(n) / nullif(avg(n), 0), 1)) AS stability FROM pt GROUP BY ALL), tz AS (SELECT *, stability + CASE WHEN share BETWEEN 0.05 AND 0.15 THEN 1.0 ELSE 0.0 END AS score FROM ts) SELECT grp, {r6('tau')}, CAST(n_hubs AS BIGINT) AS n_hubs, {r6('share', 'stability', 'score')}, row_number() OVER (PARTITION BY grp ORDER BY score DESC, pos) = 1 AS best FROM tz"
-add("j6_threshold_calibration", lambda s, d: scoring.calibrate_threshold(scoring.standardised_hubs(scores(s, d), 1.0, *GRP), TAUS, *GRP), J6)
-J7 = f"WITH {HUB}, {TAU}, pt AS (SELECT grp, pos, node, approach, sum((z >= tau)::INT) AS hits, avg((z >= tau)::INT) AS prob FROM hz, tau GROUP BY ALL), ta AS (SELECT grp, pos, node, sum(hits) / 15.0 AS share, count(*) FILTER (prob >= 0.6) AS agreeing FROM pt GROUP BY ALL) SELECT grp, node, {r6('avg(share) AS mean_share')}, count(*) FILTER (share >= 0.5) AS n_taus_hub, count(*) FILTER (agreeing = 3) AS n_taus_three_way, count(*) FILTER (share >= 0.5) >= 13 AS stable FROM ta GROUP BY grp, node"
-add("j7_threshold_sensitivity", lambda s, d: scoring.threshold_sensitivity(scoring.standardised_hubs(scores(s, d), 1.0, *GRP), TAUS, *GRP), J7)
+QUALITY = """nn AS (SELECT grp, count(DISTINCT round(z, 9)) / 3.0 AS nodes FROM hz GROUP BY grp),
+tq AS (SELECT grp, pos, tau, count(DISTINCT round(z, 9)) FILTER (z >= tau) / 3.0 AS hubs, count(z) FILTER (z >= tau) AS n, avg(z) FILTER (z >= tau) AS m, stddev_samp(z) FILTER (z >= tau) AS sd, max(z) FILTER (z >= tau) - min(z) FILTER (z >= tau) AS rg FROM hz, tau GROUP BY ALL),
+tp AS (SELECT grp, pos, tau, hubs, hubs / nodes AS p, CASE WHEN n > 3 THEN greatest(0, least(1, 1 - sd / m)) ELSE 0 END AS md, CASE WHEN n > 3 THEN 1 / (1 + rg) ELSE 0 END AS cl FROM tq JOIN nn USING (grp)),
+tz AS (SELECT grp, pos, tau, CASE WHEN hubs < 2 THEN 0 ELSE p END AS share, CASE WHEN hubs < 2 THEN 0 ELSE md END AS hub_modularity, CASE WHEN hubs < 2 THEN 0 ELSE cl END AS hub_clustering, CASE WHEN hubs < 2 THEN 0 ELSE least(2 * p, 0.6) END AS hub_density,
+       CASE WHEN hubs < 2 THEN 0 ELSE CASE WHEN p BETWEEN 0.05 AND 0.15 THEN 1 ELSE exp(-10 * abs(p - 0.1)) END + md + cl + CASE WHEN p >= 0.05 THEN 0.5 ELSE 0 END END AS score FROM tp),
+bt AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(score, 9) DESC, pos) = 1 AS best FROM tz)"""
+J6 = f"WITH {HUB}, {TAU}, {QUALITY} SELECT grp, {r6('tau', 'share', 'hub_modularity', 'hub_clustering', 'hub_density', 'score')}, best FROM bt"
+SHARES = "ta AS (SELECT grp, pos, tau, node, sum(CASE WHEN z >= tau THEN 1 ELSE 0 END) / 15.0 AS share FROM hz, tau GROUP BY ALL), ts AS (SELECT grp, node, avg(share) AS mean_share, count(*) FILTER (share >= 0.5) AS n_taus_hub, count(*) FILTER (share >= 0.5) >= 13 AS stable FROM ta GROUP BY grp, node)"
+AGREEMENTS = [0.4, 0.5, 0.6, 0.7, 0.8]
+
+
+def hubs(s, d):
+    return scoring.standardised_hubs(scores(s, d), 1.0, *GRP)
+
+
+add("j6_threshold_calibration", lambda s, d: scoring.calibrate_threshold(hubs(s, d), TAUS, *GRP), J6)
+add("j7_threshold_sensitivity", lambda s, d: scoring.threshold_sensitivity(hubs(s, d), TAUS, *GRP), f"WITH {HUB}, {TAU}, {SHARES} SELECT grp, {r6('tau')}, count(*) FILTER (share >= 0.5) AS n_consensus_hubs, count(*) FILTER (share >= 0.6) AS n_three_way, {r6('avg(share) FILTER (share > 0) AS avg_score')}, count(*) FILTER (share >= 0.5 AND stable) AS stable_hubs FROM ta JOIN ts USING (grp, node) GROUP BY grp, tau")
+add("j7_stable_hubs", lambda s, d: scoring.stable_hubs(hubs(s, d), TAUS, *GRP), f"WITH {HUB}, {TAU}, {SHARES} SELECT grp, node, {r6('mean_share')}, n_taus_hub, stable FROM ts")
+add("j7_agreement_sensitivity", lambda s, d: scoring.agreement_sensitivity(hubs(s, d), AGREEMENTS, 1.5, *GRP), f"WITH {HUB}, tau AS (SELECT 1.5 AS tau, 1 AS pos), {SHARES} SELECT grp, {r6('agreement')}, count(*) FILTER (round(share - agreement, 9) >= 0) AS n_hubs, {r6('coalesce(avg(share) FILTER (round(share - agreement, 9) >= 0), 0) AS avg_confidence')} FROM ta, (SELECT unnest({AGREEMENTS}) AS agreement) GROUP BY grp, agreement")
 add("j8_comprehensive_consensus", lambda s, d: scoring.comprehensive(scores(s, d), 1.0, *GRP), f"WITH {J4} SELECT grp, node, {UNC}, CASE WHEN agree = 3 THEN 'all three' WHEN agree >= 2 THEN 'two' WHEN score >= 0.4 THEN 'consensus' ELSE 'none' END AS robustness FROM uc")
+J4_AUTO = J4.replace("hz AS (SELECT *, coalesce(z >= 1.0, false) AS is_hub FROM hb)", f"hz AS (SELECT * FROM hb), {TAU}, {QUALITY}, ht AS (SELECT hb.*, coalesce(z >= b.tau, false) AS is_hub FROM hb LEFT JOIN (SELECT grp, tau FROM bt WHERE best) b USING (grp))").replace("FROM hz GROUP BY ALL),", "FROM ht GROUP BY ALL),", 1)
+add("j8_calibrated_consensus", lambda s, d: scoring.comprehensive(scores(s, d), "auto", *GRP), f"WITH {J4_AUTO} SELECT grp, node, {UNC}, CASE WHEN agree = 3 THEN 'all three' WHEN agree >= 2 THEN 'two' WHEN score >= 0.4 THEN 'consensus' ELSE 'none' END AS robustness FROM uc")
 
 # K: tests
 def two_sides(s, d):
@@ -83,9 +100,9 @@ def perm_sql(source: str, count: int) -> str:
 add("k2_permutations", lambda s, d: permute.permutations(two_sides(s, d).select("subject", "side").distinct(), PERMS), f"WITH {SIDES}, {perm_sql('sub', PERMS)} SELECT CAST(perm AS INTEGER) AS perm, subject, CAST(side AS INTEGER) AS side FROM prm")
 K2 = f"{SIDES}, {perm_sql('sub', PERMS)}, sm AS (SELECT perm, node, avg(value) FILTER (p.side = 1) AS m1, var_samp(value) FILTER (p.side = 1) AS v1, count(value) FILTER (p.side = 1) AS n1, avg(value) FILTER (p.side = 2) AS m2, var_samp(value) FILTER (p.side = 2) AS v2, count(value) FILTER (p.side = 2) AS n2 FROM prm p JOIN vals v USING (subject) GROUP BY perm, node), kt AS (SELECT o.node, o.m1 AS mean1, o.m2 AS mean2, o.m1 - o.m2 AS difference, (o.m1 - o.m2) / sqrt(((o.n1 - 1) * o.v1 + (o.n2 - 1) * o.v2) / (o.n1 + o.n2 - 2)) AS cohens_d, avg((abs(n.m1 - n.m2) >= abs(o.m1 - o.m2))::INT) AS p, quantile_cont(n.m1 - n.m2, 0.025) AS null_low, quantile_cont(n.m1 - n.m2, 0.975) AS null_high FROM sm o JOIN sm n ON o.node = n.node AND o.perm = 0 AND n.perm > 0 GROUP BY ALL)"
 add("k2_two_sample_test", lambda s, d: permute.two_sample_test(two_sides(s, d), PERMS), f"WITH {K2} SELECT node, {r6('mean1', 'mean2', 'difference', 'cohens_d', 'p', 'null_low', 'null_high')} FROM kt")
-BH = "(SELECT min(least(1, u.p * 12 / u.rk)) FROM rr u WHERE u.p >= rr.p)"
+BH = f"(SELECT min(least(1, u.p * {B.DIMS} / u.rk)) FROM rr u WHERE u.p >= rr.p)"
 add("k7_region_tests", lambda s, d: permute.adjust(permute.two_sample_test(two_sides(s, d), PERMS)).withColumn("stars", permute.stars("p_adjusted")).select("node", "p", "p_adjusted", "stars"), f"WITH {K2}, rr AS (SELECT node, p, row_number() OVER (ORDER BY p) AS rk FROM kt), ad AS (SELECT node, p, {BH} AS pa FROM rr) SELECT node, {r6('p', 'pa AS p_adjusted')}, CASE WHEN pa < 0.001 THEN '***' WHEN pa < 0.01 THEN '**' WHEN pa < 0.05 THEN '*' ELSE '' END AS stars FROM ad")
-add("k5_bonferroni", lambda s, d: permute.adjust(permute.two_sample_test(two_sides(s, d), PERMS), "p", "bonferroni").select("node", "p", "p_adjusted"), f"WITH {K2} SELECT node, {r6('p', 'least(1, p * 12) AS p_adjusted')} FROM kt")
+add("k5_bonferroni", lambda s, d: permute.adjust(permute.two_sample_test(two_sides(s, d), PERMS), "p", "bonferroni").select("node", "p", "p_adjusted"), f"WITH {K2} SELECT node, {r6('p', 'least(1, p * 64) AS p_adjusted')} FROM kt")
 add("k6_effect_sizes", lambda s, d: permute.effect_sizes(threshold_free.node_strength(B.pearson(s, d)[0]).select("grp", F.col("node_strength").alias("value"))), f"WITH {C.STRENGTH}, e AS (SELECT grp, avg(node_strength) AS m, var_samp(node_strength) AS v, count(*) AS n FROM st WHERE method = 'pearson' GROUP BY grp) SELECT a.grp AS g1, b.grp AS g2, {r6('(a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) AS cohens_d')} FROM e a JOIN e b ON a.grp <> b.grp")
 
 
@@ -138,7 +155,7 @@ def area_sets(s):
 add("l1_leave_one_out", lambda s, d: discover.leave_one_out(pairs01(s, d)[0], discover.candidates(s, pairs01(s, d)[1], 1).unionByName(area_sets(s))), f"WITH {NP}, {SETS2}, {B.AREA_SQL}, s1 AS (SELECT * FROM sets WHERE size = 1 UNION ALL SELECT area, count(*), list(node) FROM areas GROUP BY area), {contrib_sql('balanced', sets='s1')} SELECT combo_id, size, {r6('j_all', 'j_without', 'contribution', '100 * contribution / nullif(j_all, 0) AS pct_change')} FROM cb")
 add("l13_candidates", lambda s, d: discover.candidates(s, B.obs(s, d)[1], 2).join(core.some_nodes(s, d).agg(F.count(F.lit(1)).alias("n")), F.lit(True)).select("combo_id", "size"), f"WITH {NP}, {SETS2} SELECT combo_id, CAST(size AS INTEGER) AS size FROM sets")
 add("l15_batch_contributions", lambda s, d: discover.contributions(pairs01(s, d)[0], discover.candidates(s, pairs01(s, d)[1], 2), "flat"), f"WITH {NP}, {SETS2}, {contrib_sql('flat')} SELECT combo_id, size, {r6('j_all', 'j_without', 'contribution')} FROM cb")
-add("l16_complement_contributions", lambda s, d: discover.contributions(pairs01(s, d)[0], discover.complement_sets(area_sets(s), pairs01(s, d)[1]), "flat").where("size = 8"), f"WITH {NP}, {SETS2}, {B.AREA_SQL}, cs AS (SELECT string_agg(node, ',' ORDER BY node) AS combo_id, 8 AS size, list(node) AS nodes FROM nd, (SELECT unnest(['a0', 'a1', 'a2']) AS ar) WHERE node NOT IN (SELECT node FROM areas WHERE area = ar) GROUP BY ar), {contrib_sql('flat', sets='cs')} SELECT combo_id, size, {r6('j_all', 'j_without', 'contribution')} FROM cb")
+add("l16_complement_contributions", lambda s, d: discover.contributions(pairs01(s, d)[0], discover.complement_sets(area_sets(s), pairs01(s, d)[1]), "flat").where(f"size = {B.DIMS - 4}"), f"WITH {NP}, {SETS2}, {B.AREA_SQL}, cs AS (SELECT string_agg(node, ',' ORDER BY node) AS combo_id, {B.DIMS - 4} AS size, list(node) AS nodes FROM nd, (SELECT DISTINCT area AS ar FROM areas) WHERE node NOT IN (SELECT node FROM areas WHERE area = ar) GROUP BY ar), {contrib_sql('flat', sets='cs')} SELECT combo_id, size, {r6('j_all', 'j_without', 'contribution')} FROM cb")
 SYN = f"{contrib_sql('balanced')}, spx AS (SELECT c.combo_id, sum(o.contribution) AS expected_additive FROM cb c JOIN cb o ON o.size = 1 AND list_contains(string_split(c.combo_id, ','), o.combo_id) GROUP BY c.combo_id), sy AS (SELECT cb.*, expected_additive, CASE WHEN size = 1 THEN 0 ELSE contribution - expected_additive END AS synergy, CASE WHEN contribution > 0 THEN 'dissimilarity' ELSE 'similarity' END AS direction FROM cb JOIN spx USING (combo_id)), sr AS (SELECT *, CASE WHEN size > 1 AND abs(expected_additive) > 1e-10 THEN synergy / abs(expected_additive) END AS synergy_ratio FROM sy), sx AS (SELECT *, CASE WHEN size = 1 THEN abs(contribution) ELSE coalesce(abs(synergy_ratio), 0.01 * abs(contribution)) END AS rank_score FROM sr)"
 
 
