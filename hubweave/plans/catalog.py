@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hubweave.plans import comparisons, core, plots, scores
+from hubweave.plans import comparisons, core, exports, plots, scores
 
-MODULES = (core, comparisons, scores, plots)
+MODULES = (core, comparisons, scores, plots, exports)
 
 
 def queries():
