@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from hubweave.functions.stats import safe_corr, t_two_sided
 from hubweave.operators import impute
 from hubweave.sources.observations import to_long, to_vectors
 
+BLOCK = 256  # subjects of one block of Kendall's pairs
 METHODS = ("pearson", "spearman", "kendall", "biweight", "shrinkage", "partial")
 
 
@@ -39,13 +41,44 @@ def spearman(rows: DataFrame, nodes: list[str]) -> DataFrame:
     return _named("spearman", pairs.groupBy("grp", "i", "j").agg(safe_corr("x", "y").alias("r")))
 
 
+def _sign_sums(p: int):
+    """(grp, at, s) of pairs of blocks: for nodes i and j (at = i p + j) the sum of sign * sign over pairs of subjects."""
+
+    def run(batches):
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for grp, same, left, right in zip(batch["grp"].to_pylist(), batch["same"].to_pylist(), batch["x"], batch["y"], strict=True):
+                x, y = (v.values.to_numpy(zero_copy_only=False).reshape(-1, p) for v in (left, right))
+                total = sums.setdefault(grp, np.zeros((p, p)))
+                for at in range(0, len(x), 32):
+                    signs = np.sign(x[at : at + 32, None, :] - y[None, :, :]).astype(np.float32).reshape(-1, p)
+                    # within a block every pair of subjects comes twice
+                    total += (signs.T @ signs).astype(np.float64) / (2 if same else 1)
+        for grp, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([grp] * (p * p), pa.string()), pa.array(np.arange(p * p, dtype=np.int32)), pa.array(total.ravel())], ["grp", "at", "s"])
+
+    return run
+
+
 def kendall(rows: DataFrame, nodes: list[str]) -> DataFrame:
-    """Tau-b over complete subjects, from the signs of all pairs of subjects of a group."""
+    """Tau-b over complete subjects, from the signs of all pairs of subjects of a group.
+
+    Subjects are dealt into blocks of about BLOCK, and each two blocks of a group meet in one row: pairs of subjects
+    are formed inside a task, as products of sign matrices, and only sums over them leave it.
+    """
+    p = len(nodes)
     whole = impute.complete_cases(rows)
-    a, b = whole.toDF("grp", "s1", "v1"), whole.toDF("grp", "s2", "v2")
-    signs = a.join(b, "grp").where("s1 < s2").select("grp", F.zip_with("v1", "v2", lambda x, y: F.signum(x - y)).alias("values"))
-    sums = pair_values(signs, nodes).groupBy("grp", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s"), F.sum(F.abs("x")).alias("nx"), F.sum(F.abs("y")).alias("ny"))
-    return _named("kendall", sums.withColumn("r", F.try_divide(F.col("s"), F.sqrt(F.col("nx") * F.col("ny")))))
+    sizes = whole.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = whole.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("subject"), F.col("blocks")))
+    blocks = dealt.groupBy("grp", "block").agg(F.flatten(F.collect_list("values")).alias("x"))
+    met = blocks.join(blocks.toDF("grp", "other", "y"), "grp").where("block <= other").select("grp", (F.col("block") == F.col("other")).alias("same"), "x", "y")
+    sums = met.mapInArrow(_sign_sums(p), "grp string, at int, s double").groupBy("grp", "at").agg(F.sum("s").alias("s"))
+    names = F.array(*[F.lit(n) for n in nodes])
+    cells = sums.select("grp", F.expr(f"at div {p}").cast("int").alias("a"), (F.col("at") % p).alias("b"), "s")
+    own = cells.where("a = b")
+    pairs = cells.where("a < b").join(own.select("grp", "a", F.col("s").alias("nx")), ["grp", "a"]).join(own.select("grp", "b", F.col("s").alias("ny")), ["grp", "b"])
+    named = pairs.select("grp", F.get(names, F.col("a")).alias("i"), F.get(names, F.col("b")).alias("j"), F.try_divide(F.col("s"), F.sqrt(F.col("nx") * F.col("ny"))).alias("r"))
+    return _named("kendall", named)
 
 
 def biweight(rows: DataFrame, nodes: list[str]) -> DataFrame:

@@ -19,9 +19,9 @@ def obs(spark, sf_dir):
 
 
 def gappy(spark, sf_dir):
-    """The same observations with gaps: (vec_id * 7 + dim) % 19 = 0 is missing."""
+    """The same observations with gaps: of every third subject, (vec_id * 7 + dim) % 19 = 0 is missing."""
     rows, nodes = obs(spark, sf_dir)
-    holes = F.transform("values", lambda v, i: F.when((F.col("subject") * 7 + i) % 19 != 0, v))
+    holes = F.transform("values", lambda v, i: F.when((F.col("subject") % 3 != 0) | ((F.col("subject") * 7 + i) % 19 != 0), v))
     return rows.select("grp", "subject", holes.alias("values")), nodes
 
 
@@ -63,7 +63,7 @@ def q(build):
 # --- SQL twins -----------------------------------------------------------------------------------
 
 OBS = f"obs AS (SELECT 'g' || label AS grp, vec_id AS subject, 'd' || lpad(CAST(k - 1 AS VARCHAR), 2, '0') AS node, k - 1 AS dim, CAST(embedding[k] AS DOUBLE) AS value FROM embeddings, (SELECT unnest(range(1, {DIMS + 1})) AS k))"
-GAPPY = f"{OBS}, gap AS (SELECT grp, subject, node, dim, CASE WHEN (subject * 7 + dim) % 19 = 0 THEN NULL ELSE value END AS value FROM obs)"
+GAPPY = f"{OBS}, gap AS (SELECT grp, subject, node, dim, CASE WHEN subject % 3 = 0 AND (subject * 7 + dim) % 19 = 0 THEN NULL ELSE value END AS value FROM obs)"
 
 
 def corr_sql(name: str, source: str, method: str) -> str:
