@@ -88,10 +88,11 @@ def average_network(corr: DataFrame) -> DataFrame:
 
 
 def dual_network(corr: DataFrame, first: str, second: str) -> DataFrame:
-    """(method, i, j, found): edges of two groups, each cut at its median weight; found in both, the first or the second."""
-    edges = corr.where(F.col("grp").isin(first, second)).select("method", "grp", "i", "j", F.abs("r").alias("w"))
+    """(method, i, j, found): edges of two groups, each cut at its median weight (to 9 decimals); found in both, the first
+    or the second."""
+    edges = corr.where(F.col("grp").isin(first, second)).select("method", "grp", "i", "j", F.round(F.abs("r"), 9).alias("w"))
     cut = edges.where("w > 0").groupBy("method", "grp").agg(F.median("w").alias("cut"))
-    kept = edges.join(cut, ["method", "grp"]).where("w > cut")
+    kept = edges.join(cut, ["method", "grp"]).where("round(w - cut, 9) > 0")
     sides = kept.groupBy("method", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("grp"))
     return sides.select("method", "i", "j", F.when(F.col("n") == 2, "both").when(F.col("grp") == first, "first").otherwise("second").alias("found"))
 

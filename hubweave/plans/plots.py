@@ -45,7 +45,7 @@ add("r_weight_histogram", lambda s, d: plotdata.histogram(absolute(s, d), "w", 0
 add("r_weight_quartiles", lambda s, d: plotdata.quartiles(absolute(s, d), "w", *KEY), f"WITH {B.CORR2}, w AS (SELECT method, grp, abs(r) AS w FROM corr) SELECT method, grp, {r6('quantile_cont(w, 0.25) AS q1', 'median(w) AS median', 'quantile_cont(w, 0.75) AS q3', 'avg(w) AS mean', 'stddev_samp(w) AS sd')} FROM w GROUP BY method, grp")
 add("r_area_strength", lambda s, d: plotdata.area_means(strength(s, d), "node_strength", B.areas(s).select("node", "area"), *KEY), f"WITH {C.STRENGTH}, {B.AREA_SQL} SELECT method, grp, area, {r6('avg(node_strength) AS mean', 'stddev_samp(node_strength) / sqrt(count(*)) AS se')}, count(*) AS n FROM st JOIN areas USING (node) GROUP BY method, grp, area")
 add("r_strength_regression", lambda s, d: plotdata.regression(both(s, d), "weighted", "percolation", *KEY), f"WITH {C.PERC_ST} SELECT method, grp, {r6('regr_slope(p, node_strength) AS slope', 'regr_intercept(p, node_strength) AS intercept', 'corr(p, node_strength) AS r')} FROM st JOIN ps USING (method, grp, node) GROUP BY method, grp")
-add("r_inverted_ranks", lambda s, d: plotdata.inverted_ranks(strength(s, d), "node_strength", *KEY), f"WITH {C.STRENGTH} SELECT method, grp, node, {r6('node_strength')}, round(({B.DIMS} - (rank() OVER (PARTITION BY method, grp ORDER BY node_strength DESC) + (count(*) OVER (PARTITION BY method, grp, node_strength) - 1) / 2.0) + 1) / 12, 6) + 0.0 AS inverted_rank FROM st")
+add("r_inverted_ranks", lambda s, d: plotdata.inverted_ranks(strength(s, d), "node_strength", *KEY), f"WITH {C.STRENGTH} SELECT method, grp, node, {r6('node_strength')}, round(({B.DIMS} - (rank() OVER (PARTITION BY method, grp ORDER BY node_strength DESC) + (count(*) OVER (PARTITION BY method, grp, node_strength) - 1) / 2.0) + 1) / {B.DIMS}, 6) + 0.0 AS inverted_rank FROM st")
 add("r_hub_regions", lambda s, d: plotdata.hub_regions(combined(s, d), "grp"), f"WITH {K.J4}, rg AS (SELECT grp, CASE WHEN weighted_prob >= 0.6 THEN 'W' ELSE '' END || CASE WHEN percolation_prob >= 0.6 THEN 'P' ELSE '' END || CASE WHEN persistence_prob >= 0.6 THEN 'S' ELSE '' END AS region FROM cn) SELECT grp, region, count(*) AS n FROM rg WHERE region <> '' GROUP BY grp, region")
 add("r_agreement_bins", lambda s, d: plotdata.agreement_bins(combined(s, d), "grp"), f"WITH {K.J4} SELECT grp, CASE WHEN score <= 0.33 THEN 'low' WHEN score <= 0.66 THEN 'middle' ELSE 'high' END AS bin, count(*) AS n FROM cn GROUP BY ALL")
 add("a3_dense_correlations", lambda s, d: sinks.dense_correlations(*B.corr2(s, d)))
@@ -100,7 +100,7 @@ add("r_stability_percentiles", lambda s, d: spread(s, d).groupBy("method").agg(*
 add("r_regional_ranks", lambda s, d: plotdata.mean_ranks_of_areas(hubs(s, d), area_names(s), "grp"), f"WITH {K.HUB}, {B.AREA_SQL}, mz AS (SELECT grp, node, round(avg(z), 9) AS z FROM hz GROUP BY grp, node), mr AS (SELECT grp, node, rank() OVER (PARTITION BY grp ORDER BY z DESC) + (count(*) OVER (PARTITION BY grp, z) - 1) / 2.0 AS rank FROM mz) SELECT grp, area, {r6('avg(rank) AS mean_rank')} FROM mr JOIN areas USING (node) GROUP BY grp, area")
 add("r_subregional_means", lambda s, d: hubs(s, d).groupBy("grp", "node").agg(F.avg("z").alias("mean_z")).join(F.broadcast(area_names(s)), "node").select("grp", "area", "node", "mean_z"), f"WITH {K.HUB}, {B.AREA_SQL}, mz AS (SELECT grp, node, avg(z) AS mean_z FROM hz GROUP BY grp, node) SELECT grp, area, node, {r6('mean_z')} FROM mz JOIN areas USING (node)")
 add("r_average_network", lambda s, d: plotdata.average_network(B.corr2(s, d)[0]), f"WITH {B.CORR2}, av AS (SELECT method, i, j, avg(abs(r)) AS w FROM corr GROUP BY ALL), md AS (SELECT method, median(w) AS cut FROM av WHERE w > 0 GROUP BY method) SELECT method, i, j, {r6('w')} FROM av JOIN md USING (method) WHERE w > cut")
-add("r_dual_network", lambda s, d: plotdata.dual_network(B.corr2(s, d)[0], "g0", "g1"), f"WITH {B.CORR2}, ew AS (SELECT method, grp, i, j, abs(r) AS w FROM corr WHERE grp IN ('g0', 'g1')), md AS (SELECT method, grp, median(w) AS cut FROM ew WHERE w > 0 GROUP BY ALL), kp AS (SELECT method, grp, i, j FROM ew JOIN md USING (method, grp) WHERE w > cut) SELECT method, i, j, CASE WHEN count(*) = 2 THEN 'both' WHEN min(grp) = 'g0' THEN 'first' ELSE 'second' END AS found FROM kp GROUP BY method, i, j")
+add("r_dual_network", lambda s, d: plotdata.dual_network(B.corr2(s, d)[0], "g0", "g1"), f"WITH {B.CORR2}, ew AS (SELECT method, grp, i, j, round(abs(r), 9) AS w FROM corr WHERE grp IN ('g0', 'g1')), md AS (SELECT method, grp, median(w) AS cut FROM ew WHERE w > 0 GROUP BY ALL), kp AS (SELECT method, grp, i, j FROM ew JOIN md USING (method, grp) WHERE round(w - cut, 9) > 0) SELECT method, i, j, CASE WHEN count(*) = 2 THEN 'both' WHEN min(grp) = 'g0' THEN 'first' ELSE 'second' END AS found FROM kp GROUP BY method, i, j")
 add("r_group_percolation", percolated, f"{core.PERC} SELECT corr.method, corr.grp, i, j, {r6('abs(r) AS w', 'threshold')}, abs(r) >= threshold AS above FROM corr JOIN thr ON thr.grp = corr.grp")
 add("r_area_edges", lambda s, d: plotdata.area_edges(B.cut_edges(s, d)[0], area_names(s), *KEY), f"WITH {B.EDGES}, {B.AREA_SQL}, en AS (SELECT method, grp, a.area AS x, b.area AS y FROM edges JOIN areas a ON a.node = src JOIN areas b ON b.node = dst), us AS (SELECT method, grp, x AS area, x = y AS inside FROM en UNION ALL SELECT method, grp, y, false FROM en WHERE x <> y) SELECT method, grp, area, count(*) FILTER (inside) AS internal, count(*) FILTER (NOT inside) AS external FROM us GROUP BY method, grp, area")
 add("r_scaled_strengths", lambda s, d: plotdata.scaled(both(s, d), ["weighted", "percolation"], *KEY), f"WITH {C.PERC_ST}, x AS (SELECT method, grp, node, node_strength AS a, p AS b FROM st JOIN ps USING (method, grp, node)) SELECT method, grp, node, {r6('coalesce((a - min(a) OVER w) / nullif(max(a) OVER w - min(a) OVER w, 0), 0) AS weighted', 'coalesce((b - min(b) OVER w) / nullif(max(b) OVER w - min(b) OVER w, 0), 0) AS percolation')} FROM x WINDOW w AS (PARTITION BY method, grp)")
