@@ -32,19 +32,32 @@ def _without_others(rows, grouped, order):
 
 
 def quality_stage(spark, docs, sf_dir):
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Each row is judged by its own text: repeated rows and repeated or null ids go or stay together. Null and empty texts
+    get the sample's mean label. Without labels everything stays; an empty table stays empty. Columns other than those
+    of documents are left out.
+    """
     return keep_good(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def exact_dedup_stage(spark, docs, sf_dir):
-    """Of equal texts, one row with the largest doc_id stays; null is the smallest."""
+    """Of equal texts, one row with the largest doc_id stays; null is the smallest.
+
+    Null and empty texts are equal. Of repeated rows and equal ids, the row that was numbered first stays; rows that
+    share an id but not the text are told apart. An empty table stays empty.
+    """
     rows = _numbered(docs)
     copies = materialize(exact_dedup(rows, "row").where("group_size > 1").select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group")))
     return _without_others(rows, copies, F.struct(F.col("doc_id").isNull(), -F.col("doc_id").cast("decimal(20,0)"), "row"))
 
 
 def near_dedup_stage(spark, docs, sf_dir):
-    """Of documents linked by Jaccard similarity of 5-word shingles of 0.75 or more, one row with the smallest doc_id stays; null is the largest."""
+    """Of documents linked by Jaccard similarity of 5-word shingles of 0.75 or more, one row with the smallest doc_id stays; null is the largest.
+
+    Texts without words link with nothing and stay. Repeated rows are one set, of which the row numbered first stays;
+    rows that share an id are told apart. An empty table stays empty.
+    """
     rows = _numbered(docs)
     named = materialize(ngram_groups(rows, "row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")))
     several = named.where("row <> group").select("group").distinct()
@@ -52,7 +65,11 @@ def near_dedup_stage(spark, docs, sf_dir):
 
 
 def mixing_stage(spark, docs, sf_dir):
-    """Each document as often as the mix takes it: words taken / size, rounded; documents never taken go."""
+    """Each document as often as the mix takes it: words taken / size, rounded; documents never taken go.
+
+    Texts without words (null ones too) are never taken. A null source is a source of its own. Repeated rows, and rows
+    with equal or null ids, each have their own share. An empty table stays empty.
+    """
     rows = _numbered(docs)
     copies = mix(rows, row_col="row").where("size > 0").select("row", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies")).where("copies > 0")
     repeated = rows.join(copies, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
@@ -60,7 +77,7 @@ def mixing_stage(spark, docs, sf_dir):
 
 
 def encoding_stage(spark, docs, sf_dir):
-    """doc_id, n_tokens, token_ids, round_trip of every row."""
+    """doc_id, n_tokens, token_ids, round_trip of every row, whatever its id; null and empty texts have no tokens."""
     return encode(docs)
 
 
