@@ -39,6 +39,7 @@ WIDTH = 5
 FRAGMENT_BITS = 2
 AT_ONCE = 500_000  # n-grams that a task deals out together
 PER_TASK = 2_000_000  # n-grams that a task counts
+SLICES = 8  # of a task's n-grams, sorted one after the other
 WORD_BYTES = 6  # of text, for a guess at the number of n-grams
 
 _LOAD = [("sets", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())]
@@ -117,33 +118,38 @@ def _members(parts: int):
     return run
 
 
-def _gathered(loads: list[dict]):
-    """(grams in order, their sets' places, sets, sizes) of all loads."""
-    named = np.concatenate([np.frombuffer(x["sets"], np.int64) for x in loads])
-    sizes = np.concatenate([np.frombuffer(x["sizes"], np.int32) for x in loads])
-    counts = np.concatenate([np.frombuffer(x["counts"], np.int32) for x in loads])
-    grams = np.concatenate([np.frombuffer(x["grams"], np.uint64) for x in loads])
+def _shared(batches: list[pa.RecordBatch]):
+    """(gram, number of its sets, set's place) of the n-grams that several sets have; sets; sizes. Empties ``batches``.
+
+    SLICES of the n-grams are sorted one after the other, so that a task's memory is little more than its n-grams.
+    """
+    named, sizes, counts, grams = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for batch in batches for x in batch[c]]) for c, kind in (("sets", np.int64), ("sizes", np.int32), ("counts", np.int32), ("grams", np.uint64)))
+    batches.clear()
     sets, first, place = np.unique(named, return_index=True, return_inverse=True)
-    owner = np.repeat(place.astype(np.int32), counts)
-    order = np.argsort(grams)
-    return grams[order], owner[order], sets, sizes[first]
+    sizes, owner = sizes[first], np.repeat(place.astype(np.int32), counts)
+    found = []
+    for k in range(SLICES):
+        at = np.flatnonzero(grams % np.uint64(SLICES) == k)
+        if len(at):
+            found.append(_shared_slice(grams[at], owner[at]))
+    return *(np.concatenate([f[i] for f in found]) for i in range(3)), sets, sizes
 
 
-def _shared(loads: list[dict]):
-    """(gram, number of its sets, set's place), in order of gram, of the n-grams that several sets have; sets; sizes."""
-    grams, owner, sets, sizes = _gathered(loads)
+def _shared_slice(grams: np.ndarray, owner: np.ndarray):
+    order = np.argsort(grams)
+    grams, owner = grams[order], owner[order]
     first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
     several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
     length = np.diff(np.append(first, len(grams)))
     kept = np.repeat(several, length)
-    pairs = np.stack([np.repeat(np.cumsum(several) - 1, length)[kept], owner[kept]])
+    number, values, owner = np.repeat(np.cumsum(several, dtype=np.int32) - 1, length)[kept], grams[kept], owner[kept]
     # a set that several tasks dealt out counts once
-    order = np.lexsort(pairs[::-1])
-    pairs, values = pairs[:, order], grams[kept][order]
-    new = np.ones(pairs.shape[1], bool)
-    new[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(0)
-    pairs, values = pairs[:, new], values[new]
-    return values, np.bincount(pairs[0], minlength=1)[pairs[0]], pairs[1], sets, sizes
+    order = np.lexsort((owner, number))
+    number, values, owner = number[order], values[order], owner[order]
+    new = np.ones(len(number), bool)
+    new[1:] = (number[1:] != number[:-1]) | (owner[1:] != owner[:-1])
+    number, values, owner = number[new], values[new], owner[new]
+    return values, np.bincount(number, minlength=1)[number].astype(np.int32), owner
 
 
 def _head_counts(batches):
@@ -153,7 +159,8 @@ def _head_counts(batches):
         rows = batch.filter(batch["grams"].is_null())
         if rows.num_rows:
             yield rows.select(["doc_id", "row_key", "set_id", "n"]).append_column("q", pa.nulls(rows.num_rows, pa.int64()))
-        loads += batch.filter(batch["grams"].is_valid()).select(["sets", "sizes", "counts", "grams"]).to_pylist()
+        some = batch.filter(batch["grams"].is_valid())
+        loads += [some] if some.num_rows else []
     if loads:
         _, _, owner, sets, sizes = _shared(loads)
         q = np.bincount(owner, minlength=len(sets))
@@ -184,12 +191,12 @@ def _deal_all(parts: int):
 
 def _kept_grams(batches):
     """(set_id, n, grams, often): the n-grams of a set in this task that several sets have, and how many have them."""
-    loads = [row for batch in batches for row in batch.select(["sets", "sizes", "counts", "grams"]).to_pylist()]
+    loads = [batch for batch in batches if batch.num_rows]
     if not loads:
         return
     grams, often, owner, sets, sizes = _shared(loads)
     order = np.argsort(owner, kind="stable")
-    grams, often, owner = grams[order], often[order].astype(np.int32), owner[order]
+    grams, often, owner = grams[order], often[order], owner[order]
     first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
     for at in range(0, len(first), 5000):
         begin = first[at : at + 5000]
