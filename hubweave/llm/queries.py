@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_join, quality, sentencepiece_codec, topk_search
+from . import chat_format, exact_dedup, filter_audit, language_id, line_dedup, lm_scoring, mixing, ngram_join, quality, sentencepiece_codec, simhash_dedup, spelling, topk_search
 from .common import table
 
 
@@ -46,6 +46,18 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_simhash_dedup(spark, sf_dir):
+    return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -58,6 +70,9 @@ def queries():
         "op8_chat_formatting": op8_chat_formatting,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_simhash_dedup": op13_simhash_dedup,
     }
 
 
@@ -67,4 +82,6 @@ def oracle_sql():
         "op5_topk_search": topk_search.ORACLE_SQL,
         "op8_chat_formatting": chat_format.ORACLE_SQL,
         "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op11_filter_audit": filter_audit.ORACLE_SQL,
+        "op12_spelling_variants": spelling.ORACLE_SQL,
     }
