@@ -25,7 +25,9 @@ def pair_values(rows: DataFrame, nodes: list[str], values: str = "values", keep:
 
 
 def _named(method: str, df: DataFrame) -> DataFrame:
-    return df.select(F.lit(method).alias("method"), "grp", "i", "j", "r")
+    """With r to 12 decimals: sums depend on the order of their terms in the last places, and a correlation that lies
+    exactly on a threshold (as many rank correlations do) has to be the same number however the rows are partitioned."""
+    return df.select(F.lit(method).alias("method"), "grp", "i", "j", F.round("r", 12).alias("r"))
 
 
 def pearson(rows: DataFrame, nodes: list[str]) -> DataFrame:
@@ -135,7 +137,7 @@ def partial(rows: DataFrame, nodes: list[str]) -> DataFrame:
         out = -inverse / np.outer(scale, scale)
         if not np.isfinite(out).all():
             return pdf.iloc[:0][["method", "grp", "i", "j", "r"]]
-        return pdf.assign(method="partial", r=[out[at[i], at[j]] for i, j in zip(pdf["i"], pdf["j"], strict=True)])[["method", "grp", "i", "j", "r"]]
+        return pdf.assign(method="partial", r=[round(out[at[i], at[j]], 12) for i, j in zip(pdf["i"], pdf["j"], strict=True)])[["method", "grp", "i", "j", "r"]]
 
     return corr.groupBy("grp").applyInPandas(invert, "method string, grp string, i string, j string, r double")
 

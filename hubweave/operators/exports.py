@@ -89,7 +89,7 @@ def weighted_conservation(corr: DataFrame) -> dict[str, DataFrame]:
 
 def threshold_free_analysis(corr: DataFrame, nodes: list[str], analysis: str = "all") -> dict[str, DataFrame]:
     """The threshold-free tables: ``node_strength``, ``weighted_eigenvector``, or both with ``all``."""
-    tables = {"node_strength": lambda: threshold_free.node_strength(corr), "weighted_eigenvector": lambda: threshold_free.weighted_eigenvector(corr, nodes)}
+    tables = {"node_strength": lambda: threshold_free.node_strength(corr), "weighted_eigenvector": lambda: threshold_free.weighted_eigenvector(corr)}
     if analysis != "all" and analysis not in tables:
         raise ValueError(f"analysis is one of all, {', '.join(tables)}")
     return {name: make() for name, make in tables.items() if analysis in ("all", name)}

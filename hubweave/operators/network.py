@@ -2,68 +2,70 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GRID = 95  # thresholds 0.01 .. 0.95
-
-
-def giant_sizes(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, grid: np.ndarray) -> list[tuple[int, int, int]]:
-    """(size of the largest component, components, edges) at each threshold of ``grid``, edges with w >= threshold.
+from hubweave.operators import graph_metrics, spread
+from hubweave.sources.scratch import settled
 
-    One pass over the edges from strong to weak: sets only ever merge as the threshold falls.
-    """
-    root, size = list(range(n)), [1] * n
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    order = np.argsort(-w, kind="stable")
-    out, at, giant, parts = {}, 0, 1 if n else 0, n
-    for t in sorted(grid, reverse=True):
-        while at < len(order) and w[order[at]] >= t:
-            a, b = find(int(i[order[at]])), find(int(j[order[at]]))
-            if a != b:
-                root[a], size[b] = b, size[a] + size[b]
-                giant, parts = max(giant, size[b]), parts - 1
-            at += 1
-        out[t] = (giant, parts, at)
-    return [out[t] for t in grid]
-
-
-def _indexed(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    nodes = sorted(set(pdf["i"]) | set(pdf["j"]))
-    at = {x: k for k, x in enumerate(nodes)}
-    known = pdf[pdf["r"].notna()]
-    return nodes, known["i"].map(at).to_numpy(int), known["j"].map(at).to_numpy(int), known["r"].abs().to_numpy(float)
+GRID = 95  # thresholds 0.01 .. 0.95
 
 
 def percolation_curve(corr: DataFrame) -> DataFrame:
-    """(method, grp, step, threshold, giant, n_components, density) on the grid of step / 100."""
+    """(method, grp, step, threshold, giant, n_components, density) on the grid of step / 100.
 
-    def curve(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, i, j, w = _indexed(pdf)
-        n, steps = len(nodes), np.arange(1, GRID + 1)
-        found = giant_sizes(n, i, j, w, steps / 100.0)
-        pairs = n * (n - 1) / 2
-        return pd.DataFrame({"method": key[0], "grp": key[1], "step": steps, "threshold": steps / 100.0, "giant": [g / n for g, _, _ in found], "n_components": [c for _, c, _ in found], "density": [e / pairs if pairs else 0.0 for _, _, e in found]})
-
-    return corr.groupBy("method", "grp").applyInPandas(curve, "method string, grp string, step int, threshold double, giant double, n_components int, density double")
+    The maximum spanning forest joins the same nodes at every threshold as all edges do, so components are those of
+    its edges (n - 1 at most), of all networks and thresholds in one loop. Densities are running counts of the pairs by
+    the last step that they reach.
+    """
+    return _curve(corr, strongest_forest(corr))
+
+
+def strongest_forest(corr: DataFrame) -> DataFrame:
+    """(method, grp, src, dst, w): maximum spanning forests over abs(r)."""
+    return settled(spread.spanning_forest(full_network(corr.where("r is not null")), largest=True).drop("turn"))
+
+
+def _curve(corr: DataFrame, forest: DataFrame) -> DataFrame:
+    k = ["method", "grp"]
+    w = full_network(corr.where("r is not null"))
+    sizes = graph_metrics.nodes_of(corr).groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
+    grid = corr.sparkSession.range(1, GRID + 1).select(F.col("id").cast("int").alias("step"), (F.col("id") / 100.0).alias("threshold"))
+    strong = settled(forest.join(F.broadcast(grid), F.col("w") >= F.col("threshold")))
+    key = (*k, "step")
+    merged = strong.groupBy(*key).agg(F.count(F.lit(1)).alias("merged"))
+    giant = spread.components(strong, key).groupBy(*key, "component").agg(F.count(F.lit(1)).alias("giant")).groupBy(*key).agg(F.max("giant").alias("giant"))
+    last = F.least(F.floor(F.round(F.col("w") * 100, 10)), F.lit(GRID)).cast("int")
+    counts = w.groupBy(*k, last.alias("step")).agg(F.count(F.lit(1)).alias("own"))
+    per = sizes.select(*k, "n", F.explode(F.sequence(F.lit(1), F.lit(GRID))).alias("step")).join(counts, [*key], "left").join(merged, [*key], "left").join(giant, [*key], "left")
+    edges = F.sum(F.coalesce("own", F.lit(0))).over(Window.partitionBy(*k).orderBy(F.col("step").desc()))
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    return per.select(
+        *k, "step", (F.col("step") / 100.0).alias("threshold"), (F.coalesce("giant", F.lit(1)) / F.col("n")).alias("giant"),
+        (F.col("n") - F.coalesce("merged", F.lit(0))).cast("int").alias("n_components"), F.coalesce(F.try_divide(edges, pairs), F.lit(0.0)).alias("density"),
+    )
 
 
 def percolation_thresholds(corr: DataFrame) -> DataFrame:
     """(method, grp, threshold): the highest grid point that keeps the graph in one piece, or else 98% of the largest
-    giant fraction; 0.95 without any edge."""
-    curve = percolation_curve(corr)
-    best = curve.groupBy("method", "grp").agg(F.max("giant").alias("best"), F.max("density").alias("dense"))
+    giant fraction; 0.95 without any edge.
+
+    A forest that is one tree falls apart above its weakest edge; only for other networks the curve is needed.
+    """
+    k = ["method", "grp"]
+    forest = strongest_forest(corr)
+    trees = forest.groupBy(*k).agg(F.count(F.lit(1)).alias("edges"), F.least(F.floor(F.round(F.min("w") * 100, 10)), F.lit(GRID)).alias("last"))
+    sizes = graph_metrics.nodes_of(corr).groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
+    known = settled(sizes.join(trees, k, "left").withColumn("whole", F.coalesce((F.col("edges") == F.col("n") - 1) & (F.col("last") >= 1), F.lit(False))))
+    whole = known.where("whole").select(*k, (F.col("last") / 100.0).alias("threshold"))
+    rest = known.where("not whole").select(*k)
+    if rest.isEmpty():
+        return whole
+    curve = settled(_curve(corr.join(rest, k, "left_semi"), forest.join(rest, k, "left_semi")))
+    best = curve.groupBy(*k).agg(F.max("giant").alias("best"), F.max("density").alias("dense"))
     need = F.when(F.col("best") == 1, F.lit(1.0)).otherwise(0.98 * F.col("best"))
-    hit = curve.join(best, ["method", "grp"]).where((F.col("giant") >= need) | (F.col("dense") == 0))
-    return hit.groupBy("method", "grp").agg(F.max("threshold").alias("threshold"))
+    hit = curve.join(best, k).where((F.col("giant") >= need) | (F.col("dense") == 0))
+    return whole.unionByName(hit.groupBy(*k).agg(F.max("threshold").alias("threshold")))
 
 
 def threshold_network(corr: DataFrame, threshold: float | DataFrame) -> DataFrame:

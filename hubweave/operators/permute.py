@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hubweave.functions.stats import t_two_sided
+from hubweave.operators import graph_metrics, spread
+from hubweave.sources.scratch import settled
 
 
 def required_permutations(n_tests: int, alpha: float = 0.05, safety: float = 2, least: int = 1000, most: int | None = None) -> dict:
@@ -27,15 +28,24 @@ def shuffle_key(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]).cast("binary"))
 
 
+RANKED_APART = 64  # ranges of the digest within which a permutation's subjects are sorted
+
+
 def permutations(subjects: DataFrame, count: int, seed: int = 42) -> DataFrame:
     """(perm, subject, side): 0 is the observed side, 1..count reshuffle sides (1 or 2) keeping their sizes.
 
-    ``subjects`` (subject, side). The order of a permutation is that of md5(seed|perm|subject).
+    ``subjects`` (subject, side). The order of a permutation is that of md5(seed|perm|subject). A subject's place is its
+    rank within the range of its digest's first two digits, plus the subjects of the ranges before: no task sorts a
+    whole permutation.
     """
-    n1 = subjects.agg(F.count_if(F.col("side") == 1).alias("n1"))
-    drawn = subjects.select("subject", F.explode(F.sequence(F.lit(1), F.lit(count))).alias("perm")).crossJoin(F.broadcast(n1))
-    place = F.row_number().over(Window.partitionBy("perm").orderBy(shuffle_key(F.lit(seed), F.col("perm"), F.col("subject")), "subject"))
-    drawn = drawn.withColumn("place", place).select("perm", "subject", F.when(F.col("place") <= F.col("n1"), 1).otherwise(2).alias("side"))
+    digest = shuffle_key(F.lit(seed), F.col("perm"), F.col("subject"))
+    drawn = subjects.select("subject", "side", F.explode(F.sequence(F.lit(1), F.lit(count))).alias("perm")).withColumn("digest", digest)
+    drawn = drawn.withColumn("range", F.floor(F.conv(F.substring("digest", 1, 2), 16, 10).cast("int") * RANKED_APART / 256))
+    sizes = drawn.groupBy("perm", "range").agg(F.count(F.lit(1)).alias("own"), F.count_if(F.col("side") == 1).alias("first"))
+    by = Window.partitionBy("perm")
+    starts = sizes.select("perm", "range", (F.sum("own").over(by.orderBy("range")) - F.col("own")).alias("before"), F.sum("first").over(by).alias("n1"))
+    place = F.row_number().over(Window.partitionBy("perm", "range").orderBy("digest", "subject"))
+    drawn = drawn.withColumn("place", place).join(starts, ["perm", "range"]).select("perm", "subject", F.when(F.col("before") + F.col("place") <= F.col("n1"), 1).otherwise(2).alias("side"))
     return subjects.select(F.lit(0).alias("perm"), "subject", F.col("side").cast("int").alias("side")).unionByName(drawn)
 
 
@@ -87,30 +97,44 @@ def welch_t(stacks: DataFrame) -> DataFrame:
     return s.select("i", "j", F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(a + b)).alias("t"), F.try_divide((a + b) * (a + b), a * a / (F.col("n1") - 1) + b * b / (F.col("n2") - 1)).alias("df"))
 
 
-def network_based_statistic(stacks: DataFrame, threshold: float = 3.0, count: int = 100, seed: int = 42) -> DataFrame:
-    """(perm, largest): nodes of the largest component of edges with |t| > threshold; perm 0 is observed.
-
-    ``stacks`` (matrix, side, i, j, w). A component counts only with two nodes or more.
-    """
+def permuted_welch(stacks: DataFrame, count: int, seed: int = 42) -> DataFrame:
+    """(perm, i, j, t) of ``stacks`` (matrix, side, i, j, w) with the matrices' sides reshuffled; t 0 where undefined."""
     perms = permutations(stacks.select(F.col("matrix").alias("subject"), "side").distinct(), count, seed)
     per = perms.join(stacks.select(F.col("matrix").alias("subject"), "i", "j", "w"), "subject").groupBy("perm", "i", "j").agg(*[f(F.when(F.col("side") == k, F.col("w"))).alias(f"{n}{k}") for k in (1, 2) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))])
     t = F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(F.col("v1") / F.col("n1") + F.col("v2") / F.col("n2")))
-    edges = per.select("perm", "i", "j", F.coalesce(F.abs(t), F.lit(0.0)).alias("t"))
+    return per.select("perm", "i", "j", F.coalesce(t, F.lit(0.0)).alias("t"))
+
 
-    def largest(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        root: dict[str, str] = {}
+def strong_components(stacks: DataFrame, threshold: float = 3.0, count: int = 100, seed: int = 42) -> DataFrame:
+    """(perm, node, component) of the edges with |t| > threshold, t to 9 decimals; all permutations spread together."""
+    edges = permuted_welch(stacks, count, seed).where(F.abs(F.round("t", 9)) > threshold)
+    return spread.components(edges.select("perm", F.col("i").alias("src"), F.col("j").alias("dst"), F.lit(1.0).alias("w")), ("perm",))
 
-        def find(x):
-            while root.setdefault(x, x) != x:
-                x = root[x]
-            return x
 
-        for i, j in pdf.loc[pdf["t"] > threshold, ["i", "j"]].itertuples(index=False):
-            root[find(i)] = find(j)
-        sizes = pd.Series([find(x) for x in root]).value_counts()
-        return pd.DataFrame({"perm": [key[0]], "largest": [int(sizes.max()) if len(sizes) else 0]})
+def largest_components(found: DataFrame, count: int) -> DataFrame:
+    """(perm, largest): nodes of the largest component of each permutation, 0 (observed) to ``count``; single nodes count as 1."""
+    size = found.groupBy("perm", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("perm").agg(F.max("n").alias("largest"))
+    return found.sparkSession.range(count + 1).select(F.col("id").cast("int").alias("perm")).join(size, "perm", "left").select("perm", F.coalesce("largest", F.lit(1).cast("long")).alias("largest"))
 
-    return edges.groupBy("perm").applyInPandas(largest, "perm int, largest int")
+
+def network_based_statistic(stacks: DataFrame, threshold: float = 3.0, count: int = 100, seed: int = 42) -> DataFrame:
+    """(perm, largest): nodes of the largest component of edges with |t| > threshold; perm 0 is observed."""
+    return largest_components(settled(strong_components(stacks, threshold, count, seed)), count)
+
+
+def component_tests(stacks: DataFrame, threshold: float = 3.0, count: int = 100, seed: int = 42) -> DataFrame:
+    """(component, node, size, p, significant): the observed components of two nodes or more with their members.
+
+    p is the share of permutations whose largest component has as many nodes; a component is significant if it has
+    more than the 95 percent point of these sizes.
+    """
+    found = settled(strong_components(stacks, threshold, count, seed))
+    null = largest_components(found, count).where("perm > 0")
+    seen = found.where("perm = 0").withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("component")))
+    sizes = seen.select("size").distinct()
+    p = sizes.join(null.groupBy("largest").agg(F.count(F.lit(1)).alias("n")), F.col("largest") >= F.col("size"), "left").groupBy("size").agg((F.coalesce(F.sum("n"), F.lit(0)) / F.lit(float(count))).alias("p"))
+    bar = null.agg(F.percentile("largest", F.lit(0.95)).alias("bar"))
+    return seen.join(p, "size").crossJoin(F.broadcast(bar)).select("component", "node", "size", "p", (F.col("size") > F.col("bar")).alias("significant"))
 
 
 def family_wise_p(null: DataFrame, stat: str) -> DataFrame:
@@ -119,6 +143,53 @@ def family_wise_p(null: DataFrame, stat: str) -> DataFrame:
     return null.where("perm > 0").crossJoin(F.broadcast(seen)).agg(F.first("observed").alias("observed"), F.avg((F.col(stat) >= F.col("observed")).cast("double")).alias("p"))
 
 
+GLOBAL_METRICS = ("density", "clustering", "path_length", "modularity")
+
+
+def global_networks(rows: DataFrame, nodes: list[str], cut: float, count: int, seed: int, areas: DataFrame | None) -> DataFrame:
+    """(perm, side, density, clustering, path_length, modularity) of both sides' networks |r| >= cut, subjects reshuffled.
+
+    Networks are binary. Clustering is the mean over all nodes of the linked share of their pairs of neighbours;
+    path_length the mean number of hops, null for a network in several pieces; modularity that of the ``areas``
+    (node, area), null without them or without edges. Each metric is one aggregation or loop over all networks.
+    """
+    from hubweave.functions.stats import safe_corr
+    from hubweave.operators.correlate import pair_values
+
+    key = ("perm", "side")
+    perms = permutations(rows.select("subject", "side"), count, seed)
+    values = pair_values(perms.join(rows.select("subject", "values"), "subject"), nodes, keep=key)
+    r = values.groupBy(*key, "i", "j").agg(F.round(safe_corr("x", "y"), 12).alias("r"))
+    edges = settled(r.where(F.abs("r") >= cut).select(*key, F.col("i").alias("src"), F.col("j").alias("dst"), F.lit(1.0).alias("w")))
+    names = F.explode(F.array(*[F.lit(n) for n in nodes])).alias("node")
+    all_nodes = settled(perms.select(*key).distinct().select(*key, names))
+    density = graph_metrics.density(edges, all_nodes, key).select(*key, "density")
+    clustering = graph_metrics.local_clustering(edges, all_nodes, key).groupBy(*key).agg(F.avg("clustering").alias("clustering"))
+    paths = spread.path_metrics(edges, all_nodes, key, hops=True)[0].select(*key, F.when(F.col("connected"), F.col("path_length")).alias("path_length"))
+    out = density.join(clustering, list(key)).join(paths, list(key))
+    if areas is None:
+        return out.withColumn("modularity", F.lit(None).cast("double"))
+    own = all_nodes.join(areas.select("node", F.col("area").alias("community")), "node")
+    return out.join(graph_metrics.modularity(edges, own, key), list(key), "left")
+
+
+def global_test(rows: DataFrame, nodes: list[str], cut: float = 0.1, count: int = 50, seed: int = 42, areas: DataFrame | None = None) -> DataFrame:
+    """(metric, value1, value2, difference, p, n_null): both sides' global metrics and the share of permutations whose
+    difference is as large; metrics that a network doesn't have don't count.
+
+    ``rows`` (subject, side, values); three subjects a side at least, else ValueError.
+    """
+    n = {r["side"]: r["count"] for r in rows.groupBy("side").count().collect()}
+    if min(n.get(1, 0), n.get(2, 0)) < 3:
+        raise ValueError("at least 3 subjects a group are needed")
+    found = global_networks(rows, nodes, cut, count, seed, areas).unpivot(["perm", "side"], list(GLOBAL_METRICS), "metric", "value")
+    two = settled(found.groupBy("perm", "metric").agg(F.max(F.when(F.col("side") == 1, F.col("value"))).alias("value1"), F.max(F.when(F.col("side") == 2, F.col("value"))).alias("value2")).withColumn("difference", F.col("value1") - F.col("value2")))
+    seen = two.where("perm = 0").drop("perm")
+    null = two.where("perm > 0 and difference is not null").select("metric", F.col("difference").alias("null")).join(F.broadcast(seen.select("metric", "difference")), "metric")
+    p = null.groupBy("metric").agg(F.avg((F.abs("null") >= F.abs("difference") - 1e-12).cast("double")).alias("p"), F.count(F.lit(1)).alias("n_null"))
+    return seen.join(p, "metric", "left").select("metric", "value1", "value2", "difference", "p", F.coalesce("n_null", F.lit(0).cast("long")).alias("n_null"))
+
+
 def global_density_test(rows: DataFrame, nodes: list[str], cut: float = 0.1, count: int = 50, seed: int = 42) -> DataFrame:
     """(perm, density1, density2, difference): share of pairs with |r| > cut on each side, subjects reshuffled.
 
@@ -132,7 +203,7 @@ def global_density_test(rows: DataFrame, nodes: list[str], cut: float = 0.1, cou
         raise ValueError("at least 3 subjects a group are needed")
     perms = permutations(rows.select("subject", "side"), count, seed)
     pairs = pair_values(perms.join(rows.select("subject", "values"), "subject"), nodes, keep=("perm", "side"))
-    r = pairs.groupBy("perm", "side", "i", "j").agg(safe_corr("x", "y").alias("r"))
+    r = pairs.groupBy("perm", "side", "i", "j").agg(F.round(safe_corr("x", "y"), 12).alias("r"))
     d = r.groupBy("perm").agg(*[F.avg(F.when(F.col("side") == k, (F.abs("r") > cut).cast("double"))).alias(f"density{k}") for k in (1, 2)])
     return d.withColumn("difference", F.abs(F.col("density1") - F.col("density2")))
 
@@ -145,8 +216,3 @@ def with_p_values(table: DataFrame) -> DataFrame:
         return pd.Series(t_two_sided(t.to_numpy(float), df.to_numpy(float)))
 
     return table.withColumn("p", p("t", "df"))
-
-
-def quantile_rank(values: np.ndarray, q: float) -> float:
-    """The order statistic at floor(q n), as null intervals of candidate tests use."""
-    return float(np.sort(values)[min(len(values) - 1, int(q * len(values)))])

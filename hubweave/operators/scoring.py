@@ -11,12 +11,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hubweave.functions.stats import min_rank, z_score
+from hubweave.operators import graph_metrics, network, persistence, spread
+from hubweave.sources.scratch import settled
 
 APPROACHES = ("weighted", "percolation", "persistence")
+NETWORK = ("method", "grp", "approach", "step")
 GROUP = "grp"
 CASES = 15  # denominator of the sensitivity analysis: five methods by three approaches, whatever there is
 
 
+def approach_networks(corr: DataFrame, thresholds: DataFrame, grid: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) of every network of the three approaches, keyed by method, grp, approach and step.
+
+    weighted: all pairs; percolation: at the network's own threshold (``thresholds``: method, grp, threshold);
+    persistence: one network for each step of ``grid`` at which it has an edge. Step is -1 but for persistence.
+    """
+    whole = network.full_network(corr.where("r is not null")).where("w > 0").select("method", "grp", F.lit("weighted").alias("approach"), F.lit(-1).alias("step"), "src", "dst", "w")
+    cut = network.threshold_network(corr, thresholds).select("method", "grp", F.lit("percolation").alias("approach"), F.lit(-1).alias("step"), "src", "dst", "w")
+    swept = persistence.swept_edges(corr, grid).select("method", "grp", F.lit("persistence").alias("approach"), "step", "src", "dst", "w")
+    edges = settled(whole.unionByName(cut).unionByName(swept))
+    return edges, edges.select(*NETWORK).distinct().join(graph_metrics.nodes_of(corr), ["method", "grp"])
+
+
+def approach_scores(corr: DataFrame, thresholds: DataFrame, grid: DataFrame) -> DataFrame:
+    """(grp, approach, method, node, eigenvector, strength): of persistence the areas under both over the whole grid,
+    0 where a threshold has no network."""
+    edges, nodes = approach_networks(corr, thresholds, grid)
+    nodes = settled(nodes)
+    values = settled(spread.eigenvector(edges, nodes, NETWORK).join(graph_metrics.node_degrees(edges, nodes, NETWORK).drop("degree"), [*NETWORK, "node"]))
+    single = values.where("approach <> 'persistence'").select("grp", "approach", "method", "node", "eigenvector", "strength")
+    swept, all_nodes = values.where("approach = 'persistence'"), graph_metrics.nodes_of(corr)
+    areas = [persistence.zero_filled_auc(swept, v, all_nodes, grid).withColumnRenamed("auc", v) for v in ("eigenvector", "strength")]
+    both = areas[0].join(areas[1], ["method", "grp", "node"])
+    return single.unionByName(both.select("grp", F.lit("persistence").alias("approach"), "method", "node", "eigenvector", "strength"))
+
+
+def rank_consensus_of_both(scores: DataFrame, *key: str) -> DataFrame:
+    """(key, node, avg_eigen_rank, consensus_eigenvector, avg_strength_rank, consensus_node_strength, n_methods):
+    rank_consensus() of the eigenvector and of the strength columns of approach_scores()."""
+    one = lambda v, rank, name: rank_consensus(scores.select(*key, "approach", "method", "node", F.col(v).alias("value")), *key).withColumnsRenamed({"avg_rank": rank, "consensus": name})
+    a = one("eigenvector", "avg_eigen_rank", "consensus_eigenvector")
+    b = one("strength", "avg_strength_rank", "consensus_node_strength").drop("n_methods")
+    return a.join(b, [*key, "node"]).select(*key, "node", "avg_eigen_rank", "consensus_eigenvector", "avg_strength_rank", "consensus_node_strength", "n_methods")
+
+
 def rank_consensus(scores: DataFrame, *key: str) -> DataFrame:
     """(key, node, avg_rank, consensus, n_methods): mean of falling min-ranks over all columns, missing nodes counting
     as 0, rescaled so that the best node is 1 (all 1 where all are equal). Values that agree to 9 decimals tie."""
@@ -153,5 +191,5 @@ def comprehensive(scores: DataFrame, z_threshold: float | str | None = 1.5, *key
     else:
         hubs = standardised_hubs(scores, float(z_threshold), *key)
     out = uncertainty(weighted_consensus(hubs, *key))
-    label = F.when(F.col("all_three_agree"), "all three").when(F.col("two_agree"), "two").when(F.col("score") >= 0.4, "consensus").otherwise("none")
+    label = F.when(F.col("all_three_agree"), "all three").when(F.col("two_agree"), "two").when(F.round("score", 9) >= 0.4, "consensus").otherwise("none")
     return out.withColumn("robustness", label)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hubweave.functions.stats import min_rank, safe_corr
-from hubweave.operators import graph_metrics, kernels, network
+from hubweave.operators import graph_metrics, network, spread
+from hubweave.sources.scratch import settled
 
 KEY = ["method", "grp"]
 
@@ -18,12 +19,34 @@ def node_strength(corr: DataFrame) -> DataFrame:
     return s.withColumn("strength_rank", min_rank("node_strength", *KEY)).drop("others")
 
 
-def weighted_eigenvector(corr: DataFrame, nodes: list[str]) -> DataFrame:
-    """(method, grp, node, weighted_eigenvector, node_strength, avg_edge_weight, weighted_rank)."""
-    edges = network.full_network(corr).where("w > 0")
-    values = kernels.node_metrics(edges, nodes).select(*KEY, "node", F.col("eigenvector").alias("weighted_eigenvector"))
+def weighted_eigenvector(corr: DataFrame) -> DataFrame:
+    """(method, grp, node, weighted_eigenvector, node_strength, avg_edge_weight, weighted_rank); ranks to 9 decimals."""
+    edges = network.full_network(corr.where("r is not null")).where("w > 0")
+    values = spread.eigenvector(edges, graph_metrics.nodes_of(corr)).withColumnRenamed("eigenvector", "weighted_eigenvector")
     s = node_strength(corr).select(*KEY, "node", "node_strength", "avg_edge_weight")
-    return values.join(s, [*KEY, "node"]).withColumn("weighted_rank", min_rank("weighted_eigenvector", *KEY))
+    ranked = values.join(s, [*KEY, "node"]).withColumn("_e", F.round("weighted_eigenvector", 9))
+    return ranked.withColumn("weighted_rank", min_rank("_e", *KEY)).drop("_e")
+
+
+def spanning_trees(corr: DataFrame) -> DataFrame:
+    """(method, grp, src, dst, w) of the minimum spanning forests over distances 1 - abs(r); a distance of 0 is no edge."""
+    edges = corr.where("r is not null").select(*KEY, F.col("i").alias("src"), F.col("j").alias("dst"), (1 - F.abs("r")).alias("w")).where("w > 0")
+    return settled(spread.spanning_forest(edges).drop("turn"))
+
+
+def tree_central_nodes(trees: DataFrame, top_n: int = 5) -> DataFrame:
+    """(method, grp, node, degree, strength, place): the nodes of most tree edges, by degree and then by name."""
+    ends = trees.select(*KEY, F.explode(F.array("src", "dst")).alias("node"), "w").groupBy(*KEY, "node").agg(F.count(F.lit(1)).alias("degree"), F.sum("w").alias("strength"))
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col("degree").desc(), "node"))
+    return ends.withColumn("place", place).where(F.col("place") <= top_n)
+
+
+def tree_summary(trees: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(method, grp, n_edges, diameter, mean_path, total_weight, avg_weight, max_degree); mean_path infinite and diameter 0 for a forest."""
+    sums = trees.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_edges"), F.sum("w").alias("total_weight"), F.avg("w").alias("avg_weight"))
+    degree = trees.select(*KEY, F.explode(F.array("src", "dst")).alias("node")).groupBy(*KEY, "node").count().groupBy(*KEY).agg(F.max("count").alias("max_degree"))
+    paths = spread.path_metrics(trees, nodes)[0].select(*KEY, "diameter", F.col("path_length").alias("mean_path"))
+    return sums.join(paths, KEY).join(degree, KEY).select(*KEY, "n_edges", "diameter", "mean_path", "total_weight", "avg_weight", "max_degree")
 
 
 def centrality_spread(table: DataFrame, value: str) -> DataFrame:

@@ -21,8 +21,22 @@ def add(name, build, sql=None):
 on_corr2 = core.on_corr2
 STRENGTH = f"{B.CORR2}, fd AS (SELECT method, grp, i AS node, abs(r) AS w FROM corr UNION ALL SELECT method, grp, j, abs(r) FROM corr), st AS (SELECT method, grp, node, sum(w) AS node_strength, avg(w) AS avg_edge_weight, sum(w) / {B.DIMS - 1} AS normalized_strength FROM fd GROUP BY ALL)"
 
+def hub_cons(source, value, n, by):
+    return f"tp AS (SELECT method, grp, node FROM (SELECT *, row_number() OVER (PARTITION BY method, grp ORDER BY {value} DESC, node) AS place FROM {source}) WHERE place <= {n}), gg AS (SELECT DISTINCT method, grp FROM tp) SELECT *, round(shared / {by}, 6) + 0.0 AS conservation FROM (SELECT a.method, a.grp AS g1, b.grp AS g2, CAST((SELECT count(*) FROM tp x JOIN tp y ON x.node = y.node WHERE x.method = a.method AND y.method = a.method AND x.grp = a.grp AND y.grp = b.grp) AS INTEGER) AS shared FROM gg a JOIN gg b ON a.method = b.method AND a.grp < b.grp)"
+
+
 # G: threshold-free
-add("g1_weighted_eigenvector", on_corr2(lambda c, n: threshold_free.weighted_eigenvector(c, n)))
+G1 = f"""WITH {STRENGTH}, gn AS MATERIALIZED (SELECT method || '|' || grp AS net, i AS a, j AS b, abs(r) AS w FROM corr UNION ALL SELECT method || '|' || grp, j, i, abs(r) FROM corr),
+gk AS (SELECT DISTINCT net, a AS node FROM gn), {B.eigen_sql('g', 'gn', 'gk')}, ge AS (SELECT split_part(net, '|', 1) AS method, split_part(net, '|', 2) AS grp, node, eigenvector FROM g_eig)"""
+add("g1_weighted_eigenvector", on_corr2(lambda c, n: threshold_free.weighted_eigenvector(c)), f"""{G1}
+SELECT method, grp, node, {r6('eigenvector AS weighted_eigenvector', 'node_strength', 'avg_edge_weight')}, CAST(rank() OVER (PARTITION BY method, grp ORDER BY round(eigenvector, 9) DESC) AS INTEGER) AS weighted_rank FROM ge JOIN st USING (method, grp, node)""")
+add("g2_eigenvector_spread", on_corr2(lambda c, n: threshold_free.centrality_spread(threshold_free.weighted_eigenvector(c), "weighted_eigenvector")), f"""{G1}
+SELECT method, node, {r6('avg(eigenvector) AS mean', 'stddev_samp(eigenvector) AS sd', 'stddev_samp(eigenvector) / avg(eigenvector) AS cv', 'min(eigenvector) AS min', 'max(eigenvector) AS max', 'max(eigenvector) - min(eigenvector) AS range')}, count(*) AS n_groups FROM ge GROUP BY method, node""")
+add("g3_eigenvector_hubs", on_corr2(lambda c, n: threshold_free.pick_hubs(threshold_free.weighted_eigenvector(c).withColumn("weighted_eigenvector", F.round("weighted_eigenvector", 9)), "weighted_eigenvector", 10, 0.8)), f"""{G1},
+p AS (SELECT method, grp, node, round(eigenvector, 9) AS e, row_number() OVER (PARTITION BY method, grp ORDER BY round(eigenvector, 9) DESC, node) AS place FROM ge)
+SELECT method, grp, node, {r6('e AS weighted_eigenvector')} FROM p WHERE place <= 10 OR e >= 0.8""")
+add("h6_eigenvector_hub_conservation", on_corr2(lambda c, n: similarity.hub_conservation(threshold_free.weighted_eigenvector(c).withColumn("value", F.round("weighted_eigenvector", 9)), "value", by_set=False)), f"""{G1},
+hv AS (SELECT method, grp, node, round(eigenvector, 9) AS value FROM ge), {hub_cons('hv', 'value', 5, 5.0)}""")
 add("g2_strength_spread", on_corr2(lambda c, n: threshold_free.centrality_spread(threshold_free.node_strength(c), "node_strength")), f"WITH {STRENGTH} SELECT method, node, {r6('avg(node_strength) AS mean', 'stddev_samp(node_strength) AS sd', 'stddev_samp(node_strength) / avg(node_strength) AS cv', 'min(node_strength) AS min', 'max(node_strength) AS max', 'max(node_strength) - min(node_strength) AS range')}, count(*) AS n_groups FROM st GROUP BY method, node")
 add("g3_strength_hubs", on_corr2(lambda c, n: threshold_free.pick_hubs(threshold_free.node_strength(c), "node_strength", 3, 2.0)), f"WITH {STRENGTH}, p AS (SELECT *, row_number() OVER (PARTITION BY method, grp ORDER BY node_strength DESC, node) AS place FROM st) SELECT method, grp, node, {r6('node_strength')} FROM p WHERE place <= 3 OR node_strength >= 2.0")
 add("g5_node_strength", on_corr2(lambda c, n: threshold_free.node_strength(c)), f"WITH {STRENGTH} SELECT method, grp, node, {r6('node_strength', 'avg_edge_weight', 'normalized_strength')}, CAST(rank() OVER (PARTITION BY method, grp ORDER BY node_strength DESC) AS INTEGER) AS strength_rank FROM st")
@@ -38,8 +52,21 @@ def two_strengths(s, d):
 
 G4 = f"WITH {PERC_ST}, j AS (SELECT method, grp, node, p AS percolation, node_strength AS weighted, var_samp(p) OVER w AS vp, var_samp(node_strength) OVER w AS vw FROM ps JOIN st USING (method, grp, node) WINDOW w AS (PARTITION BY method, grp)), k AS (SELECT *, sqrt(percolation * weighted) AS geometric, coalesce((vp * percolation + vw * weighted) / nullif(vp + vw, 0), (percolation + weighted) / 2) AS vwt FROM j), l AS (SELECT *, rank() OVER (PARTITION BY method, grp ORDER BY vwt DESC) AS rk, rank() OVER (PARTITION BY method, grp ORDER BY percolation DESC) AS pr FROM k) SELECT method, grp, node, {r6('percolation', 'weighted', 'geometric', 'vwt AS variance_weighted')}, CAST(rk AS INTEGER) AS rank, CAST(pr AS INTEGER) AS percolation_rank, CAST(pr - rk AS INTEGER) AS difference FROM l"
 add("g4_combined_centrality", lambda s, d: threshold_free.combined_centrality(*two_strengths(s, d)[::-1]), G4)
-add("g7_spanning_trees", on_corr2(lambda c, n: kernels.mst(c, n)))
-add("g7_tree_summary", on_corr2(lambda c, n: kernels.mst_summary(kernels.mst(c, n), n)))
+TREE = f"""{B.CORR2}, ke AS MATERIALIZED (SELECT method, grp, i, j, 1 - abs(r) AS w, row_number() OVER (PARTITION BY method, grp ORDER BY 1 - abs(r), i, j) AS k FROM corr WHERE 1 - abs(r) > 0),
+kd AS MATERIALIZED (SELECT method, grp, i AS a, j AS b, k FROM ke UNION ALL SELECT method, grp, j, i, k FROM ke),
+mm AS (SELECT method, grp, a, b, k, 0 AS turn FROM kd),
+{', '.join(f"m{t + 1} AS MATERIALIZED (SELECT method, grp, a, b, min(k) AS k FROM (SELECT method, grp, a, b, k FROM {'kd' if t == 0 else f'm{t}'} UNION ALL SELECT x.method, x.grp, x.a, y.b, greatest(x.k, y.k) FROM {'kd' if t == 0 else f'm{t}'} x JOIN {'kd' if t == 0 else f'm{t}'} y ON x.method = y.method AND x.grp = y.grp AND x.b = y.a AND x.a <> y.b) GROUP BY ALL)" for t in range(6))},
+tree AS MATERIALIZED (SELECT ke.method, ke.grp, ke.i AS src, ke.j AS dst, ke.w FROM ke JOIN m6 ON m6.method = ke.method AND m6.grp = ke.grp AND m6.a = ke.i AND m6.b = ke.j AND m6.k = ke.k)"""
+add("g7_spanning_trees", on_corr2(lambda c, n: threshold_free.spanning_trees(c)), f"WITH {TREE} SELECT method, grp, src, dst, {r6('w')} FROM tree")
+T2 = "te AS (SELECT method, grp, src AS node, w FROM tree UNION ALL SELECT method, grp, dst, w FROM tree), td AS (SELECT method, grp, node, count(*) AS degree, sum(w) AS strength FROM te GROUP BY ALL)"
+add("g7_central_nodes", on_corr2(lambda c, n: threshold_free.tree_central_nodes(threshold_free.spanning_trees(c))), f"""WITH {TREE}, {T2}, tp AS (SELECT *, row_number() OVER (PARTITION BY method, grp ORDER BY degree DESC, node) AS place FROM td)
+SELECT method, grp, node, degree, {r6('strength')}, CAST(place AS INTEGER) AS place FROM tp WHERE place <= 5""")
+TD = [f"t{k + 1} AS MATERIALIZED (SELECT x.method, x.grp, x.a, y.b, min(x.d + y.d) AS d FROM t{k}_ x JOIN t{k}_ y ON x.method = y.method AND x.grp = y.grp AND x.b = y.a GROUP BY ALL)".replace("t0_", "td0").replace("_ ", " ") for k in range(6)]
+add("g7_tree_summary", on_corr2(lambda c, n: threshold_free.tree_summary(threshold_free.spanning_trees(c), graph_metrics.nodes_of(c))), f"""WITH {TREE}, {T2},
+td0 AS (SELECT method, grp, src AS a, dst AS b, w AS d FROM tree UNION ALL SELECT method, grp, dst, src, w FROM tree UNION ALL SELECT method, grp, node, node, 0 FROM td), {', '.join(TD)},
+tl AS (SELECT method, grp, max(d) AS diameter, sum(d) / (count(*) - {B.DIMS}) AS mean_path FROM t6 GROUP BY ALL), tm AS (SELECT method, grp, max(degree) AS max_degree FROM td GROUP BY ALL)
+SELECT method, grp, count(*) AS n_edges, {r6('any_value(diameter) AS diameter', 'any_value(mean_path) AS mean_path', 'sum(w) AS total_weight', 'avg(w) AS avg_weight')}, any_value(max_degree) AS max_degree
+FROM tree JOIN tl USING (method, grp) JOIN tm USING (method, grp) GROUP BY method, grp""")
 add("g8_pca", on_corr2(lambda c, n: kernels.pca(c, n)))
 add("g9_cross_method_nodes", lambda s, d: threshold_free.cross_method_nodes(*two_strengths(s, d)), f"WITH {PERC_ST} SELECT method, grp, node, {r6('node_strength AS weighted', 'p AS percolation', 'node_strength - p AS difference', 'CASE WHEN p > 0 THEN node_strength / p END AS ratio')} FROM st JOIN ps USING (method, grp, node)")
 add("g9_cross_method_correlation", lambda s, d: threshold_free.cross_method_correlation(threshold_free.cross_method_nodes(*two_strengths(s, d))), f"WITH {PERC_ST} SELECT method, grp, count(*) AS n, {r6('covar_pop(node_strength, p) / nullif(stddev_pop(node_strength) * stddev_pop(p), 0) AS r')} FROM st JOIN ps USING (method, grp, node) GROUP BY method, grp")
@@ -55,10 +82,6 @@ def degrees2(corr):
     return graph_metrics.node_degrees(network.threshold_network(corr, B.CUT), graph_metrics.nodes_of(corr))
 
 
-def hub_cons(source, value, n, by):
-    return f"tp AS (SELECT method, grp, node FROM (SELECT *, row_number() OVER (PARTITION BY method, grp ORDER BY {value} DESC, node) AS place FROM {source}) WHERE place <= {n}), gg AS (SELECT DISTINCT method, grp FROM tp) SELECT *, round(shared / {by}, 6) + 0.0 AS conservation FROM (SELECT a.method, a.grp AS g1, b.grp AS g2, CAST((SELECT count(*) FROM tp x JOIN tp y ON x.node = y.node WHERE x.method = a.method AND y.method = a.method AND x.grp = a.grp AND y.grp = b.grp) AS INTEGER) AS shared FROM gg a JOIN gg b ON a.method = b.method AND a.grp < b.grp)"
-
-
 add("h2_hub_conservation", on_corr2(lambda c, n: similarity.hub_conservation(degrees2(c), "degree")), f"WITH {DEG2}, {hub_cons('deg', 'degree', 5, 5.0)}")
 add("h3_conserved_edges", on_corr2(lambda c, n: similarity.conserved_edges(c, 0.21)), f"WITH {B.CORR2} SELECT method, i, j, count(*) AS n_groups, {r6('count(*) / 10.0 AS share')}, count(*) = 10 AS full, count(*) >= 5 AS majority FROM corr WHERE abs(r) > 0.21 GROUP BY method, i, j")
 H5 = f"WITH {PAIR}, x AS (SELECT method, g1, g2, sum(least(w1, w2)) AS lo, sum(greatest(w1, w2)) AS hi, sum(w1) AS t1, sum(w2) AS t2, avg(abs(w1 - w2)) AS md, covar_pop(w1, w2) / (stddev_pop(w1) * stddev_pop(w2)) AS c FROM pr GROUP BY ALL) SELECT method, g1, g2, {r6('lo / hi AS weighted_jaccard', 'lo / least(t1, t2) AS overlap', 'c AS correlation', 'lo / t1 AS preserved_1_2', 'lo / t2 AS preserved_2_1', 'md AS mean_difference', 't1 AS total1', 't2 AS total2')} FROM x"

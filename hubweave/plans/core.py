@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hubweave.functions.stats import z_score
-from hubweave.operators import consensus_matrix, correlate, graph_metrics, impute, kernels, network
+from hubweave.operators import consensus_matrix, correlate, graph_metrics, impute, kernels, network, spread
 from hubweave.plans import binding as B
 from hubweave.plans.binding import q, r6
 from hubweave.sources.observations import to_long, to_vectors
@@ -97,7 +97,9 @@ def networks(s, d):
 
 
 add("d4_all_networks", lambda s, d: networks(s, d)[0], f"WITH {B.CORR2}, {NETS} SELECT matrix_key, method, approach, {r6('threshold')}, grp, i, j, {r6('w')} FROM nets")
-add("d6_matched_persistence", lambda s, d: network.matched_persistence(networks(s, d)[0], "g0", "g1"), f"WITH {B.CORR2}, {NETS} SELECT a.method, {r6('a.threshold AS threshold')}, a.i, a.j, {r6('a.w AS w1', 'b.w AS w2')} FROM nets a JOIN nets b ON a.matrix_key = b.matrix_key AND a.i = b.i AND a.j = b.j AND a.grp = 'g0' AND b.grp = 'g1' WHERE a.approach = 'persistence'")
+D6 = f"""WITH {B.CORR2}, {NETS}, pa AS (SELECT * FROM nets WHERE grp = 'g0' AND approach = 'persistence'), pb AS (SELECT * FROM nets WHERE grp = 'g1' AND approach = 'persistence')
+SELECT a.method, {r6('a.threshold AS threshold')}, a.i, a.j, {r6('a.w AS w1', 'b.w AS w2')} FROM pa a JOIN pb b USING (matrix_key, i, j)"""
+add("d6_matched_persistence", lambda s, d: network.matched_persistence(networks(s, d)[0], "g0", "g1"), D6)
 add("d7_binary_edges", on_corr2(lambda c, n: network.binary_edges(c, 0.21)), f"WITH {B.CORR2} SELECT method, grp, i, j FROM corr WHERE abs(r) > 0.21")
 ODD = "odd AS (SELECT * FROM areas UNION ALL SELECT 'z', 9, 'D01' UNION ALL SELECT 'y', 8, 'd02')"
 
@@ -119,7 +121,7 @@ DEG = "deg AS (SELECT n.method, n.grp, n.node, count(d.node) AS degree, coalesce
 TRI = "tri AS (SELECT x.grp, x.src AS a, x.dst AS b, y.dst AS c FROM edges x JOIN edges y ON x.grp = y.grp AND x.dst = y.src JOIN edges z ON z.grp = x.grp AND z.src = x.src AND z.dst = y.dst), tn AS (SELECT grp, node, count(*) AS t FROM (SELECT grp, unnest([a, b, c]) AS node FROM tri) GROUP BY ALL)"
 CLU = f"{B.EDGES}, {DEG}, {TRI}, clu AS (SELECT deg.*, coalesce(t, 0) AS triangles, CASE WHEN degree < 2 THEN 0 ELSE 2.0 * coalesce(t, 0) / (degree * (degree - 1)) END AS clustering FROM deg LEFT JOIN tn USING (grp, node))"
 add("f1_density", on_edges(lambda e, n, _: graph_metrics.density(e, n)), f"WITH {B.EDGES} SELECT method, grp, CAST({B.DIMS} AS BIGINT) AS n_nodes, coalesce(m, 0) AS n_edges, {r6('2.0 * coalesce(m, 0) / 4032 AS density')} FROM (SELECT DISTINCT method, grp FROM nodes) LEFT JOIN (SELECT grp, count(*) AS m FROM edges GROUP BY grp) USING (grp)")
-add("f2_components", on_edges(lambda e, n, names: kernels.components(e, names)), f"WITH RECURSIVE {B.EDGES}, reach AS (SELECT grp, node, node AS other FROM nodes UNION SELECT r.grp, r.node, d.other FROM reach r JOIN dbl d ON r.grp = d.grp AND r.other = d.node) SELECT 'pearson' AS method, grp, node, min(other) AS component FROM reach GROUP BY grp, node")
+add("f2_components", on_edges(lambda e, n, _: spread.all_components(e, n)), f"WITH RECURSIVE {B.EDGES}, reach AS (SELECT grp, node, node AS other FROM nodes UNION SELECT r.grp, r.node, d.other FROM reach r JOIN dbl d ON r.grp = d.grp AND r.other = d.node) SELECT 'pearson' AS method, grp, node, min(other) AS component FROM reach GROUP BY grp, node")
 add("f3_transitivity", on_edges(lambda e, n, _: graph_metrics.transitivity(e, n)), f"WITH {CLU} SELECT method, grp, {r6('CASE WHEN sum(degree * (degree - 1)) = 0 THEN 0 ELSE sum(triangles) / (sum(degree * (degree - 1)) / 2.0) END AS transitivity')} FROM clu GROUP BY method, grp")
 add("f4_local_clustering", on_edges(lambda e, n, _: graph_metrics.local_clustering(e, n)), f"WITH {CLU} SELECT method, grp, node, degree, triangles, {r6('clustering')} FROM clu")
 add("f5_global_metrics", on_edges(lambda e, n, names: kernels.global_metrics(e, names)))
@@ -127,6 +129,17 @@ add("f7_modularity_of_areas", lambda s, d: graph_metrics.modularity(B.cut_edges(
 add("f8_assortativity", on_edges(lambda e, n, _: graph_metrics.assortativity(e, n)), f"WITH {B.EDGES}, {DEG} SELECT 'pearson' AS method, d.grp, {r6('coalesce(CASE WHEN stddev_pop(x.degree) = 0 THEN 0 ELSE covar_pop(x.degree, y.degree) / (stddev_pop(x.degree) * stddev_pop(y.degree)) END, 0) AS assortativity')} FROM dbl d JOIN deg x ON d.grp = x.grp AND d.node = x.node JOIN deg y ON d.grp = y.grp AND d.other = y.node GROUP BY d.grp")
 add("f10_degree_strength", on_edges(lambda e, n, _: graph_metrics.node_degrees(e, n)), f"WITH {B.EDGES}, {DEG} SELECT method, grp, node, degree, {r6('strength')} FROM deg")
 add("f11_node_metrics", on_edges(lambda e, n, names: kernels.node_metrics(e, names)))
+LENGTHS = ["d0 AS MATERIALIZED (SELECT grp, node AS a, other AS b, w AS d FROM dbl UNION ALL SELECT grp, node, node, 0 FROM nodes)"]
+LENGTHS += [f"d{k + 1} AS MATERIALIZED (SELECT x.grp, x.a, y.b, min(x.d + y.d) AS d FROM d{k} x JOIN d{k} y ON x.grp = y.grp AND x.b = y.a GROUP BY ALL)" for k in range(6)]
+PATHS = f"""{B.EDGES}, {', '.join(LENGTHS)},
+sz AS (SELECT grp, count(*) AS n FROM nodes GROUP BY grp), rc AS (SELECT grp, count(*) AS pairs, sum(d) AS total, max(d) AS longest FROM d6 WHERE a <> b GROUP BY grp),
+pm AS (SELECT grp, n, coalesce(pairs, 0) = n * (n - 1) AS connected, total, longest FROM sz LEFT JOIN rc USING (grp))"""
+add("f5_paths", on_edges(lambda e, n, _: spread.path_metrics(e, n)[0]), f"""WITH {PATHS}
+SELECT 'pearson' AS method, grp, connected, round(CASE WHEN connected THEN total / (n * (n - 1)) ELSE 'Infinity'::DOUBLE END, 6) + 0.0 AS path_length, {r6('CASE WHEN connected THEN longest ELSE 0 END AS diameter')} FROM pm""")
+add("f12_closeness", on_edges(lambda e, n, _: spread.path_metrics(e, n)[1]), f"""WITH {PATHS}, fa AS (SELECT grp, a AS node, sum(d) AS far FROM d6 GROUP BY ALL)
+SELECT 'pearson' AS method, grp, node, {r6('CASE WHEN connected THEN (n - 1) / far ELSE 0 END AS closeness')} FROM fa JOIN pm USING (grp)""")
+EIGEN = f"WITH {B.EDGES}, en AS MATERIALIZED (SELECT grp AS net, node AS a, other AS b, w FROM dbl), ek AS (SELECT grp AS net, node FROM nodes), {B.eigen_sql('f', 'en', 'ek')}"
+add("f13_eigenvector", on_edges(lambda e, n, _: spread.eigenvector(e, n)), f"{EIGEN} SELECT 'pearson' AS method, net AS grp, node, {r6('eigenvector')} FROM f_eig")
 add("f16_edge_list", on_edges(lambda e, n, _: e.drop("threshold")), f"WITH {B.EDGES} SELECT method, grp, src, dst, {r6('w')} FROM edges")
 add("f17_edge_betweenness", on_edges(lambda e, n, names: kernels.edge_betweenness(e, names)))
 AREA_M = f"""WITH {CLU}, {B.AREA_SQL}, m AS (SELECT method, grp, area, count(*) AS n_nodes, avg(degree) AS avg_degree, avg(clustering) AS avg_clustering FROM clu JOIN areas USING (node) GROUP BY ALL),

@@ -12,7 +12,7 @@ from hubweave.plans import scores as SC
 from hubweave.plans.binding import q, r6
 
 Q, S = {}, {}
-METHODS = ["pearson", "spearman"]
+METHODS = list(B.FIVE)
 HUB = SC.HUB
 
 
@@ -23,9 +23,9 @@ def add(name, build, sql=None):
 
 
 FLAGS = ", ".join(f"max(CASE WHEN method = '{m}' AND is_hub THEN 1 ELSE 0 END) AS {m}" for m in METHODS)
-add("a7_method_agreement", lambda s, d: exports.method_agreement(SC.hubs(s, d).where("approach = 'percolation'"), METHODS, "grp"), f"WITH {HUB} SELECT grp, node, {FLAGS} FROM hz WHERE approach = 'percolation' GROUP BY grp, node")
-add("a7_consensus_hubs", lambda s, d: exports.consensus_hubs(SC.hubs(s, d), "grp"), f"WITH {HUB} SELECT grp, node, count(*) FILTER (is_hub) AS n_hub, {r6('avg(is_hub::INT) AS share')} FROM hz GROUP BY grp, node")
-add("a8_hub_lists", lambda s, d: exports.hub_lists(SC.hubs(s, d), "grp", "approach", "method"), f"WITH {HUB} SELECT grp, approach, method, count(*) FILTER (is_hub) AS n_hubs, coalesce(string_agg(node, ',' ORDER BY node) FILTER (is_hub), '') AS hubs FROM hz GROUP BY ALL")
+add("a7_method_agreement", lambda s, d: exports.method_agreement(SC.hubs(s, d).where("approach = 'percolation'"), METHODS, "grp"), f"WITH RECURSIVE {HUB} SELECT grp, node, {FLAGS} FROM hz WHERE approach = 'percolation' GROUP BY grp, node")
+add("a7_consensus_hubs", lambda s, d: exports.consensus_hubs(SC.hubs(s, d), "grp"), f"WITH RECURSIVE {HUB} SELECT grp, node, count(*) FILTER (is_hub) AS n_hub, {r6('avg(is_hub::INT) AS share')} FROM hz GROUP BY grp, node")
+add("a8_hub_lists", lambda s, d: exports.hub_lists(SC.hubs(s, d), "grp", "approach", "method"), f"WITH RECURSIVE {HUB} SELECT grp, approach, method, count(*) FILTER (is_hub) AS n_hubs, coalesce(string_agg(node, ',' ORDER BY node) FILTER (is_hub), '') AS hubs FROM hz GROUP BY ALL")
 add("o_safe_filenames", lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", exports.safe_filename(F.col("p_name")).alias("safe")), "SELECT p_partkey, regexp_replace(p_name, '[^A-Za-z0-9]', '_', 'g') AS safe FROM part")
 
 
@@ -97,10 +97,9 @@ def Q_I2(s, d):
 
 
 def regional(s, d):
-    values = SC.scores(s, d).where("method = 'pearson'")
-    some = B.areas(s).where("area < 'a5'")
-    return exports.regional_summary(values.where("approach = 'weighted' and node <> 'd03'"), values.where("approach = 'percolation'"), some)
+    values = SC.scores(s, d, ("pearson",)).drop("strength")
+    return exports.regional_summary(values.where("approach = 'weighted'"), values.where("approach = 'persistence'"), B.areas(s))
 
 
 QUARTILES = ", ".join(r6(f"quantile_cont({v}, {x}) AS {n}_{v}") for v in "ab" for n, x in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))
-add("r_regional_summary", regional, f"WITH {SC.SCORES}, {B.AREA_SQL}, wa AS (SELECT grp, node, value AS a FROM sc WHERE method = 'pearson' AND approach = 'weighted' AND node <> 'd03'), pb AS (SELECT grp, node, value AS b FROM sc WHERE method = 'pearson' AND approach = 'percolation'), fu AS (SELECT * FROM wa FULL OUTER JOIN pb USING (grp, node)) SELECT grp, coalesce(area, 'Other') AS area, count(*) AS n, {QUARTILES} FROM fu LEFT JOIN (SELECT * FROM areas WHERE area < 'a5') ar USING (node) GROUP BY grp, coalesce(area, 'Other')")
+add("r_regional_summary", regional, f"WITH RECURSIVE {SC.SCORES}, {B.AREA_SQL}, wa AS (SELECT grp, node, value AS a FROM sc WHERE method = 'pearson' AND approach = 'weighted'), pb AS (SELECT grp, node, value AS b FROM sc WHERE method = 'pearson' AND approach = 'persistence'), fu AS (SELECT * FROM wa FULL OUTER JOIN pb USING (grp, node)) SELECT grp, coalesce(area, 'Other') AS area, count(*) AS n, {QUARTILES} FROM fu LEFT JOIN areas ar USING (node) GROUP BY grp, coalesce(area, 'Other')")

@@ -15,6 +15,7 @@ from hubweave.plans.binding import q, r6
 Q, S = {}, {}
 GRP = ("grp",)
 PERMS = 40
+HUB_Z = 1.5
 
 
 def add(name, build, sql=None):
@@ -23,24 +24,53 @@ def add(name, build, sql=None):
         S[name] = sql
 
 
-def scores(s, d):
-    """(grp, approach, method, node, value): strengths of full and thresholded networks, and strength AUCs."""
-    corr, _ = B.corr2(s, d)
-    grid = persistence.threshold_grid(s, 0.052, 0.05, 8)
-    nodes = graph_metrics.nodes_of(corr)
-    full = threshold_free.node_strength(corr).select("grp", F.lit("weighted").alias("approach"), "method", "node", F.col("node_strength").alias("value"))
-    cut = graph_metrics.node_degrees(network.threshold_network(corr, B.CUT), nodes).select("grp", F.lit("percolation").alias("approach"), "method", "node", F.col("strength").alias("value"))
-    auc = persistence.zero_filled_auc(persistence.swept_degrees(corr, grid), "strength", nodes, grid).select("grp", F.lit("persistence").alias("approach"), "method", "node", F.col("auc").alias("value"))
-    return full.unionByName(cut).unionByName(auc)
-
-
-SWEEP_TAIL = C.SWEEP[len(B.CORR2) :]
-SCORES = f"{C.PERC_ST}{SWEEP_TAIL}, zf AS (SELECT k.method, k.grp, k.node, g.step, g.threshold, coalesce(strength, 0) AS v FROM (SELECT DISTINCT method, grp, node FROM fd) k CROSS JOIN grid g LEFT JOIN sw ON sw.method = k.method AND sw.grp = k.grp AND sw.node = k.node AND sw.step = g.step), zl AS (SELECT *, lead(threshold) OVER w AS nt, lead(v) OVER w AS nv FROM zf WINDOW w AS (PARTITION BY method, grp, node ORDER BY threshold)), sc AS (SELECT grp, 'weighted' AS approach, method, node, node_strength AS value FROM st UNION ALL SELECT grp, 'percolation', method, node, p FROM ps UNION ALL SELECT grp, 'persistence', method, node, coalesce(sum((nt - threshold) * (v + nv) / 2), 0) FROM zl GROUP BY grp, method, node)"
-HUB = f"{SCORES}, hb AS (SELECT *, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS z FROM sc WINDOW w AS (PARTITION BY grp, approach, method)), hz AS (SELECT *, coalesce(z >= 1.0, false) AS is_hub FROM hb)"
-RANKED = f"{SCORES}, rk2 AS (SELECT *, rank() OVER (PARTITION BY grp, approach, method ORDER BY round(value, 9) DESC) AS rank FROM sc), ra AS (SELECT grp, node, avg(rank) AS avg_rank, count(*) AS n_methods FROM rk2 GROUP BY grp, node)"
-add("j2_rank_consensus", lambda s, d: scoring.rank_consensus(scores(s, d), *GRP), f"WITH {RANKED} SELECT grp, node, {r6('avg_rank')}, n_methods, {r6('coalesce((max(avg_rank) OVER w - avg_rank) / nullif(max(avg_rank) OVER w - min(avg_rank) OVER w, 0), 1) AS consensus')} FROM ra WINDOW w AS (PARTITION BY grp)")
-add("j1_three_way_rank_consensus", lambda s, d: scoring.rank_consensus(scores(s, d).where("method = 'pearson'"), *GRP), f"WITH {SCORES}, rk2 AS (SELECT *, rank() OVER (PARTITION BY grp, approach ORDER BY round(value, 9) DESC) AS rank FROM sc WHERE method = 'pearson'), ra AS (SELECT grp, node, avg(rank) AS avg_rank, count(*) AS n_methods FROM rk2 GROUP BY grp, node) SELECT grp, node, {r6('avg_rank')}, n_methods, {r6('coalesce((max(avg_rank) OVER w - avg_rank) / nullif(max(avg_rank) OVER w - min(avg_rank) OVER w, 0), 1) AS consensus')} FROM ra WINDOW w AS (PARTITION BY grp)")
-add("j3_standardised_hubs", lambda s, d: scoring.standardised_hubs(scores(s, d), 1.0, *GRP), f"WITH {HUB} SELECT grp, approach, method, node, {r6('value', 'z')}, is_hub FROM hz")
+def scores(s, d, methods=B.FIVE):
+    """(grp, approach, method, node, value, strength): eigenvectors of full, percolation and swept networks (as areas)."""
+    return B.scores5(s, d, methods).withColumnRenamed("eigenvector", "value")
+
+
+START, STEP, COUNT = B.SWEEP
+BOTTLENECKS = ", ".join(f"bx{k + 1} AS MATERIALIZED (SELECT net, a, b, max(w) AS w FROM (SELECT * FROM bx{k} UNION ALL SELECT x.net, x.a, y.b, least(x.w, y.w) FROM bx{k} x JOIN bx{k} y ON x.net = y.net AND x.b = y.a AND x.a <> y.b) GROUP BY ALL)" for k in range(6))
+SCORES = f"""{B.CORR5},
+b2 AS MATERIALIZED (SELECT method || '|' || grp AS net, i AS a, j AS b, abs(r) AS w FROM corr UNION ALL SELECT method || '|' || grp, j, i, abs(r) FROM corr),
+be AS MATERIALIZED (SELECT * FROM b2 UNION ALL SELECT DISTINCT net, a, a, 9 FROM b2),
+bn AS (SELECT net, a AS node, CASE WHEN a = 'd00' THEN 9.0::DOUBLE ELSE 0 END AS w, 0 AS turn FROM b2 GROUP BY net, a
+  UNION ALL SELECT e.net, e.b, max(least(p.w, e.w)), any_value(turn) + 1 FROM bn p JOIN be e ON e.net = p.net AND e.a = p.node WHERE turn < {B.DIMS - 1} GROUP BY e.net, e.b),
+th AS MATERIALIZED (SELECT net, floor(round(min(w) * 100, 10)) / 100 AS threshold FROM bn WHERE turn = {B.DIMS - 1} GROUP BY net),
+bx0 AS (SELECT b2.* FROM b2 JOIN th USING (net) WHERE threshold < 0.01), {BOTTLENECKS},
+bg AS (SELECT net, step, max(n) AS giant FROM (SELECT net, a, step, 1 + count(*) FILTER (w >= step / 100.0) AS n FROM bx6, (SELECT unnest(range(1, 96)) AS step) GROUP BY ALL) GROUP BY ALL),
+thr AS (SELECT * FROM th WHERE threshold >= 0.01
+  UNION ALL SELECT net, coalesce(max(step) FILTER (giant >= CASE WHEN best = {B.DIMS} THEN best ELSE 0.98 * best END), 95) / 100.0 FROM (SELECT *, max(giant) OVER (PARTITION BY net) AS best FROM bg) WHERE best > 1 GROUP BY net),
+grid AS (SELECT CAST(k AS INTEGER) AS step, {START}::DOUBLE + k * {STEP}::DOUBLE AS threshold FROM (SELECT unnest(range(0, {COUNT})) AS k)),
+jn AS MATERIALIZED (SELECT net || '|weighted|-1' AS net, a, b, w FROM b2 WHERE w > 0
+  UNION ALL SELECT net || '|percolation|-1', a, b, w FROM b2 JOIN thr USING (net) WHERE w >= threshold AND w > 0
+  UNION ALL SELECT net || '|persistence|' || step, a, b, w FROM b2 JOIN grid ON w >= threshold WHERE w > 0),
+jk AS (SELECT * FROM (SELECT DISTINCT net FROM jn), (SELECT DISTINCT node FROM obs)),
+{B.eigen_sql('j', 'jn', 'jk')},
+jv AS (SELECT split_part(net, '|', 1) AS method, split_part(net, '|', 2) AS grp, split_part(net, '|', 3) AS approach, split_part(net, '|', 4)::INT AS step, e.node, eigenvector, coalesce(st, 0) AS strength
+  FROM j_eig e LEFT JOIN (SELECT net, a AS node, sum(w) AS st FROM jn GROUP BY ALL) USING (net, node)),
+zf AS (SELECT k.method, k.grp, k.node, g.step, g.threshold, coalesce(eigenvector, 0) AS e, coalesce(strength, 0) AS v
+  FROM (SELECT * FROM (SELECT DISTINCT method, grp FROM corr), (SELECT DISTINCT node FROM obs)) k CROSS JOIN grid g
+  LEFT JOIN jv ON jv.approach = 'persistence' AND jv.method = k.method AND jv.grp = k.grp AND jv.node = k.node AND jv.step = g.step),
+zl AS (SELECT *, lead(threshold) OVER w AS nt, lead(v) OVER w AS nv, lead(e) OVER w AS ne FROM zf WINDOW w AS (PARTITION BY method, grp, node ORDER BY threshold)),
+sc AS MATERIALIZED (SELECT grp, approach, method, node, eigenvector AS value, strength FROM jv WHERE approach <> 'persistence'
+  UNION ALL SELECT grp, 'persistence', method, node, coalesce(sum((nt - threshold) * (e + ne) / 2), 0), coalesce(sum((nt - threshold) * (v + nv) / 2), 0) FROM zl GROUP BY grp, method, node)"""
+HUB = f"{SCORES}, hb AS (SELECT *, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS z FROM sc WINDOW w AS (PARTITION BY grp, approach, method)), hz AS (SELECT *, coalesce(z >= {HUB_Z}, false) AS is_hub FROM hb)"
+
+
+def ranked_sql(kept: str = "true") -> str:
+    return f"""WITH RECURSIVE {SCORES},
+rk2 AS (SELECT *, rank() OVER (PARTITION BY grp, approach, method ORDER BY round(value, 9) DESC) AS re, rank() OVER (PARTITION BY grp, approach, method ORDER BY round(strength, 9) DESC) AS rs FROM sc WHERE {kept}),
+ra AS (SELECT grp, node, avg(re) AS e, avg(rs) AS s, count(*) AS n_methods FROM rk2 GROUP BY grp, node)
+SELECT grp, node, {r6('e AS avg_eigen_rank', 's AS avg_strength_rank')}, n_methods,
+  {r6('coalesce((max(e) OVER w - e) / nullif(max(e) OVER w - min(e) OVER w, 0), 1) AS consensus_eigenvector')},
+  {r6('coalesce((max(s) OVER w - s) / nullif(max(s) OVER w - min(s) OVER w, 0), 1) AS consensus_node_strength')}
+FROM ra WINDOW w AS (PARTITION BY grp)"""
+
+
+add("j2_rank_consensus", lambda s, d: scoring.rank_consensus_of_both(scores(s, d).withColumnRenamed("value", "eigenvector"), *GRP), ranked_sql())
+add("j1_three_way_rank_consensus", lambda s, d: scoring.rank_consensus_of_both(scores(s, d, ("pearson",)).withColumnRenamed("value", "eigenvector"), *GRP), ranked_sql("method = 'pearson'"))
+add("j3_standardised_hubs", lambda s, d: scoring.standardised_hubs(scores(s, d), HUB_Z, *GRP), f"WITH RECURSIVE {HUB} SELECT grp, approach, method, node, {r6('value', 'strength', 'z')}, is_hub FROM hz")
 A3 = ("weighted", "percolation", "persistence")
 J4 = f"""{HUB}, ap AS (SELECT grp, node, approach, avg(is_hub::INT) AS prob, avg(z) AS mz, stddev_samp(z) AS sz FROM hz GROUP BY ALL),
 aw AS (SELECT *, 1 / (1 + CASE WHEN abs(mz) > 0.01 THEN abs(sz / mz) WHEN sz IS NOT NULL THEN 'Infinity'::DOUBLE END) AS wt FROM ap),
@@ -53,9 +83,9 @@ cn AS (SELECT *, CASE WHEN high - low < 0.2 THEN 'High' WHEN high - low < 0.4 TH
 un AS (SELECT *, sqrt(((weighted_prob - pm) * (weighted_prob - pm) + (percolation_prob - pm) * (percolation_prob - pm) + (persistence_prob - pm) * (persistence_prob - pm)) / 2) AS prob_sd, (weighted_prob >= 0.6)::INT + (percolation_prob >= 0.6)::INT + (persistence_prob >= 0.6)::INT AS agree FROM cn),
 uc AS (SELECT *, CASE WHEN pm > 0.01 THEN prob_sd / pm ELSE 'Infinity'::DOUBLE END AS prob_cv FROM un)"""
 PROBS = ", ".join(f"round({a}_prob, 6) + 0.0 AS {a}_prob, round({a}_weight, 6) + 0.0 AS {a}_weight" for a in A3)
-add("j4_weighted_consensus", lambda s, d: scoring.weighted_consensus(scoring.standardised_hubs(scores(s, d), 1.0, *GRP), *GRP), f"WITH {J4} SELECT grp, node, {PROBS}, {r6('score', 'low', 'high')}, confidence FROM cn")
+add("j4_weighted_consensus", lambda s, d: scoring.weighted_consensus(scoring.standardised_hubs(scores(s, d), HUB_Z, *GRP), *GRP), f"WITH RECURSIVE {J4} SELECT grp, node, {PROBS}, {r6('score', 'low', 'high')}, confidence FROM cn")
 UNC = f"{PROBS}, {r6('score', 'low', 'high', 'prob_sd', 'prob_cv')}, confidence, CASE WHEN prob_cv <= 0.2 THEN 'consistent' WHEN prob_cv <= 0.4 THEN 'moderate' ELSE 'variable' END AS uncertainty, agree = 3 AS all_three_agree, agree >= 2 AS two_agree"
-add("j5_uncertainty", lambda s, d: scoring.uncertainty(scoring.weighted_consensus(scoring.standardised_hubs(scores(s, d), 1.0, *GRP), *GRP)), f"WITH {J4} SELECT grp, node, {UNC} FROM uc")
+add("j5_uncertainty", lambda s, d: scoring.uncertainty(scoring.weighted_consensus(scoring.standardised_hubs(scores(s, d), HUB_Z, *GRP), *GRP)), f"WITH RECURSIVE {J4} SELECT grp, node, {UNC} FROM uc")
 TAUS = [round(1 + 0.1 * k, 1) for k in range(16)]
 TAU = f"tau AS (SELECT CAST(k AS INTEGER) AS pos, round(1 + 0.1 * k, 1)::DOUBLE AS tau FROM (SELECT unnest(range(0, 16)) AS k))"
 QUALITY = """nn AS (SELECT grp, count(DISTINCT round(z, 9)) / 3.0 AS nodes FROM hz GROUP BY grp),
@@ -64,22 +94,22 @@ tp AS (SELECT grp, pos, tau, hubs, hubs / nodes AS p, CASE WHEN n > 3 THEN great
 tz AS (SELECT grp, pos, tau, CASE WHEN hubs < 2 THEN 0 ELSE p END AS share, CASE WHEN hubs < 2 THEN 0 ELSE md END AS hub_modularity, CASE WHEN hubs < 2 THEN 0 ELSE cl END AS hub_clustering, CASE WHEN hubs < 2 THEN 0 ELSE least(2 * p, 0.6) END AS hub_density,
        CASE WHEN hubs < 2 THEN 0 ELSE CASE WHEN p BETWEEN 0.05 AND 0.15 THEN 1 ELSE exp(-10 * abs(p - 0.1)) END + md + cl + CASE WHEN p >= 0.05 THEN 0.5 ELSE 0 END END AS score FROM tp),
 bt AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(score, 9) DESC, pos) = 1 AS best FROM tz)"""
-J6 = f"WITH {HUB}, {TAU}, {QUALITY} SELECT grp, {r6('tau', 'share', 'hub_modularity', 'hub_clustering', 'hub_density', 'score')}, best FROM bt"
+J6 = f"WITH RECURSIVE {HUB}, {TAU}, {QUALITY} SELECT grp, {r6('tau', 'share', 'hub_modularity', 'hub_clustering', 'hub_density', 'score')}, best FROM bt"
 SHARES = "ta AS (SELECT grp, pos, tau, node, sum(CASE WHEN z >= tau THEN 1 ELSE 0 END) / 15.0 AS share FROM hz, tau GROUP BY ALL), ts AS (SELECT grp, node, avg(share) AS mean_share, count(*) FILTER (share >= 0.5) AS n_taus_hub, count(*) FILTER (share >= 0.5) >= 13 AS stable FROM ta GROUP BY grp, node)"
 AGREEMENTS = [0.4, 0.5, 0.6, 0.7, 0.8]
 
 
 def hubs(s, d):
-    return scoring.standardised_hubs(scores(s, d), 1.0, *GRP)
+    return scoring.standardised_hubs(scores(s, d), HUB_Z, *GRP)
 
 
 add("j6_threshold_calibration", lambda s, d: scoring.calibrate_threshold(hubs(s, d), TAUS, *GRP), J6)
-add("j7_threshold_sensitivity", lambda s, d: scoring.threshold_sensitivity(hubs(s, d), TAUS, *GRP), f"WITH {HUB}, {TAU}, {SHARES} SELECT grp, {r6('tau')}, count(*) FILTER (share >= 0.5) AS n_consensus_hubs, count(*) FILTER (share >= 0.6) AS n_three_way, {r6('avg(share) FILTER (share > 0) AS avg_score')}, count(*) FILTER (share >= 0.5 AND stable) AS stable_hubs FROM ta JOIN ts USING (grp, node) GROUP BY grp, tau")
-add("j7_stable_hubs", lambda s, d: scoring.stable_hubs(hubs(s, d), TAUS, *GRP), f"WITH {HUB}, {TAU}, {SHARES} SELECT grp, node, {r6('mean_share')}, n_taus_hub, stable FROM ts")
-add("j7_agreement_sensitivity", lambda s, d: scoring.agreement_sensitivity(hubs(s, d), AGREEMENTS, 1.5, *GRP), f"WITH {HUB}, tau AS (SELECT 1.5 AS tau, 1 AS pos), {SHARES} SELECT grp, {r6('agreement')}, count(*) FILTER (round(share - agreement, 9) >= 0) AS n_hubs, {r6('coalesce(avg(share) FILTER (round(share - agreement, 9) >= 0), 0) AS avg_confidence')} FROM ta, (SELECT unnest({AGREEMENTS}) AS agreement) GROUP BY grp, agreement")
-add("j8_comprehensive_consensus", lambda s, d: scoring.comprehensive(scores(s, d), 1.0, *GRP), f"WITH {J4} SELECT grp, node, {UNC}, CASE WHEN agree = 3 THEN 'all three' WHEN agree >= 2 THEN 'two' WHEN score >= 0.4 THEN 'consensus' ELSE 'none' END AS robustness FROM uc")
-J4_AUTO = J4.replace("hz AS (SELECT *, coalesce(z >= 1.0, false) AS is_hub FROM hb)", f"hz AS (SELECT * FROM hb), {TAU}, {QUALITY}, ht AS (SELECT hb.*, coalesce(z >= b.tau, false) AS is_hub FROM hb LEFT JOIN (SELECT grp, tau FROM bt WHERE best) b USING (grp))").replace("FROM hz GROUP BY ALL),", "FROM ht GROUP BY ALL),", 1)
-add("j8_calibrated_consensus", lambda s, d: scoring.comprehensive(scores(s, d), "auto", *GRP), f"WITH {J4_AUTO} SELECT grp, node, {UNC}, CASE WHEN agree = 3 THEN 'all three' WHEN agree >= 2 THEN 'two' WHEN score >= 0.4 THEN 'consensus' ELSE 'none' END AS robustness FROM uc")
+add("j7_threshold_sensitivity", lambda s, d: scoring.threshold_sensitivity(hubs(s, d), TAUS, *GRP), f"WITH RECURSIVE {HUB}, {TAU}, {SHARES} SELECT grp, {r6('tau')}, count(*) FILTER (share >= 0.5) AS n_consensus_hubs, count(*) FILTER (share >= 0.6) AS n_three_way, {r6('avg(share) FILTER (share > 0) AS avg_score')}, count(*) FILTER (share >= 0.5 AND stable) AS stable_hubs FROM ta JOIN ts USING (grp, node) GROUP BY grp, tau")
+add("j7_stable_hubs", lambda s, d: scoring.stable_hubs(hubs(s, d), TAUS, *GRP), f"WITH RECURSIVE {HUB}, {TAU}, {SHARES} SELECT grp, node, {r6('mean_share')}, n_taus_hub, stable FROM ts")
+add("j7_agreement_sensitivity", lambda s, d: scoring.agreement_sensitivity(hubs(s, d), AGREEMENTS, 1.5, *GRP), f"WITH RECURSIVE {HUB}, tau AS (SELECT 1.5 AS tau, 1 AS pos), {SHARES} SELECT grp, {r6('agreement')}, count(*) FILTER (round(share - agreement, 9) >= 0) AS n_hubs, {r6('coalesce(avg(share) FILTER (round(share - agreement, 9) >= 0), 0) AS avg_confidence')} FROM ta, (SELECT unnest({AGREEMENTS}) AS agreement) GROUP BY grp, agreement")
+add("j8_comprehensive_consensus", lambda s, d: scoring.comprehensive(scores(s, d), HUB_Z, *GRP), f"WITH RECURSIVE {J4} SELECT grp, node, {UNC}, CASE WHEN agree = 3 THEN 'all three' WHEN agree >= 2 THEN 'two' WHEN round(score, 9) >= 0.4 THEN 'consensus' ELSE 'none' END AS robustness FROM uc")
+J4_AUTO = J4.replace(f"hz AS (SELECT *, coalesce(z >= {HUB_Z}, false) AS is_hub FROM hb)", f"hz AS (SELECT * FROM hb), {TAU}, {QUALITY}, ht AS (SELECT hb.*, coalesce(z >= b.tau, false) AS is_hub FROM hb LEFT JOIN (SELECT grp, tau FROM bt WHERE best) b USING (grp))").replace("FROM hz GROUP BY ALL),", "FROM ht GROUP BY ALL),", 1)
+add("j8_calibrated_consensus", lambda s, d: scoring.comprehensive(scores(s, d), "auto", *GRP), f"WITH RECURSIVE {J4_AUTO} SELECT grp, node, {UNC}, CASE WHEN agree = 3 THEN 'all three' WHEN agree >= 2 THEN 'two' WHEN round(score, 9) >= 0.4 THEN 'consensus' ELSE 'none' END AS robustness FROM uc")
 
 # K: tests
 def two_sides(s, d):
