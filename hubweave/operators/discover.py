@@ -7,14 +7,11 @@ values, N - sum n_i + sum n_ij over S, so a candidate costs its own few lookups
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hubweave.functions.stats import safe_corr
+from hubweave.sources.scratch import settled
 
 TINY = 1e-12
 
@@ -37,6 +34,22 @@ def candidates(spark, nodes: list[str], largest: int) -> DataFrame:
     return found.select(F.array_join("nodes", ",").alias("combo_id"), F.size("nodes").alias("size"), "nodes")
 
 
+def candidate_sets(nodes: DataFrame, largest: int) -> DataFrame:
+    """(combo_id, size, nodes): all sets of 1 to ``largest`` of the ``nodes`` (node) of a table, n - 2 at most.
+
+    Sets grow by joins with the nodes after their last one; a set of fewer than 3 nodes left over has no contribution.
+    """
+    base = settled(nodes.select("node").distinct())
+    n = base.agg(F.count(F.lit(1)).alias("n"))
+    level = base.select(F.array("node").alias("nodes"), F.col("node").alias("last"))
+    found = level
+    for _ in range(largest - 1):
+        level = level.join(base, F.col("node") > F.col("last")).select(F.array_append("nodes", F.col("node")).alias("nodes"), F.col("node").alias("last"))
+        found = found.unionByName(level)
+    kept = found.join(F.broadcast(n), F.size("nodes") <= F.greatest(F.lit(1), F.col("n") - 2))
+    return kept.select(F.array_join("nodes", ",").alias("combo_id"), F.size("nodes").alias("size"), "nodes")
+
+
 def set_sums(pairs: DataFrame, sets: DataFrame, *key: str) -> DataFrame:
     """(key, matrix_key, approach, combo_id, size, n_nodes, j_all, j_without) of each set and matrix.
 
@@ -75,79 +88,57 @@ def leave_one_out(pairs: DataFrame, regions: DataFrame) -> DataFrame:
     return c.withColumn("pct_change", F.try_divide(100 * F.col("contribution"), "j_all"))
 
 
-MOST_CELLS = 1 << 24  # weights of all matrices of two groups that a test broadcasts
-
-
-def _stacks(pairs: DataFrame) -> dict:
-    """{nodes, approaches, w1, w2}: the two groups' symmetric matrices, read on the driver; ValueError beyond MOST_CELLS."""
-    matrices = pairs.select("matrix_key", "approach").distinct().count()
-    nodes = sorted(r[0] for r in pairs.select(F.explode(F.array("i", "j")).alias("n")).distinct().collect())
-    if matrices * len(nodes) ** 2 > MOST_CELLS:
-        raise ValueError("networks are too large to be broadcast")
-    pdf = pairs.select("matrix_key", "approach", "i", "j", "w1", "w2").toPandas()
-    keys = sorted(set(zip(pdf["matrix_key"], pdf["approach"], strict=True)))
-    at, place = {k: m for m, k in enumerate(keys)}, {n: i for i, n in enumerate(nodes)}
-    m = [at[k] for k in zip(pdf["matrix_key"], pdf["approach"], strict=True)]
-    i, j = pdf["i"].map(place).to_numpy(), pdf["j"].map(place).to_numpy()
-    w1, w2 = np.zeros((2, len(keys), len(nodes), len(nodes)))
-    w1[m, i, j] = w1[m, j, i] = pdf["w1"]
-    w2[m, i, j] = w2[m, j, i] = pdf["w2"]
-    return {"nodes": nodes, "approaches": [a for _, a in keys], "w1": w1, "w2": w2}
-
-
-def shuffled(nodes: list[str], perm: int, side: int, seed: int) -> np.ndarray:
-    """Seats of ``nodes`` (sorted) in a permutation: ranks by md5(seed|perm|side|node)."""
-    keys = [(hashlib.md5(f"{seed}|{perm}|{side}|{n}".encode()).hexdigest(), n) for n in nodes]
-    seats = np.empty(len(nodes), int)
-    seats[[nodes.index(n) for _, n in sorted(keys)]] = np.arange(len(nodes))
-    return seats
+def seats(nodes: DataFrame, count: int, seed: int = 42) -> DataFrame:
+    """(perm, side, node, seat): in each permutation and on each side the nodes sit where others were.
 
+    ``nodes`` (node). The node at place k by md5(seed|perm|side|node) takes the seat of the k-th node by name.
+    """
+    drawn = nodes.select("node", F.explode(F.sequence(F.lit(1), F.lit(count))).alias("perm")).select("perm", F.explode(F.array(F.lit(1), F.lit(2))).alias("side"), "node")
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), F.col("side").cast("string"), "node").cast("binary"))
+    by = Window.partitionBy("perm", "side")
+    placed = drawn.withColumn("at", F.row_number().over(by.orderBy(digest, "node")))
+    named = drawn.select("perm", "side", F.col("node").alias("seat"), F.row_number().over(by.orderBy("node")).alias("at"))
+    return placed.join(named, ["perm", "side", "at"]).select("perm", "side", "node", "seat")
 
-def _null_contributions(member: np.ndarray, w1: np.ndarray, w2: np.ndarray, approaches: list[str], averaging: str) -> np.ndarray:
-    """Contribution of every set (rows of ``member``, sets x nodes) from two stacks of matrices."""
-    lo, hi = np.minimum(w1, w2), np.maximum(w1, w2)
 
-    def left(x):  # sum over pairs without the set, for each matrix and set
-        total, node = x.sum((1, 2)) / 2, x.sum(2)
-        inside = np.einsum("sp,mpq,sq->ms", member, x, member, optimize=True) / 2
-        return total[:, None] - node @ member.T + inside, total
+def relabelled(pairs: DataFrame, count: int, seed: int = 42) -> DataFrame:
+    """``pairs`` of every permutation: (perm, matrix_key, approach, i, j, lo, hi), both groups' nodes reseated apart.
 
-    (n, n0), (d, d0) = left(lo), left(hi)
-    all_ = np.where(d0 > 0, n0 / np.where(d0 > 0, d0, 1), 0)[:, None]
-    change = np.where(np.abs(d) < TINY, 0, n / np.where(np.abs(d) < TINY, 1, d)) - all_
-    if averaging == "flat":
-        return change.mean(0)
-    kinds = np.array(approaches)
-    return np.mean([change[kinds == a].mean(0) for a in sorted(set(approaches))], axis=0)
+    Weights of all matrices of a pair of nodes travel as one array; a permutation's pair of seats fetches those of the
+    two nodes that sit there on either side, so the rows joined are pairs of seats, not pairs times matrices.
+    """
+    ordered = pairs.select(F.struct("matrix_key", "approach").alias("m"), "i", "j", "w1", "w2")
+    by_pair = settled(ordered.groupBy("i", "j").agg(F.array_sort(F.collect_list(F.struct("m", "w1", "w2"))).alias("all")))
+    nodes = pairs.select(F.explode(F.array("i", "j")).alias("node")).distinct()
+    where = settled(seats(nodes, count, seed))
+    sides = []
+    for side in (1, 2):
+        at = where.where(F.col("side") == side)
+        left = at.select("perm", F.col("seat").alias("i"), F.col("node").alias("x"))
+        right = at.select("perm", F.col("seat").alias("j"), F.col("node").alias("y"))
+        both = left.join(right, "perm").where("i < j").select("perm", "i", "j", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        own = f"w{side}"
+        weights = F.transform("all", lambda a: F.struct(a["m"].alias("m"), a[own].alias("w"))).alias(f"s{side}")  # noqa: B023 (called at once)
+        sides.append(both.join(by_pair.select(F.col("i").alias("x"), F.col("j").alias("y"), weights), ["x", "y"]).drop("x", "y"))
+    met = sides[0].join(sides[1], ["perm", "i", "j"])
+    cell = F.explode(F.zip_with("s1", "s2", lambda a, b: F.struct(a["m"].alias("m"), F.least(a["w"], b["w"]).alias("lo"), F.greatest(a["w"], b["w"]).alias("hi")))).alias("c")
+    return met.select("perm", "i", "j", cell).select("perm", "c.m.matrix_key", "c.m.approach", "i", "j", "c.lo", "c.hi")
 
 
 def permutation_p(pairs: DataFrame, sets: DataFrame, count: int = 100, averaging: str = "flat", seed: int = 42) -> DataFrame:
     """(combo_id, size, observed, p, ci_low, ci_high): p = (1 + #{|null| >= |observed|}) / (count + 1); the bounds are
     the order statistics at 2.5 and 97.5 percent of the null.
 
-    In each permutation both groups' nodes are shuffled independently, alike for all matrices and candidates. The
-    candidates are spread over the executors, with the matrices broadcast (MOST_CELLS at most).
+    In each permutation both groups' nodes are shuffled independently, alike for all matrices and candidates (every
+    matrix holds every pair of nodes). The null contributions are those of the relabelled pairs, keyed by permutation.
     """
-    spark = pairs.sparkSession
     seen = contributions(pairs, sets, averaging).select("combo_id", "size", F.col("contribution").alias("observed"))
-    data = spark.sparkContext.broadcast(_stacks(pairs))
-
-    def test(frames):
-        m = data.value
-        place = {n: i for i, n in enumerate(m["nodes"])}
-        for pdf in frames:
-            member = np.zeros((len(pdf), len(place)))
-            for row, nodes in enumerate(pdf["nodes"]):
-                member[row, [place[n] for n in nodes]] = 1
-            null = np.empty((count, len(pdf)))
-            for perm in range(1, count + 1):
-                a, b = (np.argsort(shuffled(m["nodes"], perm, side, seed)) for side in (1, 2))
-                null[perm - 1] = _null_contributions(member, m["w1"][:, a][:, :, a], m["w2"][:, b][:, :, b], m["approaches"], averaging)
-            far = (np.abs(null) >= np.abs(pdf["observed"].to_numpy())[None, :] - TINY).sum(0)
-            null.sort(axis=0)
-            yield pd.DataFrame({"combo_id": pdf["combo_id"], "size": pdf["size"], "observed": pdf["observed"], "p": (far + 1) / (count + 1.0), "ci_low": null[int(0.025 * count)], "ci_high": null[min(count - 1, int(0.975 * count))]})
-
-    return sets.select("combo_id", "nodes").join(seen, "combo_id").mapInPandas(test, "combo_id string, size int, observed double, p double, ci_low double, ci_high double")
+    null = contributions(settled(relabelled(pairs, count, seed)), sets, averaging, "perm").select("combo_id", F.col("contribution").alias("null"))
+    far = F.count_if(F.abs("null") >= F.abs("observed") - TINY)
+    low, high = int(0.025 * count), min(count - 1, int(0.975 * count))
+    order = F.array_sort(F.collect_list("null"))
+    tested = seen.join(null, "combo_id").groupBy("combo_id", "size", "observed").agg(far.alias("far"), order.alias("null"))
+    return tested.select("combo_id", "size", "observed", ((F.col("far") + 1) / F.lit(count + 1.0)).alias("p"), F.get("null", F.lit(low)).alias("ci_low"), F.get("null", F.lit(high)).alias("ci_high"))
 
 
 def synergy(found: DataFrame) -> DataFrame:
@@ -188,53 +179,72 @@ def brute_force(pairs: DataFrame, sets: DataFrame, rule: str = "pct_10", count:
     return adjust(kept.join(p, "combo_id"), "p", "fdr").withColumn("significant", F.col("p_adjusted") < 0.05)
 
 
-def greedy(pairs: DataFrame, nodes: list[str], most: int, direction: str = "dissimilarity") -> list[tuple[str, float]]:
-    """[(node, contribution so far)]: adds the node that moves the contribution most until none helps; first of ties.
+DIRECTIONS = ("dissimilarity", "similarity")
 
-    One small job per step.
-    """
-    spark, chosen, reached = pairs.sparkSession, [], 0.0
-    sign = 1 if direction == "dissimilarity" else -1
-    for _ in range(min(most, len(nodes) - 2)):
-        rest = [n for n in nodes if n not in chosen]
-        sets = spark.createDataFrame([(n, len(chosen) + 1, [*chosen, n]) for n in rest], "combo_id string, size int, nodes array<string>")
-        rows = {r["combo_id"]: r["contribution"] for r in contributions(pairs, sets).collect()}
-        best = max((n for n in rest if n in rows), key=lambda n: sign * rows[n], default=None)
-        if best is None or sign * (rows[best] - reached) <= 0:
-            break
-        chosen.append(best)
-        reached = rows[best]
-    out, k = [], 0
-    for k in range(1, len(chosen) + 1):
-        sets = spark.createDataFrame([("s", k, chosen[:k])], "combo_id string, size int, nodes array<string>")
-        out.append((chosen[k - 1], contributions(pairs, sets).first()["contribution"]))
-    return out
-
-
-def elbow(values: list[float]) -> int:
-    """1-based place of the largest distance to the chord of the normalised absolute values; n for n < 3."""
-    n = len(values)
-    if n < 3:
-        return n
-    y = np.abs(np.array(values, float))
-    y = (y - y.min()) / (y.max() - y.min()) if y.max() > y.min() else np.zeros(n)
-    x = np.linspace(0, 1, n)
-    return int(np.argmax(np.abs((y[-1] - y[0]) * x - (x[-1] - x[0]) * y + x[-1] * y[0] - y[-1] * x[0]))) + 1
-
-
-def greedy_discovery(pairs: DataFrame, nodes: list[str], most: int = 10, count: int = 100, direction: str = "dissimilarity", corrections: int = 1) -> dict:
-    """{nodes, contribution, p}: greedy sets cut at their elbow, tested as one set."""
-    steps = greedy(pairs, nodes, most, direction)
-    kept = [n for n, _ in steps[: elbow([c for _, c in steps])]]
-    if not kept:
-        return {"nodes": [], "contribution": 0.0, "p": 1.0}
-    sets = pairs.sparkSession.createDataFrame([("s", len(kept), kept)], "combo_id string, size int, nodes array<string>")
-    row = permutation_p(pairs, sets, count, "balanced").first()
-    return {"nodes": kept, "contribution": row["observed"], "p": min(1.0, row["p"] * corrections)}
 
+def greedy(pairs: DataFrame, most: int = 10) -> DataFrame:
+    """(direction, step, node, contribution): sets grown by the node that moves the balanced contribution most.
 
-def both_directions(pairs: DataFrame, nodes: list[str], most: int = 10, count: int = 100) -> dict:
-    return {d: greedy_discovery(pairs, nodes, most, count, d, 2) for d in ("dissimilarity", "similarity")}
+    Both directions grow together, until no node helps, ``most`` nodes are chosen or 2 nodes are left; of ties the first
+    by name. The state is a row per direction, matrix and node that is left, with the node's sums over pairs with other
+    nodes left, and the matrix's sums over all of these; a chosen node's pairs are taken off both. A step is one
+    aggregation over the nodes, whatever the size of the set.
+    """
+    k = ["matrix_key", "approach"]
+    ends = settled(pairs.select(*k, F.col("i").alias("node"), F.col("j").alias("other"), "lo", "hi").unionByName(pairs.select(*k, F.col("j").alias("node"), F.col("i").alias("other"), "lo", "hi")))
+    ratio = lambda n, d: F.when(F.abs(d) < TINY, F.lit(0.0)).otherwise(n / d)
+    own = ends.groupBy(*k, "node").agg(F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
+    by = Window.partitionBy(*k)
+    own = own.withColumns({"all_lo": F.sum("lo").over(by) / 2, "all_hi": F.sum("hi").over(by) / 2, "n": F.count(F.lit(1)).over(by)})
+    state = own.withColumn("j_all", ratio(F.col("all_lo"), F.col("all_hi"))).withColumn("reached", F.lit(0.0)).withColumn("direction", F.explode(F.array(*[F.lit(x) for x in DIRECTIONS])))
+    sign = F.when(F.col("direction") == DIRECTIONS[0], F.lit(1.0)).otherwise(F.lit(-1.0))
+    steps = []
+    for step in range(1, most + 1):
+        state = settled(state)
+        gone = ratio(F.col("all_lo") - F.col("lo"), F.col("all_hi") - F.col("hi")) - F.col("j_all")
+        per = state.where(F.col("n") - step >= 2).groupBy("direction", "node", "approach").agg(F.avg(gone).alias("c"), F.first("reached").alias("reached"))
+        moved = per.groupBy("direction", "node").agg(F.avg("c").alias("contribution"), F.first("reached").alias("reached"))
+        best = moved.groupBy("direction").agg(F.min(F.struct((-sign * F.round("contribution", 12)).alias("by"), "node", "contribution", "reached")).alias("b"))
+        best = settled(best.select("direction", "b.node", "b.contribution", "b.reached").where(sign * (F.col("contribution") - F.col("reached")) > TINY))
+        if best.isEmpty():
+            break
+        steps.append(best.select("direction", F.lit(step).alias("step"), "node", "contribution"))
+        chosen = best.select("direction", F.col("node").alias("gone"), F.col("contribution").alias("now"))
+        taken = state.join(chosen.withColumn("node", F.col("gone")), ["direction", "node"]).select("direction", *k, F.col("lo").alias("own_lo"), F.col("hi").alias("own_hi"), "gone", "now")
+        left = state.join(taken, ["direction", *k]).where("node <> gone")
+        with_gone = ends.select(*k, "node", F.col("other").alias("gone"), F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"))
+        state = left.join(with_gone, [*k, "node", "gone"]).select(
+            "direction", *k, "node", (F.col("lo") - F.col("p_lo")).alias("lo"), (F.col("hi") - F.col("p_hi")).alias("hi"),
+            (F.col("all_lo") - F.col("own_lo")).alias("all_lo"), (F.col("all_hi") - F.col("own_hi")).alias("all_hi"), "n", "j_all", F.col("now").alias("reached"),
+        )
+    empty = pairs.sparkSession.createDataFrame([], "direction string, step int, node string, contribution double")
+    for found in steps:
+        empty = empty.unionByName(found)
+    return empty
+
+
+def to_elbow(steps: DataFrame) -> DataFrame:
+    """The steps of each direction up to the elbow: the place farthest from the chord of the normalised absolute values
+    (the first of equal ones, to 12 decimals); all of fewer than 3."""
+    by = Window.partitionBy("direction")
+    size, low, high = F.abs("contribution"), F.min(F.abs("contribution")).over(by), F.max(F.abs("contribution")).over(by)
+    s = steps.withColumns({"y": F.coalesce(F.try_divide(size - low, high - low), F.lit(0.0)), "n": F.count(F.lit(1)).over(by)})
+    s = s.withColumn("x", F.coalesce(F.try_divide(F.col("step") - 1.0, F.col("n") - 1.0), F.lit(0.0)))
+    first, last = F.first("y").over(by.orderBy("step")), F.last("y").over(by.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    s = s.withColumns({"first": first, "last": last}).withColumn("far", F.round(F.abs((F.col("last") - F.col("first")) * F.col("x") - F.col("y") + F.col("first")), 12))
+    s = s.withColumn("farthest", F.max("far").over(by))
+    cut = F.min(F.when(F.col("far") == F.col("farthest"), F.col("step"))).over(by)
+    s = s.withColumn("cut", F.when(F.col("n") < 3, F.col("n")).otherwise(cut))
+    return s.where("step <= cut").select("direction", "step", "node", "contribution")
+
+
+def greedy_discovery(pairs: DataFrame, most: int = 10, count: int = 100, seed: int = 42) -> DataFrame:
+    """(direction, nodes, size, contribution, p): the greedy set of each direction, cut at its elbow and tested as one
+    set; p times the number of directions."""
+    kept = settled(to_elbow(settled(greedy(pairs, most))))
+    sets = kept.groupBy("direction").agg(F.array_sort(F.collect_list("node")).alias("nodes")).select(F.col("direction").alias("combo_id"), F.size("nodes").alias("size"), "nodes")
+    found = permutation_p(pairs, settled(sets), count, "balanced", seed)
+    return sets.join(found.drop("size"), "combo_id").select(F.col("combo_id").alias("direction"), F.array_join("nodes", ",").alias("nodes"), "size", F.col("observed").alias("contribution"), F.least(F.lit(1.0), F.col("p") * len(DIRECTIONS)).alias("p"))
 
 
 def connectivity_difference(pairs: DataFrame) -> DataFrame:
@@ -351,15 +361,5 @@ def lasso_agreement(selected: DataFrame, summary: DataFrame) -> DataFrame:
     return j.withColumn("agreement", F.when(a & b, "both").when(a, "lasso only").when(b, "search only").otherwise("neither"))
 
 
-def contribution_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(n, r) between two contribution tables on the same sets."""
-    j = a.select("combo_id", F.col("contribution").alias("x")).join(b.select("combo_id", F.col("contribution").alias("y")), "combo_id")
-    return j.agg(F.count(F.lit(1)).alias("n"), safe_corr("x", "y").alias("r"))
-
-
 def sets_from(spark, named: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame([(k, len(v), v) for k, v in named.items()], "combo_id string, size int, nodes array<string>")
-
-
-def as_frame(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(rows)

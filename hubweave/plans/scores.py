@@ -147,8 +147,19 @@ STACK = f"{B.PEARSON}, sk AS (SELECT grp AS matrix, CAST(substr(grp, 2) AS INTEG
 WELCH = "wl AS (SELECT i, j, avg(w) FILTER (side = 1) AS m1, var_samp(w) FILTER (side = 1) / count(w) FILTER (side = 1) AS a, count(w) FILTER (side = 1) AS n1, avg(w) FILTER (side = 2) AS m2, var_samp(w) FILTER (side = 2) / count(w) FILTER (side = 2) AS b, count(w) FILTER (side = 2) AS n2 FROM sk GROUP BY i, j)"
 add("k3_welch_t", lambda s, d: permute.welch_t(stacks(s, d)), f"WITH {STACK}, {WELCH} SELECT i, j, {r6('(m1 - m2) / sqrt(a + b) AS t', '(a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1)) AS df')} FROM wl")
 add("k3_welch_p", lambda s, d: permute.with_p_values(permute.welch_t(stacks(s, d))))
-add("k3_network_based_statistic", lambda s, d: permute.network_based_statistic(stacks(s, d), 1.5, 20))
-add("k3_family_wise_p", lambda s, d: permute.family_wise_p(permute.network_based_statistic(stacks(s, d), 1.5, 20), "largest"))
+NBS_COUNT, NBS_T = 500, 3.0
+NBS = f"""WITH {STACK}, sm AS (SELECT DISTINCT matrix AS subject, side FROM sk), {perm_sql('sm', NBS_COUNT)},
+nw AS (SELECT perm, i, j, avg(w) FILTER (p.side = 1) AS m1, var_samp(w) FILTER (p.side = 1) / count(w) FILTER (p.side = 1) AS a, avg(w) FILTER (p.side = 2) AS m2, var_samp(w) FILTER (p.side = 2) / count(w) FILTER (p.side = 2) AS b
+  FROM prm p JOIN sk ON sk.matrix = p.subject GROUP BY perm, i, j),
+ne AS MATERIALIZED (SELECT perm, i, j FROM nw WHERE abs(round((m1 - m2) / sqrt(a + b), 9)) > {NBS_T}),
+nn AS MATERIALIZED (SELECT perm AS net, i AS a, j AS b FROM ne UNION ALL SELECT perm, j, i FROM ne),
+{B.labels_sql('n', 'nn')}, nz AS (SELECT net AS perm, comp, count(*) AS size FROM n_lab GROUP BY ALL),
+nl AS (SELECT p.perm, coalesce(max(size), 1) AS largest FROM (SELECT unnest(range(0, {NBS_COUNT + 1})) AS perm) p LEFT JOIN nz USING (perm) GROUP BY p.perm)"""
+add("k3_network_based_statistic", lambda s, d: permute.network_based_statistic(stacks(s, d), NBS_T, NBS_COUNT), f"{NBS} SELECT CAST(perm AS INTEGER) AS perm, largest FROM nl")
+add("k3_family_wise_p", lambda s, d: permute.family_wise_p(permute.network_based_statistic(stacks(s, d), NBS_T, NBS_COUNT), "largest"), f"{NBS}, o AS (SELECT largest AS observed FROM nl WHERE perm = 0) SELECT observed, round(avg((largest >= observed)::INT), 6) + 0.0 AS p FROM nl, o WHERE perm > 0 GROUP BY observed")
+add("k3_components", lambda s, d: permute.component_tests(stacks(s, d), NBS_T, NBS_COUNT), f"""{NBS}, bar AS (SELECT quantile_cont(largest, 0.95) AS bar FROM nl WHERE perm > 0),
+o AS (SELECT comp, size, (SELECT count(*) FROM nl WHERE perm > 0 AND largest >= size) / {NBS_COUNT}.0 AS p FROM nz WHERE perm = 0)
+SELECT l.comp AS component, l.node, o.size, {r6('o.p AS p')}, o.size > bar AS significant FROM n_lab l JOIN o USING (comp), bar WHERE l.net = 0""")
 add("k4_group_strength_test", lambda s, d: permute.two_sample_test(threshold_free.node_strength(B.pearson(s, d)[0]).where("grp in ('g0', 'g1')").select(F.abs(F.xxhash64("grp", "node")).alias("subject"), F.when(F.col("grp") == "g0", 1).otherwise(2).alias("side"), F.lit("strength").alias("node"), F.col("node_strength").alias("value")), 20))
 
 
@@ -160,6 +171,23 @@ def global_rows(s, d):
 K8 = f"WITH {SIDES}, {perm_sql('sub', 20)}, kv AS (SELECT perm, p.side, subject, node, value FROM prm p JOIN vals USING (subject)), kr AS (SELECT a.perm, a.side, a.node AS i, b.node AS j, abs(covar_pop(a.value, b.value) / (stddev_pop(a.value) * stddev_pop(b.value))) > 0.1 AS hit FROM kv a JOIN kv b ON a.perm = b.perm AND a.subject = b.subject AND a.node < b.node GROUP BY a.perm, a.side, a.node, b.node), kd AS (SELECT perm, avg(hit::INT) FILTER (side = 1) AS d1, avg(hit::INT) FILTER (side = 2) AS d2 FROM kr GROUP BY perm) SELECT CAST(perm AS INTEGER) AS perm, {r6('d1 AS density1', 'd2 AS density2', 'abs(d1 - d2) AS difference')} FROM kd"
 add("k8_global_density_test", lambda s, d: permute.global_density_test(*global_rows(s, d), 0.1, 20), K8)
 
+GLOBAL_CUT, GLOBAL_COUNT = 0.3, 100
+K8G = f"""WITH {SIDES}, {B.AREA_SQL}, {perm_sql('sub', GLOBAL_COUNT)}, kv AS (SELECT perm, p.side, subject, node, value FROM prm p JOIN vals USING (subject)),
+kr AS (SELECT a.perm, a.side, a.node AS i, b.node AS j, abs(round(covar_pop(a.value, b.value) / (stddev_pop(a.value) * stddev_pop(b.value)), 12)) >= {GLOBAL_CUT} AS hit FROM kv a JOIN kv b ON a.perm = b.perm AND a.subject = b.subject AND a.node < b.node GROUP BY a.perm, a.side, a.node, b.node),
+ke AS MATERIALIZED (SELECT perm * 2 + side - 1 AS net, i, j FROM kr WHERE hit), kd AS MATERIALIZED (SELECT net, i AS a, j AS b FROM ke UNION ALL SELECT net, j, i FROM ke),
+kn AS (SELECT DISTINCT perm * 2 + side - 1 AS net FROM prm), kg AS MATERIALIZED (SELECT net, a, count(*) AS deg FROM kd GROUP BY ALL),
+kt AS (SELECT x.net, x.i AS a, x.j AS b, y.j AS c FROM ke x JOIN ke y ON x.net = y.net AND x.j = y.i JOIN ke z ON z.net = x.net AND z.i = x.i AND z.j = y.j),
+kc AS (SELECT net, sum(2.0 * t / (deg * (deg - 1))) / {B.DIMS} AS clustering FROM (SELECT net, a, count(*) AS t FROM (SELECT net, unnest([a, b, c]) AS a FROM kt) GROUP BY ALL) JOIN kg USING (net, a) GROUP BY net),
+h0 AS (SELECT net, a, b, 1 AS d FROM kd), {", ".join(f"h{k + 1} AS MATERIALIZED (SELECT net, a, b, min(d) AS d FROM (SELECT * FROM h{k} UNION ALL SELECT x.net, x.a, y.b, x.d + y.d FROM h{k} x JOIN h{k} y ON x.net = y.net AND x.b = y.a AND x.a <> y.b) GROUP BY ALL)" for k in range(5))},
+kp AS (SELECT net, avg(d) AS path_length FROM h5 GROUP BY net HAVING count(*) = {B.DIMS * (B.DIMS - 1)}),
+km AS (SELECT net, sum(inn / tot - (al / tot) * (al / tot)) AS modularity FROM (SELECT net, x.area, sum((x.area = y.area)::INT) AS inn, count(*) AS al, sum(count(*)) OVER (PARTITION BY net) AS tot FROM kd JOIN areas x ON x.node = kd.a JOIN areas y ON y.node = kd.b GROUP BY net, x.area) GROUP BY net),
+kx AS (SELECT kn.net, coalesce(m, 0) / {B.PAIRS}.0 AS density, coalesce(clustering, 0) AS clustering, path_length, modularity FROM kn LEFT JOIN (SELECT net, count(*) AS m FROM ke GROUP BY net) USING (net) LEFT JOIN kc USING (net) LEFT JOIN kp USING (net) LEFT JOIN km USING (net)),
+kl AS (SELECT net // 2 AS perm, net % 2 AS side, unnest(['density', 'clustering', 'path_length', 'modularity']) AS metric, unnest([density, clustering, path_length, modularity]) AS value FROM kx),
+k2 AS (SELECT perm, metric, max(value) FILTER (side = 0) AS value1, max(value) FILTER (side = 1) AS value2, max(value) FILTER (side = 0) - max(value) FILTER (side = 1) AS difference FROM kl GROUP BY ALL)
+SELECT o.metric, {r6('o.value1 AS value1', 'o.value2 AS value2', 'o.difference AS difference', 'avg((abs(n.difference) >= abs(o.difference) - 1e-12)::INT) AS p')}, count(n.perm) AS n_null
+FROM k2 o LEFT JOIN k2 n ON n.metric = o.metric AND n.perm > 0 AND n.difference IS NOT NULL AND o.difference IS NOT NULL WHERE o.perm = 0 GROUP BY ALL"""
+add("k8_global_test", lambda s, d: permute.global_test(*global_rows(s, d), GLOBAL_CUT, GLOBAL_COUNT, areas=B.areas(s).select("node", "area")), K8G)
+
 # L: contribution and discovery
 NP = f"{B.CORR2}, {core.NETS}, np AS (SELECT a.matrix_key, a.approach, a.i, a.j, a.w AS w1, b.w AS w2, least(a.w, b.w) AS lo, greatest(a.w, b.w) AS hi FROM nets a JOIN nets b ON a.matrix_key = b.matrix_key AND a.i = b.i AND a.j = b.j AND a.grp = 'g0' AND b.grp = 'g1')"
 SETS2 = "nd AS (SELECT DISTINCT i AS node FROM np UNION SELECT DISTINCT j FROM np), sets AS (SELECT node AS combo_id, 1 AS size, [node] AS nodes FROM nd UNION ALL SELECT a.node || ',' || b.node, 2, [a.node, b.node] FROM nd a JOIN nd b ON a.node < b.node)"
@@ -183,7 +211,7 @@ def area_sets(s):
 
 
 add("l1_leave_one_out", lambda s, d: discover.leave_one_out(pairs01(s, d)[0], discover.candidates(s, pairs01(s, d)[1], 1).unionByName(area_sets(s))), f"WITH {NP}, {SETS2}, {B.AREA_SQL}, s1 AS (SELECT * FROM sets WHERE size = 1 UNION ALL SELECT area, count(*), list(node) FROM areas GROUP BY area), {contrib_sql('balanced', sets='s1')} SELECT combo_id, size, {r6('j_all', 'j_without', 'contribution', '100 * contribution / nullif(j_all, 0) AS pct_change')} FROM cb")
-add("l13_candidates", lambda s, d: discover.candidates(s, B.obs(s, d)[1], 2).join(core.some_nodes(s, d).agg(F.count(F.lit(1)).alias("n")), F.lit(True)).select("combo_id", "size"), f"WITH {NP}, {SETS2} SELECT combo_id, CAST(size AS INTEGER) AS size FROM sets")
+add("l13_candidates", lambda s, d: discover.candidate_sets(core.some_nodes(s, d), 2).select("combo_id", "size"), f"WITH {NP}, {SETS2} SELECT combo_id, CAST(size AS INTEGER) AS size FROM sets")
 add("l15_batch_contributions", lambda s, d: discover.contributions(pairs01(s, d)[0], discover.candidates(s, pairs01(s, d)[1], 2), "flat"), f"WITH {NP}, {SETS2}, {contrib_sql('flat')} SELECT combo_id, size, {r6('j_all', 'j_without', 'contribution')} FROM cb")
 add("l16_complement_contributions", lambda s, d: discover.contributions(pairs01(s, d)[0], discover.complement_sets(area_sets(s), pairs01(s, d)[1]), "flat").where(f"size = {B.DIMS - 4}"), f"WITH {NP}, {SETS2}, {B.AREA_SQL}, cs AS (SELECT string_agg(node, ',' ORDER BY node) AS combo_id, {B.DIMS - 4} AS size, list(node) AS nodes FROM nd, (SELECT DISTINCT area AS ar FROM areas) WHERE node NOT IN (SELECT node FROM areas WHERE area = ar) GROUP BY ar), {contrib_sql('flat', sets='cs')} SELECT combo_id, size, {r6('j_all', 'j_without', 'contribution')} FROM cb")
 SYN = f"{contrib_sql('balanced')}, spx AS (SELECT c.combo_id, sum(o.contribution) AS expected_additive FROM cb c JOIN cb o ON o.size = 1 AND list_contains(string_split(c.combo_id, ','), o.combo_id) GROUP BY c.combo_id), sy AS (SELECT cb.*, expected_additive, CASE WHEN size = 1 THEN 0 ELSE contribution - expected_additive END AS synergy, CASE WHEN contribution > 0 THEN 'dissimilarity' ELSE 'similarity' END AS direction FROM cb JOIN spx USING (combo_id)), sr AS (SELECT *, CASE WHEN size > 1 AND abs(expected_additive) > 1e-10 THEN synergy / abs(expected_additive) END AS synergy_ratio FROM sy), sx AS (SELECT *, CASE WHEN size = 1 THEN abs(contribution) ELSE coalesce(abs(synergy_ratio), 0.01 * abs(contribution)) END AS rank_score FROM sr)"
@@ -199,21 +227,46 @@ add("l13_filter_pct", lambda s, d: discover.filter_candidates(syn(s, d), "pct_20
 add("l13_filter_sd", lambda s, d: discover.filter_candidates(syn(s, d), "sd_1").select("combo_id", "direction"), f"WITH {NP}, {SETS2}, {SYN}, f AS (SELECT *, (contribution - avg(contribution) OVER w) / stddev_samp(contribution) OVER w AS z FROM sx WINDOW w AS (PARTITION BY direction)) SELECT combo_id, direction FROM f WHERE abs(z) > 1")
 add("l19_node_summary", lambda s, d: discover.node_summary(syn(s, d)), f"WITH {NP}, {SETS2}, {SYN}, e AS (SELECT unnest(string_split(combo_id, ',')) AS node, direction = 'dissimilarity' AS dis, abs(contribution) AS c FROM sx) SELECT node, count(*) FILTER (NOT dis) AS sim_count, count(*) FILTER (dis) AS dissim_count, {r6('coalesce(sum(c) FILTER (NOT dis), 0) AS sim_contribution', 'coalesce(sum(c) FILTER (dis), 0) AS dissim_contribution')}, count(*) FILTER (dis) - count(*) FILTER (NOT dis) AS net_count, count(*) AS total_count, {r6('(count(*) FILTER (dis) - count(*) FILTER (NOT dis)) / count(*) AS direction_ratio')} FROM e GROUP BY node")
 add("l10_connectivity_difference", lambda s, d: discover.connectivity_difference(pairs01(s, d)[0]), f"WITH {NP} SELECT i, j, {r6('avg(abs(w1 - w2)) AS difference')} FROM np GROUP BY i, j")
-LP = 10
+LP = 200
 PP = f"pl AS (SELECT perm, side, node, row_number() OVER (PARTITION BY perm, side ORDER BY md5('42|' || perm || '|' || side || '|' || node), node) AS seat_no FROM nd, (SELECT unnest(range(1, {LP + 1})) AS perm), (SELECT unnest([1, 2]) AS side)), nm AS (SELECT node AS seat, row_number() OVER (ORDER BY node) AS seat_no FROM nd), ps2 AS (SELECT perm, side, node, seat FROM pl JOIN nm USING (seat_no)), pw AS (SELECT a.perm, a.side, matrix_key, approach, least(a.seat, b.seat) AS i, greatest(a.seat, b.seat) AS j, CASE WHEN a.side = 1 THEN w1 ELSE w2 END AS w FROM np JOIN ps2 a ON a.node = np.i JOIN ps2 b ON b.node = np.j AND a.perm = b.perm AND a.side = b.side), pp AS (SELECT x.perm, x.matrix_key, x.approach, x.i, x.j, least(x.w, y.w) AS lo, greatest(x.w, y.w) AS hi FROM pw x JOIN pw y ON x.side = 1 AND y.side = 2 AND x.perm = y.perm AND x.matrix_key = y.matrix_key AND x.i = y.i AND x.j = y.j)"
-L18 = f"WITH {NP}, {SETS2}, {B.AREA_SQL}, {PP}, s1 AS (SELECT * FROM sets WHERE size = 1 UNION ALL SELECT area, count(*), list(node) FROM areas GROUP BY area), {contrib_sql('flat', sets='s1')}, {contrib_sql('flat', 'pp', 's1', 'perm', 'nl')} SELECT combo_id, cb.size, {r6('cb.contribution AS observed', '(count(*) FILTER (abs(nl.contribution) >= abs(cb.contribution) - 1e-12) + 1) / 11.0 AS p', 'list_sort(list(nl.contribution))[1] AS ci_low', 'list_sort(list(nl.contribution))[10] AS ci_high')} FROM cb JOIN nl USING (combo_id) GROUP BY combo_id, cb.size, cb.contribution"
+L18 = f"WITH {NP}, {SETS2}, {B.AREA_SQL}, {PP}, s1 AS (SELECT * FROM sets WHERE size = 1 UNION ALL SELECT area, count(*), list(node) FROM areas GROUP BY area), {contrib_sql('flat', sets='s1')}, {contrib_sql('flat', 'pp', 's1', 'perm', 'nl')} SELECT combo_id, cb.size, {r6('cb.contribution AS observed', f'(count(*) FILTER (abs(nl.contribution) >= abs(cb.contribution) - 1e-12) + 1) / {LP + 1}.0 AS p', f'list_sort(list(nl.contribution))[{int(0.025 * LP) + 1}] AS ci_low', f'list_sort(list(nl.contribution))[{min(LP - 1, int(0.975 * LP)) + 1}] AS ci_high')} FROM cb JOIN nl USING (combo_id) GROUP BY combo_id, cb.size, cb.contribution"
 add("l18_permutation_p", lambda s, d: discover.permutation_p(pairs01(s, d)[0], discover.candidates(s, pairs01(s, d)[1], 1).unionByName(area_sets(s)), LP), L18)
 add("l5_hypothesis_tests", lambda s, d: permute.adjust(discover.permutation_p(pairs01(s, d)[0], area_sets(s), 20, "balanced"), "p", "fdr").withColumn("stars", permute.stars("p_adjusted")))
 add("l13_brute_force", lambda s, d: discover.brute_force(*(lambda p, n: (p, discover.candidates(s, n, 2)))(*pairs01(s, d)), "pct_10", 20))
 
 
-def greedy_table(s, d):
-    pairs, nodes = pairs01(s, d)
-    steps = discover.greedy(pairs, nodes, 3)
-    return s.createDataFrame([(k + 1, n, float(c)) for k, (n, c) in enumerate(steps)], "step int, node string, contribution double")
-
-
-add("l6_greedy_selection", greedy_table)
+MOST_STEPS = 10
+
+
+def greedy_sql() -> str:
+    """The greedy sets by brute force: in each step every candidate's remaining pairs are summed anew."""
+    out = ["g0 AS (SELECT direction, []::VARCHAR[] AS chosen, 0.0::DOUBLE AS reached, 0 AS step FROM (SELECT unnest(['dissimilarity', 'similarity']) AS direction))"]
+    for k in range(MOST_STEPS):
+        out.append(
+            f"c{k} AS MATERIALIZED (SELECT direction, node, chosen, reached, matrix_key, approach, coalesce(sum(lo) FILTER (keep) / nullif(sum(hi) FILTER (keep), 0), 0) - sum(lo) / sum(hi) AS c "
+            f"FROM (SELECT g.*, nd.node, np.matrix_key, np.approach, lo, hi, i <> nd.node AND j <> nd.node AND NOT list_contains(chosen, i) AND NOT list_contains(chosen, j) AS keep "
+            f"FROM g{k} g, nd, np WHERE NOT list_contains(chosen, nd.node)) GROUP BY ALL), "
+            f"v{k} AS (SELECT direction, node, chosen, reached, avg(c) AS c FROM (SELECT direction, node, chosen, reached, approach, avg(c) AS c FROM c{k} GROUP BY ALL) GROUP BY ALL), "
+            f"g{k + 1} AS MATERIALIZED (SELECT direction, list_append(chosen, node) AS chosen, c AS reached, {k + 1} AS step FROM (SELECT *, "
+            f"row_number() OVER (PARTITION BY direction ORDER BY round(CASE WHEN direction = 'similarity' THEN c ELSE -c END, 12), node) AS place FROM v{k}) "
+            f"WHERE place = 1 AND CASE WHEN direction = 'similarity' THEN reached - c ELSE c - reached END > 1e-12)"
+        )
+    rows = " UNION ALL ".join(f"SELECT direction, step, chosen[step] AS node, reached AS contribution FROM g{k + 1}" for k in range(MOST_STEPS))
+    return f"WITH {NP}, nd AS (SELECT DISTINCT i AS node FROM np UNION SELECT DISTINCT j FROM np), {', '.join(out)}, gs AS ({rows})"
+
+
+ELBOW = """ge AS (SELECT *, coalesce((abs(contribution) - min(abs(contribution)) OVER d) / nullif(max(abs(contribution)) OVER d - min(abs(contribution)) OVER d, 0), 0) AS y, count(*) OVER d AS n FROM gs WINDOW d AS (PARTITION BY direction)),
+gf AS (SELECT *, first(y) OVER w AS y1, last(y) OVER w AS y2, coalesce((step - 1) / nullif(n - 1, 0), 0) AS x FROM ge WINDOW w AS (PARTITION BY direction ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+gd AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY round(abs((y2 - y1) * x - y + y1), 12) DESC, step) AS place FROM gf),
+gc AS (SELECT direction, CASE WHEN any_value(n) < 3 THEN any_value(n) ELSE max(step) FILTER (place = 1) END AS cut FROM gd GROUP BY direction)"""
+GREEDY = greedy_sql()
+add("l6_greedy_selection", lambda s, d: discover.greedy(pairs01(s, d)[0], MOST_STEPS), f"{GREEDY} SELECT direction, CAST(step AS INTEGER) AS step, node, {r6('contribution')} FROM gs")
+add("l7_elbow", lambda s, d: discover.to_elbow(discover.greedy(pairs01(s, d)[0], MOST_STEPS)), f"{GREEDY}, {ELBOW} SELECT direction, CAST(step AS INTEGER) AS step, node, {r6('contribution')} FROM gs JOIN gc USING (direction) WHERE step <= cut")
+L9 = f"""{GREEDY}, {ELBOW}, {PP}, s1 AS MATERIALIZED (SELECT direction AS combo_id, count(*) AS size, list(node ORDER BY node) AS nodes FROM gs JOIN gc USING (direction) WHERE step <= cut GROUP BY direction),
+{contrib_sql('balanced', sets='s1')}, {contrib_sql('balanced', 'pp', 's1', 'perm', 'nl')}
+SELECT combo_id AS direction, array_to_string(any_value(s1.nodes), ',') AS nodes, cb.size, {r6('cb.contribution AS contribution', f'least(1, 2 * (count(*) FILTER (abs(nl.contribution) >= abs(cb.contribution) - 1e-12) + 1) / {LP + 1}.0) AS p')}
+FROM cb JOIN nl USING (combo_id) JOIN s1 USING (combo_id) GROUP BY combo_id, cb.size, cb.contribution"""
+add("l9_both_directions", lambda s, d: discover.greedy_discovery(pairs01(s, d)[0], MOST_STEPS, LP), L9)
 add("l12_cluster_discovery", lambda s, d: discover.cluster_discovery(*pairs01(s, d), count=20))
 
 
@@ -225,4 +278,4 @@ def lasso01(s, d):
 add("l20_lasso", lasso01)
 add("l21_lasso_agreement", lambda s, d: discover.lasso_agreement(lasso01(s, d), discover.node_summary(syn(s, d))))
 L2COMBOS = [",".join(c) for c in combinations(["d00", "d01", "d02"], 2)]
-add("l3_set_test", lambda s, d: discover.permutation_p(pairs01(s, d)[0], discover.sets_from(s, {c: c.split(",") for c in L2COMBOS}), LP, "balanced"), f"WITH {NP}, {SETS2}, {PP}, s1 AS (SELECT * FROM sets WHERE combo_id IN ({', '.join(repr(c) for c in L2COMBOS)})), {contrib_sql('balanced', sets='s1')}, {contrib_sql('balanced', 'pp', 's1', 'perm', 'nl')} SELECT combo_id, cb.size, {r6('cb.contribution AS observed', '(count(*) FILTER (abs(nl.contribution) >= abs(cb.contribution) - 1e-12) + 1) / 11.0 AS p', 'list_sort(list(nl.contribution))[1] AS ci_low', 'list_sort(list(nl.contribution))[10] AS ci_high')} FROM cb JOIN nl USING (combo_id) GROUP BY combo_id, cb.size, cb.contribution")
+add("l3_set_test", lambda s, d: discover.permutation_p(pairs01(s, d)[0], discover.sets_from(s, {c: c.split(",") for c in L2COMBOS}), LP, "balanced"), f"WITH {NP}, {SETS2}, {PP}, s1 AS (SELECT * FROM sets WHERE combo_id IN ({', '.join(repr(c) for c in L2COMBOS)})), {contrib_sql('balanced', sets='s1')}, {contrib_sql('balanced', 'pp', 's1', 'perm', 'nl')} SELECT combo_id, cb.size, {r6('cb.contribution AS observed', f'(count(*) FILTER (abs(nl.contribution) >= abs(cb.contribution) - 1e-12) + 1) / {LP + 1}.0 AS p', f'list_sort(list(nl.contribution))[{int(0.025 * LP) + 1}] AS ci_low', f'list_sort(list(nl.contribution))[{min(LP - 1, int(0.975 * LP)) + 1}] AS ci_high')} FROM cb JOIN nl USING (combo_id) GROUP BY combo_id, cb.size, cb.contribution")
