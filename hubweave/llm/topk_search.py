@@ -25,6 +25,17 @@ IMPACTS = 8  # segments of a dimension by magnitude: [top/2, top], [top/4, top/2
 EXACT = 2.0**62  # scores below it are sums of 64-bit products
 
 
+def _floored(x: np.ndarray) -> np.ndarray:
+    """floor(SCALE x) / SCALE, which a double holds exactly; components of 2^53 or more are whole already and stay."""
+    with np.errstate(over="ignore"):
+        return np.where(np.abs(x) < 2.0**53, np.floor(x * SCALE) / SCALE, x)
+
+
+def _whole(x: float) -> int:
+    """SCALE times a floored component, beyond what a double can hold too."""
+    return int(x * SCALE) if abs(x) < 2.0**53 else int(x) * SCALE
+
+
 def _packed(rows: int):
     """Packs (vec_id, values) into blocks (dims, ids, block) of ``rows`` rows of one dimension."""
 
@@ -38,7 +49,7 @@ def _packed(rows: int):
                 own = np.flatnonzero(lengths == dims)
                 a, b = held.setdefault(dims, ([], []))
                 a.append(ids[own])
-                b.append(np.floor(np.stack([flat[ends[i] - dims : ends[i]] for i in own.tolist()])))
+                b.append(_floored(np.stack([flat[ends[i] - dims : ends[i]] for i in own.tolist()])))
                 if sum(map(len, a)) >= rows:
                     yield from _blocks(*held.pop(dims), dims, rows)
         for dims, (a, b) in held.items():
@@ -70,10 +81,12 @@ def _index(batches):
 
 
 def _exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products of pairs of rows of integers: with 64 bits, or where that is too little with Python's integers."""
-    if not len(q) or np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * max(1, q.shape[1]) < EXACT:
-        return np.einsum("ij,ij->i", q.astype(np.int64), v.astype(np.int64))
-    exact = (sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for x, y in zip(q.tolist(), v.tolist(), strict=True))
+    """Inner products of pairs of rows, SCALE times each component: with 64 bits, or where that is too little with Python's integers."""
+    with np.errstate(over="ignore"):
+        most = np.abs(q).max(initial=0) * SCALE * (np.abs(v).max(initial=0) * SCALE) * max(1, q.shape[1])
+    if not len(q) or most < EXACT:
+        return np.einsum("ij,ij->i", (q * SCALE).astype(np.int64), (v * SCALE).astype(np.int64))
+    exact = (sum(_whole(a) * _whole(b) for a, b in zip(x, y, strict=True)) for x, y in zip(q.tolist(), v.tolist(), strict=True))
     return np.array([max(-(2**63), min(2**63 - 1, x)) for x in exact], np.int64)
 
 
@@ -96,7 +109,7 @@ def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, post
             rows, begin = rows[active[rows]], end
             score[rows] += v[rows, dim, None] * q[None, :, dim]
             left[rows] -= v[rows, dim] ** 2
-        slack = (np.sqrt(np.maximum(left, 0)) + 1e-9 * v_norm)[:, None] * q_norm[None, :] + 1e-6
+        slack = (np.sqrt(np.maximum(left, 0)) + 1e-9 * v_norm)[:, None] * q_norm[None, :] + 1e-11
         proven = np.where(own | ~active[:, None], -np.inf, score - slack)
         kth = np.partition(proven, len(ids) - k, axis=0)[len(ids) - k]
         member &= score + slack >= kth[None, :]
@@ -140,7 +153,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
     finite = F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    whole = rows.where(F.col("vec_id").isNotNull() & finite).select("vec_id", F.transform("x", lambda c: c * SCALE).alias("values"))
+    whole = rows.where(F.col("vec_id").isNotNull() & finite).select("vec_id", F.col("x").alias("values"))
     shape = "dims int, ids binary, block binary"
     index = materialize(whole.mapInArrow(_packed(BLOCK_ROWS), shape).mapInArrow(_index, f"{shape}, postings binary, ends binary"))
     slots = -(-index.count() // PER_SLOT) or 1
