@@ -24,17 +24,18 @@ def _name(role):
 
 
 def rotate_perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per conversation, participant and page: conv_id, participant, page, n_turns, text, spans.
+    """One row per conversation, participant and page: conv_id, participant, page, n_turns, text_offset, text, spans.
 
     Participants are the distinct roles of a conversation but ``system``, whose turns stay system turns for all; a
     conversation of system turns only is rendered once, with participant null. ``spans`` lists the (start, end) offsets
-    in ``text`` to train on: the assistant's words and end marker. Turns stand in order of turn, role, text, null turns
+    in the whole rendering to train on: the assistant's words and end marker. Turns stand in order of turn, role, text, null turns
     first on the page of turn 0; repeated rows are rendered as often. A null role is the speaker ``unknown``, a null text is empty, rows with
     a null conv_id form one conversation. An empty table gives an empty result; other columns play no part.
 
     A conversation of up to PAGE turns is one row for each participant, whatever its turn numbers. A row can't hold a
-    conversation of any length, so longer ones are cut after every PAGE turns; the texts of their pages, put together in
-    order, are the whole rendering.
+    conversation of any length, so longer ones are cut after every PAGE turns. ``text_offset`` is where a page's text
+    begins in the whole rendering, and spans count from the rendering's start: the pages, put together in order, are the
+    whole rendering with its spans, wherever they are cut.
     """
     speaker = F.coalesce(F.col(role).cast("string"), F.lit("unknown"))
     rows = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), speaker.alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -57,10 +58,20 @@ def rotate_perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str =
         name = F.when(t["role"].eqNullSafe(F.col("participant")), F.lit("assistant")).when(t["role"] == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user name="), _name(t["role"])))
         return F.concat(F.lit("<|im_start|>"), name, F.lit("\n"))
 
+    def length(t):
+        return F.length(head(t)) + F.length(_cell(t["text"])) + len("<|im_end|>\n")
+
+    # where each page begins, from lengths alone; rows of a long conversation's pages are narrow here
+    lengths = seen.select(F.col("conv_id").alias("c"), F.col("participant").alias("p"), F.col("page").alias("g"), F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + length(t)).alias("length"))
+    before = F.sum("length").over(Window.partitionBy("c", "p").orderBy("g").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = lengths.where("g > 1").select("c", "p").distinct().join(lengths.withColumnsRenamed({"c": "c2", "p": "p2"}), F.expr("c <=> c2 and p <=> p2")).select("c", "p", "g", "length")
+    offsets = offsets.select("c", "p", "g", before.alias("text_offset"))
+    seen = seen.join(offsets, F.expr("conv_id <=> c and participant <=> p and page = g"), "left").withColumn("text_offset", F.coalesce("text_offset", F.lit(0).cast("long")))
+
     parts = F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(_cell(t["text"]), F.lit("<|im_end|>\n")).alias("body"), t["role"].eqNullSafe(F.col("participant")).alias("own")))
     seen = seen.withColumn("parts", parts)
-    span_type = "array<struct<start:int,end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(span_type).alias("spans"))
+    span_type = "array<struct<start:bigint,end:bigint>>"
+    start = F.struct(F.col("text_offset").alias("at"), F.array().cast(span_type).alias("spans"))
 
     def add(acc, p):
         begin = acc["at"] + F.length(p["head"])
@@ -72,6 +83,7 @@ def rotate_perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str =
         "participant",
         "page",
         F.size("turns").alias("n_turns"),
+        "text_offset",
         F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"])), "").alias("text"),
         F.aggregate("parts", start, add)["spans"].alias("spans"),
     )
@@ -93,8 +105,9 @@ t AS (SELECT q.conv_id, k.participant, q.page, q.place, q.role IS NOT DISTINCT F
              '<|im_start|>' || CASE WHEN q.role IS NOT DISTINCT FROM k.participant THEN 'assistant' WHEN q.role = 'system' THEN 'system' ELSE 'user name=' || replace(replace(replace(q.role, '<|', '< |'), chr(10), ' '), chr(13), ' ') END || chr(10) AS head,
              replace(q.text, '<|', '< |') || '<|im_end|>' || chr(10) AS body
       FROM q JOIN k ON q.conv_id IS NOT DISTINCT FROM k.conv_id),
-u AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant, page ORDER BY place) AS upto FROM t)
-SELECT conv_id, participant, CAST(page AS INTEGER) AS page, CAST(count(*) AS INTEGER) AS n_turns, string_agg(head || body, '' ORDER BY place) AS text,
+u AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant ORDER BY place) AS upto FROM t)
+SELECT conv_id, participant, CAST(page AS INTEGER) AS page, CAST(count(*) AS INTEGER) AS n_turns,
+       CAST(min(upto - length(head) - length(body)) AS BIGINT) AS text_offset, string_agg(head || body, '' ORDER BY place) AS text,
        coalesce(string_agg(CASE WHEN own THEN CAST(CAST(upto - length(body) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(upto - 1 AS BIGINT) AS VARCHAR) END, ',' ORDER BY place), '') AS spans
 FROM u GROUP BY conv_id, participant, page
 """

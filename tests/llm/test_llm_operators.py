@@ -162,6 +162,21 @@ def test_top_k(spark):
     assert topk_search.top_k(frame.limit(0)).count() == 0
 
 
+def test_top_k_of_components_near_the_largest_double(spark):
+    """Scaled components overflow a double; scores are still exact, clamped to 64 bits."""
+    rows = [(0, [1e307, 1.0]), (1, [1.0, 1.0]), (2, [2.0, 2.0]), (3, [-1.7e308, 0.0]), (4, [2.0**53 + 2, 0.5]), (5, [0.0, 0.7])]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1).collect()
+
+    def whole(x):
+        return [int(c) * 256 if abs(c) >= 2.0**53 else int(np.floor(c * 256)) for c in x]
+
+    expect = []
+    for i, x in rows:
+        scored = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole(x), whole(y))))), j) for j, y in rows if j != i)
+        expect += [(i, r, j, -s) for r, (s, j) in enumerate(scored[:5], 1)]
+    assert sorted(map(tuple, got)) == sorted(expect)
+
+
 def test_top_k_of_large_components_and_repeated_ids(spark):
     rows = [(0, [1.0, 1.0]), (1, [300000.0, 1.0]), (2, [2.0, 2.0]), (50, [3e38, -2e38]), (50, [-1e9, 1e9]), (7, [2.0, 2.0]), (100, []), (3, [])]
     got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
@@ -323,6 +338,14 @@ def test_chat_format(spark):
     long = spark.range(600).selectExpr("9L as conv_id", "cast(id as int) as turn", "'ann' as role", "'t' as text")
     pages = sorted((r["page"], r["n_turns"]) for r in chat_format.rotate_perspectives(long).collect())
     assert pages == [(1, 256), (2, 256), (3, 88)]
+    # pages in order are the rendering that an uncut conversation has, and so are their spans
+    talk = long.selectExpr("conv_id", "turn", "if(turn % 3 = 0, 'ann', 'bob') as role", "concat('t', repeat('x', turn % 7)) as text", "turn as start")
+    for who in ("ann", "bob"):
+        own = sorted((r for r in chat_format.rotate_perspectives(talk).collect() if r["participant"] == who), key=lambda r: r["page"])
+        whole = "".join(r["text"] for r in own)
+        assert [r["text_offset"] for r in own] == [0, len(own[0]["text"]), len(own[0]["text"]) + len(own[1]["text"])]
+        said = [whole[x["start"] : x["end"]] for r in own for x in r["spans"]]
+        assert said == ["t" + "x" * (t % 7) + "<|im_end|>" for t in range(600) if (t % 3 == 0) == (who == "ann")]
     assert chat_format.rotate_perspectives(frame.limit(0)).count() == 0
 
 
