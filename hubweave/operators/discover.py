@@ -29,7 +29,7 @@ def candidates(spark, nodes: list[str], largest: int) -> DataFrame:
     level = base.select(F.array("node").alias("nodes"), F.col("at").alias("last"))
     found = level
     for _ in range(min(largest, len(nodes) - 2) - 1):
-        level = level.join(F.broadcast(base), F.col("at") > F.col("last")).select(F.concat("nodes", F.array("node")).alias("nodes"), F.col("at").alias("last"))
+        level = level.join(base, F.col("at") > F.col("last")).select(F.concat("nodes", F.array("node")).alias("nodes"), F.col("at").alias("last"))
         found = found.unionByName(level)
     return found.select(F.array_join("nodes", ",").alias("combo_id"), F.size("nodes").alias("size"), "nodes")
 
@@ -174,8 +174,8 @@ def brute_force(pairs: DataFrame, sets: DataFrame, rule: str = "pct_10", count:
     false discovery rate."""
     from hubweave.operators.permute import adjust
 
-    kept = filter_candidates(synergy(contributions(pairs, sets)), rule).cache()
-    p = permutation_p(pairs, sets.join(F.broadcast(kept.select("combo_id")), "combo_id"), count, "flat", seed).select("combo_id", "p")
+    kept = settled(filter_candidates(synergy(settled(contributions(pairs, sets))), rule))
+    p = permutation_p(pairs, settled(sets.join(kept.select("combo_id"), "combo_id")), count, "flat", seed).select("combo_id", "p")
     return adjust(kept.join(p, "combo_id"), "p", "fdr").withColumn("significant", F.col("p_adjusted") < 0.05)
 
 

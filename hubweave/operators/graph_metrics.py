@@ -74,7 +74,10 @@ def weighted_neighbour_clustering(edges: DataFrame, nodes: DataFrame, key=KEY) -
 
 
 def area_metrics(edges: DataFrame, nodes: DataFrame, areas: DataFrame, key=KEY) -> DataFrame:
-    """(key, area, n_nodes, avg_degree, avg_clustering, internal_edges, external_edges); ``areas``: (node, area)."""
+    """(key, area, n_nodes, avg_degree, avg_clustering, internal_edges, external_edges); ``areas``: (node, area).
+
+    Means of further node tables (as betweenness) are those of area_means().
+    """
     per = local_clustering(edges, nodes, key).join(F.broadcast(areas), "node")
     means = per.groupBy(*key, "area").agg(F.count(F.lit(1)).alias("n_nodes"), F.avg("degree").alias("avg_degree"), F.avg("clustering").alias("avg_clustering"))
     ends = edges.join(F.broadcast(areas.toDF("src", "sa")), "src").join(F.broadcast(areas.toDF("dst", "da")), "dst")
@@ -91,3 +94,8 @@ def modularity(edges: DataFrame, membership: DataFrame, key=KEY) -> DataFrame:
     per = d.groupBy(*key, "community").agg(F.sum(F.when(F.col("oc") == F.col("community"), F.col("w")).otherwise(0.0)).alias("inside"), F.sum("w").alias("all"))
     total = d.groupBy(*key).agg(F.sum("w").alias("total"))
     return per.join(total, list(key)).groupBy(*key).agg(F.sum(F.col("inside") / F.col("total") - F.pow(F.col("all") / F.col("total"), F.lit(2.0))).alias("modularity"))
+
+
+def area_means(values: DataFrame, areas: DataFrame, value: str, key=KEY) -> DataFrame:
+    """(key, area, avg_<value>) of a node table (key, node, value)."""
+    return values.join(areas.select("node", "area"), "node").groupBy(*key, "area").agg(F.avg(value).alias(f"avg_{value}"))

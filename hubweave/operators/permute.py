@@ -60,7 +60,8 @@ def two_sample_test(values: DataFrame, count: int = 100, seed: int = 42, alterna
     diff = F.col("m1") - F.col("m2")
     seen = sums.where("perm = 0").select("node", F.col("m1").alias("mean1"), F.col("m2").alias("mean2"), diff.alias("difference"), F.try_divide(diff, F.sqrt(F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2"), F.col("n1") + F.col("n2") - 2))).alias("cohens_d"))
     null = sums.where("perm > 0").select("node", diff.alias("null")).join(seen.select("node", "difference"), "node")
-    far = {"two.sided": F.abs("null") >= F.abs("difference"), "greater": F.col("null") >= F.col("difference"), "less": F.col("null") <= F.col("difference")}[alternative]
+    drawn, observed = F.round("null", 12), F.round("difference", 12)  # differences that are equal but for the order of their sums count
+    far = {"two.sided": F.abs(drawn) >= F.abs(observed), "greater": drawn >= observed, "less": drawn <= observed}[alternative]
     p = null.groupBy("node").agg(F.avg(far.cast("double")).alias("p"), F.percentile("null", F.lit(0.025)).alias("null_low"), F.percentile("null", F.lit(0.975)).alias("null_high"))
     return seen.join(p, "node", "left")
 
@@ -143,26 +144,58 @@ def family_wise_p(null: DataFrame, stat: str) -> DataFrame:
     return null.where("perm > 0").crossJoin(F.broadcast(seen)).agg(F.first("observed").alias("observed"), F.avg((F.col(stat) >= F.col("observed")).cast("double")).alias("p"))
 
 
+def compare_groups(values: DataFrame, hubs: DataFrame, count: int = 100, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(node metric tests, hub overlap) of two groups' networks.
+
+    ``values`` (side, node, metric, value): each metric's node values are tested between the sides by
+    two_sample_test(), a node of a side being a subject. ``hubs`` (side, node): (n_common, n_only_1, n_only_2, jaccard,
+    common, only_1, only_2); no hubs at all have Jaccard null.
+    """
+    rows = values.select(F.concat_ws("/", F.col("side").cast("string"), "node").alias("subject"), "side", F.col("metric").alias("node"), "value")
+    tests = two_sample_test(rows, count, seed).withColumnRenamed("node", "metric")
+    own = lambda k: F.array_sort(F.coalesce(F.collect_set(F.when(F.col("side") == k, F.col("node"))), F.array().cast("array<string>")))
+    sets = hubs.agg(own(1).alias("a"), own(2).alias("b"))
+    text = lambda x: F.array_join(F.array_sort(x), ",")
+    both, one, two, either = F.array_intersect("a", "b"), F.array_except("a", "b"), F.array_except("b", "a"), F.array_union("a", "b")
+    overlap = sets.select(F.size(both).alias("n_common"), F.size(one).alias("n_only_1"), F.size(two).alias("n_only_2"), F.try_divide(F.size(both).cast("double"), F.size(either)).alias("jaccard"), text(both).alias("common"), text(one).alias("only_1"), text(two).alias("only_2"))
+    return tests, overlap
+
+
 GLOBAL_METRICS = ("density", "clustering", "path_length", "modularity")
 
 
-def global_networks(rows: DataFrame, nodes: list[str], cut: float, count: int, seed: int, areas: DataFrame | None) -> DataFrame:
+def permuted_correlations(rows: DataFrame, nodes: list[str], method: str, count: int, seed: int) -> DataFrame:
+    """(perm, side, i, j, r) by any of correlate's methods, subjects (subject, side, values) reshuffled.
+
+    Both sides of every permutation are the groups of one correlation table. Where a side is too small for ``partial``
+    (or its matrix singular), Pearson's stands in, as for the biweight method over complete pairs.
+    """
+    from hubweave.operators import correlate
+
+    if method not in (*correlate.METHODS, "bicor"):
+        raise ValueError(f"unknown method {method}")
+    perms = permutations(rows.select("subject", "side"), count, seed)
+    grouped = perms.join(rows.select("subject", "values"), "subject").select(F.concat_ws("|", F.col("perm").cast("string"), F.col("side").cast("string")).alias("grp"), "subject", "values")
+    found = getattr(correlate, method)(grouped, nodes)
+    if method in ("partial", "shrinkage"):
+        found = settled(found)
+        found = found.unionByName(correlate.biweight(grouped, nodes).join(found.select("grp").distinct(), "grp", "left_anti"))
+    side = F.split("grp", "[|]")
+    return found.select(side[0].cast("int").alias("perm"), side[1].cast("int").alias("side"), "i", "j", "r")
+
+
+def global_networks(rows: DataFrame, nodes: list[str], cut: float, count: int, seed: int, areas: DataFrame | None, method: str = "pearson") -> DataFrame:
     """(perm, side, density, clustering, path_length, modularity) of both sides' networks |r| >= cut, subjects reshuffled.
 
     Networks are binary. Clustering is the mean over all nodes of the linked share of their pairs of neighbours;
     path_length the mean number of hops, null for a network in several pieces; modularity that of the ``areas``
     (node, area), null without them or without edges. Each metric is one aggregation or loop over all networks.
     """
-    from hubweave.functions.stats import safe_corr
-    from hubweave.operators.correlate import pair_values
-
     key = ("perm", "side")
-    perms = permutations(rows.select("subject", "side"), count, seed)
-    values = pair_values(perms.join(rows.select("subject", "values"), "subject"), nodes, keep=key)
-    r = values.groupBy(*key, "i", "j").agg(F.round(safe_corr("x", "y"), 12).alias("r"))
+    r = permuted_correlations(rows, nodes, method, count, seed)
     edges = settled(r.where(F.abs("r") >= cut).select(*key, F.col("i").alias("src"), F.col("j").alias("dst"), F.lit(1.0).alias("w")))
     names = F.explode(F.array(*[F.lit(n) for n in nodes])).alias("node")
-    all_nodes = settled(perms.select(*key).distinct().select(*key, names))
+    all_nodes = edges.sparkSession.range(count + 1).select(F.col("id").cast("int").alias("perm"), F.explode(F.array(F.lit(1), F.lit(2))).alias("side")).select(*key, names)
     density = graph_metrics.density(edges, all_nodes, key).select(*key, "density")
     clustering = graph_metrics.local_clustering(edges, all_nodes, key).groupBy(*key).agg(F.avg("clustering").alias("clustering"))
     paths = spread.path_metrics(edges, all_nodes, key, hops=True)[0].select(*key, F.when(F.col("connected"), F.col("path_length")).alias("path_length"))
@@ -173,7 +206,7 @@ def global_networks(rows: DataFrame, nodes: list[str], cut: float, count: int, s
     return out.join(graph_metrics.modularity(edges, own, key), list(key), "left")
 
 
-def global_test(rows: DataFrame, nodes: list[str], cut: float = 0.1, count: int = 50, seed: int = 42, areas: DataFrame | None = None) -> DataFrame:
+def global_test(rows: DataFrame, nodes: list[str], cut: float = 0.1, count: int = 50, seed: int = 42, areas: DataFrame | None = None, method: str = "pearson") -> DataFrame:
     """(metric, value1, value2, difference, p, n_null): both sides' global metrics and the share of permutations whose
     difference is as large; metrics that a network doesn't have don't count.
 
@@ -182,7 +215,7 @@ def global_test(rows: DataFrame, nodes: list[str], cut: float = 0.1, count: int
     n = {r["side"]: r["count"] for r in rows.groupBy("side").count().collect()}
     if min(n.get(1, 0), n.get(2, 0)) < 3:
         raise ValueError("at least 3 subjects a group are needed")
-    found = global_networks(rows, nodes, cut, count, seed, areas).unpivot(["perm", "side"], list(GLOBAL_METRICS), "metric", "value")
+    found = global_networks(rows, nodes, cut, count, seed, areas, method).unpivot(["perm", "side"], list(GLOBAL_METRICS), "metric", "value")
     two = settled(found.groupBy("perm", "metric").agg(F.max(F.when(F.col("side") == 1, F.col("value"))).alias("value1"), F.max(F.when(F.col("side") == 2, F.col("value"))).alias("value2")).withColumn("difference", F.col("value1") - F.col("value2")))
     seen = two.where("perm = 0").drop("perm")
     null = two.where("perm > 0 and difference is not null").select("metric", F.col("difference").alias("null")).join(F.broadcast(seen.select("metric", "difference")), "metric")

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hubweave.functions.stats import average_rank
-from hubweave.operators import graph_metrics, kernels
+from hubweave.operators import graph_metrics, kernels, spread
+from hubweave.sources.scratch import settled
 
 KEY = ["method", "grp"]
 SWEPT = ("method", "grp", "step", "threshold")
@@ -37,6 +38,13 @@ def swept_degrees(corr: DataFrame, grid: DataFrame) -> DataFrame:
     return graph_metrics.node_degrees(edges, swept_nodes(corr, edges), SWEPT)
 
 
+def swept_scores(corr: DataFrame, grid: DataFrame) -> DataFrame:
+    """swept_degrees() with the eigenvector of every network of the sweep, all in one loop."""
+    edges = settled(swept_edges(corr, grid))
+    nodes = settled(swept_nodes(corr, edges))
+    return graph_metrics.node_degrees(edges, nodes, SWEPT).join(spread.eigenvector(edges, nodes, SWEPT), [*SWEPT, "node"])
+
+
 def swept_node_metrics(corr: DataFrame, grid: DataFrame, nodes: list[str], weights: str | None = "length") -> DataFrame:
     return kernels.node_metrics(swept_edges(corr, grid), nodes, SWEPT, weights)
 

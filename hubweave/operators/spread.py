@@ -121,6 +121,49 @@ def path_metrics(edges: DataFrame, nodes: DataFrame, key=KEY, hops: bool = False
     return networks, close
 
 
+TIE = 1e-10  # lengths that differ by less are equal
+
+
+def betweenness(edges: DataFrame, nodes: DataFrame, key=KEY, hops: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((key, node, betweenness), (key, src, dst, w, betweenness)): shares of the shortest paths between all pairs.
+
+    Nodes are normalised by the pairs of other nodes, edges are not; each pair counts once. The number of shortest
+    paths n(s, t) is that of the ways to the last node before t, summed over the edges into t that lie on one, from
+    direct edges on to the longest path. A node v on the way from s stands for the paths to all t beyond (and to v
+    itself): dependency(s, v) = sum of n(s, v) n(v, t) / n(s, t); an edge from u into v has the share n(s, u) / n(s, v).
+    """
+    length = F.lit(1.0) if hops else F.col("w")
+    d = distances(edges, nodes, key, hops)
+    both = doubled(edges.withColumn("w", length), key)
+    own = d.select(*key, F.col("a").alias("s")).distinct().select(*key, "s", F.col("s").alias("u"), F.lit(0.0).alias("du"))
+    starts = own.unionByName(d.select(*key, F.col("a").alias("s"), F.col("b").alias("u"), F.col("d").alias("du")))
+    into = both.select(*key, F.col("node").alias("u"), F.col("other").alias("v"), "w")
+    ends = d.select(*key, F.col("a").alias("s"), F.col("b").alias("v"), F.col("d").alias("dv"))
+    last = settled(starts.join(into, [*key, "u"]).where("s <> v").join(ends, [*key, "s", "v"]).where(F.abs(F.col("du") + F.col("w") - F.col("dv")) <= TIE).select(*key, "s", "u", "v"))
+    paths = settled(d.select(*key, F.col("a").alias("s"), F.col("b").alias("v"), F.lit(0.0).alias("n")))
+    while True:
+        ways = last.join(paths.select(*key, "s", F.col("v").alias("u"), F.col("n").alias("before")), [*key, "s", "u"], "left").groupBy(*key, "s", "v").agg(F.sum(F.when(F.col("u") == F.col("s"), F.lit(1.0)).otherwise(F.coalesce("before", F.lit(0.0)))).alias("ways"))
+        step = settled(paths.join(ways, [*key, "s", "v"]).select(*key, "s", "v", F.col("ways").alias("n"), (F.col("ways") != F.col("n")).alias("moved")))
+        paths = step.drop("moved")
+        if step.where("moved").isEmpty():
+            break
+    known = settled(paths.join(ends, [*key, "s", "v"]).select(*key, "s", "v", "n", F.col("dv").alias("d")))
+    onward = known.select(*key, F.col("s").alias("v"), F.col("v").alias("t"), F.col("n").alias("n2"), F.col("d").alias("d2"))
+    whole = known.select(*key, "s", F.col("v").alias("t"), F.col("n").alias("n3"), F.col("d").alias("d3"))
+    on = known.join(onward, [*key, "v"]).where("s <> t").join(whole, [*key, "s", "t"]).where(F.abs(F.col("d") + F.col("d2") - F.col("d3")) <= TIE)
+    through = on.groupBy(*key, "s", "v").agg(F.sum(F.col("n") * F.col("n2") / F.col("n3")).alias("beyond"))
+    depends = settled(known.join(through, [*key, "s", "v"], "left").select(*key, "s", "v", "n", F.coalesce("beyond", F.lit(0.0)).alias("beyond")))
+    size = nodes.groupBy(*key).agg(F.count(F.lit(1)).alias("size"))
+    sums = depends.groupBy(*key, F.col("v").alias("node")).agg((F.sum("beyond") / 2).alias("sum"))
+    pairs = (F.col("size") - 1) * (F.col("size") - 2) / 2
+    per_node = nodes.join(sums, [*key, "node"], "left").join(size, list(key)).select(*key, "node", F.coalesce(F.try_divide("sum", pairs), F.lit(0.0)).alias("betweenness"))
+    before = depends.select(*key, "s", F.col("v").alias("u"), F.col("n").alias("nu"))
+    share = F.when(F.col("u") == F.col("s"), F.lit(1.0)).otherwise(F.col("nu")) / F.col("n") * (F.col("beyond") + 1)
+    used = last.join(depends, [*key, "s", "v"]).join(before, [*key, "s", "u"], "left").groupBy(*key, F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).agg((F.sum(share) / 2).alias("betweenness"))
+    per_edge = edges.select(*key, "src", "dst", "w").join(used, [*key, "src", "dst"], "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)))
+    return per_node, per_edge
+
+
 SQUARINGS = 2  # in one job
 ROUNDS = 10
 

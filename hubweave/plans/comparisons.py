@@ -177,6 +177,24 @@ add("i5_aggregated_metrics", lambda s, d: persistence.aggregated_metrics(sweep(s
 g AS (SELECT *, CASE WHEN clustering * density > 0 THEN clustering * density ELSE 0.01 END AS wt, count(*) OVER (PARTITION BY method, grp) AS steps FROM gl)
 SELECT method, grp, node, {r6('sum(strength * wt) / sum(wt) AS mean_strength', 'avg(wt) AS stability', 'count(*) / any_value(steps) AS appearance_rate')}
 FROM sw JOIN g USING (method, grp, step) GROUP BY method, grp, node""")
+SE = f"""{SWEEP}, xn AS MATERIALIZED (SELECT method || '|' || grp || '|' || step AS net, i AS a, j AS b, w FROM se UNION ALL SELECT method || '|' || grp || '|' || step, j, i, w FROM se),
+xk AS (SELECT * FROM (SELECT DISTINCT net FROM xn), (SELECT DISTINCT node FROM obs)), {B.eigen_sql('x', 'xn', 'xk')},
+xw AS (SELECT sw.*, eigenvector FROM sw JOIN x_eig ON x_eig.net = sw.method || '|' || sw.grp || '|' || sw.step AND x_eig.node = sw.node)"""
+
+
+def swept5(s, d):
+    corr, _ = B.corr2(s, d)
+    return persistence.swept_scores(corr, persistence.threshold_grid(s, 0.052, 0.05, 8))
+
+
+add("i1_swept_eigenvectors", swept5, f"WITH {SE} SELECT method, grp, step, {r6('threshold')}, node, degree, {r6('strength', 'eigenvector')} FROM xw")
+add("i5_aggregated_eigenvector", lambda s, d: persistence.aggregated_metrics(swept5(s, d), swept_globals(s, d), ("eigenvector", "strength")), f"""WITH {GLOB}, {SE[len(SWEEP) + 2:]},
+g AS (SELECT *, CASE WHEN clustering * density > 0 THEN clustering * density ELSE 0.01 END AS wt, count(*) OVER (PARTITION BY method, grp) AS steps FROM gl)
+SELECT method, grp, node, {r6('sum(eigenvector * wt) / sum(wt) AS mean_eigenvector', 'sum(strength * wt) / sum(wt) AS mean_strength', 'avg(wt) AS stability', 'count(*) / any_value(steps) AS appearance_rate')}
+FROM xw JOIN g USING (method, grp, step) GROUP BY method, grp, node""")
+add("i6_eigenvector_auc", lambda s, d: persistence.node_auc(swept5(s, d), "eigenvector"), f"""WITH {SE},
+l AS (SELECT *, eigenvector AS v, lead(threshold) OVER w AS nt, lead(eigenvector) OVER w AS nv FROM xw WINDOW w AS (PARTITION BY method, grp, node ORDER BY threshold))
+SELECT method, grp, node, {r6('coalesce(sum((nt - threshold) * (v + nv) / 2), 0) AS auc', 'avg(v) AS mean', 'stddev_samp(v) AS sd')} FROM l GROUP BY method, grp, node""")
 TRAP = "lead(threshold) OVER w AS nt, lead(v) OVER w AS nv"
 add("i6_global_auc", lambda s, d: persistence.trapezoid(swept_globals(s, d), "density", "method", "grp"), f"WITH {GLOB}, l AS (SELECT *, density AS v, lead(threshold) OVER w AS nt, lead(density) OVER w AS nv FROM gl WINDOW w AS (PARTITION BY method, grp ORDER BY threshold)) SELECT method, grp, {r6('coalesce(sum((nt - threshold) * (v + nv) / 2), 0) AS auc', 'avg(v) AS mean', 'stddev_samp(v) AS sd')} FROM l GROUP BY method, grp")
 add("i6_node_auc", lambda s, d: persistence.node_auc(sweep(s, d)[3], "degree"), f"WITH {SWEEP}, l AS (SELECT *, degree AS v, lead(threshold) OVER w AS nt, lead(degree) OVER w AS nv FROM sw WINDOW w AS (PARTITION BY method, grp, node ORDER BY threshold)) SELECT method, grp, node, {r6('coalesce(sum((nt - threshold) * (v + nv) / 2), 0) AS auc', 'avg(v) AS mean', 'stddev_samp(v) AS sd')} FROM l GROUP BY method, grp, node")

@@ -61,7 +61,15 @@ p AS (SELECT x.grp, x.node AS i, y.node AS j, avg(x.value * y.value) AS a, avg(x
 l AS (SELECT grp, least(1, greatest(0, (sum(qq) - sum(a * a)) / sum(a * a) / (max(n) - 1))) AS lam FROM p GROUP BY grp)
 SELECT 'shrinkage' AS method, grp, i, j, {r6('(1 - lam) * a * n / (n - 1) AS r')} FROM p JOIN l USING (grp)"""
 add("c5_shrinkage", lambda s, d: correlate.shrinkage(*B.obs(s, d)), SHRINK)
-add("c6_partial", lambda s, d: correlate.partial(*B.obs(s, d)))
+
+
+def coarse(s, d):
+    """Observations in two groups, even and odd labels: a partial correlation needs more subjects than nodes."""
+    rows, nodes = B.obs(s, d)
+    return rows.withColumn("grp", F.concat(F.lit("p"), (F.substring("grp", 2, 9).cast("int") % 2).cast("string"))), nodes
+
+
+add("c6_partial", lambda s, d: correlate.partial(*coarse(s, d)))
 add("c7_all_methods", lambda s, d: correlate.correlations(*B.obs(s, d), ("pearson", "spearman", "biweight")), f"WITH {B.CORR2}, {B.corr_sql('bw', 'obs', 'biweight')} SELECT method, grp, i, j, {r6('r')} FROM (SELECT * FROM corr UNION ALL SELECT * FROM bw)")
 add("c10_significance", lambda s, d: correlate.significance(*B.obs(s, d)).drop("p"), f"WITH {B.PEARSON}, n AS (SELECT grp, count(DISTINCT subject) AS n FROM obs GROUP BY grp) SELECT grp, i, j, n, {r6('r', 'r * sqrt(n - 2) / sqrt(1 - r * r) AS t', 'tanh(atanh(r) - 1.959963984540054 / sqrt(n - 3)) AS ci_low', 'tanh(atanh(r) + 1.959963984540054 / sqrt(n - 3)) AS ci_high')} FROM corr JOIN n USING (grp)")
 add("c10_p_values", lambda s, d: correlate.significance(*B.obs(s, d)))
@@ -138,10 +146,23 @@ add("f5_paths", on_edges(lambda e, n, _: spread.path_metrics(e, n)[0]), f"""WITH
 SELECT 'pearson' AS method, grp, connected, round(CASE WHEN connected THEN total / (n * (n - 1)) ELSE 'Infinity'::DOUBLE END, 6) + 0.0 AS path_length, {r6('CASE WHEN connected THEN longest ELSE 0 END AS diameter')} FROM pm""")
 add("f12_closeness", on_edges(lambda e, n, _: spread.path_metrics(e, n)[1]), f"""WITH {PATHS}, fa AS (SELECT grp, a AS node, sum(d) AS far FROM d6 GROUP BY ALL)
 SELECT 'pearson' AS method, grp, node, {r6('CASE WHEN connected THEN (n - 1) / far ELSE 0 END AS closeness')} FROM fa JOIN pm USING (grp)""")
+BETWEEN = f"""{PATHS}, pa AS MATERIALIZED (SELECT x.grp, x.a AS s, e.node AS u, e.other AS v FROM d6 x JOIN dbl e ON e.grp = x.grp AND e.node = x.b JOIN d6 y ON y.grp = x.grp AND y.a = x.a AND y.b = e.other WHERE e.other <> x.a AND abs(x.d + e.w - y.d) <= 1e-10),
+n0 AS (SELECT grp, a AS s, b AS v, CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0 END AS n FROM d6),
+{", ".join(f"n{k + 1} AS MATERIALIZED (SELECT p.grp, p.s, p.v, sum(n) AS n FROM pa p JOIN n{k} n ON n.grp = p.grp AND n.s = p.s AND n.v = p.u GROUP BY ALL UNION ALL SELECT grp, node, node, 1 FROM nodes)" for k in range(16))},
+nd AS MATERIALIZED (SELECT n.grp, n.s, n.v, n.n, d FROM n16 n JOIN d6 x ON x.grp = n.grp AND x.a = n.s AND x.b = n.v),
+dp AS MATERIALIZED (SELECT x.grp, x.s, x.v, x.n, coalesce(sum(x.n * y.n / z.n) FILTER (abs(x.d + y.d - z.d) <= 1e-10 AND y.v <> x.v), 0) AS beyond FROM nd x JOIN nd y ON y.grp = x.grp AND y.s = x.v JOIN nd z ON z.grp = x.grp AND z.s = x.s AND z.v = y.v WHERE x.s <> x.v AND x.s <> y.v GROUP BY ALL)"""
+add("f11_betweenness", on_edges(lambda e, n, _: spread.betweenness(e, n)[0]), f"""WITH {BETWEEN}
+SELECT 'pearson' AS method, n.grp, n.node, {r6(f'coalesce(sum(beyond), 0) / 2 / {(B.DIMS - 1) * (B.DIMS - 2) // 2} AS betweenness')} FROM nodes n LEFT JOIN dp ON dp.grp = n.grp AND dp.v = n.node GROUP BY n.grp, n.node""")
+F17 = f"""WITH {BETWEEN}, us AS (SELECT p.grp, least(p.u, p.v) AS src, greatest(p.u, p.v) AS dst, sum(nu.n / dp.n * (beyond + 1)) / 2 AS b
+  FROM pa p JOIN dp ON dp.grp = p.grp AND dp.s = p.s AND dp.v = p.v JOIN nd nu ON nu.grp = p.grp AND nu.s = p.s AND nu.v = p.u GROUP BY ALL)
+SELECT method, e.grp, e.src, e.dst, {r6('w', 'coalesce(b, 0) AS betweenness')} FROM edges e LEFT JOIN us ON us.grp = e.grp AND us.src = e.src AND us.dst = e.dst"""
+add("f18_area_betweenness", lambda s, d: graph_metrics.area_means(spread.betweenness(*B.cut_edges(s, d)[:2])[0], B.areas(s), "betweenness"), f"""WITH {BETWEEN}, {B.AREA_SQL},
+bt AS (SELECT n.grp, n.node, coalesce(sum(beyond), 0) / 2 / {(B.DIMS - 1) * (B.DIMS - 2) // 2} AS b FROM nodes n LEFT JOIN dp ON dp.grp = n.grp AND dp.v = n.node GROUP BY n.grp, n.node)
+SELECT 'pearson' AS method, grp, area, {r6('avg(b) AS avg_betweenness')} FROM bt JOIN areas USING (node) GROUP BY grp, area""")
 EIGEN = f"WITH {B.EDGES}, en AS MATERIALIZED (SELECT grp AS net, node AS a, other AS b, w FROM dbl), ek AS (SELECT grp AS net, node FROM nodes), {B.eigen_sql('f', 'en', 'ek')}"
 add("f13_eigenvector", on_edges(lambda e, n, _: spread.eigenvector(e, n)), f"{EIGEN} SELECT 'pearson' AS method, net AS grp, node, {r6('eigenvector')} FROM f_eig")
 add("f16_edge_list", on_edges(lambda e, n, _: e.drop("threshold")), f"WITH {B.EDGES} SELECT method, grp, src, dst, {r6('w')} FROM edges")
-add("f17_edge_betweenness", on_edges(lambda e, n, names: kernels.edge_betweenness(e, names)))
+add("f17_edge_betweenness", on_edges(lambda e, n, _: spread.betweenness(e, n)[1]), F17)
 AREA_M = f"""WITH {CLU}, {B.AREA_SQL}, m AS (SELECT method, grp, area, count(*) AS n_nodes, avg(degree) AS avg_degree, avg(clustering) AS avg_clustering FROM clu JOIN areas USING (node) GROUP BY ALL),
 x AS (SELECT e.grp, a.area AS sa, b.area AS da FROM edges e JOIN areas a ON e.src = a.node JOIN areas b ON e.dst = b.node)
 SELECT method, grp, area, n_nodes, {r6('avg_degree', 'avg_clustering')}, (SELECT count(*) FROM x WHERE x.grp = m.grp AND sa = area AND da = area) AS internal_edges, (SELECT count(*) FROM x WHERE x.grp = m.grp AND (sa = area) <> (da = area)) AS external_edges FROM m"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hubweave.operators import discover, exports, permute
@@ -10,6 +12,7 @@ from hubweave.plans import comparisons as C
 from hubweave.plans import core
 from hubweave.plans import scores as SC
 from hubweave.plans.binding import q, r6
+from hubweave.sources.scratch import shared_folder
 
 Q, S = {}, {}
 METHODS = list(B.FIVE)
@@ -103,3 +106,31 @@ def regional(s, d):
 
 QUARTILES = ", ".join(r6(f"quantile_cont({v}, {x}) AS {n}_{v}") for v in "ab" for n, x in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))
 add("r_regional_summary", regional, f"WITH RECURSIVE {SC.SCORES}, {B.AREA_SQL}, wa AS (SELECT grp, node, value AS a FROM sc WHERE method = 'pearson' AND approach = 'weighted'), pb AS (SELECT grp, node, value AS b FROM sc WHERE method = 'pearson' AND approach = 'persistence'), fu AS (SELECT * FROM wa FULL OUTER JOIN pb USING (grp, node)) SELECT grp, coalesce(area, 'Other') AS area, count(*) AS n, {QUARTILES} FROM fu LEFT JOIN areas ar USING (node) GROUP BY grp, coalesce(area, 'Other')")
+
+
+# A: sinks: tables written as CSV, one folder for each method and group, and read back
+def sunk(name, *by):
+    def build(s, d):
+        table = known()[name](s, d)
+        path = f"{shared_folder(s)}/results/{uuid.uuid4().hex}"
+        exports.write_results({name: table}, path, *by)
+        return exports.read_results(s, path, table.schema, name)
+
+    return build
+
+
+def known():
+    return {k: v for m in (core, C, SC) for k, v in m.Q.items()}
+
+
+def known_sql():
+    return {k: v for m in (core, C, SC) for k, v in m.S.items()}
+
+
+SINKS = {
+    "a4_threshold_sink": ("d1_percolation_threshold", "method"), "a4_node_sink": ("f10_degree_strength", "method", "grp"), "a4_global_sink": ("f1_density", "method"),
+    "a5_strength_sink": ("g5_node_strength", "method", "grp"), "a6_hub_persistence_sink": ("i2_hub_persistence", "method", "grp"), "a6_auc_sink": ("i6_node_auc", "method", "grp"),
+    "a9_similarity_sink": ("h9_network_similarity", "method"), "a10_aggregated_sink": ("i5_aggregated_metrics", "method", "grp"), "a10_raw_sink": ("a1_observations", "grp"), "a10_imputed_sink": ("b1_mean_fill", "grp"),
+}
+for sink, (source, *by) in SINKS.items():
+    add(sink, sunk(source, *by), known_sql()[source])

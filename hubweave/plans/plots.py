@@ -48,7 +48,10 @@ add("r_strength_regression", lambda s, d: plotdata.regression(both(s, d), "weigh
 add("r_inverted_ranks", lambda s, d: plotdata.inverted_ranks(strength(s, d), "node_strength", *KEY), f"WITH {C.STRENGTH} SELECT method, grp, node, {r6('node_strength')}, round(({B.DIMS} - (rank() OVER (PARTITION BY method, grp ORDER BY node_strength DESC) + (count(*) OVER (PARTITION BY method, grp, node_strength) - 1) / 2.0) + 1) / {B.DIMS}, 6) + 0.0 AS inverted_rank FROM st")
 add("r_hub_regions", lambda s, d: plotdata.hub_regions(combined(s, d), "grp"), f"WITH {K.J4}, rg AS (SELECT grp, CASE WHEN weighted_prob >= 0.6 THEN 'W' ELSE '' END || CASE WHEN percolation_prob >= 0.6 THEN 'P' ELSE '' END || CASE WHEN persistence_prob >= 0.6 THEN 'S' ELSE '' END AS region FROM cn) SELECT grp, region, count(*) AS n FROM rg WHERE region <> '' GROUP BY grp, region")
 add("r_agreement_bins", lambda s, d: plotdata.agreement_bins(combined(s, d), "grp"), f"WITH {K.J4} SELECT grp, CASE WHEN score <= 0.33 THEN 'low' WHEN score <= 0.66 THEN 'middle' ELSE 'high' END AS bin, count(*) AS n FROM cn GROUP BY ALL")
-add("a3_dense_correlations", lambda s, d: sinks.dense_correlations(*B.corr2(s, d)))
+DENSE = ", ".join(f"round(max(r) FILTER (j = 'd{k:02d}'), 6) + 0.0 AS d{k:02d}" for k in range(B.DIMS))
+add("a3_dense_correlations", lambda s, d: sinks.dense_correlations(*B.corr2(s, d)), f"""WITH {B.CORR2},
+w AS (SELECT method, grp, i, j, r FROM corr UNION ALL SELECT method, grp, j, i, r FROM corr UNION ALL SELECT DISTINCT method, grp, node, node, 1.0 FROM (SELECT DISTINCT method FROM corr), (SELECT DISTINCT grp, node FROM obs))
+SELECT method, grp, i AS node, {DENSE} FROM w GROUP BY method, grp, i""")
 add("a11_network_json", lambda s, d: sinks.network_json(B.cut_edges(s, d)[0], graph_metrics.nodes_of(B.pearson(s, d)[0])))
 
 

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from hubweave.operators import discover, graph_metrics, network, permute, persistence, scoring, threshold_free
+from hubweave.operators import discover, graph_metrics, permute, scoring, spread, threshold_free
 from hubweave.plans import binding as B
 from hubweave.plans import comparisons as C
 from hubweave.plans import core
 from hubweave.plans.binding import q, r6
+from hubweave.sources.scratch import settled
 
 Q, S = {}, {}
 GRP = ("grp",)
-PERMS = 40
+PERMS = 500
 HUB_Z = 1.5
 
 
@@ -128,7 +130,7 @@ def perm_sql(source: str, count: int) -> str:
 
 
 add("k2_permutations", lambda s, d: permute.permutations(two_sides(s, d).select("subject", "side").distinct(), PERMS), f"WITH {SIDES}, {perm_sql('sub', PERMS)} SELECT CAST(perm AS INTEGER) AS perm, subject, CAST(side AS INTEGER) AS side FROM prm")
-K2 = f"{SIDES}, {perm_sql('sub', PERMS)}, sm AS (SELECT perm, node, avg(value) FILTER (p.side = 1) AS m1, var_samp(value) FILTER (p.side = 1) AS v1, count(value) FILTER (p.side = 1) AS n1, avg(value) FILTER (p.side = 2) AS m2, var_samp(value) FILTER (p.side = 2) AS v2, count(value) FILTER (p.side = 2) AS n2 FROM prm p JOIN vals v USING (subject) GROUP BY perm, node), kt AS (SELECT o.node, o.m1 AS mean1, o.m2 AS mean2, o.m1 - o.m2 AS difference, (o.m1 - o.m2) / sqrt(((o.n1 - 1) * o.v1 + (o.n2 - 1) * o.v2) / (o.n1 + o.n2 - 2)) AS cohens_d, avg((abs(n.m1 - n.m2) >= abs(o.m1 - o.m2))::INT) AS p, quantile_cont(n.m1 - n.m2, 0.025) AS null_low, quantile_cont(n.m1 - n.m2, 0.975) AS null_high FROM sm o JOIN sm n ON o.node = n.node AND o.perm = 0 AND n.perm > 0 GROUP BY ALL)"
+K2 = f"{SIDES}, {perm_sql('sub', PERMS)}, sm AS (SELECT perm, node, avg(value) FILTER (p.side = 1) AS m1, var_samp(value) FILTER (p.side = 1) AS v1, count(value) FILTER (p.side = 1) AS n1, avg(value) FILTER (p.side = 2) AS m2, var_samp(value) FILTER (p.side = 2) AS v2, count(value) FILTER (p.side = 2) AS n2 FROM prm p JOIN vals v USING (subject) GROUP BY perm, node), kt AS (SELECT o.node, o.m1 AS mean1, o.m2 AS mean2, o.m1 - o.m2 AS difference, (o.m1 - o.m2) / sqrt(((o.n1 - 1) * o.v1 + (o.n2 - 1) * o.v2) / (o.n1 + o.n2 - 2)) AS cohens_d, avg((abs(round(n.m1 - n.m2, 12)) >= abs(round(o.m1 - o.m2, 12)))::INT) AS p, quantile_cont(n.m1 - n.m2, 0.025) AS null_low, quantile_cont(n.m1 - n.m2, 0.975) AS null_high FROM sm o JOIN sm n ON o.node = n.node AND o.perm = 0 AND n.perm > 0 GROUP BY ALL)"
 add("k2_two_sample_test", lambda s, d: permute.two_sample_test(two_sides(s, d), PERMS), f"WITH {K2} SELECT node, {r6('mean1', 'mean2', 'difference', 'cohens_d', 'p', 'null_low', 'null_high')} FROM kt")
 BH = f"(SELECT min(least(1, u.p * {B.DIMS} / u.rk)) FROM rr u WHERE u.p >= rr.p)"
 add("k7_region_tests", lambda s, d: permute.adjust(permute.two_sample_test(two_sides(s, d), PERMS)).withColumn("stars", permute.stars("p_adjusted")).select("node", "p", "p_adjusted", "stars"), f"WITH {K2}, rr AS (SELECT node, p, row_number() OVER (ORDER BY p) AS rk FROM kt), ad AS (SELECT node, p, {BH} AS pa FROM rr) SELECT node, {r6('p', 'pa AS p_adjusted')}, CASE WHEN pa < 0.001 THEN '***' WHEN pa < 0.01 THEN '**' WHEN pa < 0.05 THEN '*' ELSE '' END AS stars FROM ad")
@@ -160,7 +162,48 @@ add("k3_family_wise_p", lambda s, d: permute.family_wise_p(permute.network_based
 add("k3_components", lambda s, d: permute.component_tests(stacks(s, d), NBS_T, NBS_COUNT), f"""{NBS}, bar AS (SELECT quantile_cont(largest, 0.95) AS bar FROM nl WHERE perm > 0),
 o AS (SELECT comp, size, (SELECT count(*) FROM nl WHERE perm > 0 AND largest >= size) / {NBS_COUNT}.0 AS p FROM nz WHERE perm = 0)
 SELECT l.comp AS component, l.node, o.size, {r6('o.p AS p')}, o.size > bar AS significant FROM n_lab l JOIN o USING (comp), bar WHERE l.net = 0""")
-add("k4_group_strength_test", lambda s, d: permute.two_sample_test(threshold_free.node_strength(B.pearson(s, d)[0]).where("grp in ('g0', 'g1')").select(F.abs(F.xxhash64("grp", "node")).alias("subject"), F.when(F.col("grp") == "g0", 1).otherwise(2).alias("side"), F.lit("strength").alias("node"), F.col("node_strength").alias("value")), 20))
+K4_COUNT = 500
+
+
+def node_values(s, d):
+    """(side, node, metric, value): strength, eigenvector, closeness and betweenness of g0's and g1's cut networks."""
+    edges, nodes, _ = B.cut_edges(s, d)
+    two = "grp in ('g0', 'g1')"
+    edges, nodes = edges.where(two), nodes.where(two)
+    tables = [
+        graph_metrics.node_degrees(edges, nodes).select("method", "grp", "node", "strength"), spread.eigenvector(edges, nodes),
+        spread.path_metrics(edges, nodes)[1], spread.betweenness(edges, nodes)[0],
+    ]
+    side = F.when(F.col("grp") == "g0", 1).otherwise(2).alias("side")
+    long = [t.select(side, "node", F.lit(t.columns[-1]).alias("metric"), F.col(t.columns[-1]).alias("value")) for t in tables]
+    return settled(long[0].unionByName(long[1]).unionByName(long[2]).unionByName(long[3]))
+
+
+def group_hubs(values):
+    z = F.try_divide(F.col("value") - F.avg("value").over(Window.partitionBy("side")), F.stddev_samp("value").over(Window.partitionBy("side")))
+    return values.where("metric = 'eigenvector'").withColumn("z", z).where(F.round("z", 9) >= HUB_Z).select("side", "node")
+
+
+def k4(s, d):
+    values = node_values(s, d)
+    return permute.compare_groups(values, group_hubs(values), K4_COUNT)
+
+
+K4 = f"""WITH {core.BETWEEN}, en AS MATERIALIZED (SELECT grp AS net, node AS a, other AS b, w FROM dbl), ek AS (SELECT grp AS net, node FROM nodes), {B.eigen_sql('f', 'en', 'ek')},
+nv AS MATERIALIZED (SELECT grp, node, 'strength' AS metric, coalesce(sum(w), 0) AS value FROM nodes LEFT JOIN dbl USING (grp, node) GROUP BY ALL
+  UNION ALL SELECT net, node, 'eigenvector', eigenvector FROM f_eig
+  UNION ALL SELECT fa.grp, fa.a, 'closeness', CASE WHEN connected THEN (n - 1) / far ELSE 0 END FROM (SELECT grp, a, sum(d) AS far FROM d6 GROUP BY ALL) fa JOIN pm USING (grp)
+  UNION ALL SELECT n.grp, n.node, 'betweenness', coalesce(sum(beyond), 0) / 2 / {(B.DIMS - 1) * (B.DIMS - 2) // 2} FROM nodes n LEFT JOIN dp ON dp.grp = n.grp AND dp.v = n.node GROUP BY n.grp, n.node),
+nw AS (SELECT CASE WHEN grp = 'g0' THEN 1 ELSE 2 END AS side, node, metric, value FROM nv WHERE grp IN ('g0', 'g1'))"""
+K4T = f"""{K4}, vals AS (SELECT side || '/' || node AS subject, side, metric AS node, value FROM nw), sub AS (SELECT DISTINCT subject, side FROM vals), {perm_sql('sub', K4_COUNT)},
+{K2[K2.index("sm AS ("):].replace("sm AS", "smx AS", 1).replace("FROM sm o JOIN sm n", "FROM smx o JOIN smx n")}
+SELECT node AS metric, {r6('mean1', 'mean2', 'difference', 'cohens_d', 'p', 'null_low', 'null_high')} FROM kt"""
+add("k4_node_metric_tests", lambda s, d: k4(s, d)[0], K4T)
+add("k4_hub_overlap", lambda s, d: k4(s, d)[1], f"""{K4}, zz AS (SELECT *, (value - avg(value) OVER (PARTITION BY side)) / stddev_samp(value) OVER (PARTITION BY side) AS z FROM nw WHERE metric = 'eigenvector'),
+hs AS (SELECT coalesce(list(node ORDER BY node) FILTER (side = 1), []) AS a, coalesce(list(node ORDER BY node) FILTER (side = 2), []) AS b FROM zz WHERE round(z, 9) >= {HUB_Z}),
+hc AS (SELECT list_sort(list_intersect(a, b)) AS c, list_filter(a, lambda x: NOT list_contains(b, x)) AS o1, list_filter(b, lambda x: NOT list_contains(a, x)) AS o2 FROM hs)
+SELECT CAST(len(c) AS INTEGER) AS n_common, CAST(len(o1) AS INTEGER) AS n_only_1, CAST(len(o2) AS INTEGER) AS n_only_2, {r6('len(c) / nullif(len(c) + len(o1) + len(o2), 0) AS jaccard')},
+  array_to_string(c, ',') AS common, array_to_string(o1, ',') AS only_1, array_to_string(o2, ',') AS only_2 FROM hc""")
 
 
 def global_rows(s, d):
@@ -172,7 +215,10 @@ K8 = f"WITH {SIDES}, {perm_sql('sub', 20)}, kv AS (SELECT perm, p.side, subject,
 add("k8_global_density_test", lambda s, d: permute.global_density_test(*global_rows(s, d), 0.1, 20), K8)
 
 GLOBAL_CUT, GLOBAL_COUNT = 0.3, 100
-K8G = f"""WITH {SIDES}, {B.AREA_SQL}, {perm_sql('sub', GLOBAL_COUNT)}, kv AS (SELECT perm, p.side, subject, node, value FROM prm p JOIN vals USING (subject)),
+
+
+def global_sql(value: str = "value") -> str:
+    return f"""WITH {SIDES}, {B.AREA_SQL}, {perm_sql('sub', GLOBAL_COUNT)}, kv AS (SELECT perm, side, subject, node, {value} AS value FROM (SELECT perm, p.side, subject, node, value FROM prm p JOIN vals USING (subject))),
 kr AS (SELECT a.perm, a.side, a.node AS i, b.node AS j, abs(round(covar_pop(a.value, b.value) / (stddev_pop(a.value) * stddev_pop(b.value)), 12)) >= {GLOBAL_CUT} AS hit FROM kv a JOIN kv b ON a.perm = b.perm AND a.subject = b.subject AND a.node < b.node GROUP BY a.perm, a.side, a.node, b.node),
 ke AS MATERIALIZED (SELECT perm * 2 + side - 1 AS net, i, j FROM kr WHERE hit), kd AS MATERIALIZED (SELECT net, i AS a, j AS b FROM ke UNION ALL SELECT net, j, i FROM ke),
 kn AS (SELECT DISTINCT perm * 2 + side - 1 AS net FROM prm), kg AS MATERIALIZED (SELECT net, a, count(*) AS deg FROM kd GROUP BY ALL),
@@ -186,7 +232,9 @@ kl AS (SELECT net // 2 AS perm, net % 2 AS side, unnest(['density', 'clustering'
 k2 AS (SELECT perm, metric, max(value) FILTER (side = 0) AS value1, max(value) FILTER (side = 1) AS value2, max(value) FILTER (side = 0) - max(value) FILTER (side = 1) AS difference FROM kl GROUP BY ALL)
 SELECT o.metric, {r6('o.value1 AS value1', 'o.value2 AS value2', 'o.difference AS difference', 'avg((abs(n.difference) >= abs(o.difference) - 1e-12)::INT) AS p')}, count(n.perm) AS n_null
 FROM k2 o LEFT JOIN k2 n ON n.metric = o.metric AND n.perm > 0 AND n.difference IS NOT NULL AND o.difference IS NOT NULL WHERE o.perm = 0 GROUP BY ALL"""
-add("k8_global_test", lambda s, d: permute.global_test(*global_rows(s, d), GLOBAL_CUT, GLOBAL_COUNT, areas=B.areas(s).select("node", "area")), K8G)
+add("k8_global_test", lambda s, d: permute.global_test(*global_rows(s, d), GLOBAL_CUT, GLOBAL_COUNT, areas=B.areas(s).select("node", "area")), global_sql())
+RANKS = "rank() OVER (PARTITION BY perm, side, node ORDER BY value) + (count(*) OVER (PARTITION BY perm, side, node, value) - 1) / 2.0"
+add("k8_global_test_ranks", lambda s, d: permute.global_test(*global_rows(s, d), GLOBAL_CUT, GLOBAL_COUNT, areas=B.areas(s).select("node", "area"), method="spearman"), global_sql(RANKS))
 
 # L: contribution and discovery
 NP = f"{B.CORR2}, {core.NETS}, np AS (SELECT a.matrix_key, a.approach, a.i, a.j, a.w AS w1, b.w AS w2, least(a.w, b.w) AS lo, greatest(a.w, b.w) AS hi FROM nets a JOIN nets b ON a.matrix_key = b.matrix_key AND a.i = b.i AND a.j = b.j AND a.grp = 'g0' AND b.grp = 'g1')"
@@ -231,8 +279,14 @@ LP = 200
 PP = f"pl AS (SELECT perm, side, node, row_number() OVER (PARTITION BY perm, side ORDER BY md5('42|' || perm || '|' || side || '|' || node), node) AS seat_no FROM nd, (SELECT unnest(range(1, {LP + 1})) AS perm), (SELECT unnest([1, 2]) AS side)), nm AS (SELECT node AS seat, row_number() OVER (ORDER BY node) AS seat_no FROM nd), ps2 AS (SELECT perm, side, node, seat FROM pl JOIN nm USING (seat_no)), pw AS (SELECT a.perm, a.side, matrix_key, approach, least(a.seat, b.seat) AS i, greatest(a.seat, b.seat) AS j, CASE WHEN a.side = 1 THEN w1 ELSE w2 END AS w FROM np JOIN ps2 a ON a.node = np.i JOIN ps2 b ON b.node = np.j AND a.perm = b.perm AND a.side = b.side), pp AS (SELECT x.perm, x.matrix_key, x.approach, x.i, x.j, least(x.w, y.w) AS lo, greatest(x.w, y.w) AS hi FROM pw x JOIN pw y ON x.side = 1 AND y.side = 2 AND x.perm = y.perm AND x.matrix_key = y.matrix_key AND x.i = y.i AND x.j = y.j)"
 L18 = f"WITH {NP}, {SETS2}, {B.AREA_SQL}, {PP}, s1 AS (SELECT * FROM sets WHERE size = 1 UNION ALL SELECT area, count(*), list(node) FROM areas GROUP BY area), {contrib_sql('flat', sets='s1')}, {contrib_sql('flat', 'pp', 's1', 'perm', 'nl')} SELECT combo_id, cb.size, {r6('cb.contribution AS observed', f'(count(*) FILTER (abs(nl.contribution) >= abs(cb.contribution) - 1e-12) + 1) / {LP + 1}.0 AS p', f'list_sort(list(nl.contribution))[{int(0.025 * LP) + 1}] AS ci_low', f'list_sort(list(nl.contribution))[{min(LP - 1, int(0.975 * LP)) + 1}] AS ci_high')} FROM cb JOIN nl USING (combo_id) GROUP BY combo_id, cb.size, cb.contribution"
 add("l18_permutation_p", lambda s, d: discover.permutation_p(pairs01(s, d)[0], discover.candidates(s, pairs01(s, d)[1], 1).unionByName(area_sets(s)), LP), L18)
-add("l5_hypothesis_tests", lambda s, d: permute.adjust(discover.permutation_p(pairs01(s, d)[0], area_sets(s), 20, "balanced"), "p", "fdr").withColumn("stars", permute.stars("p_adjusted")))
-add("l13_brute_force", lambda s, d: discover.brute_force(*(lambda p, n: (p, discover.candidates(s, n, 2)))(*pairs01(s, d)), "pct_10", 20))
+add("l5_hypothesis_tests", lambda s, d: permute.adjust(discover.permutation_p(pairs01(s, d)[0], area_sets(s), LP, "balanced"), "p", "fdr").withColumn("stars", permute.stars("p_adjusted")))
+L13 = f"""WITH {NP}, {SETS2}, {SYN}, f AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY rank_score DESC, combo_id) AS pl, count(*) OVER (PARTITION BY direction) AS al FROM sx),
+kp AS MATERIALIZED (SELECT * FROM f WHERE pl <= greatest(1, ceil(al * 10.0 / 100))), s1 AS MATERIALIZED (SELECT sets.* FROM sets JOIN kp USING (combo_id)), {PP},
+{contrib_sql('flat', sets='s1', name='cf')}, {contrib_sql('flat', 'pp', 's1', 'perm', 'nl')},
+pt AS (SELECT combo_id, (count(*) FILTER (abs(nl.contribution) >= abs(cf.contribution) - 1e-12) + 1) / {LP + 1}.0 AS p FROM cf JOIN nl USING (combo_id) GROUP BY combo_id),
+rr AS (SELECT *, row_number() OVER (ORDER BY p) AS rk, count(*) OVER () AS m FROM pt), ad AS (SELECT *, (SELECT min(least(1, u.p * u.m / u.rk)) FROM rr u WHERE u.p >= rr.p) AS pa FROM rr)
+SELECT combo_id, kp.size, direction, {r6('j_all', 'j_without', 'contribution', 'expected_additive', 'synergy', 'synergy_ratio', 'rank_score', 'p', 'pa AS p_adjusted')}, pa < 0.05 AS significant FROM kp JOIN ad USING (combo_id)"""
+add("l13_brute_force", lambda s, d: discover.brute_force(pairs01(s, d)[0], discover.candidate_sets(core.some_nodes(s, d), 2), "pct_10", LP), L13)
 
 
 MOST_STEPS = 10

@@ -258,3 +258,78 @@ def test_tree_tables(spark):
     assert top == {1: ("a", 3), 2: ("b", 1)}
     row = threshold_free.tree_summary(trees, nodes_of(corr)).first()
     assert (row["n_edges"], row["max_degree"]) == (3, 3) and row["diameter"] == pytest.approx(0.5) and row["total_weight"] == pytest.approx(0.6)
+
+
+def plain_betweenness(m):
+    """Shares of shortest paths by listing them all, for small networks."""
+    n = len(m)
+    d = np.where(m > 0, m, np.inf)
+    np.fill_diagonal(d, 0)
+    for k in range(n):
+        d = np.minimum(d, d[:, k : k + 1] + d[k : k + 1])
+
+    def paths(s, t):
+        if s == t:
+            return [[t]]
+        return [[s, *p] for u in range(n) if m[s, u] > 0 and abs(m[s, u] + d[u, t] - d[s, t]) < 1e-9 for p in paths(u, t)]
+
+    node, edge = np.zeros(n), np.zeros((n, n))
+    for s, t in itertools.combinations(range(n), 2):
+        if np.isfinite(d[s, t]):
+            found = paths(s, t)
+            for p in found:
+                for v in p[1:-1]:
+                    node[v] += 1 / len(found)
+                for a, b in itertools.pairwise(p):
+                    edge[a, b] += 1 / len(found)
+                    edge[b, a] += 1 / len(found)
+    return node / ((n - 1) * (n - 2) / 2), edge
+
+
+def test_betweenness(spark):
+    """Ties between paths (equal weights), pieces, weights as lengths and hops."""
+    rng = np.random.default_rng(12)
+    names = [f"n{k}" for k in range(9)]
+    rows = [("m", g, a, b, float(rng.choice([0.2, 0.4, 0.6]))) for g, share in (("x", 0.5), ("y", 0.25)) for a, b in itertools.combinations(names, 2) if rng.random() < share]
+    edges = spark.createDataFrame(rows, "method string, grp string, src string, dst string, w double")
+    nodes = spark.createDataFrame([("m", g, n) for g in "xy" for n in names], "method string, grp string, node string")
+    for hops in (False, True):
+        per_node, per_edge = spread.betweenness(edges, nodes, hops=hops)
+        got, used = {(r["grp"], r["node"]): r["betweenness"] for r in per_node.collect()}, {(r["grp"], r["src"], r["dst"]): r["betweenness"] for r in per_edge.collect()}
+        for g in "xy":
+            m = matrix(names, rows, g)
+            node, edge = plain_betweenness((m > 0) * 1.0 if hops else m)
+            assert np.allclose([got[g, n] for n in names], node)
+            assert all(np.isclose(used[g, a, b], edge[names.index(a), names.index(b)]) for _, x, a, b, _ in rows if x == g)
+
+
+def test_partial_correlations(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 5)) @ rng.normal(size=(5, 5))
+    rows = [("g", k, v.tolist()) for k, v in enumerate(x)] + [("few", 100 + k, v.tolist()) for k, v in enumerate(x[:10])]
+    got = {(r["i"], r["j"]): r["r"] for r in correlate.partial(spark.createDataFrame(rows, "grp string, subject long, values array<double>"), list("abcde")).collect() if r["grp"] == "g"}
+    inverse = np.linalg.inv(np.corrcoef(x.T))
+    scale = np.sqrt(np.diag(inverse))
+    for (i, a), (j, b) in itertools.combinations(enumerate("abcde"), 2):
+        assert got[a, b] == pytest.approx(-inverse[i, j] / (scale[i] * scale[j]), abs=1e-9)
+    assert len(got) == 10
+
+
+def test_compare_groups(spark):
+    values = [(side, f"n{k}", m, float(k * side + (m == "b"))) for side in (1, 2) for k in range(8) for m in "ab"]
+    hubs = spark.createDataFrame([(1, "n1"), (1, "n2"), (2, "n2"), (2, "n3")], "side int, node string")
+    tests, overlap = permute.compare_groups(spark.createDataFrame(values, "side int, node string, metric string, value double"), hubs, 40)
+    got = {r["metric"]: r for r in tests.collect()}
+    assert set(got) == {"a", "b"} and got["a"]["difference"] == pytest.approx(-3.5) and 0 <= got["b"]["p"] <= 1
+    assert tuple(overlap.first()) == (1, 1, 1, pytest.approx(1 / 3), "n2", "n1", "n3")
+    assert permute.compare_groups(spark.createDataFrame(values, "side int, node string, metric string, value double"), hubs.where("false"), 5)[1].first()["jaccard"] is None
+
+
+def test_results_are_read_back_as_they_were_written(spark, tmp_path):
+    from hubweave.operators import exports
+
+    table = spark.createDataFrame([("m", "g 1", 'a,"b', 0.25, 3, True), ("m", "g/2", "", None, -1, False)], "method string, grp string, node string, value double, n int, flag boolean")
+    exports.write_results({"t": table}, str(tmp_path), "method", "grp")
+    got = exports.read_results(spark, str(tmp_path), table.schema, "t").collect()
+    assert sorted((r["grp"], r["value"], r["n"], r["flag"]) for r in got) == [("g 1", 0.25, 3, True), ("g/2", None, -1, False)]
+    assert {r["node"] for r in got if r["grp"] == "g 1"} == {'a,"b'}
