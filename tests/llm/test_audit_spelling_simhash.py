@@ -253,3 +253,59 @@ def test_band_keys_and_pivots_lose_no_pair(spark):
     assert seen.where("keys = 0 or not kept").count() == 0
     far = spark.createDataFrame([(0, -1)], "a long, b long").select(simhash_dedup.within(row("a"), row("b"), simhash_dedup.PIVOTS).alias("kept")).first()[0]
     assert not far
+
+
+def test_votes_against_a_plain_neighbour_loop(spark):
+    """Scores of the quality classifier against one similarity at a time, on the same latent vectors."""
+    from hubweave.llm import quality
+
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(80)]
+    texts = [(i, " ".join(rng.choice(vocab[: 50 + 30 * (i % 2)]) for _ in range(rng.randint(1, 60)))) for i in range(90)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(70)], "doc_id long, quality int, toxic int")
+    model = quality.fit(frame, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.score_documents(frame, labels).collect()}
+    import pyarrow as pa
+
+    n1, n0 = sum(model["labels"] == 1), sum(model["labels"] == 0)
+    assert n1 + n0 == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(70))
+    for i, text in texts:
+        counts = next(c for _, c in quality.term_counts(pa.array([text])))
+        own = quality.latent(counts, model["idf"], model["axes"])[0]
+        near = sorted(((float(own @ v), label) for v, label in zip(model["vectors"], model["labels"])), reverse=True)[: quality.NEIGHBOURS]
+        weights = [(max(s, 0) ** 4 / (n1 if label else n0), label) for s, label in near]
+        total = sum(w for w, _ in weights)
+        assert got[i] == pytest.approx(sum(w * label for w, label in weights) / total if total else model["prior"], abs=1e-4)
+
+
+def test_earlier_operators_on_null_ids_repeated_rows_long_texts_and_clashing_columns(spark):
+    """Every row comes back once and equal rows alike; extra columns named like results or keys are ignored."""
+    from hubweave.llm import exact_dedup, language_id, lm_scoring, quality, sentencepiece_codec
+
+    rng = random.Random(1)
+    long = " ".join(rng.choice(["wort", "noch", "ein", "langer", "Text"]) for _ in range(60000))
+    texts = [(None, "kein Name hier"), (None, "kein Name hier"), (5, long), (5, long), (6, "x" * 200000), (7, ""), (8, None), (9, "ein Satz mit Worten"), (9, "anderer Satz"), (10, "deux mots"), (11, "zwei Worte")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, held_out boolean, key long, load binary, n long, part int, target boolean, quality int, size long"
+    rows = [(i, t, "de" if k % 2 else "fr", None, 0, 1.0, True, 1, None, 1, 1, False, 0, 1) for k, (i, t) in enumerate(texts)]
+    frame = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(5, 1, 0), (9, 0, 0), (10, 1, 0), (11, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    found = {
+        "quality": quality.score_documents(frame, labels), "language": language_id.identify(frame), "lm": lm_scoring.score_documents(frame, labels),
+        "pieces": sentencepiece_codec.encode(frame), "exact": exact_dedup.exact_dedup(frame),
+    }
+    for name, table in found.items():
+        got = collections.Counter(repr(r) for r in table.collect())
+        assert sum(got.values()) == len(rows), name
+        assert sorted(n for n in got.values() if n > 1) == [2, 2], name
+    assert {r["n_tokens"] for r in found["lm"].where("doc_id = 5").collect()} == {60000}
+    assert {r["group_size"] for r in found["exact"].where("doc_id is null").collect()} == {2}
+
+
+def test_chat_with_clashing_columns_and_a_long_text(spark):
+    from hubweave.llm import chat_format
+
+    rows = [(1, 0, "ann", "a" * 300000, 5, "p", 0), (1, 1, "bob", "b", 5, "p", 0)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, page int, participant string, text_offset long")
+    got = {r["participant"]: r for r in chat_format.rotate_perspectives(frame).collect()}
+    assert set(got) == {"ann", "bob"} and got["ann"]["text"].count("a" * 300000) == 1 and got["bob"]["page"] == 1

@@ -323,6 +323,12 @@ def test_line_dedup(spark, empty):
     assert got[2, 1]["group_id"] is None and got[2, 1]["kept"] and got[1, 3]["kept"]
     texts = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(frame).collect()}
     assert texts[0] == rows[0][1] and texts[1] == "Other!\n\n" and texts[2] is None
+    # rows that share an id, and rows without one, lose their own lines only
+    shared = spark.createDataFrame([(7, f"{line}\nfirst"), (7, f"second\n{line}"), (None, f"{line}\nthird"), (None, None)], "doc_id long, text string").coalesce(1)
+    left = line_dedup.deduplicated(shared).collect()
+    assert sum(r["text"] is not None and line in r["text"] for r in left) == 1 and len(left) == 4
+    assert {w for r in left if r["text"] for w in r["text"].split("\n") if w != line} == {"first", "second", "third"}
+    assert [r["doc_id"] for r in left if r["text"] and line in r["text"]] == [None]
     assert line_dedup.line_groups(empty).count() == 0
 
 
