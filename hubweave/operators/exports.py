@@ -105,6 +105,6 @@ def write_results(tables: dict[str, DataFrame], path: str, *by: str) -> None:
 
 def read_results(spark, path: str, schema, name: str) -> DataFrame:
     """A table that write_results() wrote, with its folders as columns again; columns and types as in ``schema``."""
-    stored = spark.read.option("header", True).option("basePath", f"{path}/{name}").option("escape", '"').csv(f"{path}/{name}", inferSchema=False)
+    stored = spark.read.option("header", True).option("basePath", f"{path}/{name}").csv(f"{path}/{name}", inferSchema=False)
     named = {f.name: f.dataType for f in schema}
     return stored.select(*[F.col(c).cast(t).alias(c) for c, t in named.items()])

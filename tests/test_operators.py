@@ -92,9 +92,10 @@ def test_spanning_tree_is_smallest():
     assert w[kept].sum() == pytest.approx(min(w[list(e)].sum() for e in itertools.combinations(range(10), 4) if spans(e)))
 
 
-def test_percolation_counts_whole_graphs():
-    i, j, w = np.array([0, 1, 0]), np.array([1, 2, 2]), np.array([0.5, 0.3, 0.1])
-    assert network.giant_sizes(3, i, j, w, np.array([0.1, 0.3, 0.5, 0.6])) == [(3, 1, 3), (3, 1, 2), (2, 2, 1), (1, 3, 0)]
+def test_percolation_counts_whole_graphs(spark):
+    rows = [("m", "g", i, j, w) for i, j, w in (("0", "1", 0.5), ("1", "2", 0.3), ("0", "2", 0.1))]
+    curve = {r["step"]: r for r in network.percolation_curve(spark.createDataFrame(rows, "method string, grp string, i string, j string, r double")).collect()}
+    assert [(round(3 * curve[t]["giant"]), curve[t]["n_components"], round(3 * curve[t]["density"])) for t in (10, 30, 50, 60)] == [(3, 1, 3), (3, 1, 2), (2, 2, 1), (1, 3, 0)]
 
 
 def test_inequality_rules(spark):
@@ -130,16 +131,18 @@ def test_contribution_equals_direct_sums(spark):
     assert len(found) == 6 + 15 + 20
     for combo, value in found.items():
         assert value == pytest.approx(jac(combo.split(",")) - jac([]))
-    steps = discover.greedy(pairs, nodes, 2)
-    assert steps[0][1] == pytest.approx(max(v for k, v in found.items() if len(k) == 1))
+    steps = {(r["direction"], r["step"]): r["contribution"] for r in discover.greedy(pairs, 2).collect()}
+    assert steps["dissimilarity", 1] == pytest.approx(max(v for k, v in found.items() if len(k) == 1))
 
 
-def test_clustering_and_elbow():
+def test_clustering_and_elbow(spark):
     x = np.array([0, 0.1, 5, 5.1, 9, 9.2])
     d = np.abs(x[:, None] - x[None])
     k, labels = discover.best_clusters(d, 4)
     assert k == 3 and list(labels) == [0, 0, 1, 1, 2, 2]
-    assert discover.elbow([1, 2]) == 2 and discover.elbow([0, 9, 9.5, 9.8, 10]) == 2
+    values = [("a", v) for v in (1, 2)] + [("b", v) for v in (0, 9, 9.5, 9.8, 10)]
+    steps = spark.createDataFrame([(n, 1 + sum(m == n for m, _ in values[:at]), f"n{at}", float(v)) for at, (n, v) in enumerate(values)], "direction string, step int, node string, contribution double")
+    assert sorted((r["direction"], r["step"]) for r in discover.to_elbow(steps).collect()) == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
 
 
 def test_scalars():
