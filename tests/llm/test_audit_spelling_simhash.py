@@ -295,7 +295,8 @@ def test_earlier_operators_on_null_ids_repeated_rows_long_texts_and_clashing_col
         "pieces": sentencepiece_codec.encode(frame), "exact": exact_dedup.exact_dedup(frame),
     }
     for name, table in found.items():
-        got = collections.Counter(repr(r) for r in table.collect())
+        # products of blocks of rows differ in their last places with the block
+        got = collections.Counter(repr([round(v, 5) if isinstance(v, float) else v for v in r]) for r in table.collect())
         assert sum(got.values()) == len(rows), name
         assert sorted(n for n in got.values() if n > 1) == [2, 2], name
     assert {r["n_tokens"] for r in found["lm"].where("doc_id = 5").collect()} == {60000}
