@@ -40,9 +40,6 @@ def rounded(df, digits: int = 6):
     return df.select(*[clean(c, digits) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def upper_bound_grid(steps: int = 95) -> Column:
-    return F.sequence(F.lit(1), F.lit(steps))
-
 
 def _beta_continued_fraction(a: float, b: float, x: float) -> float:
     tiny = 1e-300

@@ -220,45 +220,6 @@ def global_metrics(edges: DataFrame, nodes: list[str], key=("method", "grp"), we
     return edges.groupBy(*key).applyInPandas(run, f"{types}, n_nodes int, n_edges int, density double, connected boolean, clustering double, path_length double, sigma double, modularity double, diameter double, n_components int")
 
 
-def edge_betweenness(edges: DataFrame, nodes: list[str], key=("method", "grp"), weights: str | None = "length") -> DataFrame:
-    """(key, src, dst, w, betweenness), weighted and not normalised."""
-
-    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
-        at = {x: i for i, x in enumerate(nodes)}
-        b = betweenness(_matrices(pdf, nodes), weights)[1]
-        return pdf[[*key, "src", "dst", "w"]].assign(betweenness=[b[at[x], at[y]] for x, y in zip(pdf["src"], pdf["dst"], strict=True)])
-
-    types = ", ".join(f"{c} {t}" for c, t in edges.select(*key).dtypes)
-    return edges.groupBy(*key).applyInPandas(run, f"{types}, src string, dst string, w double, betweenness double")
-
-
-def mst(corr: DataFrame, nodes: list[str], key=("method", "grp")) -> DataFrame:
-    """(key, src, dst, w) of the minimum spanning tree over distances 1 - abs(r); a distance of 0 is no edge."""
-
-    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
-        at = {x: i for i, x in enumerate(nodes)}
-        pdf = pdf.assign(w=1 - pdf["r"].abs())
-        pdf = pdf[pdf["w"] > 0].reset_index(drop=True)
-        kept = spanning_tree(len(nodes), pdf["i"].map(at).to_numpy(int), pdf["j"].map(at).to_numpy(int), pdf["w"].to_numpy(float))
-        return pdf.loc[kept, [*key, "i", "j", "w"]].rename(columns={"i": "src", "j": "dst"})
-
-    types = ", ".join(f"{c} {t}" for c, t in corr.select(*key).dtypes)
-    return corr.where("r is not null").groupBy(*key).applyInPandas(run, f"{types}, src string, dst string, w double")
-
-
-def mst_summary(tree: DataFrame, nodes: list[str], key=("method", "grp")) -> DataFrame:
-    """(key, n_edges, diameter, mean_path, total_weight, avg_weight, max_degree)."""
-
-    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = _matrices(pdf, nodes)
-        d = distances(m)
-        whole = bool(np.isfinite(d).all())
-        row = {"n_edges": len(pdf), "diameter": float(d.max()) if whole else 0.0, "mean_path": mean_distance(m), "total_weight": float(pdf["w"].sum()), "avg_weight": float(pdf["w"].mean()), "max_degree": int((m > 0).sum(1).max())}
-        return pd.DataFrame([dict(zip(key, k, strict=True)) | row])
-
-    types = ", ".join(f"{c} {t}" for c, t in tree.select(*key).dtypes)
-    return tree.groupBy(*key).applyInPandas(run, f"{types}, n_edges int, diameter double, mean_path double, total_weight double, avg_weight double, max_degree int")
-
 
 def pca(corr: DataFrame, nodes: list[str], key=("method", "grp")) -> DataFrame:
     """(key, component, node, loading, score, variance, share, cumulative) of the correlation matrix's rows, centred and
@@ -281,18 +242,3 @@ def pca(corr: DataFrame, nodes: list[str], key=("method", "grp")) -> DataFrame:
 
     types = ", ".join(f"{c} {t}" for c, t in corr.select(*key).dtypes)
     return corr.groupBy(*key).applyInPandas(run, f"{types}, component int, node string, loading double, score double, variance double, share double, cumulative double")
-
-
-def components(edges: DataFrame, nodes: list[str], key=("method", "grp")) -> DataFrame:
-    """(key, node, component): the smallest node of its component, for networks of any size one per task."""
-
-    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
-        label = component_labels(_matrices(pdf, nodes))
-        return pd.DataFrame({name: [v] * len(nodes) for name, v in zip(key, k, strict=True)}).assign(node=nodes, component=[nodes[c] for c in label])
-
-    types = ", ".join(f"{c} {t}" for c, t in edges.select(*key).dtypes)
-    return edges.groupBy(*key).applyInPandas(run, f"{types}, node string, component string")
-
-
-def with_area(df: DataFrame, areas: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(areas), "node")
