@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hubweave.operators import penalised
 from hubweave.sources.scratch import settled
 
 TINY = 1e-12
@@ -326,32 +327,36 @@ def node_summary(found: DataFrame, significant_only: bool = False, synergistic_o
     return s.withColumn("direction_ratio", F.col("net_count") / F.col("total_count"))
 
 
-def lasso(rows: DataFrame, nodes: list[str], alpha: float = 1.0, folds: int = 10, seed: int = 42) -> DataFrame:
-    """(node, coefficient, abs_coefficient, selected, mean1, mean2, difference) of a penalised logistic regression of
-    the side (1 or 2) on standardised nodes, the penalty chosen by cross-validated log loss.
+def lasso_fit(rows: DataFrame, nodes: list[str], alpha: float = 1.0, folds: int = 10, seed: int = 42) -> tuple[DataFrame, penalised.Path]:
+    """The prepared subjects of ``rows`` (side 1 or 2, values) and the penalised models of the side along the path.
 
-    ``rows`` (side, values). ValueError for fewer than 10 rows, 3 a side or 2 nodes.
+    At most as many folds as the smaller side has subjects, at least 3. ValueError for fewer than 10 rows, 3 a side or 2
+    nodes with values.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
     sizes = {r["side"]: r["count"] for r in rows.groupBy("side").count().collect()}
-    if sum(sizes.values()) < 10 or min(sizes.get(1, 0), sizes.get(2, 0)) < 3 or len(nodes) < 2:
-        raise ValueError("too few rows or nodes")
-    data = rows.select((F.col("side") == 2).cast("double").alias("label"), "values", array_to_vector("values").alias("raw"))
-    data = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(data).transform(data)
-    model = LogisticRegression(elasticNetParam=alpha, standardization=False)
-    grid = ParamGridBuilder().addGrid(model.regParam, [0.3, 0.1, 0.03, 0.01]).build()
-    cv = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="logLoss"), numFolds=max(3, min(folds, *sizes.values())), seed=seed)
-    best = cv.fit(data.select("label", "features")).bestModel.coefficients.toArray()
-    table = rows.sparkSession.createDataFrame([(n, float(c), abs(float(c)), bool(c != 0)) for n, c in zip(nodes, best, strict=True)], "node string, coefficient double, abs_coefficient double, selected boolean")
+    if sum(sizes.values()) < 10 or min(sizes.get(1, 0), sizes.get(2, 0)) < 3:
+        raise ValueError("too few rows")
+    folds = max(3, min(folds, *sizes.values()))
+    data, held = penalised.prepared(rows, nodes, folds, seed)
+    if len(held) < 2:
+        raise ValueError("too few nodes with values")
+    return data, penalised.path(data, held, alpha, folds)
+
+
+def lasso(rows: DataFrame, nodes: list[str], alpha: float = 1.0, folds: int = 10, seed: int = 42, choice: str = "min", fitted: penalised.Path | None = None) -> DataFrame:
+    """(node, coefficient, abs_coefficient, selected, direction, mean1, mean2, difference) of a penalised logistic
+    regression of the side (1 or 2) on standardised nodes. ``choice``: the penalty of the least cross-validated deviance
+    (min) or the largest within one standard error of it (1se). The difference is mean2 - mean1."""
+    fitted = fitted or lasso_fit(rows, nodes, alpha, folds, seed)[1]
+    best = fitted.coefficients[0, fitted.step(choice), 1:]
+    table = rows.sparkSession.createDataFrame([(n, float(c), abs(float(c)), bool(c != 0)) for n, c in zip(fitted.nodes, best, strict=True)], "node string, coefficient double, abs_coefficient double, selected boolean")
     names = F.array(*[F.lit(n) for n in nodes])
     long = rows.select("side", F.posexplode("values").alias("at", "value")).select("side", F.get(names, F.col("at")).alias("node"), "value")
-    means = long.groupBy("node").agg(F.avg(F.when(F.col("side") == 1, F.col("value"))).alias("mean1"), F.avg(F.when(F.col("side") == 2, F.col("value"))).alias("mean2"))
-    return table.join(means, "node").withColumn("difference", F.col("mean1") - F.col("mean2"))
+    value = F.coalesce("value", F.col("mean"))  # a missing value counts as the node's mean over both sides
+    filled = long.join(long.groupBy("node").agg(F.avg("value").alias("mean")), "node")
+    means = filled.groupBy("node").agg(F.avg(F.when(F.col("side") == 1, value)).alias("mean1"), F.avg(F.when(F.col("side") == 2, value)).alias("mean2"))
+    direction = F.when(F.col("coefficient") > 0, "higher in 2").when(F.col("coefficient") < 0, "higher in 1").otherwise("not selected")
+    return table.withColumn("direction", direction).join(means, "node").withColumn("difference", F.col("mean2") - F.col("mean1"))
 
 
 def lasso_agreement(selected: DataFrame, summary: DataFrame) -> DataFrame:

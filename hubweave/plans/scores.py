@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from hubweave.operators import discover, graph_metrics, permute, scoring, spread, threshold_free
+from hubweave.operators import discover, graph_metrics, penalised, permute, scoring, spread, threshold_free
 from hubweave.plans import binding as B
 from hubweave.plans import comparisons as C
 from hubweave.plans import core
@@ -324,12 +324,26 @@ add("l9_both_directions", lambda s, d: discover.greedy_discovery(pairs01(s, d)[0
 add("l12_cluster_discovery", lambda s, d: discover.cluster_discovery(*pairs01(s, d), count=20))
 
 
-def lasso01(s, d):
+def lasso01(s, d, choice="min"):
     rows, nodes = global_rows(s, d)
-    return discover.lasso(rows.select("side", "values"), nodes, folds=3)
+    return discover.lasso(rows.select("side", "values"), nodes, choice=choice)
+
+
+def lasso_path01(s, d):
+    rows, nodes = global_rows(s, d)
+    return discover.lasso_fit(rows.select("side", "values"), nodes)[1].table(s)
+
+
+def lasso_confusion01(s, d):
+    rows, nodes = global_rows(s, d)
+    data, fitted = discover.lasso_fit(rows.select("side", "values"), nodes)
+    return penalised.confusion(data, fitted.coefficients[0, fitted.least])
 
 
 add("l20_lasso", lasso01)
+add("l20_lasso_1se", lambda s, d: lasso01(s, d, "1se"))
+add("l20_lasso_path", lasso_path01)
+add("l20_lasso_confusion", lasso_confusion01)
 add("l21_lasso_agreement", lambda s, d: discover.lasso_agreement(lasso01(s, d), discover.node_summary(syn(s, d))))
 L2COMBOS = [",".join(c) for c in combinations(["d00", "d01", "d02"], 2)]
 add("l3_set_test", lambda s, d: discover.permutation_p(pairs01(s, d)[0], discover.sets_from(s, {c: c.split(",") for c in L2COMBOS}), LP, "balanced"), f"WITH {NP}, {SETS2}, {PP}, s1 AS (SELECT * FROM sets WHERE combo_id IN ({', '.join(repr(c) for c in L2COMBOS)})), {contrib_sql('balanced', sets='s1')}, {contrib_sql('balanced', 'pp', 's1', 'perm', 'nl')} SELECT combo_id, cb.size, {r6('cb.contribution AS observed', f'(count(*) FILTER (abs(nl.contribution) >= abs(cb.contribution) - 1e-12) + 1) / {LP + 1}.0 AS p', f'list_sort(list(nl.contribution))[{int(0.025 * LP) + 1}] AS ci_low', f'list_sort(list(nl.contribution))[{min(LP - 1, int(0.975 * LP)) + 1}] AS ci_high')} FROM cb JOIN nl USING (combo_id) GROUP BY combo_id, cb.size, cb.contribution")
