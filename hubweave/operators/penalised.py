@@ -20,7 +20,7 @@ PENALTIES = 100
 CELLS = 1 << 22  # numbers in the Gram matrices of the models of one stretch
 BLOCK = 64  # models of a block
 PASSES = 100
-SWEEPS, SOLVE = 1000, 50
+SWEEPS, SOLVE = 150, 50  # of one pass; the next pass goes on from there
 LEAST_WEIGHT = 1e-9  # of a subject in the curvature
 LEAST_CHANCE = 1e-5  # in a deviance
 FULL = 0.999  # a fold's path ends where its model explains more of its deviance

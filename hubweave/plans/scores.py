@@ -324,25 +324,32 @@ add("l9_both_directions", lambda s, d: discover.greedy_discovery(pairs01(s, d)[0
 add("l12_cluster_discovery", lambda s, d: discover.cluster_discovery(*pairs01(s, d), count=20))
 
 
-def lasso01(s, d, choice="min"):
-    rows, nodes = global_rows(s, d)
-    return discover.lasso(rows.select("side", "values"), nodes, choice=choice)
+_FITTED: dict[tuple[str, str], tuple] = {}
+
 
+def fitted01(s, d):
+    """(rows, nodes, prepared subjects, path): a session fits a folder's path once."""
+    key = s.sparkContext.applicationId, d
+    if key not in _FITTED:
+        rows, nodes = global_rows(s, d)
+        rows = rows.select("side", "values")
+        _FITTED[key] = (rows, nodes, *discover.lasso_fit(rows, nodes))
+    return _FITTED[key]
 
-def lasso_path01(s, d):
-    rows, nodes = global_rows(s, d)
-    return discover.lasso_fit(rows.select("side", "values"), nodes)[1].table(s)
+
+def lasso01(s, d, choice="min"):
+    rows, nodes, _, fitted = fitted01(s, d)
+    return discover.lasso(rows, nodes, choice=choice, fitted=fitted)
 
 
 def lasso_confusion01(s, d):
-    rows, nodes = global_rows(s, d)
-    data, fitted = discover.lasso_fit(rows.select("side", "values"), nodes)
+    _, _, data, fitted = fitted01(s, d)
     return penalised.confusion(data, fitted.coefficients[0, fitted.least])
 
 
 add("l20_lasso", lasso01)
 add("l20_lasso_1se", lambda s, d: lasso01(s, d, "1se"))
-add("l20_lasso_path", lasso_path01)
+add("l20_lasso_path", lambda s, d: fitted01(s, d)[3].table(s))
 add("l20_lasso_confusion", lasso_confusion01)
 add("l21_lasso_agreement", lambda s, d: discover.lasso_agreement(lasso01(s, d), discover.node_summary(syn(s, d))))
 L2COMBOS = [",".join(c) for c in combinations(["d00", "d01", "d02"], 2)]
