@@ -8,8 +8,9 @@ the mean difference: below 0, it reads more like the target.
 
 Words and bigrams are known by 64-bit hashes and counted without a limit. Tokens move once, to the task of their word,
 where its count and those of its bigrams are complete; the loss is a sum of logarithms, so each task adds up its share
-of every document. Words so frequent that one task would feel them are counted before, and so are the bigrams of two
-such words: those tokens don't move. A bigram of one such word moves by its other word.
+of every document. Words so frequent that one task would feel them are counted before, and so are the frequent bigrams
+of two such words: those tokens don't move. At most MOST words and MOST bigrams can be that frequent, whatever the size of
+the table. The other tokens of such a word are dealt by the word before it, to as many tasks as the word's count asks for.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ from pyspark.sql import functions as F
 
 from .common import materialize, mix64, string_parts, word_hashes, word_spans
 
-HOT = 4  # words with more than 1 in HOT of a task's tokens are counted before
+HOT = 4  # words with more than 1 in HOT of a task's tokens are counted before, if they are more than 1 in MOST of all
+MOST = 1 << 18
 PARTS = 32
 PER_TASK = 4_000_000  # tokens
 AT_ONCE = 2_000_000  # tokens that are dealt out together
 SLICES = 8  # of a task's words, one after the other
 STRENGTH = 20.0
-OTHER, BEGIN, AFTER = 0, 1, 2  # the word and the one before it; the first word of a text; the word and a frequent one after it
-KIND, TARGET, FOLLOWED = 3, 4, 8
+OTHER, BEGIN = 0, 1  # the word and the one before it; the first word of a text
+KIND, TARGET, FOLLOWED = 1, 4, 8
 
 
 def _read(batch):
@@ -117,7 +119,7 @@ def _narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
 
-def _moves(hot, pairs, sums: tuple, labels: list[int]):
+def _moves(hot, pairs, sums: tuple, labels: list[int], share: int):
     """(part, load): tokens by the word that counts them, and for each run of rows their ids, sizes and the losses known here."""
 
     parts = len(labels)
@@ -126,7 +128,10 @@ def _moves(hot, pairs, sums: tuple, labels: list[int]):
         ids = pa.chunked_array([r[0] for r in rows]).combine_chunks()
         yield labels[(base + (base >> 20)) % parts], pickle.dumps((base, None, ids.to_numpy(zero_copy_only=False) if not ids.null_count else ids.to_pylist(), np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows], axis=1)), 5)
         word, other, at, what = (np.concatenate([t[i] for t in tokens]) for i in range(4))
-        part = mix64(word) % np.uint64(parts)
+        known = _find(hot.value[0], word)
+        # as many salts as a frequent word's tokens fill shares of a task; other words have one
+        salts = np.where(known >= 0, 1 + hot.value[1][0][known] * share // max(1, sums[0]), 1).astype(np.uint64) if len(hot.value[0]) else np.uint64(1)
+        part = mix64(word + mix64(other) % salts) % np.uint64(parts)
         order = np.lexsort((word, part))
         word, other, at, what, part = word[order], other[order], at[order], what[order], part[order]
         cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
@@ -152,23 +157,24 @@ def _moves(hot, pairs, sums: tuple, labels: list[int]):
                     now = _find(hot.value[0], words)
                     then = np.where(begins, -1, np.append(-1, now[:-1]))
                     both = np.flatnonzero((now >= 0) & (then >= 0))
-                    opening = np.flatnonzero((now >= 0) & begins)
-                    half = np.flatnonzero((now < 0) & (then >= 0))
                     seen = _find(pairs.value[0], _pair(before[both], words[both]))
+                    both, seen = both[seen >= 0], seen[seen >= 0]
+                    opening = np.flatnonzero((now >= 0) & begins)
+                    after = np.flatnonzero(then >= 0)
                     for k in range(2):
                         n = hot.value[1][k]
                         p = (n + 1) / sums[k]
-                        bits = np.log2(n + STRENGTH)
-                        losses[k] += np.bincount(owner[both], bits[then[both]] - np.log2(pairs.value[1][k][seen] + STRENGTH * p[now[both]]), count)
+                        losses[k] += np.bincount(owner[after], np.log2(n + STRENGTH)[then[after]], count)
+                        losses[k] -= np.bincount(owner[both], np.log2(pairs.value[1][k][seen] + STRENGTH * p[now[both]]), count)
                         losses[k] -= np.bincount(owner[opening], np.log2(p[now[opening]]), count)
-                        losses[k] += np.bincount(owner[half], bits[then[half]], count)
-                    followed = np.append(~begins[1:], False)
-                    flags = (TARGET * good + FOLLOWED * followed).astype(np.uint8)
-                    own = np.flatnonzero(now < 0)
-                    late = np.flatnonzero((now >= 0) & (then < 0) & ~begins)
-                    tokens.append((words[own], np.where(begins[own], np.uint64(0), before[own]), done + owner[own], flags[own] + np.where(begins[own], BEGIN, OTHER).astype(np.uint8)))
-                    tokens.append((before[late], words[late], done + owner[late], flags[late] + np.uint8(AFTER)))
-                    size += len(own) + len(late)
+                    # a frequent word says here what it adds as a history
+                    followed = np.append(~begins[1:], False) & (now < 0)
+                    settled = np.zeros(len(words), bool)
+                    settled[both] = settled[opening] = True
+                    own = np.flatnonzero(~settled)
+                    what = (TARGET * good + FOLLOWED * followed + BEGIN * begins).astype(np.uint8)
+                    tokens.append((words[own], np.where(begins[own], np.uint64(0), before[own]), done + owner[own], what[own]))
+                    size += len(own)
                 rows.append((batch["doc_id"].slice(row, count), np.diff(first), losses))
                 done += count
                 if size > AT_ONCE:
@@ -189,23 +195,22 @@ def _loads(found, name: str):
 def _token_losses(word, other, what, hot, sums: tuple) -> list[np.ndarray]:
     """Of each token of whole words, its part of the loss under background and target.
 
-    A word's own tokens (OTHER, BEGIN) tell its count, and give what the word adds as a history if one follows.
+    A word's tokens tell its count, but for a frequent word's, which were counted before. A word gives what it adds as a
+    history if one follows.
     """
     kind, target = what & KIND, (what & TARGET) > 0
     distinct, at = np.unique(word, return_inverse=True)
     bigrams, pair = np.unique(mix64(_pair(other, word) + kind.astype(np.uint64)), return_inverse=True)
-    own = kind != AFTER
-    # a token that AFTER gives the place of its word is one of a frequent word, counted before
-    known = _find(hot[0], np.where(own, np.uint64(0), other))
+    known = _find(hot[0], distinct)
     out = []
     for k in range(2):
         weight = target.astype(float) if k else np.ones(len(word))
-        n = np.bincount(at, weight * own, len(distinct))
-        count = n[at] if not len(hot[0]) else np.where(own, n[at], hot[1][k][known])
-        p = (count + 1) / sums[k]
+        n = np.bincount(at, weight, len(distinct))
+        n = np.where(known >= 0, hot[1][k][known], n)[at] if len(hot[0]) else n[at]
+        p = (n + 1) / sums[k]
         both = np.bincount(pair, weight, len(bigrams))[pair]
         loss = -np.log2(np.where(kind == BEGIN, p, both + STRENGTH * p))
-        out.append(loss + np.where(own & ((what & FOLLOWED) > 0), np.log2(n[at] + STRENGTH), 0))
+        out.append(loss + np.where((what & FOLLOWED) > 0, np.log2(n + STRENGTH), 0))
     return out
 
 
@@ -264,7 +269,7 @@ def _scores(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(target), pa.array(background), pa.array(target - background)], ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, hot: int = HOT, parts: int = PARTS) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, hot: int = HOT, parts: int = PARTS, most: int = MOST) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, loss_target, loss_background, score (mean bits a token).
 
     The target is every row of ``docs`` whose doc_id some row of ``labels`` gives quality 1. Words are runs of
@@ -273,7 +278,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, hot: int = HOT, parts: i
     no part.
 
     The tokens are dealt to ``parts`` tasks, more for large tables. ``hot`` (0: none) says which words are counted
-    before; neither changes the result.
+    before, ``most`` bounds their number and that of their bigrams; none of these changes the result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -291,9 +296,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, hot: int = HOT, parts: i
     # labels that are dealt to different partitions
     places = spark.range(64 * parts).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("place")).agg(F.min("id").alias("id"))
     dealt = [r["id"] for r in places.collect()]
-    shared = spark.sparkContext.broadcast(_sorted_counts(words.where(F.col("n") * (hot * parts) > total[1])))
-    pairs = spark.sparkContext.broadcast(_sorted_counts(count(_hot_pairs(shared))))
+    # fewer than `most` words can be more than 1 in `most` of all tokens, and fewer than `most` bigrams
+    frequent = spark.sparkContext.broadcast(_sorted_counts(words.where(F.col("n") * min(hot * parts, most) > total[1])))
+    pairs = spark.sparkContext.broadcast(_sorted_counts(count(_hot_pairs(frequent)).where(F.col("n") * most > total[1])))
 
-    moved = flagged.mapInArrow(_moves(shared, pairs, sums, dealt), "part long, load binary").repartition(parts, "part")
-    added = moved.mapInArrow(_part_losses(shared, sums), "base long, load binary").repartition(parts, "base")
+    moved = flagged.mapInArrow(_moves(frequent, pairs, sums, dealt, hot * parts), "part long, load binary").repartition(parts, "part")
+    added = moved.mapInArrow(_part_losses(frequent, sums), "base long, load binary").repartition(parts, "base")
     return added.mapInArrow(_scores, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")

@@ -306,7 +306,7 @@ def test_lm_scoring_counts_all_words_and_bigrams(spark):
         return bits / max(1, len(words))
 
     expect = sorted((-1 if d is None else d, len(w), *(loss(w, *m) for m in models)) for (d, _), w in zip(rows, split, strict=True))
-    for args in ((), (0, 5), (64, 3)):
+    for args in ((), (0, 5), (64, 3), (64, 40, 30), (64, 40, 2000)):  # the last two: few words or bigrams may be known, the rest is salted
         found = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["loss_target"], r["loss_background"]) for r in lm_scoring.score_documents(frame, labels, *args).collect())
         assert [f[:2] for f in found] == [e[:2] for e in expect]
         assert np.allclose([f[2:] for f in found], [e[2:] for e in expect], rtol=1e-9)
