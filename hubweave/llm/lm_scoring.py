@@ -10,7 +10,8 @@ Words and bigrams are known by 64-bit hashes and counted without a limit. Tokens
 where its count and those of its bigrams are complete; the loss is a sum of logarithms, so each task adds up its share
 of every document. Words so frequent that one task would feel them are counted before, and so are the frequent bigrams
 of two such words: those tokens don't move. At most MOST words and MOST bigrams can be that frequent, whatever the size of
-the table. The other tokens of such a word are dealt by the word before it, to as many tasks as the word's count asks for.
+the table. After a rare word, such a word's token moves by that word; after another frequent word, it is dealt by that
+word to as many tasks as its own count asks for.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ PER_TASK = 4_000_000  # tokens
 AT_ONCE = 2_000_000  # tokens that are dealt out together
 SLICES = 8  # of a task's words, one after the other
 STRENGTH = 20.0
-OTHER, BEGIN = 0, 1  # the word and the one before it; the first word of a text
-KIND, TARGET, FOLLOWED = 1, 4, 8
+OTHER, BEGIN, AFTER = 0, 1, 2  # the word and the one before it; the first word of a text; the word and a frequent one after it
+KIND, TARGET, FOLLOWED = 3, 4, 8
 
 
 def _read(batch):
@@ -171,10 +172,13 @@ def _moves(hot, pairs, sums: tuple, labels: list[int], share: int):
                     followed = np.append(~begins[1:], False) & (now < 0)
                     settled = np.zeros(len(words), bool)
                     settled[both] = settled[opening] = True
+                    late = np.flatnonzero((now >= 0) & (then < 0) & ~begins)
+                    settled[late] = True
                     own = np.flatnonzero(~settled)
                     what = (TARGET * good + FOLLOWED * followed + BEGIN * begins).astype(np.uint8)
+                    tokens.append((before[late], words[late], done + owner[late], what[late] + np.uint8(AFTER)))
                     tokens.append((words[own], np.where(begins[own], np.uint64(0), before[own]), done + owner[own], what[own]))
-                    size += len(own)
+                    size += len(own) + len(late)
                 rows.append((batch["doc_id"].slice(row, count), np.diff(first), losses))
                 done += count
                 if size > AT_ONCE:
@@ -195,18 +199,23 @@ def _loads(found, name: str):
 def _token_losses(word, other, what, hot, sums: tuple) -> list[np.ndarray]:
     """Of each token of whole words, its part of the loss under background and target.
 
-    A word's tokens tell its count, but for a frequent word's, which were counted before. A word gives what it adds as a
-    history if one follows.
+    A word's own tokens (OTHER, BEGIN) tell its count, but for a frequent word's, which were counted before. A word gives
+    what it adds as a history if one follows.
     """
     kind, target = what & KIND, (what & TARGET) > 0
     distinct, at = np.unique(word, return_inverse=True)
     bigrams, pair = np.unique(mix64(_pair(other, word) + kind.astype(np.uint64)), return_inverse=True)
-    known = _find(hot[0], distinct)
+    own = kind != AFTER
+    known, later = _find(hot[0], distinct), _find(hot[0], other)
     out = []
     for k in range(2):
         weight = target.astype(float) if k else np.ones(len(word))
-        n = np.bincount(at, weight, len(distinct))
-        n = np.where(known >= 0, hot[1][k][known], n)[at] if len(hot[0]) else n[at]
+        n = np.bincount(at, weight * own, len(distinct))
+        if len(hot[0]):
+            n = np.where(known >= 0, hot[1][k][known], n)[at]
+            n = np.where(own, n, hot[1][k][later])
+        else:
+            n = n[at]
         p = (n + 1) / sums[k]
         both = np.bincount(pair, weight, len(bigrams))[pair]
         loss = -np.log2(np.where(kind == BEGIN, p, both + STRENGTH * p))
