@@ -37,6 +37,36 @@ OTHER, BEGIN, AFTER = 0, 1, 2  # the word and the one before it; the first word
 KIND, TARGET, FOLLOWED = 3, 4, 8
 
 
+def _packed(batches):
+    """Texts compressed one by one, with their sizes in bytes: what the join with the labels moves and the written table holds."""
+    codec = pa.Codec("zstd", compression_level=1)
+    for batch in batches:
+        texts = [x.as_buffer() if x.is_valid else None for x in batch["text"]]
+        packed = pa.array([None if x is None else codec.compress(x, asbytes=True) for x in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([None if x is None else x.size for x in texts], pa.int64()), packed], ["doc_id", "size", "packed"])
+
+
+def _unpacked(batches):
+    """The rows of _packed() with their texts again, a few megabytes at a time."""
+    codec = pa.Codec("zstd", compression_level=1)
+
+    def given(batch, first: int, texts: list):
+        part = batch.slice(first, len(texts))
+        return pa.RecordBatch.from_arrays([part["doc_id"], pa.array(texts, pa.binary()).view(pa.string()), part["target"]], ["doc_id", "text", "target"])
+
+    for batch in batches:
+        texts: list = []
+        first = held = 0
+        for size, load in zip(batch["size"].to_pylist(), batch["packed"], strict=True):
+            texts.append(codec.decompress(load.as_buffer(), size, asbytes=True) if load.is_valid else None)
+            held += size or 0
+            if held > 4 << 20:
+                yield given(batch, first, texts)
+                first, held, texts = first + len(texts), 0, []
+        if texts:
+            yield given(batch, first, texts)
+
+
 def _read(batch):
     """(first row, words, whether a word begins its text, its row in the part, each row's first word) of a batch's parts."""
     for row, offsets, data in string_parts(batch["text"]):
@@ -292,11 +322,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, hot: int = HOT, parts: i
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    named = rows.where("doc_id is not null").join(good.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    flagged = materialize(named.unionByName(rows.where("doc_id is null").withColumn("target", F.lit(False))))
+    packed, unnamed = (rows.where(f"doc_id is {what}").mapInArrow(_packed, "doc_id long, size long, packed binary") for what in ("not null", "null"))
+    named = packed.join(good.hint("merge"), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    flagged = materialize(named.unionByName(unnamed.withColumn("target", F.lit(False))))
+
+    def over_texts(run):
+        return lambda batches: run(_unpacked(batches))
 
     def count(keys_of) -> DataFrame:
-        return flagged.select("text", "target").mapInArrow(_counts(keys_of), "key long, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+        return flagged.mapInArrow(over_texts(_counts(keys_of)), "key long, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
     words = materialize(count(_every_word))
     total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
@@ -309,6 +343,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, hot: int = HOT, parts: i
     frequent = spark.sparkContext.broadcast(_sorted_counts(words.where(F.col("n") * min(hot * parts, most) > total[1])))
     pairs = spark.sparkContext.broadcast(_sorted_counts(count(_hot_pairs(frequent)).where(F.col("n") * most > total[1])))
 
-    moved = flagged.mapInArrow(_moves(frequent, pairs, sums, dealt, hot * parts), "part long, load binary").repartition(parts, "part")
+    moved = flagged.mapInArrow(over_texts(_moves(frequent, pairs, sums, dealt, hot * parts)), "part long, load binary").repartition(parts, "part")
     added = moved.mapInArrow(_part_losses(frequent, sums), "base long, load binary").repartition(parts, "base")
     return added.mapInArrow(_scores, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")

@@ -312,6 +312,18 @@ def test_lm_scoring_counts_all_words_and_bigrams(spark):
         assert np.allclose([f[2:] for f in found], [e[2:] for e in expect], rtol=1e-9)
 
 
+def test_lm_scoring_moves_packed_texts():
+    import pyarrow as pa
+
+    texts = [None, b"", b"a" * 9_000_000, "w\u00f6rd".encode(), b"\xff no text", b"last"]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(texts, pa.binary()).view(pa.string())], ["doc_id", "text"])
+    packed = list(lm_scoring._packed([rows]))
+    assert sum(b.nbytes for b in packed) < 5_000
+    found = list(lm_scoring._unpacked(b.append_column("target", pa.array([False] * len(b))) for b in packed))
+    assert [x for b in found for x in b["text"].view(pa.binary()).to_pylist()] == texts
+    assert [x for b in found for x in b["doc_id"].to_pylist()] == list(range(6)) and len(found) == 2
+
+
 def test_line_dedup(spark, empty):
     line = "the quick brown fox jumps over the lazy dog near the river bank while many people watch it happen every single day of the year"
     rows = [(0, f"{line}\nunique words here"), (1, f"Other!\n{line.upper()} \n\n"), (2, None), (3, f"{line} 12\n{line} 345"), (4, "")]
